@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, quality_rules, sharding, token_counts
+from . import chat_format, quality_rules, secret_scan, sharding, token_counts
 
 #: Turns of a conversation of its own that every formatter must survive.
 HARD = r"\### Assistant: </turn> ok"
@@ -43,6 +43,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(rows.unionByName(hard)))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_sharding, op7_quality_rules, op8_chat_format)}
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_sharding, op7_quality_rules, op8_chat_format, op9_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
