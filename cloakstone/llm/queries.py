@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, quality_rules, secret_scan, sharding, token_counts
+from . import chat_format, jaccard_join, lm_score, quality_rules, secret_scan, sharding, token_counts
 
 #: Turns of a conversation of its own that every formatter must survive.
 HARD = r"\### Assistant: </turn> ok"
@@ -33,6 +33,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.train(docs.where(~lm_score.held_out())))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components_of(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,6 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_sharding, op6_jaccard_join, op7_quality_rules, op8_chat_format, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_sharding, op4_lm_score, op6_jaccard_join, op7_quality_rules, op8_chat_format, op9_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}
