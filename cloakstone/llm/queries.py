@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, lm_score, quality_rules, secret_scan, sharding, token_counts
+from . import chat_format, decontaminate, jaccard_join, lm_score, piece_transducer, quality_classifier, quality_rules, secret_scan, sharding, token_counts
 
 #: Turns of a conversation of its own that every formatter must survive.
 HARD = r"\### Assistant: </turn> ok"
@@ -25,6 +25,10 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), piece_model())
 
@@ -38,6 +42,12 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, lm_score.train(docs.where(~lm_score.held_out())))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(~quality_classifier.held_out())
+    return quality_classifier.score(docs, quality_classifier.fit(docs, labels))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components_of(table(spark, sf_dir, "documents"))
 
@@ -56,6 +66,16 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.find(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_sharding, op4_lm_score, op6_jaccard_join, op7_quality_rules, op8_chat_format, op9_secret_scan)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_transducer.encode(table(spark, sf_dir, "documents"), piece_model())
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_token_counts, op3_sharding, op4_lm_score, op5_quality_classifier, op6_jaccard_join, op7_quality_rules, op8_chat_format,
+        op9_secret_scan, op10_sentencepiece,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -28,6 +28,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[0], _pow[1]
 
 
+#: Lower-case letters, digits and all bytes of other characters.
+ALPHANUMERIC = np.zeros(256, bool)
+ALPHANUMERIC[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose output bits all depend on all input bits."""
     x = x ^ (x >> U(33))
@@ -46,10 +51,11 @@ def lowered(data: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a block: starts, ends (byte positions), hashes, doc (row of each word), first (of each row: index of its first word; one more at the end)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, hashed: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, hashed: bool = True, solid: np.ndarray = ~_SPACE):
+        """solid: of each byte value, whether it belongs to words."""
         self.data = data = lowered(data) if lower else data
         self.offsets = offsets
-        solid = ~_SPACE[data]
+        solid = solid[data]
         begins, ends = solid.copy(), solid.copy()
         if len(data):
             begins[1:] &= ~solid[:-1]
