@@ -226,9 +226,11 @@ def _count_pairs(m: Model):
 
 
 def _store_pairs(m: Model):
-    """Saves each bucket's pairs; yields sums for the words' buckets: kind 0: contexts (id, n1, n2, n3), 1: words (id, distinct contexts), 2: counts of counts, 3: the begin mark."""
+    """Saves each bucket's pairs; yields a task's sums for the words' buckets: kind 0: contexts (id, n1, n2, n3), 1: words (id, distinct contexts), 2: counts of counts, 3: the begin mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_counts, begin = np.zeros(4, np.int64), np.zeros(3, np.int64)
+        sums: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         for k, blobs in _by_bucket(batches):
             keys, counts = [], []
             for x in blobs:
@@ -242,21 +244,29 @@ def _store_pairs(m: Model):
             hashstore.save(m.uri, f"pairs-{k}", h[order])
             hashstore.save(m.uri, f"pair_counts-{k}", np.minimum(c[order], 0xFFFFFFFF).astype(np.uint32))
             u, v = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64)
-            of_counts = np.bincount(np.minimum(c, 5), minlength=6)[1:5].astype(np.int64)
+            of_counts += np.bincount(np.minimum(c, 5), minlength=6)[1:5]
             at = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-            ids = u[at]
-            stats = np.stack([ids] + [np.add.reduceat((c == 1 if i == 1 else c == 2 if i == 2 else c >= 3).astype(np.int64), at) for i in (1, 2, 3)], 1)
-            begin = ids == BEGIN
-            kinds, owners, out = [2, 3], [-1, -1], [of_counts.tobytes(), stats[begin][:, 1:].sum(0).tobytes()]
+            stats = np.stack([u[at]] + [np.add.reduceat((c == 1 if i == 1 else c == 2 if i == 2 else c >= 3).astype(np.int64), at) for i in (1, 2, 3)], 1)
+            first = stats[:, 0] == BEGIN
+            begin += stats[first][:, 1:].sum(0)
             words, n = np.unique(v, return_counts=True)
-            for kind, rows in ((0, stats[~begin]), (1, np.stack([words, n], 1))):
-                cut = np.searchsorted(rows[:, 0], m.first)
-                for j in range(m.buckets):
-                    if cut[j + 1] > cut[j]:
-                        kinds.append(kind)
-                        owners.append(j)
-                        out.append(rows[cut[j] : cut[j + 1]].astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(owners, pa.int32()), pa.array(out, pa.binary())], ["kind", "bucket", "blob"])
+            sums[0].append(stats[~first])
+            sums[1].append(np.stack([words, n], 1))
+        kinds, owners, out = [2, 3], [-1, -1], [of_counts.tobytes(), begin.tobytes()]
+        for kind in (0, 1):
+            # one sum for each word of all the task's buckets
+            rows = np.concatenate(sums[kind]) if sums[kind] else np.zeros((0, 4 - 2 * kind), np.int64)
+            rows = rows[np.argsort(rows[:, 0], kind="stable")]
+            at = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else np.zeros(0, np.int64)
+            if len(rows):
+                rows = np.concatenate([rows[at, :1], np.add.reduceat(rows[:, 1:], at, axis=0)], 1)
+            cut = np.searchsorted(rows[:, 0], m.first)
+            for j in range(m.buckets):
+                if cut[j + 1] > cut[j]:
+                    kinds.append(kind)
+                    owners.append(j)
+                    out.append(rows[cut[j] : cut[j + 1]].astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(owners, pa.int32()), pa.array(out, pa.binary())], ["kind", "bucket", "blob"])
 
     return run
 
@@ -303,7 +313,7 @@ def train(docs: DataFrame) -> Model:
     C.arrow_limits(spark)
     texts = docs.select(C.text_bytes())
     parts = C.partitions_for(spark)
-    buckets = 1 << max(6, (2 * parts - 1).bit_length())
+    buckets = 1 << max(6, (parts - 1).bit_length())
     uri = f"{C.shared_dir(spark)}/bigrams-{uuid.uuid4().hex}"
 
     def dealt(df: DataFrame) -> DataFrame:
@@ -324,7 +334,7 @@ def train(docs: DataFrame) -> Model:
     pairs = dealt(texts.mapInArrow(lambda it: _count_pairs(known.value)(it), "bucket int, blob binary"))
     sums = C.written(pairs.mapInArrow(lambda it: _store_pairs(known.value)(it), "kind int, bucket int, blob binary"), "bigram-sums")
     of_counts, begin = np.zeros(4, np.int64), np.zeros(3, np.int64)
-    for kind, blob in sums.where("kind >= 2").select("kind", "blob").collect():  # two short rows a bucket
+    for kind, blob in sums.where("kind >= 2").select("kind", "blob").collect():  # two short rows a task
         if kind == 2:
             of_counts += np.frombuffer(blob, np.int64)
         else:
