@@ -29,6 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import common as C
 from .token_counts import SPACE, pre_tokens, splits_at_spaces
@@ -227,7 +228,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, "text"])
 
     source = encoded.drop("text")
-    schema = source.schema.add("text", "string")
+    schema = StructType([*source.schema.fields, StructField("text", StringType())])
     C.arrow_limits(encoded.sparkSession)
     return source.mapInArrow(run, schema)
 
