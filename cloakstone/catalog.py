@@ -13,7 +13,7 @@ from .functions import validators as V
 from .operators import audit, columns, detect, known, mask
 from .plans import sql as Q
 from .plans.config import Config
-from .sources.tables import written
+from .sources.tables import spread, written
 
 #: A key for tests and comparisons; real keys come from a secret store.
 TEST_KEY = ids.Key(b"0123456789abcdef0123456789abcdef")
@@ -41,7 +41,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked documents with the number of replacements."""
-    return mask.mask(table(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY, config=OPEN).select("doc_id", "text", "n_replacements")
+    return mask.mask(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), TEST_KEY, config=OPEN).select("doc_id", "text", "n_replacements")
 
 
 def queries() -> dict[str, Query]:
@@ -56,7 +56,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _found(spark: SparkSession, sf_dir: str, kind: str, rule: str | None = None, config: Config = OPEN) -> DataFrame:
-    rows = detect.exploded(detect.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), config=config, only=(kind,)), "doc_id")
+    rows = detect.exploded(detect.detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), config=config, only=(kind,)), "doc_id")
     rows = rows.where(F.col("rule") == rule) if rule else rows
     return rows.groupBy("doc_id", "real").agg(F.count("*").alias("n"))
 
@@ -112,7 +112,7 @@ def detect_phone(spark, sf_dir):
 @query()
 def detect_all_types(spark, sf_dir):
     """type, rule, n over all detectors."""
-    rows = detect.exploded(detect.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), config=OPEN), "doc_id")
+    rows = detect.exploded(detect.detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), config=OPEN), "doc_id")
     return rows.groupBy("type", "rule").agg(F.count("*").alias("n"))
 
 
@@ -180,7 +180,7 @@ def pseudonymize_object(spark, sf_dir):
 
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(mask.mask(table(spark, sf_dir, "documents").select("doc_id", "text"), TEST_KEY, config=OPEN), "masked")
+    return written(mask.mask(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), TEST_KEY, config=OPEN), "masked")
 
 
 @query("SELECT doc_id, true AS same FROM documents")

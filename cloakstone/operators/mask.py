@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions import text as T
 from ..plans.config import Config
-from .detect import detect
+from .detect import built, detect
 
 
 def resolved(findings: Column) -> Column:
@@ -55,8 +55,9 @@ def spliced(text: Column, script: Column) -> Column:
 def mask(df: DataFrame, key: ids.Key, text: str = "text", config: Config | None = None) -> DataFrame:
     """df with its text masked, n_replacements and edits. Detection runs once a row; all steps are expressions."""
     found = df if "findings" in df.columns else detect(df, text, config)
-    script = found.withColumn("edits", edits(resolved(F.col("findings")), lambda kind, real: ids.pseudonym(key, kind, real)))
-    out = script.withColumn(text, spliced(F.col(text), F.col("edits"))).withColumn("n_replacements", F.size("edits"))
+    script = built(lambda: edits(resolved(F.col("findings")), lambda kind, real: ids.pseudonym(key, kind, real)), "edits", key)
+    out = found.withColumn("edits", script)
+    out = out.withColumn(text, built(lambda: spliced(F.col(text), F.col("edits")), "spliced", text)).withColumn("n_replacements", F.size("edits"))
     return out.drop("findings")
 
 

@@ -94,4 +94,4 @@ def windowed_audit(events: DataFrame, time: str = "ts", late: str = "1 hour", wi
     """Counts of a stream by time window and type; rows later than the watermark are left out."""
     from pyspark.sql import functions as F
 
-    return events.withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
