@@ -124,7 +124,7 @@ def connection(s: str) -> Iterator[Name]:
             name = m[2].split("\\")[0]
             entity = _KEYS[m[1].lower()]
             strong = any(identifier(x[2].split("\\")[0]) for x in [m, *near])
-            if not ownerless(name) and strong and not re.match(r"(?:self|request|cfg|config|os|models)\.", m[2]):
+            if not ownerless(name) and strong and not re.match(r"(?:self|this|request|cfg|config|os|models|ctx|args)\.", m[2]):
                 if not (entity == "server" and public_host(name)):
                     yield Name(m.start(2), m.start(2) + len(name), entity)
                 if "\\" in m[2] and entity == "server":

@@ -53,13 +53,10 @@ def test_names_numbers_and_case(spark):
     assert (row.a, row.b, row.c, row.d) == ("JOAO DA CAO", "12345x", "M", "")
 
 
-# Labels and what their fields hold.
 LABELS = {
-    "NOM_CLIENTE": "name", "nomeCliente": "name", "Nome da Mãe": "name", "full_name": "name", "nm_titular": "name", "CPF": "cpf", "NUM_CPF_CLIENTE": "cpf", "nr_cnpj": "cnpj", "DT_NASCIMENTO": "birthdate",
-    "telefone_celular": "phone", "COD_USU_DATA_OWNER": "user", "matricula": "user", "user_id": "user", "religiao": "sensitive", "raca_cor": "sensitive", "orientacao_sexual": "sensitive", "tipo_sanguineo": "sensitive",
-    "user_name": "user", "id_cliente": "user", "titulo_eleitor": "doc", "passaporte": "doc", "endereco_residencial": "address", "CEP": "cep", "num_rg": "rg", "NOM_SISTEMA": "", "table_name": "", "nome": "name_loose",
-    "Cliente": "name_full", "CPF/CNPJ": "cpf", "user": "", "owner": "name_full", "tipo_usuario": "", "file_name": "", "hostname": "", "status": "", "id": "", "ip_address": "", "login_timeout": "", "diagnostico": "", "pai": "",
-    "cor": "", "titulo": "", "partido": "", "com o nome que ele usa": "",
+    "NOME_TITULAR": "name", "ownerName": "name", "Nome do Paciente": "name", "cpf_socio": "cpf", "NUM_CNPJ": "cnpj", "data_nascimento": "birthdate", "fone_comercial": "phone", "codFuncionario": "user", "login": "user", "religion": "sensitive",
+    "vida sexual": "sensitive", "nome_usu": "user", "passport_number": "doc", "social_security": "doc", "logradouro": "address", "zip_code": "cep", "identidade": "rg", "num_cartao": "card", "conta_corrente": "account", "schema_title": "", "nm": "name_loose",
+    "Paciente": "name_full", "RG/CPF": "rg", "users_total": "", "tipo_cliente": "", "path_name": "", "color": "", "account": "", "tax_id": "doc", "one two three four five six": "",
 }
 
 

@@ -8,20 +8,20 @@ from cloakstone.sources import sinks
 from cloakstone.sources.tables import written
 
 KEY = ids.Key(b"0123456789abcdef0123456789abcdef")
-CONFIG = Config(internal_domains=("empresa-ficticia",), extra_patterns=(("matricula", r"\bMAT\d{6}\b"),), terms=(("projeto", "Projeto Fenix"),))
+CONFIG = Config(internal_domains=("firma-inventada",), extra_patterns=(("badge", r"\bKQ\d{4}\b"),), terms=(("project", "Project Heron"),))
 FOUND = [
-    ("owner: joao.silva@empresa-ficticia.com.br ok", "email", "joao.silva@empresa-ficticia.com.br"), ("conectando em 10.42.7.15:3306", "ip", "10.42.7.15"), ("host mysql-dh.empresa-ficticia.intra caiu", "host", "mysql-dh.empresa-ficticia.intra"),
-    ("cliente 529.982.247-25 ativo", "cpf", "529.982.247-25"), ("cpf: 52998224725", "cpf", "52998224725"), ("empresa 11.222.333/0001-81", "cnpj", "11.222.333/0001-81"), ("ligue (11) 98765-4321 amanhã", "phone", "(11) 98765-4321"),
-    ("CEP 01310-100", "cep", "01310-100"), ("cartão 4111 1111 1111 1111", "card", "4111 1111 1111 1111"), ("RG: 12.345.678-9", "rg", "12.345.678-9"), ("agência 1234-5 conta 123456-7", "account", "1234-5"),
-    ("chave pix 123e4567-e89b-42d3-a456-426614174000", "pix", "123e4567-e89b-42d3-a456-426614174000"), ("mora na Rua das Flores, 123 - centro", "address", "Rua das Flores, 123"), ("data de nascimento: 12/03/1985", "birthdate", "12/03/1985"),
-    ("usuario MAT123456 travou", "x:matricula", "MAT123456"), ("o Projeto Fenix atrasou", "t:projeto", "Projeto Fenix"), ("o paciente é evangélico", "sensitive", "evangélico"), ("CID: F32.1", "sensitive", "F32.1"), ("filiado ao PSOL", "sensitive", "PSOL"),
-    ("senha do sistema é Xk8pq2vR9", "secret", "Xk8pq2vR9"), ("DB_PASSWORD=Ficticia@2024", "secret", "Ficticia@2024"), ("mysql://u:S3nha!@db01/x", "secret", "S3nha!"), ("iban GB82 WEST 1234 5698 7654 32.", "iban", "GB82 WEST 1234 5698 7654 32"),
-    ("envio RR473124829BR", "tracking", "RR473124829BR"), ("CVV 123", "secret", "123"), ("mac 00:1a:2b:3c:4d:5e", "mac", "00:1a:2b:3c:4d:5e"),
+    ("write to vera.nunes@firma-inventada.net today", "email", "vera.nunes@firma-inventada.net"), ("node 172.21.9.40:8080 is down", "ip", "172.21.9.40"), ("restart kafka-7.firma-inventada.lan now", "host", "kafka-7.firma-inventada.lan"),
+    ("paid by 314.159.265-90 in cash", "cpf", "314.159.265-90"), ("cpf do titular 31415926590", "cpf", "31415926590"), ("supplier 27.182.818/0002-00", "cnpj", "27.182.818/0002-00"), ("recado: (21) 99876-1234, obrigado", "phone", "(21) 99876-1234"),
+    ("cep 70040-020", "cep", "70040-020"), ("card 5500 0000 0000 0004 refused", "card", "5500 0000 0000 0004"), ("rg 45.678.901-2", "rg", "45.678.901-2"), ("agência 4321-0 e conta 765432-1", "account", "4321-0"),
+    ("pix: 0f8fad5b-d9cb-469f-a165-70867728950e", "pix", "0f8fad5b-d9cb-469f-a165-70867728950e"), ("entrega na Avenida Central, 456 fundos", "address", "Avenida Central, 456"), ("nasc. 31/12/1999", "birthdate", "31/12/1999"),
+    ("badge KQ4455 lost", "x:badge", "KQ4455"), ("release of Project Heron slips", "t:project", "Project Heron"), ("ela é budista", "sensitive", "budista"), ("diagnóstico: E11.9", "sensitive", "E11.9"), ("filiada ao PSB", "sensitive", "PSB"),
+    ("the password is tr0ub4dor&3", "secret", "tr0ub4dor&3"), ("APP_PASSWORD=hunter2!x", "secret", "hunter2!x"), ("redis://svc:p4ssw0rd@cache-1/0", "secret", "p4ssw0rd"), ("to DE89 3704 0044 0532 0130 00 today", "iban", "DE89 3704 0044 0532 0130 00"),
+    ("parcel BR271828189PT left", "tracking", "BR271828189PT"), ("cvc 907", "secret", "907"), ("if de:ad:be:ef:00:01 joins", "mac", "de:ad:be:ef:00:01"),
 ]
 CLEAN = [
-    "versão 2.1.280, porta 8080 em 127.0.0.1, dns 8.8.8.8", "oid 1.3.6.1.4.1.311 e build 10.0.19045.1", "run_id 123e4567-e89b-42d3-a456-426614174000 terminou", "o cargo de gerente e o rg da tabela", "contato pelo fulano@example.com",
-    "commit 9f8e7d6c5b4a39281706f5e4d3c2b1a0 em 2026-10-02", "a Rua do Comércio é longa", "timestamp 1727894400123 e pedido 98765432109", "p.abc12345@dxyz9.invalid já mascarado", "IP falso 240.1.2.3 já mascarado", "evento (1727894400 epoch) registrado",
-    "exception no concept 20261003-153000-1abc do receptor", "CEP de teste: 20261003", "", None,
+    "release 3.14.159 listens on 8443 at 127.0.0.1, resolver 1.1.1.1", "oid 1.2.840.113549.1.1.11 of a certificate", "trace 0f8fad5b-d9cb-469f-a165-70867728950e finished", "ask the rg column owner", "mail nobody@example.org",
+    "revision 0123456789abcdef0123456789abcdef on 2025-11-30", "Avenida Central is closed", "epoch 1700000000123 for order 12345678901", "p.zzzzzzzz@dabcd.invalid is masked", "240.7.8.9 is masked", "done (1700000000 epoch)",
+    "receptor accepts 20251130-101500", "cep of the sample: 20251130", "", None,
 ]
 
 

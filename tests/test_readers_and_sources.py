@@ -13,11 +13,10 @@ from cloakstone.sources import chats
 from cloakstone.streaming.unmask import Chunks, unmask_stream, windowed_audit
 
 NOTHING = [
-    "select the best option from the list below", "Please update the readme and set the version", "from collections import defaultdict\nwith open(arq) as f:\n    dados = f.read()", "use the SQL editor to create tables",
-    "user = request.user\ndb = get_db()", "a=1;b=2;c=3", "host=localhost user=root", "for (i=0; i<n; i++) { x=y; }", "nome,idade,cidade\nAna,30,BH\n", "| Option | Description |\n|---|---|\n| a | b |\n",
-    "host: localhost\nport: 5432\nuser: root\nenabled: true\n", "host: ${DB_HOST}\nuser: {{ .Values.user }}\ndb: $DATABASE\n", "host: api.github.com\nendpoint: https://example.com/x\n", "user_count: 10\nhost_port: 8080\n",
-    "    user = models.ForeignKey(User)\n    host = self.host\n", "conn = connect(host=db_host, user=user_name)\n", "def f(host: str, user: str = None):\n", "veja https://github.com/golang/go/issues/123", "http://localhost:8080/ e http://127.0.0.1:9000",
-    "/home/runner/work/x e /home/user/.config e /Users/Shared/x", "the module system is described below\n", "SELECT schemaname, tablename FROM pg_tables", "delete from the list the items you do not need",
+    "please select one item of the menu", "update your notes and set an alarm", "from dataclasses import dataclass\nwith open(path) as f:\n    rows = f.read()", "use the query editor when you create tables", "user = current_user()\ndb = open_db()",
+    "p=1;q=2;r=3", "host=localhost user=admin", "for (k=0; k<m; k++) { u=v; }", "title,year,city\nDune,1965,Rome\n", "| Flag | Meaning |\n|---|---|\n| v | verbose |\n", "host: localhost\nport: 80\nuser: guest\ndebug: false\n",
+    "host: ${HOST}\nuser: {{ .Values.owner }}\n", "host: api.openai.com\nendpoint: https://example.org/v1\n", "user_limit: 12\nserver_port: 9090\n", "    user = models.CharField(max_length=3)\n    host = this.host\n", "c = open_conn(host=the_host, user=the_user)\n",
+    "def g(host: str, db: str = None):\n", "see https://github.com/python/cpython/pull/1", "http://localhost:3000/ and http://127.0.0.1", "/home/runner/a and /home/user/.cache", "a module of this kind is rare\n", "SELECT tablename FROM pg_tables", "delete the rows you do not need from the list",
 ]
 
 
