@@ -7,7 +7,7 @@ The machine is the composition of
 * the merge order: states are the piece last emitted, and the arc from piece a to piece b weighs 0 if a|b is stable, that is if merging
   the characters of ab in order of score leaves exactly a, b; else infinity.
 A segmentation whose neighbours are all stable is the one that merging yields, so the path of finite weight is the model's encoding; the
-shortest path through the lattice of an input is found forward, position by position.
+shortest path through the lattice of an input is found depth first.
 
 Stability comes from the merge trees: going back in time along the right edge of a's tree and the left edge of b's, no pair that ever faced
 each other across the border may be a piece of better score than the merge that ended it. Pieces whose trees aren't ordered by score (the
@@ -23,6 +23,8 @@ become U+FFFD, as in the library."""
 from __future__ import annotations
 
 import heapq
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,8 +36,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from . import common as C
 from .token_counts import SPACE, pre_tokens, splits_at_spaces
 
-TABLE = 300_000
-PAIRS = 400_000
+TABLE = 250_000
+PAIRS = 250_000
 INF = float("inf")
 
 
@@ -58,7 +60,15 @@ class Transducer:
         for i, p in enumerate(m.pieces):
             if p.type in (2, 3):
                 self.output[i] = b" \xe2\x81\x87 " if p.type == 2 else b""
-        self.prefixes = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
+        # the pieces as a trie: character -> (piece that ends there or -1, next characters)
+        self.root: dict[str, list] = {}
+        self.longest = max(map(len, self.ids))
+        for p, i in self.ids.items():
+            children = self.root
+            for c in p:
+                node = children.setdefault(c, [-1, {}])
+                children = node[1]
+            node[0] = i
         if any(len(c) > 1 and x not in self.ids for c in self.ids for x in c):
             raise ValueError("a piece has a character that is no piece")
         order = {s: i for i, s in enumerate(sorted({self.score[i] for i in self.ids.values()}, reverse=True))}
@@ -142,47 +152,75 @@ class Transducer:
         return 0.0 if known else INF
 
     def shortest(self, text: str) -> list[int]:
-        """Ids along the shortest path of the composition with one pre-token (already normalised)."""
-        n, ids, prefixes, weight = len(text), self.ids, self.prefixes, self.weight
-        # at each position: last piece -> (weight, pieces so far, position and piece before)
-        states: list[dict[int, tuple[float, int, int, int]]] = [{} for _ in range(n + 1)]
-        states[0][-1] = (0.0, 0, -1, -1)
-        for i in range(n):
-            here = states[i]
-            if not here:
-                continue
-            if text[i] not in ids:  # byte fallback, a border to both sides
-                a, (w, k, _, _) = min(here.items(), key=lambda x: x[1])
-                states[i + 1][-2] = (w, k + 1, i, a)
-                continue
-            for j in range(i + 1, n + 1):
-                s = text[i:j]
-                if s not in prefixes:
+        """Ids along the shortest path of the composition with one pre-token (already normalised).
+
+        Arcs weigh 0 or infinity, so the first path of finite arcs that reaches the end is a shortest one: the lattice is searched depth first,
+        longest arcs first, and a state (position, piece) that has failed isn't entered again."""
+        n, root, pairs = len(text), self.root, self.pairs
+        failed: set[tuple[int, int]] = set()
+        path: list[tuple[int, int]] = []
+        waiting: list[list[tuple[int, int]]] = []  # arcs not tried yet, of each state on the path
+        i, a = 0, -1
+        while i < n:
+            # the arcs from here: a piece for each piece that begins here, the longest last; or byte fallback
+            arcs = []
+            children, j = root, i
+            for c in text[i : i + self.longest]:
+                node = children.get(c)
+                if node is None:
                     break
-                b = ids.get(s)
-                if b is None:
+                j += 1
+                if node[0] >= 0:
+                    arcs.append((j, node[0]))
+                children = node[1]
+            if not arcs:
+                arcs.append((i + 1, -2))
+            while True:
+                while arcs:
+                    state = arcs.pop()
+                    b = state[1]
+                    if a < 0 or b < 0:
+                        stable = b < 0 or b in self.plain
+                    else:
+                        stable = pairs.get(a << 16 | b)
+                        if stable is None:
+                            stable = self.weight(a, b) == 0.0
+                    if stable and not (failed and state in failed):
+                        break
+                else:
+                    if not path:  # no finite path: merge instead (not met in any test)
+                        return self.merged(text)[0]
+                    failed.add(path.pop())
+                    arcs = waiting.pop()
+                    a = path[-1][1] if path else -1
                     continue
-                for a, (w, k, _, _) in here.items():
-                    if (more := w + weight(a, b)) < INF:
-                        old = states[j].get(b)
-                        if old is None or (more, k + 1) < old[:2]:
-                            states[j][b] = (more, k + 1, i, a)
-        if not states[n]:  # no finite path: merge instead (not met in any test)
-            return self.merged(text)[0]
-        at, piece = n, min(states[n].items(), key=lambda x: x[1])[0]
+                break
+            path.append(state)
+            waiting.append(arcs)
+            i, a = state
+        if not any(b < 0 for _, b in path):
+            return [b for _, b in path]
         out: list[int] = []
-        while at > 0:
-            _, _, before, a = states[at][piece]
-            out += [self.bytes[x] for x in reversed(text[before].encode())] if piece == -2 else [piece]
-            at, piece = before, a
-        return out[::-1]
+        before = 0
+        for at, b in path:
+            if b < 0:
+                out += [self.bytes[x] for x in text[before].encode()]
+            else:
+                out.append(b)
+            before = at
+        return out
 
     def _packed(self, token: str) -> bytes:
         got = self.table.get(token)
         if got is None:
+            if "\n" in token and "\n" not in self.ids and len(token) > 1:
+                # a fallback character is a border to both sides
+                got = b"".join(self._packed(x) for x in re.split("(\n)", token) if x)
+            else:
+                got = array("i", self.shortest(token.replace(" ", SPACE))).tobytes()
             if len(self.table) >= TABLE:
                 self.table.clear()
-            got = self.table[token] = np.array(self.shortest(token.replace(" ", SPACE)), np.int32).tobytes()
+            self.table[token] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:
