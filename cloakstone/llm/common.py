@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,8 +60,22 @@ def buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system: a worker lives on between tasks, and the arrays of one stage shouldn't weigh on the next."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], col: str = "text", limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into pieces of at most limit bytes of text, or one longer document."""
+    yield from _cut(batches, col, limit)
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
+def _cut(batches: Iterator[pa.RecordBatch], col: str, limit: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
