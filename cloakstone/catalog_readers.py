@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from . import catalog
 from .catalog import query, table
 from .operators import conversation, mask
-from .readers.stage import read_names
+from .readers.fields import crc16
+from .readers.stage import read_names, register
 from .sources import chats, sinks
 from .sources.tables import written
 
@@ -48,9 +49,14 @@ CASES: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "field": ('{"NOM_CLIENTE": "Maria Lopes", "matricula": "M{k}99"}', [("name", "Maria Lopes"), ("user", "M{k}99")]),
     "insert": ("INSERT INTO t (nome_cliente, matricula) VALUES ('Ana Lima', 'M{k}99')", [("name", "Ana Lima"), ("user", "M{k}99")]),
     "xml-field": ("<matricula>M{k}99</matricula>", [("user", "M{k}99")]),
+    "pix-code": ("pague 00020126360014br.gov.bcb.pix0114+55119999900005204000053039865802BR5904Loja6005Praia62070503***6304{crc} hoje", [("pix", "00020126360014br.gov.bcb.pix0114+55119999900005204000053039865802BR5904Loja6005Praia62070503***6304{crc}")]),
     "delimited": ("nome,matricula\nAna Lima,M{k}99\n", [("name", "Ana Lima"), ("user", "M{k}99")]),
 }
 
+_CODE = CASES["pix-code"][1][0][1]
+_SUM = f"{crc16(_CODE.replace('{crc}', '')):04X}"
+CASES["pix-code"] = (CASES["pix-code"][0].replace("{crc}", _SUM), [("pix", _CODE.replace("{crc}", _SUM))])
+
 
 def _literal(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -197,3 +203,18 @@ def call_hints(spark, sf_dir):
     """Names in a tool's output, typed by the command that printed them."""
     rows, _ = chats.flatten(table(spark, sf_dir, "customer").select("c_custkey", F.lit(REQUEST).alias("body")), "c_custkey")
     return conversation.hinted_names(conversation.calls_and_results(rows, "c_custkey"), "c_custkey").select("c_custkey", "entity", "name")
+
+
+@query("SELECT c_custkey, 'obj.queue' AS type, 'fila-' || c_custkey AS real FROM customer")
+def sensitive_udtf(spark, sf_dir):
+    """Readers as a table function of SQL."""
+    register(spark)
+    rows_of(spark, sf_dir, "queue: fila-{k}\n").createOrReplaceTempView("cloakstone_rows")
+    return spark.sql("SELECT c_custkey, f.type, f.real FROM cloakstone_rows, LATERAL find_sensitive(text) f")
+
+
+@query("SELECT c_custkey, 'obj.server' AS type, 'db-x-' || c_custkey || '.interno' AS real, 14 AS start FROM customer")
+def read_through_transport(spark, sf_dir):
+    """Names behind line numbers and terminal colours, at their places in the source."""
+    found = read_names(rows_of(spark, sf_dir, "1\tport: 9\n2\thost: \x1b[1mdb-x-{k}.interno\x1b[0m\n"), readers=("key-value",))
+    return found.select("c_custkey", F.inline("names")).select("c_custkey", "type", "real", (F.col("start") - 8).alias("start"))

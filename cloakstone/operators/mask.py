@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -125,7 +127,29 @@ def _replace(text: str, pairs: dict[str, str]) -> str:
     return "".join([*out, text[last:]])
 
 
-def unmask(df: DataFrame, reverse: DataFrame, scope: str, text: str = "text") -> DataFrame:
+_FAKE = re.compile(r"(?<![0-9.])(24[0-9]|25[0-5])\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})(?![0-9.])")
+
+
+def _networks(pairs: dict[str, str]) -> dict[str, str]:
+    """Fake /24 -> real /24 of the addresses in a mapping; one that stands for two is left out."""
+    out: dict[str, str | None] = {}
+    for pseudo, real in pairs.items():
+        if _FAKE.fullmatch(pseudo) and re.fullmatch(r"[0-9.]+", real):
+            a, b = pseudo.rsplit(".", 1)[0], real.rsplit(".", 1)[0]
+            out[a] = b if out.get(a, b) == b else None
+    return {a: b for a, b in out.items() if b}
+
+
+def restore(text: str, pairs: dict[str, str], in_json: bool = False) -> str:
+    """A text with its pseudonyms put back, also other addresses of a known fake network. in_json: real values are escaped to fit in a JSON string."""
+    networks = _networks(pairs)
+    if in_json:
+        pairs = {p: json.dumps(r, ensure_ascii=False)[1:-1] for p, r in pairs.items()}
+    out = _replace(text, pairs)
+    return _FAKE.sub(lambda m: f"{networks[m[0].rsplit('.', 1)[0]]}.{m[4]}" if m[0].rsplit(".", 1)[0] in networks else m[0], out) if networks else out
+
+
+def unmask(df: DataFrame, reverse: DataFrame, scope: str, text: str = "text", in_json: bool = False) -> DataFrame:
     """df with pseudonyms of its scope (a document, a conversation) put back. The scope's table comes to its rows by a join, as one map a scope,
     so nothing is broadcast or collected; a scope is what one reader sees."""
     maps = reverse.groupBy(scope).agg(F.map_from_entries(F.collect_list(F.struct("pseudo", "real"))).alias("_map"))
@@ -134,7 +158,7 @@ def unmask(df: DataFrame, reverse: DataFrame, scope: str, text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(text)
-            new = [x if x is None or not m else _replace(x, dict(m)) for x, m in zip(b.column(at).to_pylist(), b.column(b.schema.get_field_index("_map")).to_pylist(), strict=True)]
+            new = [x if x is None or not m else restore(x, dict(m), in_json) for x, m in zip(b.column(at).to_pylist(), b.column(b.schema.get_field_index("_map")).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns) if b.schema.names[i] != "_map"], [n for n in b.schema.names if n != "_map"])
 
     return joined.mapInArrow(run, joined.drop("_map").schema)

@@ -18,6 +18,7 @@ class Config:
     objects: bool = True
     extra_patterns: tuple[tuple[str, str], ...] = ()  # (label, regular expression)
     terms: tuple[tuple[str, str], ...] = ()  # (label, value)
+    own_key: str = ""  # the key's text form: wherever it stands, it is a secret
     validity_days: int = 90
     no_unmask_tools: tuple[str, ...] = ("WebFetch", "WebSearch", "mcp__")
 

@@ -119,3 +119,62 @@ def delimited(s: str) -> Iterator[Name]:
                 at += len(cell) + 1
             j += 1
         i = j
+
+
+def describe(text: str, most: int = 262_144) -> list[tuple[str, str]]:
+    """(field name, class) of a text's header line, or of its keys; '' where a name says nothing. The first 256 KB are read: a report on names."""
+    text = text[:most]
+    first = text.split("\n", 1)[0]
+    sep = next((x for x in "\t|;," if x in first), None)
+    names = [h.strip().strip("\"'`* ") for h in first.split(sep)] if sep and not re.search(r"[:=]\s", first) else [m[1] for m in re.finditer(r"[\"']?([A-Za-zÀ-ÿ_][\wÀ-ÿ.\-]{0,59})[\"']?[ \t]*[:=](?![=/])", text)]
+    return [(n, label_class(n)) for n in dict.fromkeys(names) if n]
+
+
+def crc16(data: str) -> int:
+    """CCITT, polynomial 0x1021 from 0xFFFF."""
+    crc = 0xFFFF
+    for c in data.encode("latin-1", "replace"):
+        crc ^= c << 8
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x1021 if crc & 0x8000 else crc << 1) & 0xFFFF
+    return crc
+
+
+@reader("pix-code")
+def pix_code(s: str) -> Iterator[Name]:
+    """A payment code: fields of id, length and value from 000201 to the checksum in field 63, with the network's name in one of 26 to 51."""
+    at = s.find("000201")
+    while at >= 0:
+        p, network, end = at, False, -1
+        while re.fullmatch(r"\d{4}", s[p : p + 4]):
+            kind, n = int(s[p : p + 2]), int(s[p + 2 : p + 4])
+            value = s[p + 4 : p + 4 + n]
+            if kind == 63:
+                if n == 4 and network and value.upper() == f"{crc16(s[at : p + 4]):04X}" and not s[p + 8 : p + 9].isalnum():
+                    end = p + 8
+                break
+            network |= 26 <= kind <= 51 and "br.gov.bcb.pix" in value.lower()
+            p += 4 + n
+        if end > 0:
+            yield Name(at, end, "=pix")
+        at = s.find("000201", end if end > 0 else at + 1)
+
+
+def recovery_phrase(s: str, words: list[str]) -> Iterator[Name]:
+    """12 to 24 words of a wallet's list (2048 words, given) whose checksum holds. Not registered: the list is a parameter."""
+    import hashlib
+
+    number = {w: i for i, w in enumerate(words)}
+    tokens = [(m.start(), m.end(), number.get(m[0].lower())) for m in re.finditer(r"[A-Za-z]+", s)]
+    i = 0
+    while i < len(tokens):
+        for n in (24, 21, 18, 15, 12):
+            part = [t[2] for t in tokens[i : i + n]]
+            if len(part) == n and None not in part:
+                bits = "".join(f"{x:011b}" for x in part)
+                data = int(bits[: n * 32 // 3], 2).to_bytes(n * 4 // 3, "big")
+                if f"{hashlib.sha256(data).digest()[0]:08b}"[: n // 3] == bits[n * 32 // 3 :]:
+                    yield Name(tokens[i][0], tokens[i + n - 1][1], "=secret")
+                    i += n - 1
+                    break
+        i += 1

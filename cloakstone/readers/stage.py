@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions import text as T
@@ -20,24 +21,61 @@ DEFAULT = tuple(base.REGISTRY)
 __all__ = ["DEFAULT", "data", "dev", "fields", "find_names", "ops", "read_names", "visible"]
 
 _ANSI = re.compile(r"\x1b\[[0-9;?]*[A-Za-z]|\x1b\][^\x07]{0,200}\x07|\r(?=\n)|\ufeff")
+#: What tools put in front of lines: numbers, file:line of a search, marks of a diff, quotes.
+_PREFIX = re.compile(r"[ \t]*\d{1,6}(?:\t|→|[ ]{2}|: |:)|[\w./\-]{3,200}:\d{1,6}:|[+\-](?![+\-])|> ?")
+_ESCAPE = re.compile(r"\\(?:u00[0-7][0-9a-fA-F]|[ntr\"\\/])")
+_PLAIN = {"n": "\n", "t": "\t", "r": "\r"}
 
+Places = list[int]
 
-def visible(text: str) -> tuple[str, list[int] | None]:
-    """The text without terminal escapes, and each character's place in the source (None: unchanged)."""
-    if not _ANSI.search(text):
-        return text, None
+
+def _kept(text: str, cuts: list[tuple[int, int, str]]) -> tuple[str, Places]:
+    """The text with spans replaced, and each new character's place in it (one more at the end)."""
     out, places, last = [], [], 0
-    for m in _ANSI.finditer(text):
-        out.append(text[last : m.start()])
-        places += range(last, m.start())
-        last = m.end()
+    for a, b, new in cuts:
+        out += (text[last:a], new)
+        places += [*range(last, a), *[a] * len(new)]
+        last = b
     return "".join([*out, text[last:]]), [*places, *range(last, len(text)), len(text)]
 
 
+def _unescaped(text: str) -> list[tuple[int, int, str]]:
+    """Escapes of a JSON string that holds lines of its own."""
+    if "\\n" not in text or text.count("\n") > text.count("\\n"):
+        return []
+    return [(m.start(), m.end(), _PLAIN.get(m[0][1], chr(int(m[0][2:], 16)) if m[0][1] == "u" else m[0][1])) for m in _ESCAPE.finditer(text)]
+
+
+def _prefixes(text: str) -> list[tuple[int, int, str]]:
+    """Line prefixes, if at least half of the lines that aren't blank have one (two lines or more)."""
+    lines = [m for m in re.finditer(r"[^\n]+", text) if m[0].strip()]
+    found = [(m.start(), p) for m in lines if (p := _PREFIX.match(m[0]))]
+    return [(a, a + p.end(), "") for a, p in found] if len(lines) >= 2 and 2 * len(found) >= len(lines) else []
+
+
+def visible(text: str) -> tuple[str, Places | None]:
+    """The text as its writer saw it: JSON escapes undone (up to three layers), terminal escapes and line prefixes gone; and each character's
+    place in the source (None: unchanged)."""
+    places: Places | None = None
+    steps = [_unescaped] * 3 + [lambda t: [(m.start(), m.end(), "") for m in _ANSI.finditer(t)], _prefixes]
+    for step in steps:
+        if cuts := step(text):
+            text, at = _kept(text, cuts)
+            places = at if places is None else [places[i] for i in at]
+    return text, places
+
+
 def find_names(text: str, readers: tuple[str, ...] = DEFAULT, objects: bool = True) -> list[tuple]:
     """(start, end, type, real, rule, strong) of each reader's names, without repeats; places are the source's."""
+    found: dict[tuple, tuple] = {}
     clean, places = visible(text)
-    found = {}
+    _read(text, clean, places, readers, objects, found)
+    if places:  # what a prefix or an escape was part of is read as well
+        _read(text, text, None, readers, objects, found)
+    return sorted(found.values())
+
+
+def _read(text: str, clean: str, places: Places | None, readers: tuple[str, ...], objects: bool, found: dict[tuple, tuple]) -> None:
     for a in range(0, max(1, len(clean)), PIECE):
         low, high = max(0, a - MARGIN), min(len(clean), a + PIECE + MARGIN)
         piece = clean[low:high] if high - low < len(clean) else clean
@@ -51,7 +89,6 @@ def find_names(text: str, readers: tuple[str, ...] = DEFAULT, objects: bool = Tr
                 kind = n.entity[1:] if n.entity[0] == "=" else "obj." + n.entity
                 if objects or kind[:4] != "obj.":
                     found.setdefault((start, end, kind), (start, end, kind, text[start:end], rule, n.strong))
-    return sorted(found.values())
 
 
 def read_names(df: DataFrame, text: str = "text", readers: tuple[str, ...] = DEFAULT, into: str = "names") -> DataFrame:
@@ -67,6 +104,19 @@ def read_names(df: DataFrame, text: str = "text", readers: tuple[str, ...] = DEF
     return df.mapInArrow(run, schema)
 
 
+class FindSensitive:
+    """SQL: SELECT t.*, f.* FROM t, LATERAL find_sensitive(t.text) f."""
+
+    def eval(self, text: str):
+        if text and len(text) >= 4:
+            yield from find_names(text)
+
+
+def register(spark) -> None:
+    """Makes find_sensitive(text) a table function of the session."""
+    spark.udtf.register("find_sensitive", udtf(FindSensitive, returnType=T.SPAN[7:-1].replace(":", " ").replace(",", ", "), useArrow=True))
+
+
 def with_names(df: DataFrame, text: str = "text", readers: tuple[str, ...] = DEFAULT) -> DataFrame:
     """df whose findings hold the readers' names too."""
     both = read_names(df, text, readers, "_names")

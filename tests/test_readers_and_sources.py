@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cloakstone.catalog_readers import CASES
 from cloakstone.operators import audit, conversation
-from cloakstone.operators.mask import _replace
-from cloakstone.readers.stage import PIECE, find_names, read_names
+from cloakstone.operators.mask import _replace, restore
+from cloakstone.readers.fields import describe, recovery_phrase
+from cloakstone.readers.stage import PIECE, find_names, read_names, visible
 from cloakstone.sources import chats
 from cloakstone.streaming.unmask import Chunks, unmask_stream, windowed_audit
 
@@ -52,6 +53,30 @@ def test_long_lines_take_linear_time():
         assert time.process_time() - began < 12, unit
 
 
+def test_transport():
+    text = json.dumps({"t": 'a: 1\nqueue: fila-9\n# "x"\n'})
+    assert {(f[2], f[3], text[f[0] : f[1]]) for f in find_names(text, ("key-value",))} == {("obj.queue", "fila-9", "fila-9")}
+    text = "  1\ta: b\n  2\tbucket: bkt-77\n"
+    assert [(f[3], text[f[0] : f[1]]) for f in find_names(text, ("key-value",))] == [("bkt-77", "bkt-77")]
+    assert visible("plain\ntext") == ("plain\ntext", None)
+
+
+def test_codes_phrases_and_fields():
+    words = [f"w{chr(97 + i // 676 % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(2048)]
+    phrase = [words[0]] * 11
+    good = next(w for w in words if list(recovery_phrase(" ".join([*phrase, w]), words)))
+    text = "so: " + " ".join([*phrase, good]) + " end"
+    assert [(text[n.start : n.end].split()[-1], n.entity) for n in recovery_phrase(text, words)] == [(good, "=secret")]
+    assert sum(bool(list(recovery_phrase(" ".join([*phrase, w]), words))) for w in words[:256]) <= 32
+    assert describe("nome;cpf;status\n1;2;3") == [("nome", "name_loose"), ("cpf", "cpf"), ("status", "")]
+    assert describe('{"login": "x", "size": 3}') == [("login", "user"), ("size", "")]
+
+
+def test_restoring_in_json_and_in_known_networks():
+    pairs = {"T_a": 'q"r', "242.1.2.9": "10.5.6.9"}
+    assert restore('{"x": "T_a", "y": "242.1.2.77 241.1.2.3"}', pairs, in_json=True) == '{"x": "q\\"r", "y": "10.5.6.77 241.1.2.3"}'
+
+
 def test_stage(spark):
     df = spark.createDataFrame([(1, "queue: fila-9\n"), (2, None), (3, "x")], "id int, text string")
     assert {r.id: [(n.type, n.real) for n in r.names] for r in read_names(df).collect()} == {1: [("obj.queue", "fila-9")], 2: [], 3: []}
