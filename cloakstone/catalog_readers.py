@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import catalog
 from .catalog import query, table
-from .operators import conversation, mask
+from .operators import conversation, known, mask
 from .readers.fields import crc16
 from .readers.stage import read_names, register
 from .sources import chats, sinks
@@ -218,3 +218,42 @@ def read_through_transport(spark, sf_dir):
     """Names behind line numbers and terminal colours, at their places in the source."""
     found = read_names(rows_of(spark, sf_dir, "1\tport: 9\n2\thost: \x1b[1mdb-x-{k}.interno\x1b[0m\n"), readers=("key-value",))
     return found.select("c_custkey", F.inline("names")).select("c_custkey", "type", "real", (F.col("start") - 8).alias("start"))
+
+
+# --- people, mail, software, collisions, quarantine ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, 'ANA LIMA ' || chr((65 + c_custkey % 26)::INT) || 'X' AS candidate FROM customer")
+def people_match(spark, sf_dir):
+    """Registered names in texts, met by their hashes."""
+    people = spark.range(26).select(F.concat(F.lit("Ana Lima "), F.char(F.col("id") + 65), F.lit("x")).alias("name"), F.concat(F.lit("p"), "id", F.lit("@acme.dev")).alias("email"), F.concat(F.lit("C"), "id").alias("code"))
+    registry = known.import_people(people, catalog.TEST_KEY)
+    texts = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("fale com Ana Lima "), F.char(F.col("c_custkey") % 26 + 65), F.lit("x; ok")).alias("text"))
+    return known.find_people(texts, registry, catalog.TEST_KEY, "c_custkey").where(F.size(F.split("candidate", " ")) == 3).select("c_custkey", "candidate")
+
+
+@query(r"SELECT DISTINCT 'domain' AS type, regexp_extract(lower(m), '@([^@]*)$', 1) AS real FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+')) AS m FROM documents) WHERE regexp_extract(lower(m), '@([^@]*)$', 1) NOT LIKE '%.invalid'")
+def mail_domains(spark, sf_dir):
+    found = catalog.detect.exploded(catalog.detect.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), config=catalog.OPEN, only=("email",)), "doc_id")
+    return known.mail_names(found).where("type = 'domain'")
+
+
+@query("SELECT DISTINCT 'lib' || (c_custkey % 40) AS name, 'install' AS kind FROM customer WHERE c_custkey % 40 <> 7")
+def software_evidence(spark, sf_dir):
+    """Installed packages, but not the one that some text defines itself."""
+    texts = table(spark, sf_dir, "customer").select(F.concat(F.lit("pip install lib"), F.col("c_custkey") % 40, F.when(F.col("c_custkey") % 40 == 7, "\ndef lib7():\n").otherwise("\n")).alias("text"))
+    return known.software_proofs(texts).select("name", "kind")
+
+
+@query("SELECT 'P' || (o_orderkey % 100) AS pseudo, count(DISTINCT o_custkey % 3) AS n_values FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey % 3) > 1")
+def collided_pseudonyms(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select(F.concat(F.lit("P"), F.col("o_orderkey") % 100).alias("pseudo"), (F.col("o_custkey") % 3).cast("string").alias("real"), F.lit("secret").alias("type"))
+    return mask.collisions(t).select("pseudo", "n_values")
+
+
+@query("SELECT o_orderkey, 'edit script does not fit the text' AS reason FROM orders WHERE o_orderkey % 10 = 0")
+def quarantined_rows(spark, sf_dir):
+    """Rows whose edits don't fit their text are rejected, never passed on."""
+    e = F.struct(F.lit(1).alias("start"), F.when(F.col("o_orderkey") % 10 == 0, 99).otherwise(2).alias("end"), F.lit("t").alias("type"), F.lit("P").alias("pseudo"), F.lit("b").alias("real"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("abc").alias("text"), F.array(e).alias("edits"))
+    return mask.quarantined(rows.withColumn("text", mask.spliced(F.col("text"), F.col("edits"))), "o_orderkey")[1]

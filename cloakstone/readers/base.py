@@ -39,7 +39,7 @@ PUBLIC = set(
 )
 PUBLIC_DOMAINS = (
     "github.com gitlab.com bitbucket.org google.com googleapis.com microsoft.com amazonaws.com azure.com windows.net apache.org python.org golang.org go.dev npmjs.org npmjs.com pypi.org docker.io docker.com "
-    "quay.io ghcr.io gcr.io k8s.io kubernetes.io example.com example.org example.net mozilla.org w3.org wikipedia.org cloudflare.com openai.com anthropic.com stackoverflow.com medium.com"
+    "quay.io ghcr.io gcr.io k8s.io kubernetes.io example.com example.org example.net mozilla.org w3.org wikipedia.org cloudflare.com openai.com stackoverflow.com medium.com"
 ).split()
 _PLACEHOLDER = re.compile(r"[$<>{}%*()\[\]]|^\.+$|^-+$")
 _NUMBER = re.compile(r"^[0-9.,:\-/ ]+$")
