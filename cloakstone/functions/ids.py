@@ -4,6 +4,7 @@ The key's pads stand in the plan as literals; use the expressions with keys that
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -32,6 +33,11 @@ CASELESS = ("column", "database", "index", "procedure", "schema", "server", "tab
 NUMERIC = ("account", "card", "cep", "cnh", "cnpj", "cpf", "phone", "pis", "rg")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: in a lambda nothing else keeps a shared part from being worked out again at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 @dataclass(frozen=True)
 class Key:
     """A 32-byte key, and the host roles that a host's pseudonym keeps."""
@@ -52,8 +58,8 @@ class Key:
 
     def id(self, domain: Column | str, value: Column) -> Column:
         """Eight base-32 characters (40 bits)."""
-        v = F.conv(self.bits(domain, value, 5), 16, 10).cast("long")
-        return F.concat(*[F.substr(F.lit(ALPHABET), (F.shiftright(v, 35 - 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1)) for i in range(8)])
+        letter = lambda v, i: F.substr(F.lit(ALPHABET), (F.shiftright(v, 35 - 5 * i).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
+        return let(F.conv(self.bits(domain, value, 5), 16, 10).cast("long"), lambda v: F.concat(*[letter(v, i) for i in range(8)]))
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
@@ -91,23 +97,25 @@ def fake_ip(key: Key, real: Column) -> Column:
     sep = F.when(body.contains("-"), "-").otherwise(".")
     parts = F.split(F.translate(body, "-", "."), r"\.")
     octets = F.when(suffix != "", F.reverse(parts)).otherwise(parts)
-    h = key.bits("rede24", F.array_join(F.slice(octets, 1, 3), "."), 3)
-    byte = lambda i: F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("int")
-    fake = F.concat(F.array((F.lit(240) + byte(0).bitwiseAND(F.lit(15))).cast("string"), byte(1).cast("string"), byte(2).cast("string")), F.slice(octets, 4, 1))
-    shown = F.when(suffix != "", F.reverse(fake)).otherwise(fake)
-    return F.concat(F.when(sep == "-", F.array_join(shown, "-")).otherwise(F.array_join(shown, ".")), suffix)
+    byte = lambda h, i: F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("int")
+    network = let(key.bits("rede24", F.array_join(F.slice(octets, 1, 3), "."), 3), lambda h: F.array((F.lit(240) + byte(h, 0).bitwiseAND(F.lit(15))).cast("string"), byte(h, 1).cast("string"), byte(h, 2).cast("string")))
+    fake = F.concat(network, F.slice(octets, 4, 1))
+    return let(F.when(suffix != "", F.reverse(fake)).otherwise(fake), lambda shown: F.concat(F.when(sep == "-", F.array_join(shown, "-")).otherwise(F.array_join(shown, ".")), suffix))
 
 
 def object_pseudonym(key: Key, entity: Column, real: Column) -> Column:
     """Prefix and id; a mixed-case name flips letters of the id by an HMAC of its spelling, at least one."""
     prefix = F.coalesce(_lookup(PREFIXES, entity), F.lit("OBJ"))
-    ident = key.id("objeto", F.concat(hmac_domain(entity), F.lit("\0"), canonical_object(entity, real)))
-    flips = key.bits("caixa", real, 8)
+    value = F.concat(hmac_domain(entity), F.lit("\0"), canonical_object(entity, real))
+    return let(key.id("objeto", value), lambda ident: _object_shape(key, prefix, ident, real))
+
+
+def _object_shape(key: Key, prefix: Column, ident: Column, real: Column) -> Column:
     letter = lambda i: F.substr(ident, F.lit(i + 1), F.lit(1))
-    odd = lambda i: F.conv(F.substring(flips, 2 * i + 2, 1), 16, 10).cast("int").bitwiseAND(F.lit(1)) == 1
-    flipped = F.concat(*[F.when(odd(i), F.upper(letter(i))).otherwise(letter(i)) for i in range(8)])
+    odd = lambda flips, i: F.conv(F.substring(flips, 2 * i + 2, 1), 16, 10).cast("int").bitwiseAND(F.lit(1)) == 1
+    flipped = let(key.bits("caixa", real, 8), lambda flips: F.concat(*[F.when(odd(flips, i), F.upper(letter(i))).otherwise(letter(i)) for i in range(8)]))
     at_least = F.concat(F.regexp_extract(ident, "^([2-7]*)", 1), F.upper(F.regexp_extract(ident, "^[2-7]*([a-z]?)", 1)), F.regexp_extract(ident, "^[2-7]*[a-z]?(.*)$", 1))
-    mixed = F.concat(T.capitalised(prefix), F.lit("_"), F.when(flipped == ident, at_least).otherwise(flipped))
+    mixed = let(flipped, lambda f: F.concat(T.capitalised(prefix), F.lit("_"), F.when(f == ident, at_least).otherwise(f)))
     return F.when(F.lower(real) == real, F.concat(F.lower(prefix), F.lit("_"), ident)).when(F.upper(real) == real, F.concat(prefix, F.lit("_"), ident)).otherwise(mixed)
 
 
@@ -118,25 +126,23 @@ def _labelled(label: Column, ident: Column, real: Column) -> Column:
 
 def pseudonym(key: Key, kind: Column, real: Column, person: Column | None = None) -> Column:
     """The stable pseudonym of a value. person: the id of the registered person that the value names, if any."""
-    own = lambda c: c if person is None else F.coalesce(person, c)
     low = F.lower(real)
-    role = F.substring_index(low, ".", 1)
-    host_id = key.id("host", low)
-    name = own(key.id("nome", T.norm_name(real)))
-    case = T.letter_case(real)
-    by_name = key.id(hmac_domain(kind), T.norm_name(real))
-    label = F.upper(F.regexp_replace(kind, "^[xt]:", ""))
-    domain = F.substring(key.id("dominio", F.substring_index(low, "@", -1)), 1, 4)
-    numeric = F.when((kind == "cnpj") & valid_alpha_cnpj(real), by_name).otherwise(key.id(hmac_domain(kind), T.canonical_number(real)))
-    return (
-        F.when(kind.startswith("obj."), object_pseudonym(key, F.substr(kind, F.lit(5)), real))
-        .when(kind == "email", F.concat(F.lit("p."), own(key.id("email", low)), F.lit("@d"), domain, F.lit(".invalid")))
-        .when(kind == "name", F.when(case == "A", F.concat(F.lit("PERSON "), F.upper(name))).when(case == "a", F.concat(F.lit("person "), name)).otherwise(F.concat(F.lit("Person "), name)))
-        .when(kind == "domain", F.concat(F.lit("d"), domain, F.lit(".invalid")))
-        .when(kind == "ip", fake_ip(key, real))
-        .when(kind == "host", F.when(role.isin(*key.roles), F.concat(role, F.lit("-"), F.substring(host_id, 1, 4), F.lit(".invalid"))).otherwise(F.concat(F.lit("h"), host_id, F.lit(".invalid"))))
-        .when(kind == "secret", F.concat(F.lit("SECRET-"), key.id(hmac_domain(kind), real)))
-        .when(kind == "user", _labelled(F.lit("USER"), own(by_name), real))
-        .when(kind.isin(*NUMERIC), F.concat(F.upper(kind), F.lit("-"), numeric))
-        .otherwise(_labelled(label, by_name, real))
-    )
+    domain = F.when(kind == "email", "email").when(kind == "host", "host").otherwise(hmac_domain(kind))
+    value = F.when(kind.isin("email", "host", "domain"), low).when(kind == "secret", real).when(kind.isin(*NUMERIC) & ~((kind == "cnpj") & valid_alpha_cnpj(real)), T.canonical_number(real)).otherwise(T.norm_name(real))
+    ident = key.id(domain, value)
+    known = ident if person is None else F.when(kind.isin("email", "name", "user"), F.coalesce(person, ident)).otherwise(ident)
+    mail = F.substring(key.id("dominio", F.substring_index(low, "@", -1)), 1, 4)
+
+    def shape(i: Column) -> Column:
+        case, role = T.letter_case(real), F.substring_index(low, ".", 1)
+        return (
+            F.when(kind == "email", F.concat(F.lit("p."), i, F.lit("@d"), mail, F.lit(".invalid")))
+            .when(kind == "name", F.when(case == "A", F.concat(F.lit("PERSON "), F.upper(i))).when(case == "a", F.concat(F.lit("person "), i)).otherwise(F.concat(F.lit("Person "), i)))
+            .when(kind == "domain", F.concat(F.lit("d"), F.substring(i, 1, 4), F.lit(".invalid")))
+            .when(kind == "host", F.when(role.isin(*key.roles), F.concat(role, F.lit("-"), F.substring(i, 1, 4), F.lit(".invalid"))).otherwise(F.concat(F.lit("h"), i, F.lit(".invalid"))))
+            .when(kind == "secret", F.concat(F.lit("SECRET-"), i))
+            .when(kind.isin(*NUMERIC), F.concat(F.upper(kind), F.lit("-"), i))
+            .otherwise(_labelled(F.upper(F.regexp_replace(kind, "^[xt]:", "")), i, real))
+        )
+
+    return F.when(kind.startswith("obj."), object_pseudonym(key, F.substr(kind, F.lit(5)), real)).when(kind == "ip", fake_ip(key, real)).otherwise(let(known, shape))
