@@ -1,9 +1,10 @@
 r"""Secret scans with corpus-wide ownership frequency, in Spark expressions only.
 
 Base candidates are assignments to secret-like names, access-key ids and long hexadecimal runs; further candidates are provider-prefixed
-tokens, private-key headers and mixed-case tokens with digits. The hash of each candidate is counted over the whole corpus by distinct
-repositories (documents) and owners (sources): one that more than MAX_OWNERS owners carry is a widely copied example, any other is
-owner-specific and looks live. Base spans always stay; further spans stay only if they look live.
+tokens, private keys (header, body and footer) and mixed-case tokens with digits. The hash of each candidate is counted over the whole
+corpus by distinct repositories (documents) and owners (sources): one that more than MAX_OWNERS owners carry is a widely copied example,
+any other is owner-specific and looks live. A private key's hash is that of its body; a header without a body always looks live. Base
+spans always stay; further spans stay only if they look live. Candidates inside a private key are part of it.
 
 Positions come from splitting a text by a pattern: the piece and match lengths add up to code-point offsets. Counts are aggregated before
 each shuffle; a hash that a third of all rows hold is one row of the table of verdicts, which is written before the join so that
@@ -26,16 +27,34 @@ _NAME = r"(password|passwd|secret|token|api_?key)"
 ASSIGN = rf"""(?i){_NAME}["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # the maximal runs of 18 and more
 HEX = r"[0-9a-f]{16,}"
+#: A private key: header, body (group 2) and footer; a key without a footer ends with its last long base64 line, and its body may be empty.
+PEM = (
+    r"-----BEGIN ([A-Z ]{0,30})PRIVATE KEY-----((?:[^-]|-(?!----))*+(?=-----END \1PRIVATE KEY-----)|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{32,}+=*+)*+)"
+    r"(?:-----END \1PRIVATE KEY-----)?"
+)
 #: (kind, pattern), in the order of ties. Prefixes of public token formats.
 FURTHER = (
     ("provider", r"(?:gh[opsu]_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,})"),
-    ("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    ("private_key", PEM),
     ("opaque", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+"),
 )
 KINDS = ("assign", "access", "hex", *(k for k, _ in FURTHER))
+PRIVATE_KEY = KINDS.index("private_key")
+#: In place of a hash: a candidate without a value to compare, which no owner shares with another.
+NO_VALUE = ""
+
+
+def _hashed(v: Column) -> Column:
+    return F.sha2(v, 256)
+
+
+def _body_hash(v: Column) -> Column:
+    """Of a key's body without line breaks, plain or escaped: differently wrapped copies are equal."""
+    body = F.regexp_replace(v, r"\s|\\[nr]", "")
+    return F.when(body == "", F.lit(NO_VALUE)).otherwise(_hashed(body))
 
 
-def _spans(text: Column, kind: int, pattern: str, keep=None, group: int = 0) -> Column:
+def _spans(text: Column, kind: int, pattern: str, keep=None, group: int = 0, hashed=_hashed) -> Column:
     """array<struct<start, kind, end, hash>> of the pattern's matches whose group passes keep, leftmost and without overlap."""
     steps = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value")
@@ -46,7 +65,7 @@ def _spans(text: Column, kind: int, pattern: str, keep=None, group: int = 0) ->
         at = acc["pos"] + F.length(x["gap"])
         end = at + F.coalesce(F.length(x["match"]), F.lit(0))
         good = x["match"].isNotNull() & (keep(x["value"]) if keep else F.lit(True))
-        one = F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.sha2(x["value"], 256).alias("hash")))
+        one = F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), hashed(x["value"]).alias("hash")))
         return F.struct(end.alias("pos"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     found = F.aggregate(steps, start, step, lambda acc: acc["out"])
@@ -61,10 +80,13 @@ def scan(docs: DataFrame, owner: str = "source") -> DataFrame:
     """doc_id, text_hash, owner, base and further candidates of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(_spans(text, 0, ASSIGN, lambda v: F.length(v) >= 12, 2), _spans(text, 1, ACCESS), _spans(text, 2, HEX))
-    more = F.concat(*[_spans(text, 3 + i, p, _live_shape if k == "opaque" else None) for i, (k, p) in enumerate(FURTHER)])
+    options = {"private_key": {"group": 2, "hashed": _body_hash}, "opaque": {"keep": _live_shape}}
+    more = F.concat(*[_spans(text, 3 + i, p, **options.get(k, {})) for i, (k, p) in enumerate(FURTHER)])
     found = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.array_sort(base).alias("base"), more.alias("_more"))
-    apart = F.filter("_more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.withColumn("further", F.array_sort(apart)).drop("_more")
+    found = found.withColumn("_keys", F.filter("_more", lambda m: m["kind"] == PRIVATE_KEY))
+    meets = lambda spans, m: F.exists(spans, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    apart = F.filter("_more", lambda m: (m["kind"] == PRIVATE_KEY) | ~(meets("base", m) | meets("_keys", m)))  # a key stays whole, whatever its body looks like
+    return found.withColumn("further", F.array_sort(apart)).drop("_more", "_keys")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -82,7 +104,7 @@ def _text_of(spans: str) -> Column:
 
 def judged(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     """found (with a unique _id) and spans (base, and further ones that look live), n_live and n_copied candidates."""
-    verdicts = C.written(ownership(found), "ownership").select("hash", (F.col("owners") > max_owners).alias("copied"))
+    verdicts = C.written(ownership(found), "ownership").select("hash", ((F.col("owners") > max_owners) & (F.col("hash") != NO_VALUE)).alias("copied"))
     each = found.select("_id", F.explode(F.concat("base", "further")).alias("span")).select("_id", "span", F.col("span.hash").alias("hash"))
     seen = each.join(verdicts, "hash").groupBy("_id").agg(
         F.collect_list(F.when(~F.col("copied") & (F.col("span.kind") >= 3), F.col("span"))).alias("_live"),
