@@ -5,14 +5,15 @@ window of it is within k = floor(0.2 m) word edits of the item's m words.
 
 * Embedding: a CGK random walk from a window's first word writes STEPS symbols; at each step it writes the current word and moves on if a
   random bit of (step, word) is set. Edit distance becomes Hamming distance. The walk's first steps depend only on the first words, so
-  one walk from a start serves the windows of every item size that begin there.
+  one walk from a start serves the windows of every item size that begin there. A walk sees about SEEN words, so a longer item is embedded
+  from several offsets: edits that crowd in one part of a window leave other parts under the bound.
 * Bit sampling: WALKS walks, and in each TABLES tables for each class of item sizes, of KEY sampled steps within the class's size; equal
-  keys make (document, start, item) a candidate. With these numbers a window at the full k edits is found with a chance over 0.99
+  keys make (document, start less the offset, item) a candidate. With these numbers a window at the full k edits is found with a chance over 0.99
   (the tests measure it); an unchanged one always.
 * Verification: bit-parallel (Myers) search of the item in the region of its candidate starts gives the exact least edit distance.
 
 Which starts are embedded: k edits leave at least m - 2 - 3k of an item's three-word grams whole, so a window with fewer of the items' grams
-can't pass the verification; such starts are skipped. That loses nothing, and every hit still goes through embedding and tables. (An
+can't pass the verification; such starts are skipped, unless an offset of a longer item may fall on them. That loses nothing, and every hit still goes through embedding and tables. (An
 item too short for that bound makes all starts near any of its words count.)
 
 The items go to the workers in slices of at most SLICE_BYTES of text, each of which is broadcast and run over all documents.
@@ -36,6 +37,8 @@ from .textblock import ALPHANUMERIC, Words, mix
 U = np.uint64
 PERCENT = 20
 STEPS = 64
+#: Words that a walk of STEPS sees on average, and words from one offset of an item to the next.
+SEEN, STRIDE = STEPS // 2, STEPS // 4
 WALKS, TABLES, KEY = 8, 8, 3
 SLICE_BYTES = 4 << 20
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, similarity double, start_byte long, end_byte long"
@@ -62,6 +65,11 @@ def walk(tokens: np.ndarray, at: np.ndarray, end: np.ndarray, seed: int) -> np.n
     return out
 
 
+def offsets_of(m: int) -> list[int]:
+    """Where walks begin in an item of m words: every STRIDE words, and SEEN words before its end."""
+    return sorted({*range(0, m - SEEN, STRIDE), max(0, m - SEEN)})
+
+
 def _seed(walk_number: int) -> int:
     return (0x9E3779B97F4A7C15 * (walk_number + 1)) & 0xFFFFFFFFFFFFFFFF
 
@@ -80,21 +88,33 @@ class Index:
         whole = m - 2 - 3 * (m * PERCENT // 100)
         short = whole < 1
         grams, at = w.grams(3)
-        long_rows = np.zeros(len(w.counts), bool)
-        long_rows[keep[~short]] = True
-        self.grams = np.unique(grams[long_rows[w.doc[at]]])
+
+        def grams_of(some: np.ndarray) -> np.ndarray:
+            rows = np.zeros(len(w.counts), bool)
+            rows[keep[some]] = True
+            return np.unique(grams[rows[w.doc[at]]])
+
+        self.grams = grams_of(~short)
+        far = (m > SEEN) & ~short  # items with several offsets
+        self.far_grams, self.far_least = grams_of(far), int(whole[far].min(initial=1 << 30))
+        self.far = max((offsets_of(int(x))[-1] + edits(int(x)) for x in m[m > SEEN]), default=0)
         self.single = np.unique(np.concatenate([self.tokens[i] for i in np.flatnonzero(short)])) if short.any() else np.zeros(0, U)
         self.least = int(whole[~short].min(initial=1 << 30))
         self.reach = int(m.max(initial=0) + (m.max(initial=0) * PERCENT // 100))
-        self.classes = (np.log(np.maximum(m, 1)) / np.log(1.3)).astype(int)
+        parts = [(i, o) for i, x in enumerate(m.tolist()) for o in offsets_of(x)]
+        self.item_of = np.array([i for i, _ in parts], np.int64)
+        self.offset = np.array([o for _, o in parts], np.int64)
+        left = m[self.item_of] - self.offset
+        classes = (np.log(np.maximum(left, 1)) / np.log(1.3)).astype(int)
         self.tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         flat = np.concatenate(self.tokens) if len(m) else np.zeros(0, U)
         start = np.cumsum(m) - m
         for r in range(WALKS):
-            symbols = walk(flat, start, start + m, _seed(r))
-            for c in np.unique(self.classes):
-                of = np.flatnonzero(self.classes == c)
-                span = int(min(STEPS, max(KEY, m[of].min() * 3 // 2)))
+            begin = start[self.item_of] + self.offset
+            symbols = walk(flat, begin, begin + left, _seed(r))
+            for c in np.unique(classes):
+                of = np.flatnonzero(classes == c)
+                span = int(min(STEPS, max(KEY, left[of].min() * 3 // 2)))
                 rng = np.random.default_rng([r, int(c)])
                 for t in range(TABLES):
                     steps = np.sort(rng.choice(span, KEY, replace=False))
@@ -118,27 +138,34 @@ class Index:
     def starts(self, w: Words) -> np.ndarray:
         """Positions from which a window may pass the verification."""
         n = len(w)
-        hits = np.zeros(n + 1, np.int64)
-        if len(self.grams):
-            g, at = w.grams(3)
-            hits[1:][at[np.isin(g, self.grams)]] = 1
-        near = np.cumsum(hits)
+        g, at = w.grams(3)
         end = np.minimum(np.arange(n) + self.reach, w.first[w.doc + 1])
-        active = near[end] - near[:-1] >= self.least
+
+        def holds(grams: np.ndarray, least: int) -> np.ndarray:
+            hits = np.zeros(n + 1, np.int64)
+            if len(grams):
+                hits[1:][at[np.isin(g, grams)]] = 1
+            near = np.cumsum(hits)
+            return near[end] - near[:-1] >= least
+
+        active = holds(self.grams, self.least)
         if len(self.single):
             one = np.concatenate([[0], np.cumsum(np.isin(w.hashes, self.single))])
             active |= one[end] > one[:-1]
+        if self.far:
+            begun = np.concatenate([[0], np.cumsum(holds(self.far_grams, self.far_least))])
+            active |= begun[1:] > begun[np.maximum(np.arange(n) - self.far, w.first[w.doc])]
         return np.flatnonzero(active)
 
     def candidates(self, w: Words, step: int = 40_000) -> dict[tuple[int, int], list[int]]:
-        """(row, item) -> starts whose key equals the item's in some table."""
+        """(row, item) -> starts of windows of which some part's key equals the item's in some table."""
         starts = self.starts(w)
         found: dict[tuple[int, int], set[int]] = {}
         for i in range(0, len(starts), step):
             s = starts[i : i + step]
             for r in range(WALKS):
                 symbols = walk(w.hashes, s, w.first[w.doc[s] + 1], _seed(r))
-                for (r2, _, _), (steps, keys, items) in self.tables.items():
+                for (r2, _, _), (steps, keys, parts) in self.tables.items():
                     if r2 != r:
                         continue
                     k = self._key(symbols, steps)
@@ -147,7 +174,8 @@ class Index:
                     for x in hit.tolist():
                         j = int(lo[x])
                         while j < len(keys) and keys[j] == k[x]:
-                            found.setdefault((int(w.doc[s[x]]), int(items[j])), set()).add(int(s[x]))
+                            part = parts[j]
+                            found.setdefault((int(w.doc[s[x]]), int(self.item_of[part])), set()).add(int(s[x] - self.offset[part]))
                             j += 1
         return {k: sorted(v) for k, v in found.items()}
 

@@ -94,6 +94,25 @@ def test_planted_items_are_found_at_the_stated_recall(spark, sf_dir, share):
         assert distance == index.best(q, w.hashes.tolist())[0] <= decontaminate.edits(int(index.m[q]))
 
 
+@pytest.mark.parametrize("m", [80, 120, 200, 400])
+def test_long_items_are_found_with_all_edits_in_one_part(spark, m):
+    k = decontaminate.edits(m)
+    items = [[f"w{i}x{j}" for j in range(m)] for i in range(20)]
+    other = lambda i: [f"q{i}x{j}" for j in range(k)]
+    changed = (
+        lambda i, t: other(i) + t[k:],
+        lambda i, t: [x for p in zip(other(i), t[1 : 2 * k : 2], strict=True) for x in p] + t[2 * k :],
+        lambda i, t: t[k:],
+        lambda i, t: [x for p in zip(other(i), t, strict=False) for x in p] + t[k:],
+        lambda i, t: t[: m - k] + other(i),
+    )
+    texts = [(c * 100 + i, f"before {i} " * 30 + " ".join(f(i, t)) + f" after {i}" * 30) for c, f in enumerate(changed) for i, t in enumerate(items)]
+    rows = decontaminate.find(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()
+    hit = {(r.doc_id, r.item_id) for r in rows}
+    for c in range(len(changed)):
+        assert sum((c * 100 + i, i) in hit for i in range(20)) >= 19, c
+
+
 def test_edit_search_by_brute_force():
     rng = random.Random(8)
     for _ in range(300):
