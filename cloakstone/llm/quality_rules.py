@@ -1,10 +1,11 @@
 """Quality rules: importance of a document under hashed n-gram multinomials of a trusted target and of the raw corpus.
 
-Words and word pairs are hashed into BUCKETS cells. One pass counts the cells over all documents (raw) and over TRUSTED of the
-trusted ones (target: a bounded sample of labelled rows); both become smoothed multinomials, and log(target / raw) of a cell is its weight. A document's score is the mean
+Words and word pairs are hashed into BUCKETS cells. One pass counts the cells over all documents (raw) and over all trusted ones
+(target); both become smoothed multinomials, and log(target / raw) of a cell is its weight. A document's score is the mean
 weight over its n-grams (length-normalised), and it's kept when the score reaches THRESHOLD and the base rules hold. The threshold
 is fixed, so the same table always gives the same verdicts. The cell table has a fixed size (BUCKETS doubles, 512 KB) whatever
-the corpus, so it's broadcast.
+the corpus, so it's broadcast. The trusted ids are sorted files in the shared folder, dealt by a hash, which workers map and search: no text
+is shuffled to its label, and no id list is broadcast or collected.
 
 Defined results: a null or blank text has no words, score 0 and fails the base rule (n_words < 50). Repeated rows and repeated
 doc_ids each get their own row. A null doc_id is never trusted. Without trusted rows, all weights are 0. Labels may repeat: a
@@ -12,20 +13,22 @@ doc_id is trusted if any of its rows says so. Extra columns are ignored by score
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import common as C
+from . import hashstore
 from .textblock import Words
 
 BUCKETS = 1 << 16
-#: Trusted documents that the target is fitted on: those of the least hash, so the same ones each time. Their ids are broadcast (160 KB).
-TRUSTED = 20_000
+#: Files that the trusted ids are dealt to.
+FILES = 1024
 #: Mean log-ratio of an n-gram under which a document looks unlike the target.
 THRESHOLD = -0.09
 #: Count added to each cell of either multinomial.
@@ -45,23 +48,75 @@ def _cells(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(48)).astype(np.int64) % BUCKETS, np.concatenate([w.doc, w.doc[at]])
 
 
-def _count(known: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for b in C.text_blocks(batches):
-        cell, row = _cells(Words(*C.buffers(C.column(b, "text")), lower=False))
-        trusted = np.isin(C.column(b, "doc_id").to_numpy(zero_copy_only=False), known)
-        raw += np.bincount(cell, minlength=BUCKETS)
-        target += np.bincount(cell[trusted[row]], minlength=BUCKETS)
-    some = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["cell", "raw", "target"])
+def _file_of(doc_id: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(FILES)).cast("int").alias("file")
+
+
+def _store(uri: str):
+    """Writes the sorted ids of each file of a partition sorted by file; their numbers go to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            hashstore.save(uri, f"trusted-{now}", np.sort(np.concatenate(held)))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32())], ["file"])
+
+        for b in batches:
+            files, ids = C.column(b, "file").to_numpy(), C.column(b, "doc_id").to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(files)) + 1).tolist(), len(files)]
+            for x, y in zip(cut, cut[1:], strict=False):
+                if x < y and files[x] != now:
+                    if held:
+                        yield done()
+                    now, held = int(files[x]), []
+                held.append(ids[x:y])
+        if held:
+            yield done()
+
+    return run
+
+
+def stored(trusted: DataFrame) -> tuple[str, list[int]]:
+    """Folder and numbers of the files of all distinct trusted ids."""
+    spark = trusted.sparkSession
+    uri = f"{C.shared_dir(spark)}/trusted-{uuid.uuid4().hex}"
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().select("doc_id", _file_of())
+    rows = ids.repartition(C.partitions_for(spark), "file").sortWithinPartitions("file").mapInArrow(_store(uri), "file int").collect()  # FILES at most
+    return uri, [r.file for r in rows]
+
+
+def is_trusted(uri: str, files: set[int], b: pa.RecordBatch) -> np.ndarray:
+    """Of each row (doc_id, file), whether its id is in the files."""
+    there, ids = C.column(b, "doc_id").is_valid().to_numpy(zero_copy_only=False), C.column(b, "doc_id").fill_null(0).to_numpy()
+    order = np.argsort(of := C.column(b, "file").to_numpy(), kind="stable")
+    out = np.zeros(len(ids), bool)
+    for at in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+        if len(at) and int(of[at[0]]) in files:
+            known = hashstore.load(uri, f"trusted-{of[at[0]]}", np.int64)
+            out[at] = known[np.minimum(np.searchsorted(known, ids[at]), len(known) - 1)] == ids[at]
+    return out & there
+
+
+def _count(uri: str, files: set[int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        for b in C.text_blocks(batches):
+            cell, row = _cells(Words(*C.buffers(C.column(b, "text")), lower=False))
+            trusted = is_trusted(uri, files, b)
+            raw += np.bincount(cell, minlength=BUCKETS)
+            target += np.bincount(cell[trusted[row]], minlength=BUCKETS)
+        some = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["cell", "raw", "target"])
+
+    return run
 
 
 def weights(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """log(target / raw) of each cell. docs: doc_id, text; trusted: doc_id."""
-    ids = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in ids.collect()], np.int64)))  # at most TRUSTED longs
-    marked = docs.select("doc_id", C.text_bytes())
-    counted = marked.mapInArrow(lambda it: _count(known.value, it), "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    uri, files = stored(trusted)
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes()).select("doc_id", _file_of(), "text")
+    counted = marked.mapInArrow(_count(uri, set(files)), "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for cell, r, t in counted.collect():  # at most BUCKETS rows
         raw[cell], target[cell] = r, t

@@ -3,10 +3,14 @@ import math
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from cloakstone.llm import common as C
 from cloakstone.llm import queries, quality_rules, sharding, token_counts
+from cloakstone.llm.textblock import Words
 
 from .util import DOCS, awkward, clashing
 
@@ -41,6 +45,22 @@ def test_quality_weights_by_brute_force_and_junk_goes(spark, sf_dir):
     assert [base(texts[r.doc_id]) for r in rows] == [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows]
 
 
+def test_quality_target_counts_every_trusted_document(spark):
+    n, far = 45_000, 1 << 60
+    docs = spark.range(n).select((F.col("id") * 3 + far).alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 97, F.lit(" v"), F.col("id") % 89).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "null one"), (far, "again w0"), (far + 1, "near w0")], "doc_id long, text string"))
+    trusted = spark.range(n).where("id % 2 = 0").select((F.col("id") * 3 + far).alias("doc_id"))
+    trusted = trusted.unionByName(trusted.limit(50)).unionByName(spark.createDataFrame([(None,), (5,)], "doc_id long"))
+    rows = docs.collect()
+    known = {far + 3 * i for i in range(0, n, 2)}
+    data = [r.text.encode() for r in rows]
+    w = Words(*C.buffers(pa.array(data, pa.binary())), lower=False)
+    cell, row = quality_rules._cells(w)
+    good = np.array([r.doc_id in known for r in rows])
+    want = quality_rules.log_ratio(*(np.bincount(c, minlength=quality_rules.BUCKETS).astype(float) for c in (cell, cell[good[row]])))
+    assert np.array_equal(quality_rules.weights(docs, trusted), want)
+
+
 def test_quality_without_rows_labels_and_with_clashing_columns(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert quality_rules.score(spark.createDataFrame([], DOCS), none).count() == 0
