@@ -327,7 +327,7 @@ def known_value_join(spark, sf_dir):
 
 @query("SELECT 'u:' || l_shipmode AS key, count(DISTINCT rule) AS n_rules FROM (SELECT l_returnflag || l_linestatus AS l_shipmode, (l_quantity::INT % 3)::VARCHAR AS rule FROM lineitem WHERE l_orderkey % 2 = 0) GROUP BY 1 HAVING count(DISTINCT rule) >= 2")
 def two_rule_evidence(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0")
+    li = table(spark, sf_dir, "lineitem")
     found = li.select(F.lit("user").alias("type"), F.concat("l_returnflag", "l_linestatus").alias("real"), (F.col("l_quantity").cast("int") % 3).cast("string").alias("rule"), F.lit(False).alias("strong"))
     return known.two_rules(found)
 

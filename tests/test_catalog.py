@@ -37,3 +37,10 @@ def test_query_equals_sql(spark, con, sf_dir, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["doc_id", "text", "n_replacements"]
+
+
+def test_two_rule_evidence_of_odd_orders(spark, tmp_path):
+    rows = [(2, "A", "F", 1.0), (3, "A", "F", 2.0), (2, "N", "O", 1.0), (4, "N", "O", 4.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_returnflag string, l_linestatus string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = entry.queries()["two_rule_evidence"](spark, str(tmp_path)).collect()
+    assert [(r.key, r.n_rules) for r in got] == [("u:AF", 2)]
