@@ -250,6 +250,9 @@ _validator("validate_cnpj", 14, 104729, f"{Q.mod11(_W('v', _CNPJ[1:]))} = {Q.dig
 _validator("validate_pis", 11, 7907, f"{Q.mod11(_W('v', _PIS))} = {Q.digits_at('v', 10)}", V.valid_pis)
 _validator("validate_cns", 15, 15485863, f"{_W('v', list(range(15, 0, -1)))} % 11 = 0 AND ({Q.digits_at('v', 0)} IN (1, 2) OR {Q.digits_at('v', 0)} >= 7)", V.valid_cns)
 _validator("validate_renavam", 11, 7901, f"{_W('v', _PIS)} * 10 % 11 % 10 = {Q.digits_at('v', 10)}", V.valid_renavam)
+_CNH_A, _CNH_B = (f"({_W('v', w)} % 11)" for w in (list(range(9, 0, -1)), list(range(1, 10))))
+_CNH_SECOND = f"(({_CNH_B} - CASE WHEN {_CNH_A} = 10 THEN 2 ELSE 0 END + 11) % 11)"
+_validator("validate_cnh", 11, 7919, f"{_CNH_A} % 10 = {Q.digits_at('v', 9)} AND {_CNH_SECOND} % 10 = {Q.digits_at('v', 10)}", V.valid_cnh)
 _validator(
     "validate_luhn", 16, 982451653,
     "(" + " + ".join(f"(CASE WHEN {2 if i % 2 == 0 else 1} * {Q.digits_at('v', i)} > 9 THEN {2 if i % 2 == 0 else 1} * {Q.digits_at('v', i)} - 9 ELSE {2 if i % 2 == 0 else 1} * {Q.digits_at('v', i)} END)" for i in range(16)) + ") % 10 = 0",
