@@ -6,15 +6,16 @@ The machine is the composition of
   that emits its bytes' pieces;
 * the merge order: states are the piece last emitted, and the arc from piece a to piece b weighs 0 if a|b is stable, that is if merging
   the characters of ab in order of score leaves exactly a, b; else infinity.
-A segmentation whose neighbours are all stable is the one that merging yields, so the path of finite weight is the model's encoding; the
-shortest path through the lattice of an input is found depth first.
+Merging has one result for every prefix of a text, and prefixes of a result are results; so of the arcs that end at a position exactly one
+continues the path of finite weight to where it begins. The tropical shortest-distance sweep (positions in order, one state each) therefore needs
+no search: `paths` runs it over all positions of many pre-tokens at once, on arrays. A pre-token without a path of finite weight is an error.
 
 Stability comes from the merge trees: going back in time along the right edge of a's tree and the left edge of b's, no pair that ever faced
-each other across the border may be a piece of better score than the merge that ended it. Pieces whose trees aren't ordered by score (the
-runs of spaces, which tie) are settled by merging their characters.
+each other across the border may be a piece of better score than the merge that ended it. The trees of a few pieces aren't ordered by score (the
+runs of spaces, which tie): the weights of their arcs are taken from the definition above.
 
 No piece holds U+2581 after another character, so a pre-token (spaces, then non-spaces) is composed on its own, once for each distinct
-one that a worker meets (TABLE of them are kept; results do not depend on it). Texts are never cut and nothing is shuffled.
+one that a worker meets (two generations of TABLE of them are kept; results do not depend on it). Texts are never cut and nothing is shuffled.
 
 Defined results: null and empty texts have no ids and decode to the empty string; strings like "<s>" are ordinary characters; U+2581 in a
 text decodes as a space; repeated rows repeat; an empty table gives no rows; other columns are ignored. Bytes that aren't UTF-8 when decoded
@@ -23,8 +24,7 @@ become U+FFFD, as in the library."""
 from __future__ import annotations
 
 import heapq
-import re
-from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,7 +37,12 @@ from . import common as C
 from .token_counts import SPACE, pre_tokens, splits_at_spaces
 
 TABLE = 250_000
-PAIRS = 250_000
+#: Slots of the table of pairs' weights; a pair that finds its slot taken is weighed anew.
+PAIRS = 1 << 19
+#: Pre-tokens that are swept at once, and characters of one that is swept on its own.
+SWEEP, LONG = 1 << 15, 64
+#: Letters that have a column each in the table of steps; steps by others are searched.
+COMMON = 128
 INF = float("inf")
 
 
@@ -60,15 +65,6 @@ class Transducer:
         for i, p in enumerate(m.pieces):
             if p.type in (2, 3):
                 self.output[i] = b" \xe2\x81\x87 " if p.type == 2 else b""
-        # the pieces as a trie: character -> (piece that ends there or -1, next characters)
-        self.root: dict[str, list] = {}
-        self.longest = max(map(len, self.ids))
-        for p, i in self.ids.items():
-            children = self.root
-            for c in p:
-                node = children.setdefault(c, [-1, {}])
-                children = node[1]
-            node[0] = i
         if any(len(c) > 1 and x not in self.ids for c in self.ids for x in c):
             raise ValueError("a piece has a character that is no piece")
         order = {s: i for i, s in enumerate(sorted({self.score[i] for i in self.ids.values()}, reverse=True))}
@@ -78,8 +74,47 @@ class Transducer:
         self.plain: dict[int, bool] = {}  # trees ordered by score; pieces that merging can't yield are left out
         for p, i in sorted(self.ids.items(), key=lambda x: len(x[0])):
             self._tree(p, i)
-        self.pairs: dict[int, bool] = {}
+        self._arrays()
         self.table: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _arrays(self) -> None:
+        """The machine as arrays: the pieces' trie, the merge trees, and the weights of pairs met so far."""
+        of_letter = Counter(c for p in self.ids for c in p)
+        letters = sorted(of_letter, key=lambda c: (-of_letter[c], c))
+        self.letter = np.full(0x110000, -1, np.int32)  # of each code point; -1: byte fallback
+        self.letter[[ord(c) for c in letters]] = np.arange(len(letters))
+        number = {c: i for i, c in enumerate(letters)}
+        # (node, letter) -> node; 0 is the root, and nodes that are left by some letter have the first numbers
+        inner = {p[:k]: None for p in self.ids for k in range(len(p))}
+        node = {p: i for i, p in enumerate([*inner, *(p for p in self.ids if p not in inner)])}
+        nodes = {(node[p[:-1]], number[p[-1]]): i for p, i in node.items() if p}
+        ends = {node[p]: i for p, i in self.ids.items()}
+        self.n_letters, self.longest = len(letters), max(map(len, self.ids))
+        steps = np.array([(a * len(letters) + c, b) for (a, c), b in nodes.items()], np.int64)
+        steps = steps[np.argsort(steps[:, 0])]
+        self.arc, self.target = np.ascontiguousarray(steps[:, 0]), np.ascontiguousarray(steps[:, 1])
+        self.n_inner, self.step = len(inner), np.full((len(inner), COMMON), -1, np.int32)
+        common = self.arc % len(letters) < COMMON
+        self.step[self.arc[common] // len(letters), self.arc[common] % len(letters)] = self.target[common]
+        self.step = self.step.ravel()
+        self.first = np.full(len(letters), -1, np.int32)
+        self.first[self.arc[self.arc < len(letters)]] = self.target[self.arc < len(letters)]
+        self.piece_at = np.array([ends.get(i, -1) for i in range(len(nodes) + 1)], np.int32)
+        v = len(self.text)
+        self.lefts, self.rights, self.ranks, self.plains = np.full(v, -1, np.int64), np.full(v, -1, np.int64), np.full(v, -1, np.int64), np.zeros(v, bool)
+        for into, of in ((self.lefts, self.left), (self.rights, self.right), (self.ranks, self.rank), (self.plains, self.plain)):
+            into[list(of)] = list(of.values())
+        self.possible = np.zeros(v, bool)
+        self.possible[list(self.plain)] = True
+        # two pieces whose concatenation is a piece
+        joins = np.array(sorted((self.ids[p[:k]] * v + self.ids[p[k:]], self.rank[i]) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids), np.int64).reshape(-1, 2)
+        self.joined, self.joined_rank = np.ascontiguousarray(joins[:, 0]), np.ascontiguousarray(joins[:, 1])
+        self.pair, self.pair_stable = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
+        self.byte_ids = np.array([self.bytes[i] for i in range(256)], np.int32)
+        self.out_size = np.array([len(x) for x in self.output], np.int64)
+        self.out_start = np.cumsum(self.out_size) - self.out_size
+        self.out_bytes = np.frombuffer(b"".join(self.output), np.uint8)
 
     def _tree(self, piece: str, i: int) -> None:
         if len(piece) == 1:
@@ -124,110 +159,152 @@ class Transducer:
                 out += [self.ids[s]] if s in self.ids else [self.bytes[x] for x in s.encode()]
         return out, last
 
-    def _stable(self, a: int, b: int) -> bool:
-        if not (self.plain.get(a) and self.plain.get(b)):
-            return a in self.plain and b in self.plain and self.merged(self.text[a] + self.text[b])[0] == [a, b]
-        rank, limit = self.rank, INF
-        while True:
-            c = self.ids.get(self.text[a] + self.text[b])
-            if c is not None and rank[c] < limit:
-                return False
-            if rank[a] < 0 and rank[b] < 0:
-                return True
-            if rank[a] > rank[b]:
-                limit, a = rank[a], self.right[a]
-            else:
-                limit, b = rank[b] + 1, self.left[b]
-
-    def weight(self, a: int, b: int) -> float:
-        """Of the arc from piece a to piece b; a < 0: the start, or after a fallback character."""
-        if a < 0:
-            return 0.0 if b in self.plain else INF
-        key = a << 16 | b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._stable(a, b)
-        return 0.0 if known else INF
-
-    def shortest(self, text: str) -> list[int]:
-        """Ids along the shortest path of the composition with one pre-token (already normalised).
-
-        Arcs weigh 0 or infinity, so the first path of finite arcs that reaches the end is a shortest one: the lattice is searched depth first,
-        longest arcs first, and a state (position, piece) that has failed isn't entered again."""
-        n, root, pairs = len(text), self.root, self.pairs
-        failed: set[tuple[int, int]] = set()
-        path: list[tuple[int, int]] = []
-        waiting: list[list[tuple[int, int]]] = []  # arcs not tried yet, of each state on the path
-        i, a = 0, -1
-        while i < n:
-            # the arcs from here: a piece for each piece that begins here, the longest last; or byte fallback
-            arcs = []
-            children, j = root, i
-            for c in text[i : i + self.longest]:
-                node = children.get(c)
-                if node is None:
-                    break
-                j += 1
-                if node[0] >= 0:
-                    arcs.append((j, node[0]))
-                children = node[1]
-            if not arcs:
-                arcs.append((i + 1, -2))
-            while True:
-                while arcs:
-                    state = arcs.pop()
-                    b = state[1]
-                    if a < 0 or b < 0:
-                        stable = b < 0 or b in self.plain
-                    else:
-                        stable = pairs.get(a << 16 | b)
-                        if stable is None:
-                            stable = self.weight(a, b) == 0.0
-                    if stable and not (failed and state in failed):
-                        break
-                else:
-                    if not path:  # no finite path: merge instead (not met in any test)
-                        return self.merged(text)[0]
-                    failed.add(path.pop())
-                    arcs = waiting.pop()
-                    a = path[-1][1] if path else -1
-                    continue
-                break
-            path.append(state)
-            waiting.append(arcs)
-            i, a = state
-        if not any(b < 0 for _, b in path):
-            return [b for _, b in path]
-        out: list[int] = []
-        before = 0
-        for at, b in path:
-            if b < 0:
-                out += [self.bytes[x] for x in text[before].encode()]
-            else:
-                out.append(b)
-            before = at
+    def stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the arcs from pieces a to pieces b weigh 0; distinct pairs."""
+        out = self.possible[a] & self.possible[b]
+        for i in np.flatnonzero(out & ~(self.plains[a] & self.plains[b])).tolist():
+            out[i] = self.merged(self.text[a[i]] + self.text[b[i]])[0] == [a[i], b[i]]
+        live = np.flatnonzero(out & self.plains[a] & self.plains[b])
+        a, b, limit = a[live].copy(), b[live].copy(), np.full(len(live), 1 << 60)
+        while len(live):
+            key = a * len(self.text) + b
+            at = np.minimum(np.searchsorted(self.joined, key), len(self.joined) - 1)
+            broken = (self.joined[at] == key) & (self.joined_rank[at] < limit)
+            out[live[broken]] = False
+            ra, rb = self.ranks[a], self.ranks[b]
+            go = np.flatnonzero(~broken & ((ra >= 0) | (rb >= 0)))
+            live, a, b, ra, rb = live[go], a[go], b[go], ra[go], rb[go]
+            back = ra > rb  # the later merge is undone
+            limit = np.where(back, ra, rb + 1)
+            a, b = np.where(back, self.rights[a], a), np.where(back, b, self.lefts[b])
+        return out
+
+    def finite(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the arcs from a (negative: the start, or after a fallback character) to pieces b weigh 0."""
+        out = self.possible[b]
+        some = np.flatnonzero(a >= 0)
+        key = a[some] * len(self.text) + b[some]
+        slot = (key * 0x9E3779B1 >> 9) & (PAIRS - 1)
+        new = self.pair[slot] != key
+        good = self.pair_stable[slot]
+        if new.any():
+            fresh, back = np.unique(key[new], return_inverse=True)
+            weights = self.stable(fresh // len(self.text), fresh % len(self.text))
+            good[new] = weights[back]
+            slot = (fresh * 0x9E3779B1 >> 9) & (PAIRS - 1)
+            slot, first = np.unique(slot, return_index=True)  # one pair a slot
+            self.pair[slot], self.pair_stable[slot] = fresh[first], weights[first]
+        out[some] = good
         return out
 
-    def _packed(self, token: str) -> bytes:
-        got = self.table.get(token)
-        if got is None:
-            if "\n" in token and "\n" not in self.ids and len(token) > 1:
-                # a fallback character is a border to both sides
-                got = b"".join(self._packed(x) for x in re.split("(\n)", token) if x)
-            else:
-                got = array("i", self.shortest(token.replace(" ", SPACE))).tobytes()
-            if len(self.table) >= TABLE:
-                self.table.clear()
-            self.table[token] = got
-        return got
+    def _lattice(self, letters: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, length, piece) of all arcs of all positions; end: of each position's pre-token."""
+        at = np.flatnonzero(letters >= 0)
+        node = self.first[letters[at]]
+        found = []
+        for n in range(1, self.longest + 1):
+            piece = self.piece_at[node]
+            here = np.flatnonzero(piece >= 0)
+            found.append((at[here], np.full(len(here), n, np.int16), piece[here]))
+            more = np.flatnonzero((at + n < end[at]) & (node < self.n_inner))
+            at, node = at[more], node[more]
+            c = letters[at + n]
+            to = self.step[node * COMMON + np.minimum(c, COMMON - 1)]
+            rare = np.flatnonzero(c >= COMMON)
+            if len(rare):
+                key = node[rare].astype(np.int64) * self.n_letters + c[rare]
+                k = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
+                to[rare] = np.where(self.arc[k] == key, self.target[k], -1)
+            ok = np.flatnonzero((to >= 0) & (c >= 0))
+            at, node = at[ok], to[ok]
+            if not len(at):
+                break
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def paths(self, tokens: list[str]) -> list[bytes]:
+        """Ids (int32 bytes) along the path of finite weight of each pre-token, given without its first space."""
+        text = SPACE + SPACE.join(tokens).replace(" ", SPACE)
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        size = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
+        stop = np.cumsum(size)
+        start, local = stop - size, np.arange(len(code)) - np.repeat(stop - size, size)
+        letters = self.letter[code]
+        begin, n, piece = self._lattice(letters, np.repeat(stop, size))
+        reached = local[begin] + n
+        order = np.argsort(reached.astype(np.uint16) if len(reached) and reached.max() < 1 << 16 else reached, kind="stable")  # 16 bits are sorted by radix
+        begin, n, piece = begin[order], n[order].astype(np.int64), piece[order].astype(np.int64)
+        cut = np.searchsorted(reached[order], np.arange(1, int(size.max()) + 2))
+        # state of the place before each character, of the start and of the end: last id (-1 start, -2 fallback, -3 unreached) and its length;
+        # a token's end lies before the next one's start, so the places are one more a token
+        place = np.arange(len(code)) + np.repeat(np.arange(len(tokens)), size)
+        last, length = np.full(len(code) + len(tokens), -3, np.int64), np.ones(len(code) + len(tokens), np.int64)
+        last[place[start]] = -1
+        alone = np.flatnonzero(letters < 0)
+        last[place[alone] + 1] = -2  # a fallback character ends in its one arc
+        for k in range(len(cut) - 1):
+            x = slice(cut[k], cut[k + 1])
+            p = place[begin[x]]
+            before, b, step = last[p], piece[x], n[x]
+            good = np.flatnonzero(before > -3)
+            good = good[self.finite(before[good], b[good])]
+            to = p[good] + step[good]
+            last[to], length[to] = b[good], step[good]
+        if (last == -3).any() and (last[place[stop - 1] + 1] == -3).any():
+            raise ValueError("a pre-token has no path of finite weight")
+        # back along the paths, all at once
+        at, begins = place[stop - 1] + 1, place[start]
+        on = np.zeros(len(last), bool)
+        while len(at):
+            on[at] = True
+            at = at - length[at]
+            more = np.flatnonzero(at > begins)
+            at, begins = at[more], begins[more]
+        back = np.flatnonzero(on)  # in order
+        of = np.repeat(np.arange(len(tokens)), size + 1)[back]
+        ids = last[back]
+        # a fallback character is as many ids as it has bytes
+        char = back - of - 1
+        low = code[char]
+        width = np.where(ids >= 0, 1, 1 + (low > 0x7F) + (low > 0x7FF) + (low > 0xFFFF))
+        flat = np.repeat(ids, width).astype(np.int32)
+        if (some := np.flatnonzero(ids < 0)).size:
+            flat[flat < 0] = self.byte_ids[np.frombuffer("".join(map(chr, low[some].tolist())).encode(), np.uint8)]
+        to = 4 * np.cumsum(np.bincount(of, weights=width, minlength=len(tokens))).astype(np.int64)
+        raw = flat.tobytes()
+        return [raw[a:b] for a, b in zip([0, *to[:-1].tolist()], to.tolist(), strict=True)]
+
+    def _sweep(self, tokens: list[str]) -> None:
+        """Adds the paths of pre-tokens to the table."""
+        short = [x for x in tokens if len(x) <= LONG]
+        parts = [short[i : i + SWEEP] for i in range(0, len(short), SWEEP)] + [[x] for x in tokens if len(x) > LONG]
+        for part in parts:
+            self.table.update(zip(part, self.paths(part), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids (int32 bytes) of each text."""
+        each = [pre_tokens(x) for x in texts]
+        new = set().union(*each).difference(self.table)
+        if len(self.table) + len(new) > TABLE:
+            self.older, self.table = self.table, {}
+            new = set().union(*each)
+        # what the generation before has is kept on; a pre-token that doesn't come again goes with its generation
+        again = new.intersection(self.older)
+        self.table.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        self._sweep(list(new - again))
+        return [b"".join(map(self.table.__getitem__, x)) for x in each]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self._packed, pre_tokens(text))), np.int32)
+        return np.frombuffer(self.encode_all([text])[0], np.int32)
+
+    def decode_all(self, ids: np.ndarray, n: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(bytes, end of each) of rows of n ids each, one after another; a row's first space is left in."""
+        size = self.out_size[ids]
+        stop = np.cumsum(size)
+        at = np.repeat(self.out_start[ids] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
+        return self.out_bytes[at].tobytes(), np.concatenate([[0], stop])[np.cumsum(n)]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
-        out = b"".join(map(self.output.__getitem__, ids.tolist()))
+        out, _ = self.decode_all(ids, np.array([len(ids)]))
         return out[1:] if out[:1] == b" " else out
 
     def decode(self, ids) -> str:
@@ -246,12 +323,15 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(path)
-        for b in C.text_blocks(batches, limit=1 << 20):
+        for b in C.text_blocks(batches, limit=2 << 20):
             texts = C.column(b, "text").cast(pa.string()).to_pylist()
-            ids = [fst.encode(x) for x in texts]
-            same = [fst.decode_bytes(k) == x.replace(SPACE, " ").encode() for k, x in zip(ids, texts, strict=True)]
-            n = np.array([len(k) for k in ids], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
+            rows = fst.encode_all(texts)
+            n = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+            ids = np.frombuffer(b"".join(rows), np.int32)
+            got, stop = fst.decode_all(ids, n)
+            want = [x and (" " + x.replace(SPACE, " ")).encode() for x in texts]
+            same = [(got[i:j] == w) if w else i == j for i, j, w in zip([0, *stop[:-1].tolist()], stop.tolist(), want, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([C.column(b, "doc_id"), pa.array(n), lists, pa.array(same)], ["doc_id", "n_ids", "ids", "round_trip"])
 
     return docs.select("doc_id", C.text_bytes()).mapInArrow(run, "doc_id long, n_ids long, ids array<int>, round_trip boolean")

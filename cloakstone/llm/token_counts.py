@@ -50,13 +50,13 @@ def splits_at_spaces(path: str) -> bool:
 
 
 def pre_tokens(text: str) -> list[str]:
-    """Pre-tokens in order, each led by its spaces; their concatenation is the text led by one space."""
+    """Pre-tokens in order, each without its first space; with it, their concatenation is the text led by one space."""
     if not text:
         return []
     text = text.replace(SPACE, " ")
     if "  " in text or text[0] == " " or text[-1] == " ":
-        return _PARTS.findall(" " + text)
-    return [" " + x for x in text.split(" ")]
+        return [x[1:] for x in _PARTS.findall(" " + text)]
+    return text.split(" ")
 
 
 _tables: dict[str, dict[str, int]] = {}
@@ -69,8 +69,8 @@ def count_texts(path: str, texts: list[str]) -> list[int]:
     if len(table) + len(new) > TABLE:
         table.clear()
         new = list({k for f in frequencies for k in f})
-    table.update(zip(new, map(len, sp.encode([x[1:] for x in new], num_threads=1)), strict=True))  # the library adds the first space
-    table[" "] = 1  # the library gives nothing for an empty text, but a lone space is a piece
+    table.update(zip(new, map(len, sp.encode(new, num_threads=1)), strict=True))  # the library adds the first space
+    table[""] = 1  # the library gives nothing for an empty text, but a lone space is a piece
     return [sum(map(int.__mul__, map(table.__getitem__, f), f.values())) for f in frequencies]
 
 

@@ -197,8 +197,30 @@ def test_transducer_is_the_library(spark, sf_dir):
 
 def test_one_path_is_finite():
     fst = piece_transducer.transducer(queries.piece_model())
-    for text in ("▁hello", "▁▁▁world", "▁unbelievable!", "▁ab\ncd"):
-        ids = fst.shortest(text)
-        known = [i for i in ids if i in fst.plain]
-        assert "".join(fst.text[i] for i in known) == text.replace("\n", "")
-        assert fst.merged(text)[0] == ids
+    for text in ("hello", "  world", "unbelievable!", "ab\ncd", "", "a" * 300, "日本😀x"):
+        ids = np.frombuffer(fst.paths([text])[0], np.int32).tolist()
+        assert fst.merged(("▁" + text).replace(" ", "▁"))[0] == ids
+        known = np.array([i for i in ids if i in fst.plain])
+        weights = fst.stable(known[:-1], known[1:])
+        assert weights.all() or "\n" in text or "😀" in text  # a fallback character is a border
+
+
+def test_no_piece_follows_another_but_by_merging():
+    """Weights of pairs by their definition: merging the two pieces' characters leaves the two."""
+    fst = piece_transducer.transducer(queries.piece_model())
+    rng = random.Random(9)
+    pieces = sorted(fst.ids.values())
+    some = np.array([(rng.choice(pieces), rng.choice(pieces)) for _ in range(3000)])
+    near = [i for i in pieces if fst.text[i].isalpha() and len(fst.text[i]) < 4]
+    some = np.concatenate([some, [(rng.choice(near), rng.choice(near)) for _ in range(6000)]])
+    got = fst.stable(some[:, 0], some[:, 1])
+    assert got.tolist() == [fst.merged(fst.text[a] + fst.text[b])[0] == [a, b] for a, b in some.tolist()]
+    assert fst.finite(some[:, 0], some[:, 1]).tolist() == got.tolist() == fst.finite(some[:, 0], some[:, 1]).tolist()
+
+
+def test_pre_tokens_may_be_swept_again(monkeypatch):
+    path = queries.piece_model()
+    monkeypatch.setattr(piece_transducer, "TABLE", 3)
+    fst, sp = piece_transducer.Transducer(path), token_counts.processor(path)
+    for text in ("the quick brown fox", "jumps over the lazy dog " * 3, "the end", ""):
+        assert fst.encode(text).tolist() == sp.encode(text)
