@@ -280,11 +280,11 @@ def validate_iban(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", v.alias("v")).select("o_orderkey", "v", V.valid_iban(F.col("v")).alias("valid"))
 
 
-@query("SELECT o_orderkey, count(*) AS n FROM (SELECT o_orderkey, unnest(range(0, 100)) AS d FROM orders WHERE o_orderkey % 50 = 0) WHERE false GROUP BY ALL")
+@query("SELECT o_orderkey, repeat((o_orderkey % 10)::VARCHAR, 11) AS v, false AS valid FROM orders")
 def validate_cnh_negatives(spark, sf_dir):
     """No number of equal digits is a valid licence."""
-    v = F.repeat(F.substring((F.col("o_orderkey") % 10).cast("string"), 1, 1), 11)
-    return table(spark, sf_dir, "orders").where(V.valid_cnh(v)).groupBy("o_orderkey").agg(F.count("*").alias("n"))
+    v = F.repeat((F.col("o_orderkey") % 10).cast("string"), 11)
+    return table(spark, sf_dir, "orders").select("o_orderkey", v.alias("v"), V.valid_cnh(v).alias("valid"))
 
 
 # --- names, numbers, places --------------------------------------------------------------------------------------------------------------
@@ -328,7 +328,7 @@ def known_value_join(spark, sf_dir):
     return known.occurrences(table(spark, sf_dir, "conversations"), values, "conv_id").select("conv_id", "key")
 
 
-@query("SELECT 'u:' || l_shipmode AS key, count(DISTINCT rule) AS n_rules FROM (SELECT l_returnflag || l_linestatus AS l_shipmode, (l_quantity::INT % 3)::VARCHAR AS rule FROM lineitem WHERE l_orderkey % 2 = 0) GROUP BY 1 HAVING count(DISTINCT rule) >= 2")
+@query("SELECT 'u:' || l_shipmode AS key, count(DISTINCT rule) AS n_rules FROM (SELECT l_returnflag || l_linestatus AS l_shipmode, (l_quantity::INT % 3)::VARCHAR AS rule FROM lineitem) GROUP BY 1 HAVING count(DISTINCT rule) >= 2")
 def two_rule_evidence(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     found = li.select(F.lit("user").alias("type"), F.concat("l_returnflag", "l_linestatus").alias("real"), (F.col("l_quantity").cast("int") % 3).cast("string").alias("rule"), F.lit(False).alias("strong"))

@@ -4,13 +4,13 @@ The key's pads stand in the plan as literals; use the expressions with keys that
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as T
+from .text import let
 from .validators import valid_alpha_cnpj
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz234567"
@@ -33,11 +33,6 @@ CASELESS = ("column", "database", "index", "procedure", "schema", "server", "tab
 NUMERIC = ("account", "card", "cep", "cnh", "cnpj", "cpf", "phone", "pis", "rg")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once: in a lambda nothing else keeps a shared part from being worked out again at each use."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 @dataclass(frozen=True)
 class Key:
     """A 32-byte key, and the host roles that a host's pseudonym keeps."""

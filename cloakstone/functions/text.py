@@ -64,22 +64,45 @@ def before(text: Column, start: Column, n: int = 30) -> Column:
     return F.lower(F.substr(text, first + 1, start - first))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: in a lambda nothing else keeps a shared part from being worked out again at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Elements that are summed one after another; a fold copies its growing array at each element.
+CHUNK = 128
+
+
+def prefix_sums(lengths: Column) -> Column:
+    """Sums of what stands before each of one or more integers. Parts of CHUNK are folded on their own and then shifted, so the work stays about
+    linear for arrays of a million elements."""
+    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
+    fold = lambda xs: F.aggregate(xs, zero, lambda a, x: F.struct((a["pos"] + x).alias("pos"), F.concat(a["out"], F.array(a["pos"])).alias("out")))
+    parts = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda i: fold(F.slice(x, i * CHUNK + 1, F.lit(CHUNK))))
+    shifted = lambda ps: let(fold(F.transform(ps, lambda p: p["pos"]))["out"], lambda by: F.flatten(F.zip_with(ps, by, lambda p, b: F.transform(p["out"], lambda v: v + b))))
+    return let(lengths, lambda x: let(parts(x), shifted))
+
+
+def located(text: Column, pattern: str, group: int, body: Callable[[Column, Column], Column]) -> Column:
+    """body(match, at) of each match of a pattern, leftmost and without overlap. match: gap (before it), match, value (of the group); at: where
+    it begins. Gaps and matches add up to the positions. Behind the last match comes a null match."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"), value.alias("value"))
+    lengths = lambda s: F.transform(s, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0)))
+    return let(steps, lambda s: F.zip_with(s, prefix_sums(lengths(s)), lambda x, at: body(x, at + F.length(x["gap"]))))
+
+
 def spans(text: Column, pattern: str, kind: str, keep: Callable[..., Column] | None = None, group: int = 0, rule: str | None = None, strong: bool = True) -> Column:
     """Matches of a pattern, leftmost and without overlap, as an array of spans (code points; end exclusive) of the group's value.
 
-    Gaps between matches give the positions. keep(text, start, end, value) says which matches count. A group must end where the match
-    does (patterns look ahead for what follows)."""
-    steps = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+    keep(text, start, end, value) says which matches count. A group must end where the match does (patterns look ahead for what follows)."""
     none = F.array().cast(SPANS)
-    zero = F.struct(F.lit(0).alias("pos"), none.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["pos"] + F.length(x["gap"])
+    def one(x: Column, at: Column) -> Column:
         start = at if group == 0 else at + F.length(x["match"]) - F.length(x["value"])
-        end = start + F.length(x["value"])
-        good = x["match"].isNotNull() & (keep(text, start, end, x["value"]) if keep else F.lit(True))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("type"), x["value"].alias("real"), F.lit(rule or kind).alias("rule"), F.lit(strong).alias("strong")))
-        return F.struct((at + F.coalesce(F.length(x["match"]), F.lit(0))).alias("pos"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        span = F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), F.lit(kind).alias("type"), x["value"].alias("real"), F.lit(rule or kind).alias("rule"), F.lit(strong).alias("strong"))
+        return F.when(x["match"].isNotNull(), span)
 
-    found = F.aggregate(steps, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    good = lambda e: e.isNotNull() & keep(text, e["start"], e["end"], e["real"]) if keep else e.isNotNull()
+    return F.when(text.rlike(pattern), F.filter(located(text, pattern, group, one), good).cast(SPANS)).otherwise(none)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def by_type(mapping: DataFrame, *scope: str) -> DataFrame:
     """Distinct pseudonyms of each type, in each scope."""
@@ -18,12 +20,16 @@ def top_counts(df: DataFrame, key: str, most: int | None = None) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, at: tuple[float, ...] = (0.5, 0.95, 1.0)) -> DataFrame:
-    """p, value: the element of rank (n - 1) * p, rounded down. Ranks come from counts of distinct values and their running sum, so equal values are one row."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    ranked = counts.select(value, F.sum("n").over(Window.orderBy(value)).alias("last"), "n")
-    total = counts.agg(F.sum("n").alias("total"))
-    points = total.select("total", F.explode(F.array(*map(F.lit, at))).alias("p")).withColumn("rank", F.floor((F.col("total") - 1) * F.col("p")))
-    return ranked.join(F.broadcast(points), (F.col("rank") >= F.col("last") - F.col("n")) & (F.col("rank") < F.col("last"))).select("p", F.col(value).alias("value"))
+    """p, value: the element of rank (n - 1) * p, rounded down. Counts of distinct values are dealt by ranges of value; a range's ranks begin
+    behind the sum of the ranges before it, so no task sees more than its range."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    dealt = written(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "percentiles")
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("of_part"))  # a row a partition
+    before = sums.select("part", (F.sum("of_part").over(Window.orderBy("part")) - F.col("of_part")).alias("before"))
+    points = sums.agg(F.sum("of_part").alias("total")).select(F.explode(F.array(*map(F.lit, at))).alias("p"), "total").select("p", F.floor((F.col("total") - 1) * F.col("p")).alias("rank"))
+    last = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    ranked = dealt.join(before, "part").select("value", "n", last.alias("last"))
+    return ranked.join(F.broadcast(points), (F.col("rank") >= F.col("last") - F.col("n")) & (F.col("rank") < F.col("last"))).select("p", "value")  # points: a row for each p
 
 
 def period_seconds(period: Column) -> Column:

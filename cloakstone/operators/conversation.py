@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def positions(rows: DataFrame, conv: str, order: str, text: str = "text", role: str = "role") -> DataFrame:
-    """rows with position: a hash chained over all turns up to each one, so equal histories have equal positions.
+    """rows with position: 128 bits of all turns up to each one, so equal histories have equal positions.
 
-    The chain is a fold over a conversation's hashes (32 bytes a turn, in order), not over its texts."""
+    Each turn's hash with its number in the conversation; the running exclusive or of these is one pass of a window, in memory of one row."""
     own = F.sha2(F.concat_ws("\x00", F.coalesce(role, F.lit("")), F.coalesce(text, F.lit(""))), 256)
-    hashed = rows.withColumn("_h", own)
-    w = Window.partitionBy(conv).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    chain = F.aggregate(F.collect_list("_h").over(w), F.lit(""), lambda acc, h: F.sha2(F.concat(acc, h), 256))
-    return hashed.withColumn("position", chain).drop("_h")
+    hashed = rows.withColumn("__own", own).withColumn("__turn", F.row_number().over(Window.partitionBy(conv).orderBy(order, "__own")))
+    upto = Window.partitionBy(conv).orderBy(order, "__own").rowsBetween(Window.unboundedPreceding, 0)
+    half = lambda *x: F.lpad(F.hex(F.bit_xor(F.xxhash64(*x)).over(upto)), 16, "0")
+    return hashed.withColumn("position", F.concat(half("__turn", "__own"), half("__own", F.lit("position"), "__turn"))).drop("__own", "__turn")
 
 
 def calls_and_results(rows: DataFrame, conv: str) -> DataFrame:

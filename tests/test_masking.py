@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloakstone.functions import ids
-from cloakstone.operators import columns, detect, known, mask
+from cloakstone.operators import audit, columns, conversation, detect, known, mask
 from cloakstone.plans.config import Config
 from cloakstone.sources import sinks
 from cloakstone.sources.tables import written
@@ -126,3 +126,27 @@ def test_config():
     assert Config.from_json('{"disabled": ["rg"], "terms": [["a", "b"]]}') == Config(disabled=("rg",), terms=(("a", "b"),))
     with pytest.raises(ValueError, match="unknown"):
         Config.from_json('{"disable": []}')
+
+
+def test_many_matches_have_their_places(spark):
+    text = " ".join(f"u{i}@mail{i % 7}.dev" + "é" * (i % 3) for i in range(3000))
+    found = detect.detect(spark.createDataFrame([(text,)], "text string"), config=CONFIG, only=("email",)).first().findings
+    assert len(found) == 3000 and all(text[f.start : f.end] == f.real for f in found)
+
+
+def test_detection_is_in_the_plan_once(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    docs = spark.createDataFrame([(1, "a@b.dev")], "id int, text string").repartition(2)
+    found = detect.detect(docs, config=CONFIG, only=("email", "ip"))
+    assert plan(detect.exploded(found, "id").groupBy("type").count()) == plan(found) > 0
+
+
+def test_percentiles_and_positions(spark):
+    values = [5.0, 1.0, 1.0, 9.0, None, 3.0, 3.0, 3.0, 7.5]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    known_values = sorted(v for v in values if v is not None)
+    assert {(r.p, r.value) for r in audit.percentiles(df, "v", (0.0, 0.4, 0.5, 1.0)).collect()} == {(p, known_values[int((len(known_values) - 1) * p)]) for p in (0.0, 0.4, 0.5, 1.0)}
+    assert audit.percentiles(df.limit(0), "v").count() == 0
+    turns = [("a", 0, "user", "hi"), ("a", 1, "assistant", "yo"), ("b", 0, "user", "hi"), ("b", 1, "assistant", "no"), ("c", 0, "assistant", "yo"), ("c", 1, "user", "hi"), (None, 0, None, None)]
+    got = {(r.conv, r.turn): r.position for r in conversation.positions(spark.createDataFrame(turns, "conv string, turn int, role string, text string"), "conv", "turn").collect()}
+    assert got["a", 0] == got["b", 0] and len({got["a", 1], got["b", 1], got["c", 1], got["a", 0], got["c", 0], got[None, 0]}) == 6
