@@ -1,33 +1,20 @@
 """Vectorised words of a block of texts: positions, 64-bit hashes and n-gram hashes straight from the Arrow buffers.
 
-A word is a maximal run of bytes outside 0x20 and 0x09-0x0D. Its hash is a polynomial over its bytes modulo 2**64 with a final
-mix, taken from prefix sums, so no Python object is made per word."""
+A word is a maximal run of bytes outside 0x20 and 0x09-0x0D. Its hash mixes its bytes in lanes of eight, each with its place, and its
+length: words of up to eight bytes and one length never share a hash, longer ones only by chance (2**-64 a pair). No Python object is
+made per word."""
 
 from __future__ import annotations
 
 import numpy as np
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_CHUNK = 1 << 20
+_PLACE, _SIZE = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)  # the first k bytes of a lane
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_pow = [np.ones(1, U), np.ones(1, U)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow[0]) < n:
-        size = max(n, _CHUNK + 4096)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(size, base, U)
-            x[0] = 1
-            _pow[k] = np.cumprod(x)
-    return _pow[0], _pow[1]
-
-
 #: Lower-case letters, digits and all bytes of other characters.
 ALPHANUMERIC = np.zeros(256, bool)
 ALPHANUMERIC[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -75,18 +62,28 @@ class Words:
         return len(self.starts)
 
     def _hash(self) -> np.ndarray:
-        out = np.empty(len(self.starts), U)
-        i = 0
-        while i < len(out):
-            s = self.starts[i]
-            j = max(i + 1, int(np.searchsorted(self.ends, s + _CHUNK, side="right")))
-            e = self.ends[j - 1]
-            power, inverse = _powers(int(e - s) + 1)
-            x = np.zeros(e - s + 1, U)
-            np.cumsum((self.data[s:e].astype(U) + U(1)) * power[: e - s], out=x[1:])
-            out[i:j] = (x[self.ends[i:j] - s] - x[self.starts[i:j] - s]) * inverse[self.starts[i:j] - s]
-            i = j
-        return mix(out ^ ((self.ends - self.starts).astype(U) * U(0xD6E8FEB86659FD93)))
+        size = self.ends - self.starts
+        room = np.zeros(len(self.data) // 8 * 8 + 24, np.uint8)
+        room[: len(self.data)] = self.data
+        aligned = room.view(U)
+
+        def lanes(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+            """The n (at most 8) bytes from each place."""
+            k, bits = at >> 3, ((at & 7) << 3).astype(U)
+            x = aligned[k] >> bits
+            x |= (aligned[k + 1] << U(1)) << (U(63) - bits)
+            return x & _KEEP[n]
+
+        out = lanes(self.starts, np.minimum(size, 8))
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            n = -(-size[long] // 8)
+            first = np.cumsum(n) - n
+            place = np.arange(int(n.sum())) - np.repeat(first, n)
+            at = np.repeat(self.starts[long], n) + 8 * place
+            x = lanes(at, np.minimum(np.repeat(self.ends[long], n) - at, 8))
+            out[long] = np.add.reduceat(mix(x + _PLACE * (place + 1).astype(U)), first)
+        return mix(out ^ (size.astype(U) * _SIZE))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, index of the first word) of every n words in a row of one document."""

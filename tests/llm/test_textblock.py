@@ -36,3 +36,16 @@ def test_words_longer_than_a_chunk():
     big = "x" * 2_500_000
     w = Words(*block([big + " y", "z " + big]), lower=False)
     assert w.hashes[0] == w.hashes[3] and len(w) == 4 and len(np.unique(w.hashes)) == 3
+
+
+def test_words_that_polynomials_confuse_differ():
+    thue = ["a"]
+    for _ in range(11):
+        thue.append(thue[-1] + thue[-1].translate(str.maketrans("ab", "ba")))
+    texts = [t for x in thue for t in (x, x.translate(str.maketrans("ab", "ba")))]
+    rng = random.Random(6)
+    texts += ["".join(rng.choice("xy") for _ in range(n)) for n in range(1, 60) for _ in range(40)] + ["\x00" * n for n in range(1, 40)] + ["swap8byt" + "eslanes!", "eslanes!" + "swap8byt"]
+    w = Words(*block(texts), lower=False)
+    assert len(set(w.hashes.tolist())) == len(set(texts))
+    for shift in range(9):  # a hash doesn't depend on where the word lies
+        assert Words(*block([" " * shift + t for t in texts]), lower=False).hashes.tolist() == w.hashes.tolist()
