@@ -1,12 +1,11 @@
 """Numpy arrays as raw files in the shared folder, memory-mapped by workers.
 
-On a POSIX path (file://, or a mounted share) workers map the shared files themselves. In another store a worker fetches a file once into its
-own temporary folder and maps that copy. Files are written under another name and renamed, so a repeated task can't leave half a file."""
+On a POSIX path (file://, or a mounted share) workers map the shared files themselves. In another store a worker fetches a file into the
+application's own folder on its node, which Spark removes at the end, and maps that copy; what falls out of the KEPT files is deleted. Files are written under another name and renamed, so a repeated task can't leave half a file."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections import OrderedDict
 from urllib.parse import urlparse
@@ -15,7 +14,7 @@ import numpy as np
 
 _open: OrderedDict[str, np.ndarray] = OrderedDict()
 #: Files that a worker keeps mapped.
-KEPT = 4096
+KEPT = 16384
 
 
 def _posix(uri: str) -> str | None:
@@ -53,7 +52,9 @@ def load(uri: str, name: str, kind) -> np.ndarray:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(uri)
-        path = f"{tempfile.gettempdir()}/{uuid.uuid5(uuid.NAMESPACE_URL, key).hex}"
+        from pyspark import SparkFiles
+
+        path = f"{SparkFiles.getRootDirectory()}/{uuid.uuid5(uuid.NAMESPACE_URL, key).hex}-{os.getpid()}"
         if not os.path.exists(path):
             with system.open_input_stream(f"{base}/{name}") as src, open(new := f"{path}-{uuid.uuid4().hex}", "wb") as out:
                 while part := src.read(1 << 22):
@@ -62,5 +63,7 @@ def load(uri: str, name: str, kind) -> np.ndarray:
     mapped = np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, kind)
     _open[key] = mapped
     while len(_open) > KEPT:
-        _open.popitem(last=False)
+        old, gone = _open.popitem(last=False)
+        if _posix(old) is None and isinstance(gone, np.memmap):
+            os.unlink(gone.filename)
     return mapped

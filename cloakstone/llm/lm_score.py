@@ -14,7 +14,8 @@ Words are lower-cased (A-Z) runs outside white space; each text ends with an end
     p(w|u) = max(c(uw) - D(c(uw)), 0) / c(u) + gamma(u) p(w)      p(w) = max(N(w) - D'(N(w)), 0) / N + gamma' / (V + 1)
 
 D, D' are the modified discounts from the counts of counts of either order; N(w) counts distinct contexts of w. An unseen context has gamma 1;
-an unseen word has N(w) = 0. Nothing is pruned. Number of words: under 2**32 - 1.
+an unseen word has N(w) = 0. Nothing is pruned. Counts are 64-bit (stored in as few bytes as a bucket needs). Number of words: under
+2**32 - 1. The number of buckets grows with the text, so a bucket stays of the size that a worker sorts at once.
 
 Defined results: null and empty texts are just the end token; repeated rows count each time; a null doc_id is never held out (it is trained
 on); an empty training set scores all tokens as unseen in a vocabulary of 0 words; other columns are ignored."""
@@ -42,6 +43,8 @@ HELD = 10
 HOT = 256
 #: Pairs that a task merges at once.
 MERGE = 6 << 20
+#: Bytes of text for one bucket: a bucket is what a worker sorts at once.
+BUCKET_BYTES = 32 << 20
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -107,7 +110,7 @@ def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray]], limit: int = MERGE)
 def _dealt(bucket: np.ndarray, blob_of, buckets: int) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    some = [k for k in range(buckets) if cut[k + 1] > cut[k]]
+    some = np.flatnonzero(np.diff(cut)).tolist()
     return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blob_of(order[cut[k] : cut[k + 1]]) for k in some], pa.binary())], ["bucket", "blob"])
 
 
@@ -168,7 +171,7 @@ def _numbers(m: Model, hashes: np.ndarray) -> np.ndarray:
     """Numbers of sorted distinct hashes; -1: unseen."""
     out = np.full(len(hashes), -1, np.int64)
     cut = np.searchsorted((hashes >> _shift(m.buckets)).astype(np.int64), np.arange(m.buckets + 1))
-    for k in range(m.buckets):
+    for k in np.flatnonzero(np.diff(cut)).tolist():
         q = hashes[cut[k] : cut[k + 1]]
         n = int(m.first[k + 1] - m.first[k])
         if len(q) and n:
@@ -182,9 +185,8 @@ def _gather(m: Model, ids: np.ndarray, name: str, kind) -> np.ndarray:
     """Values of sorted ids (none negative) from the words' arrays."""
     out = np.zeros(len(ids), kind)
     cut = np.searchsorted(ids, m.first)
-    for k in range(m.buckets):
-        if cut[k + 1] > cut[k]:
-            out[cut[k] : cut[k + 1]] = hashstore.load(m.uri, f"{name}-{k}", kind)[ids[cut[k] : cut[k + 1]] - m.first[k]]
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        out[cut[k] : cut[k + 1]] = hashstore.load(m.uri, f"{name}-{k}", kind)[ids[cut[k] : cut[k + 1]] - m.first[k]]
     return out
 
 
@@ -205,6 +207,16 @@ def _pair_bucket(m: Model, context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (mix(np.where(hot, word, context).astype(U)) % U(m.buckets)).astype(np.int64)
 
 
+def _narrow(c: np.ndarray) -> np.ndarray:
+    """Counts in the least of 1, 2, 4 or 8 bytes that holds the largest."""
+    return c.astype(np.min_scalar_type(int(c.max(initial=0))))
+
+
+def _wide(raw: np.ndarray, n: int) -> np.ndarray:
+    """The n counts of _narrow() from their bytes."""
+    return raw.view(f"u{len(raw) // n}") if n else raw
+
+
 def _count_pairs(m: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
@@ -218,7 +230,7 @@ def _count_pairs(m: Model):
             def blob(o: np.ndarray) -> bytes:
                 at = np.flatnonzero(np.concatenate([[True], u[o][1:] != u[o][:-1]]))  # noqa: B023
                 n = np.diff(np.append(at, len(o)))
-                return np.array([len(at), len(o)], np.int64).tobytes() + u[o][at].astype(np.uint32).tobytes() + n.astype(np.uint32).tobytes() + v[o].astype(np.uint32).tobytes() + c[o].astype(np.uint32).tobytes()  # noqa: B023
+                return np.array([len(at), len(o)], np.int64).tobytes() + u[o][at].astype(np.uint32).tobytes() + n.astype(np.uint32).tobytes() + v[o].astype(np.uint32).tobytes() + _narrow(c[o]).tobytes()  # noqa: B023
 
             yield _dealt(_pair_bucket(m, u, v), blob, m.buckets)
 
@@ -235,14 +247,15 @@ def _store_pairs(m: Model):
             keys, counts = [], []
             for x in blobs:
                 nu, n = map(int, np.frombuffer(x, np.int64, 2))
-                u, each, v, c = np.split(np.frombuffer(x, np.uint32, 2 * nu + 2 * n, 16), [nu, 2 * nu, 2 * nu + n])
+                u, each, v = np.split(np.frombuffer(x, np.uint32, 2 * nu + n, 16), [nu, 2 * nu])
+                c = _wide(np.frombuffer(x, np.uint8, offset=16 + 4 * (2 * nu + n)), n)
                 keys.append((np.repeat(u, each).astype(U) << U(32)) | v.astype(U))
                 counts.append(c.astype(np.int64))
             key, c = _summed(keys, counts)
             h = mix(key)
             order = np.argsort(h)
             hashstore.save(m.uri, f"pairs-{k}", h[order])
-            hashstore.save(m.uri, f"pair_counts-{k}", np.minimum(c[order], 0xFFFFFFFF).astype(np.uint32))
+            hashstore.save(m.uri, f"pair_counts-{k}", _narrow(c[order]))
             u, v = (key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64)
             of_counts += np.bincount(np.minimum(c, 5), minlength=6)[1:5]
             at = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
@@ -313,22 +326,23 @@ def train(docs: DataFrame) -> Model:
     C.arrow_limits(spark)
     texts = docs.select(C.text_bytes())
     parts = C.partitions_for(spark)
-    buckets = 1 << max(6, (parts - 1).bit_length())
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    buckets = 1 << max(6, (parts - 1).bit_length(), (size // BUCKET_BYTES).bit_length())
     uri = f"{C.shared_dir(spark)}/bigrams-{uuid.uuid4().hex}"
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
-    rows = dealt(texts.mapInArrow(_count_words(buckets), "bucket int, blob binary")).mapInArrow(_store_words(uri), "bucket int, words long, tokens long").collect()  # a row a bucket
+    words = dealt(texts.mapInArrow(_count_words(buckets), "bucket int, blob binary")).mapInArrow(_store_words(uri), "bucket int, words long, tokens long").collect()  # a row a bucket
     sizes = np.zeros(buckets, np.int64)
-    for r in rows:
+    for r in words:
         sizes[r.bucket] = r.words
-    m = Model(uri, buckets, np.concatenate([[0], np.cumsum(sizes)]), sum(r.tokens for r in rows))
+    m = Model(uri, buckets, np.concatenate([[0], np.cumsum(sizes)]), sum(r.tokens for r in words))
     if not m.words:
         return m
     if m.words >= BEGIN:
         raise ValueError("more words than 32-bit numbers")
-    some = spark.range(buckets).where(F.col("id").isin([r.bucket for r in rows])).select(F.col("id").cast("int").alias("bucket"))
+    some = spark.range(buckets).where(F.col("id").isin([r.bucket for r in words])).select(F.col("id").cast("int").alias("bucket"))
     m.hot = np.array([BEGIN] + [r.id for r in some.mapInArrow(_hot(uri, [], m.first, max(1, -(-m.tokens // HOT))), "id long").collect()], np.int64)  # HOT at most
     known = spark.sparkContext.broadcast(m)
     pairs = dealt(texts.mapInArrow(lambda it: _count_pairs(known.value)(it), "bucket int, blob binary"))
@@ -344,7 +358,7 @@ def train(docs: DataFrame) -> Model:
     m.discounts = np.stack([discounts(c[:4]), discounts(of_counts)])
     m.contexts = int(c[5])
     m.words_over = float(m.discounts[0] @ [0, c[0], c[1], c[4]]) / m.contexts
-    m.begin = np.concatenate([[docs.count()], begin]).astype(float)
+    m.begin = np.concatenate([[rows], begin]).astype(float)
     return m
 
 
@@ -355,15 +369,15 @@ def _lookup_pairs(m: Model, context: np.ndarray, word: np.ndarray) -> np.ndarray
     bucket = _pair_bucket(m, context, word)
     order = np.lexsort((h, bucket))
     cut = np.searchsorted(bucket[order], np.arange(m.buckets + 1))
-    for k in range(m.buckets):
+    for k in np.flatnonzero(np.diff(cut)).tolist():
         o = order[cut[k] : cut[k + 1]]
-        if len(o):
-            try:
-                known = hashstore.load(m.uri, f"pairs-{k}", U)
-            except FileNotFoundError:  # no pair of training fell into this bucket
-                continue
-            at = np.minimum(np.searchsorted(known, h[o]), len(known) - 1)
-            out[o] = np.where(known[at] == h[o], hashstore.load(m.uri, f"pair_counts-{k}", np.uint32)[at], 0)
+        try:
+            known = hashstore.load(m.uri, f"pairs-{k}", U)
+        except FileNotFoundError:  # no pair of training fell into this bucket
+            continue
+        at = np.minimum(np.searchsorted(known, h[o]), len(known) - 1)
+        counts = _wide(hashstore.load(m.uri, f"pair_counts-{k}", np.uint8), len(known))
+        out[o] = np.where(known[at] == h[o], counts[at], 0)
     return out
 
 
