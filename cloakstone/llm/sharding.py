@@ -1,10 +1,10 @@
 """Sharding by a hierarchical weighted hash tree: a key descends region, rack and shard levels, at each node by a weighted draw.
 
-Leaves are numbered in tree order: a region holds RACKS racks of RACK_SHARDS shards; only the last region and rack may be partly
-filled, and a node weighs as many shards as it holds. At a node each child draws -ln(u) / weight, u from a hash of key and child,
+Leaves are numbered in tree order: a region holds RACKS racks of RACK_SHARDS shards; of the shards that the tree was laid out for (`base`), only
+the last region and rack may be partly filled. A shard added later opens a region of its own. A node weighs as many shards as it holds. At a node each child draws -ln(u) / weight, u from a hash of key and child,
 and the least draw wins. A child's draw depends on nothing but the key, the child and its own weight, so a weight that grows pulls
-keys into that child's subtree and moves no key between other children. A shard that opens a region of its own (40 does, for full
-regions of 10) changes one subtree, itself, so keys move only into it: the `key` law.
+keys into that child's subtree and moves no key between other children. An added shard changes one subtree, itself, so keys move
+only into it, whatever the counts: the `key` law. (Laying the tree out anew, with another base, moves keys between regions.)
 
 Slots: rows of a shard are numbered without gaps from per-split counts and prefix sums; no task holds a whole shard.
 
@@ -23,10 +23,11 @@ RACKS = 2
 ROW_BYTES = 16
 
 
-def tree(shards: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
+def tree(shards: int, base: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
     """[(weight, [(weight, [shard, ...]) of each rack]) of each region]."""
-    racks = [list(range(i, min(i + RACK_SHARDS, shards))) for i in range(0, shards, RACK_SHARDS)]
-    regions = [racks[i : i + RACKS] for i in range(0, len(racks), RACKS)]
+    first = min(shards, base)
+    racks = [list(range(i, min(i + RACK_SHARDS, first))) for i in range(0, first, RACK_SHARDS)]
+    regions = [racks[i : i + RACKS] for i in range(0, len(racks), RACKS)] + [[[s]] for s in range(base, shards)]
     return [(sum(map(len, r)), [(len(x), x) for x in r]) for r in regions]
 
 
@@ -43,9 +44,9 @@ def _least(key: Column, children: list[tuple[str, int, Column]]) -> Column:
     return F.array_min(F.array(*[F.struct(_draw(key, name, w).alias("d"), F.lit(i).alias("i"), value.alias("v")) for i, (name, w, value) in enumerate(children)]))["v"]
 
 
-def _descend(key: Column, shards: int) -> Column:
+def _descend(key: Column, shards: int, base: int) -> Column:
     """The region is drawn first; only the winner's subtree is drawn then."""
-    at = tree(shards)
+    at = tree(shards, base)
     region = _least(key, [(f"region{i}", w, F.lit(i)) for i, (w, _) in enumerate(at)])
 
     def below(i: int) -> Column:
@@ -63,19 +64,21 @@ def _descend(key: Column, shards: int) -> Column:
     return out
 
 
-def shard_of(key: Column, shards: int) -> Column:
-    return _descend(F.coalesce(key.cast("string"), F.lit("null")), shards).cast("int")
+def shard_of(key: Column, shards: int, base: int | None = None) -> Column:
+    """The shard of a key among so many; base: the number that the tree was laid out for (all of them by default)."""
+    return _descend(F.coalesce(key.cast("string"), F.lit("null")), shards, base or shards).cast("int")
 
 
-def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 40, base: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row of docs (doc_id, text)."""
+    base = base or shards
     text = F.coalesce(F.col("text"), F.lit(""))
     placed = docs.select(
-        "doc_id",
+        F.col("doc_id"),
         (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        shard_of(F.col("doc_id"), shards).alias("shard"),
-        shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"),
+        shard_of(F.col("doc_id"), shards, base).alias("shard"),
+        shard_of(F.col("doc_id"), shards + 1, base).alias("grown_shard"),
         F.monotonically_increasing_id().alias("_at"),
     )
     placed = C.written(placed, "placed")  # the numbering below reads fixed row numbers

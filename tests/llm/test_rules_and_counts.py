@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import math
 import re
 import zlib
@@ -106,10 +107,64 @@ def test_sharding_slots_sizes_and_growth(spark, sf_dir):
     assert sharding.assign(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_a_growing_subtree_takes_keys_and_moves_none_between_others(spark):
+def draw(key, node, weight):
+    u = (int(hashlib.md5(f"{key}/{node}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    return -math.log(u) / weight
+
+
+def descended(key, shards, base):
+    """The shard of a key, by descending the tree of (region, rack, shard) with plain loops."""
+    place = lambda s: (s // 10, s // 5 % 2) if s < base else (-(-base // 10) + s - base, 0)
+    of = collections.defaultdict(list)
+    for s in range(shards):
+        of[place(s)].append(s)
+    regions = sorted({r for r, _ in of})
+    one = lambda names: names[0][2] if len(names) == 1 else min((draw(key, n, w), i, v) for i, (n, w, v) in enumerate(names))[2]
+    region = one([(f"region{r}", sum(len(v) for (q, _), v in of.items() if q == r), r) for r in regions])
+    racks = sorted(k for r, k in of if r == region)
+    rack = one([(f"region{region}/rack{k}", len(of[region, k]), k) for k in racks])
+    return one([(f"shard{s}", 1, s) for s in of[region, rack]])
+
+
+def test_shards_by_descending_the_tree(spark):
+    for shards, base in ((40, 40), (41, 40), (13, 13), (44, 40), (7, 3)):
+        rows = spark.range(300).select("id", sharding.shard_of(F.col("id"), shards, base).alias("s")).collect()
+        assert [r.s for r in rows] == [descended(r.id, shards, base) for r in rows]
+
+
+def test_one_more_shard_takes_keys_only_into_itself(spark):
     keys = spark.range(4000)
-    for n in (41, 43, 47):
-        rows = keys.select(sharding.shard_of(F.col("id"), n).alias("a"), sharding.shard_of(F.col("id"), n + 1).alias("b")).collect()
-        region = lambda s: s // (sharding.RACK_SHARDS * sharding.RACKS)
-        assert all(r.a == r.b or region(r.b) == region(n) for r in rows)
-        assert all(math.isfinite(r.a) for r in rows)
+    for n, base in ((39, 39), (41, 41), (45, 45), (50, 50), (40, 40), (41, 40), (42, 40), (57, 40)):
+        rows = keys.select(sharding.shard_of(F.col("id"), n, base).alias("a"), sharding.shard_of(F.col("id"), n + 1, base).alias("b")).collect()
+        assert all(r.b in (r.a, n) for r in rows) and 0 < sum(r.b == n for r in rows) < 8000 / n
+    for n in (7, 39, 45):
+        rows = sharding.assign(keys.select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit(9).alias("shard"), F.lit(8).alias("slot")), n).collect()
+        assert all(r.grown_shard in (r.shard, n) for r in rows) and len({(r.shard, r.slot) for r in rows}) == 4000
+
+
+def test_quality_scores_and_verdicts_by_brute_force(spark, sf_dir):
+    docs = queries.table(spark, sf_dir, "documents").collect()
+    good = {r.doc_id for r in queries.trusted(spark, sf_dir).collect()}
+    # cells by grams' own hashes: what a gram is, not which cell it gets, is worked out here
+    raw, target, of = collections.Counter(), collections.Counter(), {}
+    for r in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        grams = [*w, *map(" ".join, zip(w, w[1:], strict=False))]
+        block = Words(*C.buffers(pa.array([" ".join(w).encode()], pa.binary())), lower=False)
+        pairs, _ = block.grams(2)
+        cells = [int(h) >> 48 for h in [*block.hashes.tolist(), *pairs.tolist()]]
+        assert len(cells) == len(grams)
+        for g, c in zip(grams, cells, strict=True):
+            assert of.setdefault(g, c) == c
+        raw.update(cells)
+        if r.doc_id in good:
+            target.update(cells)
+    share = sum(target.values()) / sum(raw.values())
+    weight = {c: math.log((target[c] + quality_rules.SMOOTHING) / (n * share + quality_rules.SMOOTHING)) for c, n in raw.items()}
+    rows = {r.doc_id: r for r in queries.op7_quality_rules(spark, sf_dir).collect()}
+    for r in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        cells = [of[g] for g in [*w, *map(" ".join, zip(w, w[1:], strict=False))]]
+        score = sum(weight[c] for c in cells) / max(1, len(cells))
+        assert rows[r.doc_id].score == pytest.approx(score, abs=1e-12)
+        assert rows[r.doc_id].kept == (not base(r.text)[5] and rows[r.doc_id].score >= quality_rules.THRESHOLD)
