@@ -28,6 +28,10 @@ TERMS = 4096
 DIMENSIONS = 48
 PER_CLASS = 4096
 NEIGHBOURS = 24
+#: A neighbour weighs its cosine to this power: with many neighbours the nearest ones must count for more.
+POWER = 4
+#: Decimals of a cosine that count; products of blocks of other shapes differ behind them.
+PLACES = 5
 THRESHOLD = 0.7
 #: Length of the shape terms' part beside the words' unit length.
 SHAPE = 1.0
@@ -115,9 +119,11 @@ class Model:
         k = min(NEIGHBOURS, len(self.y))
         of = self.weight[self.y.astype(int)]
         for i in range(0, len(x), rows):
-            cos = self.latent(weighted(x[i : i + rows], self.idf)) @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cos, near, 1), 0) ** 4 * of[near] + 1e-12
+            cos = np.round(self.latent(weighted(x[i : i + rows], self.idf)) @ self.vectors.T, PLACES)
+            # one number orders by cosine, then by position
+            rank = np.rint(cos * 10**PLACES).astype(np.int64) * len(self.y) - np.arange(len(self.y))
+            near = np.sort(np.argpartition(-rank, k - 1, axis=1)[:, :k], axis=1)
+            w = np.maximum(np.take_along_axis(cos, near, 1), 0) ** POWER * of[near] + 1e-12
             out[i : i + rows] = (w * self.y[near]).sum(1) / w.sum(1)
         return out
 
@@ -130,8 +136,8 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([C.column(b, "doc_id"), C.column(b, "label"), pa.array([k.astype(np.uint16).tobytes() for k in at], pa.binary()), pa.array([r[k].tobytes() for r, k in zip(x, at, strict=True)], pa.binary())], ["doc_id", "label", "at", "v"])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
-    """A model of docs (doc_id, text) by labels (doc_id, label 0 or 1), or the score of all texts if only one class, or none, is labelled."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | float:
+    """A model of docs (doc_id, text) by labels (doc_id, label 0 or 1), at most per_class of each; or the score of all texts if only one class, or none, is labelled."""
     spark = docs.sparkSession
     C.arrow_limits(spark)
     known = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("int").alias("label"))
@@ -141,9 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     # the least hashes of each class, from the least of each input split
     sample = None
     for y in (0, 1):
-        part = known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS)
+        part = known.where(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         sample = part if sample is None else sample.unionAll(part)
-    sample = spark.createDataFrame(sample.toPandas(), "doc_id long, label int")  # 2 * PER_CLASS rows at most
+    sample = spark.createDataFrame(sample.toPandas(), "doc_id long, label int")  # 2 * per_class rows at most
     chosen = docs.select("doc_id", C.text_bytes()).join(F.broadcast(sample), "doc_id")
     rows = sorted(chosen.select("doc_id", "label", "text").mapInArrow(_vectors, "doc_id long, label int, at binary, v binary").collect())
     x = np.zeros((len(rows), TERMS + SHAPES), np.float32)
