@@ -16,7 +16,8 @@ Which starts are embedded: k edits leave at least m - 2 - 3k of an item's three-
 can't pass the verification; such starts are skipped, unless an offset of a longer item may fall on them. That loses nothing, and every hit still goes through embedding and tables. (An
 item too short for that bound makes all starts near any of its words count.)
 
-The items go to the workers in slices of at most SLICE_BYTES of text, each of which is broadcast and run over all documents.
+The items go to the workers in slices of at most SLICE_BYTES of text, each of which is broadcast; the slices run one behind the other over each row, so
+documents are read once.
 
 Defined results: null or wordless texts and items match nothing; equal items each match; repeated rows repeat; a row for each document and
 item, at its best place (least distance, then first); an empty table gives no rows; other columns are ignored by find() and kept by
@@ -42,7 +43,6 @@ SEEN, STRIDE = STEPS // 2, STEPS // 4
 WALKS, TABLES, KEY = 8, 8, 3
 SLICE_BYTES = 4 << 20
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, similarity double, start_byte long, end_byte long"
-NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
 def edits(m: int) -> int:
@@ -239,37 +239,49 @@ def _index(items: DataFrame) -> Index:
     return Index([r.item_id for r in rows], [bytes(r.text) for r in rows])
 
 
-def _find(index: Index):
+HIT = pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("item_words", pa.int32()), ("similarity", pa.float64()), ("start_byte", pa.int64()), ("end_byte", pa.int64())])
+
+
+def _find(index: Index, last: bool):
+    """Adds a slice's hits to each row's; behind the last slice the texts go, and rows without a hit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not index.ids:
-            return
         for b in C.text_blocks(batches):
             data, offsets = C.buffers(C.column(b, "text"))
             w = words_of(data, offsets)
-            ids = C.column(b, "doc_id").to_pylist()
-            rows = []
-            for (row, item), starts in sorted(index.candidates(w).items()):
+            hits = C.column(b, "hits").to_pylist()
+            for (row, item), starts in sorted(index.candidates(w).items()) if index.ids else ():
                 got = index.verify(item, w, row, starts)
                 if got:
                     d, first, end = got
                     m = int(index.m[item])
                     at = int(offsets[row])
-                    rows.append((ids[row], index.ids[item], d, m, 1 - d / m, int(w.starts[first]) - at, int(w.ends[end - 1]) - at))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds, strict=True)], NAMES)
+                    hit = (index.ids[item], d, m, 1 - d / m, int(w.starts[first]) - at, int(w.ends[end - 1]) - at)
+                    hits[row].append(dict(zip((x.name for x in HIT), hit, strict=True)))
+            out = pa.array(hits, pa.list_(HIT))
+            if last:
+                some = pa.array(np.array([bool(x) for x in hits], bool))
+                yield pa.RecordBatch.from_arrays([C.column(b, "doc_id").filter(some), out.filter(some)], ["doc_id", "hits"])
+            else:
+                yield pa.RecordBatch.from_arrays([C.column(b, "doc_id"), C.column(b, "text"), out], ["doc_id", "text", "hits"])
 
     return run
 
 
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, text) and item (item_id, text) that it holds."""
+    """A row for each document (doc_id, text) and item (item_id, text) that it holds. The slices of the items run one behind the other over each
+    row: documents are read once."""
     spark = docs.sparkSession
     C.arrow_limits(spark)
-    out = spark.createDataFrame([], SCHEMA)
-    for part in _slices(items):
-        index = spark.sparkContext.broadcast(_index(part))
-        out = out.unionAll(docs.select("doc_id", C.text_bytes()).mapInArrow(lambda it, index=index: _find(index.value)(it), SCHEMA))
-    return out
+    kind = "array<struct<item_id:bigint,distance:int,item_words:int,similarity:double,start_byte:bigint,end_byte:bigint>>"
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes(), F.array().cast(kind).alias("hits"))
+    slices = _slices(items)
+    if not slices:
+        return spark.createDataFrame([], SCHEMA)
+    for i, part in enumerate(slices):
+        index, last = spark.sparkContext.broadcast(_index(part)), i == len(slices) - 1
+        packed = packed.mapInArrow(lambda it, index=index, last=last: _find(index.value, last)(it), f"doc_id long, {'' if last else 'text binary, '}hits {kind}")
+    return packed.select("doc_id", F.inline("hits"))
 
 
 def _clean(index: Index):

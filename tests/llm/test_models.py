@@ -174,6 +174,54 @@ def test_classifier_edges(spark):
     assert quality_classifier.score(clashing(spark), 1.0).count() == 2
 
 
+def test_votes_by_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = queries.table(spark, sf, "documents")
+    labels = queries.table(spark, sf, "labels").selectExpr("doc_id", "quality as label").where(~quality_classifier.held_out())
+    model = quality_classifier.fit(docs, labels, per_class=25)
+    assert np.bincount(model.y.astype(int)).max() <= 25
+    rows = {r.doc_id: r.score for r in quality_classifier.score(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        x = quality_classifier.terms(pa.RecordBatch.from_arrays([pa.array([(r.text or "").encode()], pa.binary())], ["text"]))
+        z = model.latent(quality_classifier.weighted(x, model.idf))[0]
+        cos = [round(float(sum(a * b for a, b in zip(z.tolist(), v.tolist(), strict=True))), quality_classifier.PLACES) for v in model.vectors]
+        near = sorted(range(len(cos)), key=lambda i: (-cos[i], i))[: quality_classifier.NEIGHBOURS]
+        w = [max(cos[i], 0) ** quality_classifier.POWER * model.weight[int(model.y[i])] + 1e-12 for i in near]
+        assert rows[r.doc_id] == pytest.approx(sum(a * model.y[i] for a, i in zip(w, near, strict=True)) / sum(w), abs=2e-3)
+
+
+def test_equal_neighbours_go_to_the_lower_position():
+    rng = np.random.default_rng(3)
+    one = np.abs(rng.standard_normal((1, quality_classifier.TERMS + quality_classifier.SHAPES))).astype(np.float32)
+    x, y = np.repeat(one, 60, 0), np.array([1] * 24 + [0] * 36)
+    model = quality_classifier.Model(x, y, (0.5, 0.5))
+    assert model.score(one)[0] == pytest.approx(1.0, abs=1e-6)
+    assert len(set(np.round(model.score(np.repeat(one, 700, 0)), 9))) == 1
+
+
+def test_counts_over_32_bits_are_kept():
+    for most in (3, 255, 256, 65_535, 1 << 16, (1 << 32) - 1, 1 << 32, 5 << 40):
+        c = np.array([1, most, 2], np.int64)
+        raw = np.frombuffer(b"x" + lm_score._narrow(c).tobytes(), np.uint8, offset=1)
+        assert lm_score._wide(raw, 3).tolist() == c.tolist()
+    assert len(lm_score._wide(np.zeros(0, np.uint8), 0)) == 0
+
+
+def test_no_document_that_holds_an_item_is_missed(spark, sf_dir):
+    """Every document against every item by the exact search."""
+    docs, items = (queries.table(spark, sf_dir, t).collect() for t in ("documents", "benchmark"))
+    index = decontaminate.Index([r.item_id for r in items], [r.text.encode() for r in items])
+    want = set()
+    for r in docs:
+        w = decontaminate.words_of(*C.buffers(pa.array([(r.text or "").encode()], pa.binary())))
+        tokens = w.hashes.tolist()
+        for i, item in enumerate(index.ids):
+            if index.best(i, tokens)[0] <= decontaminate.edits(int(index.m[i])):
+                want.add((r.doc_id, item))
+    assert want and {(r.doc_id, r.item_id) for r in queries.op1_decontamination(spark, sf_dir).collect()} == want
+    assert decontaminate.find(clashing(spark), spark.createDataFrame([(1, " ".join(f"beta{i}" for i in range(9)), "x")], "item_id long, text string, hits string")).count() == 1
+
+
 def test_transducer_is_the_library(spark, sf_dir):
     path = queries.piece_model()
     sp = token_counts.processor(path)
