@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import common as C
 
 #: More distinct owners than this make a candidate a copied example.
@@ -38,6 +39,7 @@ FURTHER = (
     ("private_key", PEM),
     ("opaque", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+"),
 )
+SPANS = "array<struct<start:int,kind:int,end:int,hash:string>>"
 KINDS = ("assign", "access", "hex", *(k for k, _ in FURTHER))
 PRIVATE_KEY = KINDS.index("private_key")
 #: In place of a hash: a candidate without a value to compare, which no owner shares with another.
@@ -56,33 +58,25 @@ def _body_hash(v: Column) -> Column:
 
 def _spans(text: Column, kind: int, pattern: str, keep=None, group: int = 0, hashed=_hashed) -> Column:
     """array<struct<start, kind, end, hash>> of the pattern's matches whose group passes keep, leftmost and without overlap."""
-    steps = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value")
-    )
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,kind:int,end:int,hash:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["pos"] + F.length(x["gap"])
-        end = at + F.coalesce(F.length(x["match"]), F.lit(0))
-        good = x["match"].isNotNull() & (keep(x["value"]) if keep else F.lit(True))
-        one = F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), hashed(x["value"]).alias("hash")))
-        return F.struct(end.alias("pos"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def one(x: Column, at: Column) -> Column:
+        return F.when(x["match"].isNotNull(), F.struct(at.alias("start"), (at + F.length(x["match"])).alias("end"), x["value"].alias("value")))
 
-    found = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(start["out"])
+    good = lambda e: e.isNotNull() & keep(e["value"]) if keep else e.isNotNull()
+    span = lambda e: F.struct(e["start"].alias("start"), F.lit(kind).alias("kind"), e["end"].alias("end"), hashed(e["value"]).alias("hash"))
+    return F.when(text.rlike(pattern), F.transform(F.filter(T.located(text, pattern, group, one), good), span).cast(SPANS)).otherwise(F.array().cast(SPANS))
 
 
 def _live_shape(v: Column) -> Column:
     return v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]")
 
 
-def scan(docs: DataFrame, owner: str = "source") -> DataFrame:
-    """doc_id, text_hash, owner, base and further candidates of each row."""
+def scan(docs: DataFrame, owner: str = "source", *kept: str) -> DataFrame:
+    """doc_id, owner, base and further candidates of each row, and its columns kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(_spans(text, 0, ASSIGN, lambda v: F.length(v) >= 12, 2), _spans(text, 1, ACCESS), _spans(text, 2, HEX))
     options = {"private_key": {"group": 2, "hashed": _body_hash}, "opaque": {"keep": _live_shape}}
     more = F.concat(*[_spans(text, 3 + i, p, **options.get(k, {})) for i, (k, p) in enumerate(FURTHER)])
-    found = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.array_sort(base).alias("base"), more.alias("_more"))
+    found = docs.select(*kept, "doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.array_sort(base).alias("base"), more.alias("_more"))
     found = found.withColumn("_keys", F.filter("_more", lambda m: m["kind"] == PRIVATE_KEY))
     meets = lambda spans, m: F.exists(spans, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
     apart = F.filter("_more", lambda m: (m["kind"] == PRIVATE_KEY) | ~(meets("base", m) | meets("_keys", m)))  # a key stays whole, whatever its body looks like
@@ -110,7 +104,7 @@ def judged(found: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
         F.collect_list(F.when(~F.col("copied") & (F.col("span.kind") >= 3), F.col("span"))).alias("_live"),
         F.sum(F.when(F.col("copied"), 0).otherwise(1)).alias("n_live"), F.sum(F.when(F.col("copied"), 1).otherwise(0)).alias("n_copied"),
     )
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,hash:string>>")
+    empty = F.array().cast(SPANS)
     out = found.join(seen, "_id", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("_live", empty))))
     return out.withColumn("n_live", F.coalesce("n_live", F.lit(0)).cast("long")).withColumn("n_copied", F.coalesce("n_copied", F.lit(0)).cast("long")).drop("_live")
 
@@ -128,12 +122,13 @@ def digests(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, owner: str = "source", mark: str = "[SECRET]", max_owners: int = MAX_OWNERS) -> DataFrame:
     """docs with each span of a secret replaced by mark, and n_chars (if there) counted anew; other columns as they are."""
-    with_spans = find(docs, owner, max_owners).where(F.size("spans") > 0).select("doc_id", "text_hash", "spans")
-    spans = with_spans.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("_spans"))  # equal texts have equal base spans
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "_spans")
-    kept = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    both = kept.join(spans, kept["doc_id"].eqNullSafe(spans["_doc"]) & (kept["_h"] == spans["_hash"]), "left")
-    text = F.col("text")
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), "doc_id", "text", F.col(owner).alias("_owner"))
+    found = C.written(scan(packed, "_owner", "_row").withColumn("_id", F.monotonically_increasing_id()), "candidates")
+    # base spans need no verdict: only rows with further candidates meet the table of verdicts
+    spans = judged(found.drop("_row"), max_owners).where(F.size("further") > 0).select("_id", "spans")
+    both = found.where(F.size("further") > 0).select("_id", "_row").join(spans, "_id").select("_row", F.col("spans").alias("_spans"))
+    both = both.unionByName(found.where(F.size("further") == 0).select("_row", F.col("base").alias("_spans")))
+    text = F.col("_row.text")
     start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
 
     def cut(acc: Column, s: Column) -> Column:
@@ -142,7 +137,7 @@ def redact(docs: DataFrame, owner: str = "source", mark: str = "[SECRET]", max_o
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
 
     new = F.aggregate("_spans", start, cut, lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1)))
-    out = both.withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(new))
+    changed = {"text": F.when(F.size("_spans") == 0, text).otherwise(new)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[out[f"`{c}`"] for c in docs.columns])
+        changed["n_chars"] = F.when(F.size("_spans") == 0, F.col("_row.n_chars")).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType))
+    return both.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

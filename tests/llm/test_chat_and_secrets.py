@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import re
@@ -109,3 +110,44 @@ def test_private_keys_are_told_apart_by_their_bodies(spark):
     cleaned = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
     assert [cleaned[i] for i in range(3)] == [f"é key {i}: [SECRET] end" for i in range(3)]
     assert cleaned[10] == texts[10] and cleaned[20] == "see [SECRET] there" and cleaned[30] == "cut [SECRET]\nthat was it" and cleaned[31] == cleaned[32] == "[SECRET]"
+
+
+def further(x, owner, seen):
+    """Further spans of a text by plain patterns: a candidate counts unless more than two owners have it. Collects (hash, owner) in seen."""
+    out = [(m.start(), 4, m.end(), re.sub(r"\s|\\[nr]", "", m[2]), False) for m in re.finditer(secret_scan.PEM.replace("*+", "*").replace("++", "+"), x)]
+    keys = [(a, z) for a, _, z, _, _ in out]
+    meets = lambda spans, a, z: any(s < z and a < e for s, e in spans)
+    taken = keys + [(s, e) for s, _, e in base(x)]
+    for kind, pattern in ((3, secret_scan.FURTHER[0][1]), (5, secret_scan.FURTHER[2][1].replace("}+", "}"))):
+        for m in re.finditer(pattern, x):
+            if (kind == 3 or all(re.search(p, m[0]) for p in ("[0-9]", "[a-z]", "[A-Z]"))) and not meets(taken, m.start(), m.end()):
+                out.append((m.start(), kind, m.end(), m[0], True))
+    for s, k, e in base(x):
+        m = ASSIGN.match(x, s) if k == 0 else None
+        seen[m[2] if m else x[s:e]].add(owner)
+    for _, _, _, value, _ in out:
+        seen[value].add(owner)
+    return out
+
+
+def test_further_spans_by_brute_force(spark, sf_dir):
+    docs = queries.table(spark, sf_dir, "documents").unionByName(spark.createDataFrame(secret_rows(), DOCS))
+    seen, found = collections.defaultdict(set), {}
+    for r in docs.collect():
+        found[r.doc_id] = (base(r.text or ""), further(r.text or "", r.source or "", seen))
+    got = {r.doc_id: r.spans for r in secret_scan.digests(secret_scan.find(docs)).collect()}
+    for doc, (b, f) in found.items():
+        want = sorted(b + [(s, k, e) for s, k, e, v, _ in f if v == "" or len(seen[v]) <= secret_scan.MAX_OWNERS])
+        assert got[doc] == ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in want), doc
+
+
+def test_a_text_with_very_many_matches(spark):
+    text = " ".join(f"{i:016x}" for i in range(30_000))
+    row = secret_scan.digests(secret_scan.find(spark.createDataFrame([(1, text, "en", "s", 0)], DOCS))).first()
+    assert row.n_hex == 30_000 and row.base_sha256 == hashlib.sha256(",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(30_000)).encode()).hexdigest()
+
+
+def test_a_very_long_turn(spark):
+    text = "### x </turn> é\\ " * 60_000
+    r = chat_format.digests(chat_format.format_conversations(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string"))).first()
+    assert r.loss_chars == len(text) and r.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()

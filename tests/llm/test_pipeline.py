@@ -2,7 +2,7 @@ import pytest
 
 from cloakstone.llm import decontaminate, queries
 
-from .util import DOCS, awkward, shingles
+from .util import DOCS, awkward, clashing, shingles
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -45,3 +45,5 @@ def test_each_stage_alone_keeps_awkward_rows_whole(spark, sf_dir):
     docs = spark.createDataFrame(awkward(), DOCS)
     for name, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs, sf_dir).schema == docs.schema, name
+        other = clashing(spark)
+        assert stage(spark, other, sf_dir).schema == other.schema, name
