@@ -15,42 +15,49 @@ from .readers.stage import read_names, register
 from .sources import chats, sinks
 from .sources.tables import written
 
-#: Reader: (text, expected (type, name)); {k} is the row's key.
+#: Reader: (text, expected (type, name)); {k} is the row's key. Invented samples.
 CASES: dict[str, tuple[str, list[tuple[str, str]]]] = {
-    "sql": ("SELECT p.vl_total_{k} FROM [srv-x-{k}].db_x_{k}.fin_{k}.tb_ped_{k} AS p JOIN dbo.tb_cli_{k} c ON c.id_c{k} = p.id_c{k} WHERE p.dt > '2026-01-01'", [("obj.column", "vl_total_{k}"), ("obj.server", "srv-x-{k}"), ("obj.database", "db_x_{k}"), ("obj.schema", "fin_{k}"), ("obj.table", "tb_ped_{k}"), ("obj.table", "tb_cli_{k}"), ("obj.column", "id_c{k}")]),
-    "error": ('ERROR:  relation "fin_{k}.tb_ped_{k}" does not exist', [("obj.schema", "fin_{k}"), ("obj.table", "tb_ped_{k}")]),
-    "connection": ("Server=srv-x-{k};Database=db_x_{k};User Id=svc_x_{k};Encrypt=True;", [("obj.server", "srv-x-{k}"), ("obj.database", "db_x_{k}"), ("obj.user", "svc_x_{k}")]),
-    "dsn": ('sql.Open("mysql", "svc_x_{k}:pw@tcp(db-x-{k}:3306)/vendas_{k}?parseTime=true")', [("obj.user", "svc_x_{k}"), ("obj.server", "db-x-{k}"), ("obj.database", "vendas_{k}")]),
-    "table": ("table_schema,table_name,column_name\nfin_{k},tb_ped_{k},vl_{k}\nfin_{k},tb_cli_{k},cd_{k}\n", [("obj.schema", "fin_{k}"), ("obj.table", "tb_ped_{k}"), ("obj.column", "vl_{k}"), ("obj.table", "tb_cli_{k}"), ("obj.column", "cd_{k}")]),
-    "schema": ("  id_x{k} bigint not null,\n  vl_x{k} decimal(10,2),\n", [("obj.column", "id_x{k}"), ("obj.column", "vl_x{k}")]),
-    "lists": ("tables: tb_a{k}, tb_b{k}, tb_c{k}", [("obj.table", "tb_a{k}"), ("obj.table", "tb_b{k}"), ("obj.table", "tb_c{k}")]),
-    "key-value": ("host: db-x-{k}.interno\ndatabase: vendas_{k}\ntable: fin_{k}.tb_{k}\nqueue: fila-{k}\n", [("obj.server", "db-x-{k}.interno"), ("obj.database", "vendas_{k}"), ("obj.schema", "fin_{k}"), ("obj.table", "tb_{k}"), ("obj.queue", "fila-{k}")]),
-    "address": ("aws s3 cp s3://bkt-{k}/carga_{k}/f.csv . && curl http://wiki-{k}/p", [("obj.bucket", "bkt-{k}"), ("obj.folder", "carga_{k}"), ("obj.server", "wiki-{k}")]),
-    "git": ("git clone git@github.com:org-{k}/repo-{k}.git", [("obj.organization", "org-{k}"), ("obj.repository", "repo-{k}")]),
-    "package": ('{"name": "@org-{k}/pkg-{k}", "version": "1.0.0"}', [("obj.organization", "org-{k}"), ("obj.package", "pkg-{k}")]),
-    "path": ("/home/user_{k}/projetos/cliente_{k}/main.go", [("obj.user", "user_{k}"), ("obj.folder", "cliente_{k}")]),
-    "system-path": ("ls /srv/dados_{k}/carga_{k}/f.csv", [("obj.folder", "dados_{k}"), ("obj.folder", "carga_{k}")]),
-    "network-user": ("ssh -p 2222 svc_{k}@db-x-{k} 'ls'", [("obj.user", "svc_{k}"), ("obj.server", "db-x-{k}")]),
-    "cloud": ("arn:aws:sqs:us-east-1:210987654321:fila-{k} e projects/proj-x-{k}/topics/top-{k}", [("obj.cloud_account", "210987654321"), ("obj.queue", "fila-{k}"), ("obj.cloud_account", "proj-x-{k}"), ("obj.queue", "top-{k}")]),
-    "cloud-url": ("https://conta{k}.blob.core.windows.net/x", [("obj.cloud_account", "conta{k}")]),
-    "code-name": ("bucket_name = 'bkt-{k}'", [("obj.bucket", "bkt-{k}")]),
-    "code-call": ("df = spark.read_table('fin_{k}.tb_{k}')", [("obj.schema", "fin_{k}"), ("obj.table", "tb_{k}")]),
-    "command-line": ("psql -h db-x-{k} -U svc_{k} -d vendas_{k}", [("obj.server", "db-x-{k}"), ("obj.user", "svc_{k}"), ("obj.database", "vendas_{k}")]),
-    "internal-ip": ("ping fd12:3456:789a:1::{k}", [("obj.server", "fd12:3456:789a:1::{k}")]),
-    "traceback": ('  File "/app/carga_{k}.py", line 3, in roda_{k}\n', [("obj.package", "carga_{k}"), ("obj.procedure", "roda_{k}")]),
-    "devops-yaml": ("apiVersion: apps/v1\nkind: Deployment\nmetadata:\n  name: svc-{k}\n  namespace: ns-{k}\n", [("obj.service", "svc-{k}"), ("obj.namespace", "ns-{k}")]),
-    "terraform": ('resource "aws_s3_bucket" "b" {\n  bucket = "bkt-{k}"\n}\n', [("obj.bucket", "bkt-{k}")]),
-    "bicep": ("resource s 'Microsoft.Storage/storageAccounts@2023-01-01' = {\n  name: 'conta{k}'\n", [("obj.cloud_account", "conta{k}")]),
-    "ansible-ini": ("[bancos]\nsrv-{k} ansible_user=svc_{k}\n", [("obj.server", "srv-{k}"), ("obj.user", "svc_{k}")]),
-    "jenkins": ("pipeline { agent { label 'runner-{k}' } }", [("obj.server", "runner-{k}")]),
-    "k8s-dns": ("conecte em pg-{k}.ns-{k}.svc.cluster.local:5432", [("obj.service", "pg-{k}"), ("obj.namespace", "ns-{k}")]),
-    "image": ("image: registry-{k}.interno/equipe-{k}/app-{k}:1.2", [("obj.server", "registry-{k}.interno"), ("obj.organization", "equipe-{k}"), ("obj.repository", "app-{k}")]),
-    "cli-output": ("$ kubectl get pods\nNAME        STATUS    AGE\npod-{k}   Running   3d\n", [("obj.service", "pod-{k}")]),
-    "field": ('{"NOM_CLIENTE": "Maria Lopes", "matricula": "M{k}99"}', [("name", "Maria Lopes"), ("user", "M{k}99")]),
-    "insert": ("INSERT INTO t (nome_cliente, matricula) VALUES ('Ana Lima', 'M{k}99')", [("name", "Ana Lima"), ("user", "M{k}99")]),
-    "xml-field": ("<matricula>M{k}99</matricula>", [("user", "M{k}99")]),
-    "pix-code": ("pague 00020126360014br.gov.bcb.pix0114+55119999900005204000053039865802BR5904Loja6005Praia62070503***6304{crc} hoje", [("pix", "00020126360014br.gov.bcb.pix0114+55119999900005204000053039865802BR5904Loja6005Praia62070503***6304{crc}")]),
-    "delimited": ("nome,matricula\nAna Lima,M{k}99\n", [("name", "Ana Lima"), ("user", "M{k}99")]),
+    "image": ("kind: worker\nimage: hub{k}.orchard.lan:5000/pressing-{k}/cider-api{k}:beta\n", [("obj.server", "hub{k}.orchard.lan"), ("obj.organization", "pressing-{k}"), ("obj.repository", "cider-api{k}")]),
+    "git": ("remote add fork git@forge-{k}.orchard.lan:millers{k}/grain-sorter{k}", [("obj.server", "forge-{k}.orchard.lan"), ("obj.organization", "millers{k}"), ("obj.repository", "grain-sorter{k}")]),
+    "k8s-dns": ("curl -s http://kiln{k}.pottery-{k}.svc:9090/healthz", [("obj.service", "kiln{k}"), ("obj.namespace", "pottery-{k}")]),
+    "sql": (
+        "UPDATE loom_{k}.warp_{k} w SET w.tension_n{k} = 4 FROM weft_{k} f WHERE f.spool_{k} = w.spool_{k}",
+        [("obj.schema", "loom_{k}"), ("obj.table", "warp_{k}"), ("obj.column", "tension_n{k}"), ("obj.table", "weft_{k}"), ("obj.column", "spool_{k}")],
+    ),
+    "error": ("sqlstate 42703: error, column \"glaze_{k}\" of table 'pots_{k}' not found", [("obj.column", "glaze_{k}"), ("obj.table", "pots_{k}")]),
+    "connection": ("mongodb://reader_{k}:qwe@grove-{k}/harvest_{k}?tls=true", [("obj.user", "reader_{k}"), ("obj.server", "grove-{k}"), ("obj.database", "harvest_{k}")]),
+    "dsn": ("$pdo = new PDO('pgsql:host=barn-{k};dbname=fodder_{k}', $u, $p);", [("obj.server", "barn-{k}"), ("obj.database", "fodder_{k}")]),
+    "table": ("owner|table_name|rows\nreeve_{k}|hives_{k}|12\nreeve_{k}|combs_{k}|90\n\nend", [("obj.user", "reeve_{k}"), ("obj.table", "hives_{k}"), ("obj.table", "combs_{k}")]),
+    "schema": ("hive_no{k}: string,\nhoney_kg{k}: double,\nqueen_seen{k}: boolean,\n", [("obj.column", "hive_no{k}"), ("obj.column", "honey_kg{k}"), ("obj.column", "queen_seen{k}")]),
+    "lists": ("topics = [swarm.in{k}, swarm.out{k}, swarm.dead{k}]", [("obj.queue", "swarm.in{k}"), ("obj.queue", "swarm.out{k}"), ("obj.queue", "swarm.dead{k}")]),
+    "key-value": (
+        "bootstrap.servers=quay{k}-a.dock.lan:9092,quay{k}-b.dock.lan:9092\ntopic.name = cargo-in-{k}\nconsumer_group: gulls-{k}\n",
+        [("obj.server", "quay{k}-a.dock.lan"), ("obj.server", "quay{k}-b.dock.lan"), ("obj.queue", "cargo-in-{k}"), ("obj.service", "gulls-{k}")],
+    ),
+    "address": ("gsutil ls gs://tide-{k}/charts_{k}/ ; open http://beacon-{k}.dock.intra/map", [("obj.bucket", "tide-{k}"), ("obj.folder", "charts_{k}"), ("obj.server", "beacon-{k}.dock.intra")]),
+    "package": ("<project><groupId>net.harbourco{k}.ferry{k}</groupId></project>", [("obj.package", "harbourco{k}"), ("obj.package", "ferry{k}")]),
+    "path": ("C:\\Users\\pilot{k}\\berths_{k}\\log.txt", [("obj.user", "pilot{k}"), ("obj.folder", "berths_{k}")]),
+    "system-path": ("tail -f /var/data/moorings_{k}/east{k}/today", [("obj.folder", "moorings_{k}"), ("obj.folder", "east{k}")]),
+    "network-user": ("rsync -a ./out keeper{k}@lamp-{k}:/tmp", [("obj.user", "keeper{k}"), ("obj.server", "lamp-{k}")]),
+    "cloud": ("see arn:aws:dynamodb:eu-west-3:90817263{k4}:table/ledger-{k}", [("obj.cloud_account", "90817263{k4}"), ("obj.table", "ledger-{k}")]),
+    "cloud-url": ("GET https://anvil{k}.vault.azure.net/keys", [("obj.cloud_account", "anvil{k}")]),
+    "code-name": ('const QUEUE_NAME = "sparks-{k}"; let x = 3', [("obj.queue", "sparks-{k}")]),
+    "code-call": ('frame.write.saveAsTable("forge_{k}.nails_{k}")', [("obj.schema", "forge_{k}"), ("obj.table", "nails_{k}")]),
+    "command-line": ("mysqldump -u smith{k} -h bellows-{k} --single-transaction", [("obj.user", "smith{k}"), ("obj.server", "bellows-{k}")]),
+    "internal-ip": ("route fd9c:77aa:12:{k4}::1 via eth1", [("obj.server", "fd9c:77aa:12:{k4}::1")]),
+    "traceback": ('Traceback\n  File "/code/quench_{k}.py", line 40, in cool_{k}\n    x()\n', [("obj.package", "quench_{k}"), ("obj.procedure", "cool_{k}")]),
+    "devops-yaml": ("kind: ServiceAccount\napiVersion: v1\nmetadata:\n  namespace: tannery-{k}\n  name: dyer-{k}\n", [("obj.namespace", "tannery-{k}"), ("obj.user", "dyer-{k}")]),
+    "terraform": ('resource "google_pubsub_topic" "t" {\n  name = "hides-{k}"\n  labels = {}\n}\n', [("obj.queue", "hides-{k}")]),
+    "bicep": ("resource vat 'Microsoft.Web/sites@2022-09-01' = {\n  name: 'soak-{k}'\n}", [("obj.service", "soak-{k}")]),
+    "ansible-ini": ("[vats]\nvat-{k}-1 ansible_host=tub{k}.tan.lan\n", [("obj.server", "vat-{k}-1"), ("obj.server", "tub{k}.tan.lan")]),
+    "jenkins": ("stage('x') { node('press-{k}') { sh 'true' } }", [("obj.server", "press-{k}")]),
+    "cli-output": ("me@box:~$ oc get namespaces\nNAME   PHASE   AGE\nsaddle-{k}   Active   9d\nharness-{k}   Active   9d\n", [("obj.namespace", "saddle-{k}"), ("obj.namespace", "harness-{k}")]),
+    "field": ("titular=Rosa Prado; cracha: Q{k}55", [("name", "Rosa Prado"), ("user", "Q{k}55")]),
+    "insert": ("insert into roster (login, nome_titular) values ('Q{k}55', 'Rosa Prado')", [("user", "Q{k}55"), ("name", "Rosa Prado")]),
+    "xml-field": ("<row><login>Q{k}55</login></row>", [("user", "Q{k}55")]),
+    "names-in-line": ("7;Rosa Prado;rosa.{k}@stall.dev;open\n", [("name", "Rosa Prado")]),
+    "pix-code": ("scan 00020101021126330014br.gov.bcb.pix0111314159265905204000053039865802BR5905Stall6006Olinda62070503***6304{crc} now", [("pix", "00020101021126330014br.gov.bcb.pix0111314159265905204000053039865802BR5905Stall6006Olinda62070503***6304{crc}")]),
+    "delimited": ("setor\tlogin\ttitular\nsul\tQ{k}55\tRosa Prado\n", [("user", "Q{k}55"), ("name", "Rosa Prado")]),
 }
 
 _CODE = CASES["pix-code"][1][0][1]
@@ -63,11 +70,12 @@ def _literal(s: str) -> str:
 
 
 def _sql(name: str) -> str:
-    return f"replace({_literal(name)}, '{{k}}', c_custkey::VARCHAR)" if "{k}" in name else _literal(name)
+    return f"replace(replace({_literal(name)}, '{{k}}', c_custkey::VARCHAR), '{{k4}}', (1000 + c_custkey % 9000)::VARCHAR)" if "{k" in name else _literal(name)
 
 
 def rows_of(spark, sf_dir, template: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", F.replace(F.lit(template), F.lit("{k}"), F.col("c_custkey").cast("string")).alias("text"))
+    key, four = F.col("c_custkey").cast("string"), (F.col("c_custkey") % 9000 + 1000).cast("string")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.replace(F.replace(F.lit(template), F.lit("{k}"), key), F.lit("{k4}"), four).alias("text"))
 
 
 def _reader_query(rule: str) -> None:

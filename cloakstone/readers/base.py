@@ -20,11 +20,15 @@ Reader = Callable[[str], Iterator[Name]]
 REGISTRY: dict[str, Reader] = {}
 
 
-def reader(name: str) -> Callable[[Reader], Reader]:
+#: Lower-case substrings of which a text must hold one before the reader runs; () for none.
+NEEDS: dict[str, tuple[str, ...]] = {}
+
+
+def reader(name: str, *needs: str) -> Callable[[Reader], Reader]:
     """Adds a reader to the stage; a user's own readers are added the same way."""
 
     def add(f: Reader) -> Reader:
-        REGISTRY[name] = f
+        REGISTRY[name], NEEDS[name] = f, needs
         return f
 
     return add

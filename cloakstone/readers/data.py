@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
 from .base import PUBLIC, Name, group, identifier, internal_host, ownerless, parts, public_host, reader
+from .tables import grids
 
 # Words of SQL that are no names.
 KEYWORDS = set(
@@ -17,10 +19,33 @@ KEYWORDS = set(
 )
 _PART = r"(?:\[[^\]\n]{1,128}\]|\"[^\"\n]{1,128}\"|`[^`\n]{1,256}`|[A-Za-z_À-ÿ#@][\w$#À-ÿ]{0,127}(?:-[\w]{1,60})*)"
 _QUALIFIED = rf"{_PART}(?:\.{_PART}){{0,3}}"
-_STATEMENT = re.compile(
-    r"\b(?:SELECT\b[\s\S]{1,4000}?\bFROM\b|INSERT\s+INTO\b|UPDATE\s+\S{1,300}\s+SET\b|DELETE\s+FROM\b|MERGE\s+INTO\b|(?:CREATE|ALTER|DROP|TRUNCATE)\s+(?:OR\s+REPLACE\s+)?(?:\w+\s+){0,3}?(?:TABLE|VIEW|INDEX|SCHEMA|DATABASE|PROCEDURE|PROC|FUNCTION)\b|EXEC(?:UTE)?\s+(?=[\w\[]+[._])|CALL\s+[\w.]+\s*\()",
+#: Where a statement begins; of a query and its common table expressions, a FROM must follow.
+_HEAD = re.compile(
+    r"\b(?:(?P<query>WITH\s+(?:RECURSIVE\s+)?[\w\"`\[\]]+\s*(?:\([^()]{0,500}\)\s*)?AS\s*(?:NOT\s+MATERIALIZED\s*|MATERIALIZED\s*)?\(|SELECT\b)|INSERT\s+INTO\b|UPDATE\s+\S{1,300}(?:\s+(?:AS\s+)?(?!SET\b)\w{1,60})?\s+SET\b|DELETE\s+FROM\b|MERGE\s+INTO\b|(?:CREATE|ALTER|DROP|TRUNCATE)\s+(?:OR\s+REPLACE\s+)?(?:\w+\s+){0,3}?(?:TABLE|VIEW|INDEX|SCHEMA|DATABASE|PROCEDURE|PROC|FUNCTION)\b|EXEC(?:UTE)?\s+(?=[\w\[]+[._])|CALL\s+[\w.]+\s*\()",
     re.I,
 )
+_FROM = re.compile(r"\bFROM\b", re.I)
+_HARD = re.compile(r";|\n\s*\n|\nGO\b")
+_STOP = re.compile(r";|\n\s*\n|\nGO\b|[\"']\s*[,)]")
+
+
+def _statements(s: str) -> Iterator[tuple[int, int]]:
+    """Places of statements, each up to its end whatever its length."""
+    froms, hards, stops = ([m.start() for m in p.finditer(s)] for p in (_FROM, _HARD, _STOP))
+    following = lambda places, at: places[k] if (k := bisect.bisect_left(places, at)) < len(places) else len(s)
+    done = 0
+    for m in _HEAD.finditer(s):
+        if m.start() < done:
+            continue
+        at = m.end()
+        if m["query"]:
+            at = following(froms, at)
+            if at >= following(hards, m.end()):
+                continue
+        done = following(stops, at)
+        yield m.start(), done
+
+
 _PLACE = re.compile(
     rf"\b(?P<kind>FROM|JOIN|INTO|UPDATE|USING|REFERENCES|TABLE(?:\s+IF\s+(?:NOT\s+)?EXISTS)?|VIEW(?:\s+IF\s+(?:NOT\s+)?EXISTS)?|ON(?=\s+{_QUALIFIED}\s*\()|EXEC(?:UTE)?|CALL|PROC(?:EDURE)?|FUNCTION|INDEX(?:\s+IF\s+NOT\s+EXISTS)?|DATABASE|SCHEMA)\s+(?P<name>{_QUALIFIED})",
     re.I,
@@ -42,20 +67,15 @@ def _prose(statement: str) -> bool:
     return not re.match(r"[A-Z]{4,}\b", statement)
 
 
-@reader("sql")
+@reader("sql", "select", "insert", "update", "delete", "merge", "create", "alter", "drop", "truncate", "exec", "call")
 def sql(s: str) -> Iterator[Name]:
     """Names by their position in a statement: four-part names, aliases and common table expressions apart; other identifiers are columns."""
-    done = 0
-    for m in _STATEMENT.finditer(s):
-        if m.start() < done:
-            continue
-        end = re.compile(r";|\n\s*\n|\nGO\b|[\"']\s*[,)]").search(s, m.end())
-        stop = done = end.start() if end else min(len(s), m.start() + 20_000)
-        body = s[m.start() : stop]
+    for begin, stop in _statements(s):
+        body = s[begin:stop]
         if _prose(body) or _SYSTEM.search(body):
             continue
         clean = _blanked(body)
-        ctes = {x.lower() for x in re.findall(r"(?i)(?:\bWITH\b|,)\s+(\w+)\s+AS\s*\(", clean)}
+        ctes = {x.lower() for x in re.findall(r"(?i)(?:\bWITH\b(?:\s+RECURSIVE\b)?|,)\s*(\w+)\s*(?:\([^()]{0,500}\)\s*)?AS\s*(?:NOT\s+MATERIALIZED\s*|MATERIALIZED\s*)?\(", clean)}
         used: list[tuple[int, int]] = []
         aliases = set()
         for p in _PLACE.finditer(clean):
@@ -67,9 +87,9 @@ def sql(s: str) -> Iterator[Name]:
             around = ["schema", "database", "server"] if last not in ("database", "schema") else ["database", "server"]
             a = p.start("name")
             if name[0] == "`" and "." in name:  # one quoted path
-                yield from parts(s, m.start() + a + 1, m.start() + a + len(name) - 1, [last, "schema", "cloud_account"])
+                yield from parts(s, begin + a + 1, begin + a + len(name) - 1, [last, "schema", "cloud_account"])
             else:
-                yield from parts(s, m.start() + a, m.start() + a + len(name), [last, *around])
+                yield from parts(s, begin + a, begin + a + len(name), [last, *around])
             used.append((a, a + len(name)))
             if after := re.match(r"(?i)\s+(?:AS\s+)?([A-Za-z_]\w{0,60})\b", clean[p.end("name") :]):
                 aliases.add(after[1].lower())
@@ -79,7 +99,7 @@ def sql(s: str) -> Iterator[Name]:
             free = not any(x < b and a < y for x, y in used)
             if free and not w["call"] and n.lower() not in KEYWORDS | PUBLIC | aliases | ctes and len(n) > 2 and (identifier(n) or clean[a] in '["`'):
                 shift = clean[a] in '["`'
-                yield Name(m.start() + a + shift, m.start() + b - shift, "column", False)
+                yield Name(begin + a + shift, begin + b - shift, "column", False)
 
 
 _ERRORS = (
@@ -94,7 +114,7 @@ _ERRORS = (
 @reader("error")
 def error(s: str) -> Iterator[Name]:
     """Quoted names of database errors; project:dataset of a warehouse."""
-    for line in re.finditer(r"[^\n]{1,2000}", s):
+    for line in re.finditer(r"[^\n]+", s):
         if not re.search(r"(?i)error|msg \d|does not exist|doesn't exist|not found|invalid|unknown|denied|cannot|violates", line[0]):
             continue
         for pattern, entities in _ERRORS:
@@ -114,7 +134,7 @@ _PAIR = re.compile(r"(?i)(?<![\w.])(" + "|".join(sorted(map(re.escape, _KEYS), k
 _URI = re.compile(r"(?i)\b(?:jdbc:)?(?:postgres(?:ql)?|mysql|mariadb|mongodb(?:\+srv)?|redis|rediss|sqlserver|mssql(?:\+\w+)?|oracle(?::thin)?|snowflake|clickhouse|cockroachdb|db2|hive2|trino|presto)(?:\+\w+)?:(?:@?//)(?:([\w.\-]{2,80})(?::[^\s@/]{0,200})?@)?([\w.\-]{2,200})(?::\d+)?(?:/([\w\-]{2,120}))?")
 
 
-@reader("connection")
+@reader("connection", "=", "://", "urn:li:", "{{", "jdbc:")
 def connection(s: str) -> Iterator[Name]:
     """Two pairs of different keys near each other, database URIs, TNS, dataset URNs, dbt references, connection ids."""
     pairs = [m for m in _PAIR.finditer(s)]
@@ -134,6 +154,11 @@ def connection(s: str) -> Iterator[Name]:
         if not public_host(m[2]):
             yield from group(m, 2, "server")
         yield from group(m, 3, "database")
+    for m in re.finditer(r"(?i)\bjdbc:oracle:(?:thin|oci8?):(?:([\w$.\-]{2,80})/[^\s@/]{0,200})?@(?:ldap:)?/{0,2}([\w.\-]{2,200}):\d{1,5}[:/]([\w$.\-]{2,120})", s):
+        yield from group(m, 1, "user")
+        if not public_host(m[2]):
+            yield from group(m, 2, "server")
+        yield from group(m, 3, "database")
     for m in re.finditer(r"(?i)\(\s*(HOST|SERVICE_NAME|SID)\s*=\s*([\w.\-]{2,120})\s*\)", s):
         yield from group(m, 2, "server" if m[1].upper() == "HOST" else "database")
     for m in re.finditer(r"urn:li:dataset:\(urn:li:dataPlatform:\w+,([\w.\-]{3,250}),", s):
@@ -145,7 +170,7 @@ def connection(s: str) -> Iterator[Name]:
         yield from group(m, 1, "service")
 
 
-@reader("dsn")
+@reader("dsn", "@tcp(", "mysql:", "pgsql:", "sqlsrv:", "oci:", "dblib:")
 def dsn(s: str) -> Iterator[Name]:
     for m in re.finditer(r"\b([\w.\-]{2,80}):[^@\s\"']{0,100}@tcp\(([\w.\-]{2,200})(?::\d+)?\)/([\w\-]{2,120})", s):
         yield from group(m, 1, "user")
@@ -159,6 +184,7 @@ def dsn(s: str) -> Iterator[Name]:
                     yield Name(m.start(1) + p.start(g), m.start(1) + p.end(g), entity)
 
 
+# Headers of catalogs and listings and the entity of the cells below them.
 _HEADERS = {
     "table_name": "table", "tablename": "table", "table": "table", "table_schema": "schema", "schemaname": "schema", "schema": "schema", "schema_name": "schema", "column_name": "column", "table_catalog": "database", "database": "database",
     "database_name": "database", "owner": "user", "tableowner": "user", "grantee": "user", "index_name": "index", "view_name": "table", "routine_name": "procedure", "procedure_name": "procedure", "server": "server", "host": "server",
@@ -166,52 +192,34 @@ _HEADERS = {
 }
 
 
-def _cells(line: str, sep: str, base: int) -> list[tuple[int, int]]:
-    out, i = [], 0
-    for piece in line.split(sep):
-        a = i + len(piece) - len(piece.lstrip())
-        out.append((base + a, base + max(a, i + len(piece.rstrip()))))
-        i += len(piece) + len(sep)
-    return out
+def _entities(heads: list[str]) -> list[str | None]:
+    """The entity of each column, or none at all if the header isn't a catalog's."""
+    low = [h.strip("\"'`* ").lower() for h in heads]
+    known = [_HEADERS.get(h) or ("table" if h.startswith("tables_in_") else None) for h in low]
+    if {"name", "type"} <= set(low):
+        known[low.index("name")] = "table" if "schema" in low else "column?"
+    elif {"field", "type"} <= set(low):
+        known[low.index("field")] = "column?"
+    sure = any("_" in h for h, k in zip(low, known, strict=True) if k) or {"schema", "name", "owner"} <= set(low) or "column?" in known
+    return known if sure else [None] * len(known)
 
 
-@reader("table")
+@reader("table", "_name", "name", "_schema", "_in_", "field", "owner", "_catalog", "grantee")
 def table(s: str) -> Iterator[Name]:
-    """Cells under catalog headers: separated by tab, |, comma or ;, or by bands of dashes; Tables_in_<database>."""
-    if s.count("\n") < 1:
-        return
-    lines = [(m.start(), m[0]) for m in re.finditer(r"[^\n]*", s) if m[0] or m.start() == 0]
-    for i, (base, line) in enumerate(lines[:-1]):
-        if m := re.search(r"Tables_in_([\w$]{2,100})", line):
-            yield Name(base + m.start(1), base + m.end(1), "database")
-        sep = next((x for x in ("\t", "|", ",", ";") if line.count(x) >= 1 and len(_cells(line, x, 0)) > 1), None)
-        bands = re.fullmatch(r"\s*-{3,}(?:\s+-{3,})*\s*", lines[i + 1][1])
-        if bands:
-            spans = [m.span() for m in re.finditer(r"-{3,}", lines[i + 1][1])]
-            heads = [line[a:b].strip().lower() for a, b in spans]
-        elif sep:
-            spans, heads = None, [s[a:b].strip("\"'`* ").lower() for a, b in _cells(line, sep, base)]
-        else:
-            continue
-        known = [_HEADERS.get(h) or ("table" if h.startswith("tables_in_") else None) for h in heads]
-        shaped = sum(k is not None and ("_" in h or len(heads) > 1) for h, k in zip(heads, known, strict=True))
-        if "name" in heads and "type" in heads and "schema" in heads:
-            known[heads.index("name")] = "table"
-        if not shaped or not any("_" in h for h, k in zip(heads, known, strict=True) if k) and not {"schema", "name", "owner"} <= set(heads):
-            continue
-        for base2, row in lines[i + 1 :]:
-            if not row.strip() or re.match(r"\(\d+ rows?", row.strip()):
-                break
-            if re.fullmatch(r"[\s+|:\-]*", row):
-                continue
-            cells = [(base2 + a, base2 + min(b, len(row))) for a, b in spans] if spans else _cells(row, sep, base2)
-            if not spans and len(cells) < len(heads):
-                break
-            for (a, b), entity in zip(cells, known, strict=False):
-                v = s[a:b].strip("\"'` ")
-                if entity and v and not ownerless(v) and " " not in v:
-                    at = s.index(v, a)
-                    yield Name(at, at + len(v), entity)
+    """Cells under catalog headers, in tables of any layout; a column of names beside one of data types; Tables_in_<database>."""
+    for m in re.finditer(r"Tables_in_([\w$]{2,100})", s):
+        yield Name(m.start(1), m.end(1), "database")
+    for grid in grids(s, lambda heads: sum(e is not None for e in _entities(heads)) if len(heads) > 1 or heads[0].lower().startswith("tables_in_") else 0):
+        entities = _entities(grid.heads)
+        if "column?" in entities:
+            at = next(i for i, h in enumerate(grid.heads) if h.lower() == "type")
+            typed = [bool(re.match(rf"(?i)(?:{_TYPES})\b", s[r[at][0] : r[at][1]])) for r in grid.rows if len(r) > at]
+            entities = [("column" if 2 * sum(typed) >= len(typed) else None) if e == "column?" else e for e in entities]
+        for row in grid.rows:
+            for (a, b), entity in zip(row, entities, strict=False):
+                v = s[a:b]
+                if entity and v and not ownerless(v) and " " not in v and v.lower() not in _HEADERS:
+                    yield Name(a, b, entity)
 
 
 _TYPES = r"(?:var)?char2?|n?varchar|text|string|(?:big|small|tiny)?int(?:eger)?|bigint|decimal|numeric|number|float|double|bool(?:ean)?|date|datetime2?|timestamp(?:tz)?|time|binary|varbinary|uuid|jsonb?|array|map|struct|long|short"

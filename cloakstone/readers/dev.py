@@ -100,6 +100,8 @@ def key_value(s: str) -> Iterator[Name]:
         v = value[1:-1] if quoted else value
         at = m.start(3) + quoted
         found = key_entity(key)
+        if key == "group" and re.fullmatch(r"[a-z][\w\-]*(?:\.[\w\-]+)+", v):  # a build's group id: the package reader's
+            continue
         if not found or key[0].isupper() and not key.isupper() and "_" not in key and not re.search(r"[a-z][A-Z]", key):
             continue
         spaced = " " in sep and "=" in sep
@@ -108,7 +110,7 @@ def key_value(s: str) -> Iterator[Name]:
         yield from _marked(at, v, *found)
     for pattern in (_JSON, _ATTRIBUTE, _ELEMENT, _QUOTED):
         for m in pattern.finditer(s):
-            found = key_entity(m[1])
+            found = None if m[1] == "group" and "." in m[2] else key_entity(m[1])
             if found and (identifier(m[2]) or found[0] == "server"):
                 yield from _marked(m.start(2), m[2], *found)
     for m in _OPTION.finditer(s):
@@ -126,7 +128,7 @@ def key_value(s: str) -> Iterator[Name]:
 _URL = re.compile(r"\b([a-z][a-z0-9+.\-]{1,15})://(?:([\w.\-]{1,80})(?::[^\s@/]{0,200})?@)?([\w.\-]{1,200})(?::\d+)?((?:/[^\s\"'<>`)\]},;]{0,500})?)")
 
 
-@reader("address")
+@reader("address", "://", ".internal", ".intra", ".interno", ".corp", ".lan")
 def address(s: str) -> Iterator[Name]:
     """URLs by scheme: buckets, containers, file systems, brokers, code hosts; internal hosts otherwise, also without a scheme."""
     for m in _URL.finditer(s):
@@ -180,7 +182,7 @@ def _repository(base: int, path: str) -> Iterator[Name]:
         yield Name(base + pieces[-1].start(), base + pieces[-1].end(), "repository")
 
 
-@reader("git")
+@reader("git", "git@")
 def git(s: str) -> Iterator[Name]:
     for m in re.finditer(r"\bgit@([\w.\-]{2,200}):([\w.\-]{1,100}(?:/[\w.\-]{1,100}){1,5})", s):
         if not public_host(m[1]):
@@ -188,7 +190,7 @@ def git(s: str) -> Iterator[Name]:
         yield from _repository(m.start(2), m[2])
 
 
-@reader("package")
+@reader("package", "module ", "groupid", "group", '"name"', "gradle")
 def package(s: str) -> Iterator[Name]:
     """Private modules, group ids and scopes."""
     for m in re.finditer(r"(?m)^module ([\w.\-]{3,100})/([\w.\-/]{1,200})$", s):
@@ -216,7 +218,7 @@ _HOMES = re.compile(r"(?<![\w.])(?:/home/|/Users/|[A-Za-z]:\\{1,2}Users\\{1,2})(
 _STOCK = {"public", "default", "runner", "ubuntu", "user", "shared", "all users", "ec2-user", "vagrant", "node", "app", "root", "circleci", "jovyan", "vscode"}
 
 
-@reader("path")
+@reader("path", "/home/", "/users/", "\\users")
 def path(s: str) -> Iterator[Name]:
     """The user and folders of home directories."""
     for m in _HOMES.finditer(s):
@@ -232,7 +234,7 @@ def path(s: str) -> Iterator[Name]:
                 yield Name(m.start(2) + p.start(), m.start(2) + p.end(), "folder", False)
 
 
-@reader("system-path")
+@reader("system-path", "/srv", "/opt", "/mnt", "/data", "/dados", "/var/", "/export", "\\\\")
 def system_path(s: str) -> Iterator[Name]:
     """Folders of data roots, and network shares."""
     for m in re.finditer(r"(?<![\w./:])/(?:srv|opt|mnt|data|dados|var/(?:www|data)|export)((?:/[\w.\-]{1,80}){1,10})/?", s):
@@ -245,7 +247,7 @@ def system_path(s: str) -> Iterator[Name]:
             yield Name(m.start(2), m.end(2), "folder", False)
 
 
-@reader("network-user")
+@reader("network-user", "\\", "ssh", "scp", "sftp", "rsync", "@")
 def network_user(s: str) -> Iterator[Name]:
     """DOMAIN\\user, ssh and scp targets, shell prompts."""
     for m in re.finditer(r"(?<![\w\\.])([A-Z][A-Z0-9\-]{2,15})\\{1,2}([a-z][\w.\-]{2,40})\b(?![\\(])", s):
@@ -266,7 +268,7 @@ _ARN = {"s3": "bucket", "sqs": "queue", "sns": "queue", "kinesis": "queue", "dyn
 _GCP = {"topics": "queue", "subscriptions": "queue", "datasets": "schema", "tables": "table", "buckets": "bucket", "instances": "server", "functions": "service", "services": "service", "clusters": "server", "repositories": "repository", "databases": "database"}
 
 
-@reader("cloud")
+@reader("cloud", "arn:aws", "/subscriptions/", "projects/")
 def cloud(s: str) -> Iterator[Name]:
     """Resource names of three clouds."""
     for m in re.finditer(r"\barn:aws[\w-]*:([a-z0-9\-]+):[a-z0-9\-]*:(\d{12})?:([^\s\"',;)\]}<>]{1,300})", s):
@@ -297,7 +299,7 @@ _MANAGED = re.compile(
 )
 
 
-@reader("cloud-url")
+@reader("cloud-url", "windows.net", "azure", "snowflakecomputing", "databricks", "amazonaws")
 def cloud_url(s: str) -> Iterator[Name]:
     """The client's label of managed hosts, queues by URL."""
     for m in _MANAGED.finditer(s):
@@ -313,7 +315,7 @@ def code_name(s: str) -> Iterator[Name]:
     """A literal assigned to, or passed as, a name that says what it is."""
     for m in re.finditer(r"\b([A-Za-z_]\w{1,60})\s*(?::=|=|:)\s*(?:[rbuf]{0,2})(?:\"([^\"\n]{3,200})\"|'([^'\n]{3,200})')", s):
         g = 2 if m[2] else 3
-        found = key_entity(m[1])
+        found = None if m[1] == "group" and "." in m[g] else key_entity(m[1])
         if found and identifier(m[g]):
             yield from _marked(m.start(g), m[g], found[0], found[1])
 
@@ -324,7 +326,7 @@ _CALLS = {
 }
 
 
-@reader("code-call")
+@reader("code-call", "(")
 def code_call(s: str) -> Iterator[Name]:
     """The first literal argument of a function that takes such a name."""
     for entity, names in _CALLS.items():
@@ -340,7 +342,7 @@ _CLI = {"h": "server", "S": "server", "d": "database", "D": "database", "U": "us
 @reader("command-line")
 def command_line(s: str) -> Iterator[Name]:
     """Short options of database clients (two different ones), and namespaces of cluster tools."""
-    for m in re.finditer(r"(?m)\b(psql|mysql|mysqldump|pg_dump|sqlcmd|bcp|mongosh?|mariadb)\b([^\n|;&]{3,400})", s):
+    for m in re.finditer(r"(?m)\b(psql|mysql|mysqldump|pg_dump|sqlcmd|bcp|mongosh?|mariadb)\b([^\n|;&]{3,})", s):
         options = list(re.finditer(r"(?<!\S)-([hSdDUu])[ =]?([\w.\-]{2,100})", m[2]))
         if len({o[1] for o in options}) >= 2:
             for o in options:
@@ -348,6 +350,8 @@ def command_line(s: str) -> Iterator[Name]:
                     yield Name(m.start(2) + o.start(2), m.start(2) + o.end(2), _CLI[o[1]])
     for m in re.finditer(r"\b(?:kubectl|helm|oc|istioctl)\b[^\n|;&]{0,300}?\s-n[ =]([\w\-]{2,63})", s):
         yield from group(m, 1, "namespace")
+    for m in re.finditer(r"\bhelm\s+(?:install|upgrade|uninstall|delete|rollback|status|history)\s+(?:(?:--?[\w\-]+)(?:=\S+)?\s+)*([a-z0-9][\w\-]{1,52})(?=\s|$)", s):
+        yield from group(m, 1, "service", identifier(m[1]))
     for m in re.finditer(r"\b(?:kubectl|oc)\s+(?:get|describe|delete|logs|edit|rollout \w+|exec)\s+(?:-\S+\s+)*(deploy(?:ment)?s?|svc|services?|pods?|po|statefulsets?|ns|namespaces?|cm|configmaps?)[/ ]([a-z0-9][\w\-]{2,100})", s):
         if identifier(m[2]):
             yield Name(m.start(2), m.end(2), "namespace" if m[1] in ("ns", "namespace", "namespaces") else "service")
@@ -368,7 +372,7 @@ def internal_ip(s: str) -> Iterator[Name]:
             yield from group(m, 1, "server")
 
 
-@reader("traceback")
+@reader("traceback", 'file "', "at ")
 def traceback(s: str) -> Iterator[Name]:
     """Modules, functions and folders of a client's frames; third-party frames stay."""
     for m in re.finditer(r"File \"([^\"\n]{3,300})\", line \d+, in ([\w<>]+)", s):
@@ -379,8 +383,13 @@ def traceback(s: str) -> Iterator[Name]:
             yield Name(m.start(1) + file.start(1), m.start(1) + file.end(1), "package", False)
         if identifier(m[2]) and "<" not in m[2] and not m[2].startswith("__"):
             yield Name(m.start(2), m.end(2), "procedure", False)
-    for m in re.finditer(r"(?m)^\s+at ((?:[a-z][\w]*\.){2,8})[A-Z]\w*\.\w+\(", s):
+    for m in re.finditer(r"(?m)^\s+at ((?:[a-z]\w*\.){2,8})([A-Z][\w$]*)\.([\w$]+|<init>)\(", s):
         if not re.match(r"(?:java|javax|jakarta|sun|jdk|scala|kotlin|org\.(?:apache|springframework|junit|hibernate)|com\.(?:sun|google|fasterxml)|io\.netty)\.", m[1]):
             for p in list(re.finditer(r"\w+", m[1]))[1:]:
                 if p[0] not in PUBLIC:
                     yield Name(m.start(1) + p.start(), m.start(1) + p.end(), "package", False)
+            outer = m[2].split("$")[0]
+            if identifier(outer):
+                yield Name(m.start(2), m.start(2) + len(outer), "package", False)
+            if identifier(m[3]) and m[3][0] != "<":
+                yield Name(m.start(3), m.end(3), "procedure", False)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 from ..functions.labels import field_value, label_class
 from .base import Name, reader
+from .tables import grids, split_cells
 
 _SEPARATOR = re.compile(r"([A-Za-zÀ-ÿ_][\wÀ-ÿ .\-/]{0,59}?)[\"'`]?[ \t]*(?:=>|(?<![:=!<>])[:=](?![:=/]))[ \t]*(?:[rbuf]{1,2}(?=[\"']))?(\"[^\"\n]{1,120}\"|'[^'\n]{1,120}'|`[^`\n]{1,120}`|[^\n\"'`,;|{}\[\]<>]{1,120})")
 
@@ -36,7 +37,7 @@ def _personal(near: str) -> bool:
     return any(_class(m[1]) not in ("", "name_loose", "email") for m in re.finditer(r"([A-Za-zÀ-ÿ_][\wÀ-ÿ\-]{0,40})[\"']?\s*[:=>]", near))
 
 
-@reader("field")
+@reader("field", ":", "=")
 def field(s: str) -> Iterator[Name]:
     """Labels and values; a name alone counts if its record (braces, or the line) has another personal field."""
     for m in _SEPARATOR.finditer(s):
@@ -64,7 +65,7 @@ def field(s: str) -> Iterator[Name]:
         yield from _mark(at, value, of_class)
 
 
-@reader("insert")
+@reader("insert", "insert")
 def insert(s: str) -> Iterator[Name]:
     """The column list of an INSERT labels each tuple's values."""
     for m in re.finditer(r"(?i)\binsert\s+into\s+[^\s(]{1,200}\s*\(([^)]{1,4000})\)\s*values\s*", s):
@@ -82,7 +83,7 @@ def insert(s: str) -> Iterator[Name]:
             at = tup.end()
 
 
-@reader("xml-field")
+@reader("xml-field", "</")
 def xml(s: str) -> Iterator[Name]:
     for m in re.finditer(r"<([\w:\-]{1,60})(?:\s[^<>]{0,200})?>([^<>\n]{1,120})</\1>", s):
         c = label_class(m[1])
@@ -92,33 +93,38 @@ def xml(s: str) -> Iterator[Name]:
             yield from _mark(m.start(2), m[2], c)
 
 
+def _classes(heads: list[str]) -> list[str]:
+    """The class of each column; a lone name counts beside another personal column."""
+    found = [label_class(h.strip("\"'`* ")) for h in heads]
+    personal = any(c not in ("", "name_loose", "email") for c in found)
+    return [("name" if personal else "") if c == "name_loose" else c for c in found]
+
+
 @reader("delimited")
 def delimited(s: str) -> Iterator[Name]:
-    """A header with a sensitive column labels the cells below it; a lone name counts beside another personal column."""
-    lines = [(m.start(), m[0]) for m in re.finditer(r"[^\n]+", s)]
-    i = 0
-    while i < len(lines) - 1:
-        base, line = lines[i]
-        sep = next((x for x in "\t|;," if line.count(x) and line.count(x) == lines[i + 1][1].count(x) or line.count(x) and set(lines[i + 1][1].strip()) <= set("|-: ")), None)
-        heads = [h.strip().strip("\"'`* ") for h in line.split(sep)] if sep else []
-        classes = [label_class(h) for h in heads]
-        sensitive = sum(c not in ("", "name_loose", "email") for c in classes)
-        if not sep or not any(c not in ("", "name_loose") for c in classes):
-            i += 1
+    """A header with a sensitive column labels the cells below it, in tables of any layout."""
+    for grid in grids(s, lambda heads: sum(c not in ("", "email") for c in _classes(heads)) if len(heads) > 1 else 0):
+        classes = _classes(grid.heads)
+        for row in grid.rows:
+            for (a, b), c in zip(row, classes, strict=False):
+                if c and a < b:
+                    yield from _mark(a, s[a:b], c)
+
+
+_PERSONAL_VALUE = re.compile(r"[\w.+\-]{1,64}@[\w\-]{1,63}(?:\.[\w\-]{1,63}){1,5}|(?<!\d)\d{3}\.\d{3}\.\d{3}-\d{2}(?!\d)|\(\d{2}\) ?9?\d{4}-?\d{4}(?!\d)")
+_FULL_NAME = re.compile(r"[A-ZÀ-Þ][a-zà-ÿ']{1,30}(?:[ ](?:d[aeo]s?|e|van|von|del?|la)){0,2}(?:[ ][A-ZÀ-Þ][a-zà-ÿ']{1,30}){1,5}")
+
+
+@reader("names-in-line", "@", ")", "-")
+def names_in_line(s: str) -> Iterator[Name]:
+    """In a delimited line without a header that holds a mail address, a personal number or a phone, a cell that is a full name."""
+    for m in re.finditer(r"[^\n]*[,;|\t][^\n]*", s):
+        if not _PERSONAL_VALUE.search(m[0]):
             continue
-        classes = [("name" if sensitive else "") if c == "name_loose" else c for c in classes]
-        j = i + 1
-        while j < len(lines) and sep in lines[j][1]:
-            base, row = lines[j]
-            at = base
-            for cell, c in zip(row.split(sep), classes, strict=False):
-                if c and not re.fullmatch(r"[\s\-:]*", cell):
-                    inner = cell.strip().strip("\"'")
-                    if inner:
-                        yield from _mark(at + cell.index(inner), inner, c)
-                at += len(cell) + 1
-            j += 1
-        i = j
+        sep = next(x for x in "\t;|," if x in m[0])
+        for a, b in split_cells(s, m.start(), m.end(), sep):
+            if _FULL_NAME.fullmatch(s, a, b):
+                yield Name(a, b, "=name")
 
 
 def describe(text: str, most: int = 262_144) -> list[tuple[str, str]]:
@@ -140,7 +146,7 @@ def crc16(data: str) -> int:
     return crc
 
 
-@reader("pix-code")
+@reader("pix-code", "000201")
 def pix_code(s: str) -> Iterator[Name]:
     """A payment code: fields of id, length and value from 000201 to the checksum in field 63, with the network's name in one of 26 to 51."""
     at = s.find("000201")

@@ -20,7 +20,7 @@ def _value(m: re.Match) -> tuple[int, str]:
     return (m.start(g), m[g]) if m[g] else (m.end(), "")
 
 
-@reader("devops-yaml")
+@reader("devops-yaml", "apiversion", "services:")
 def manifests(s: str) -> Iterator[Name]:
     """Manifests: apiVersion and kind decide; metadata names, references and hosts of each document."""
     for doc in re.finditer(r"(?:^|(?<=\n))(?!---)[\s\S]+?(?=\n---|\Z)", s):
@@ -70,26 +70,26 @@ def _compose(text: str, base: int, start: int) -> Iterator[Name]:
             yield Name(base + start + m.start(g), base + start + m.end(g), "server" if m[3] == "hostname" else "service", identifier(m[g]))
 
 
-@reader("terraform")
+@reader("terraform", "resource")
 def terraform(s: str) -> Iterator[Name]:
     """Names in typed blocks."""
     kinds = (("bucket|storage_container", "bucket"), ("db_|rds|sql_database|database", "database"), ("queue|topic|sqs|sns|pubsub|kinesis", "queue"), ("table", "table"), ("instance|vm|server|cluster", "server"), ("namespace|resource_group", "namespace"), ("user|service_account|role", "user"))
     for m in re.finditer(r"(?m)^[ ]*resource[ ]+\"([\w\-]+)\"[ ]+\"([\w\-]+)\"[ ]*\{", s):
         entity = next((e for k, e in kinds if re.search(k, m[1])), "service")
-        block = s[m.end() : m.end() + 4000]
-        stop = re.search(r"(?m)^\}", block)
-        for a in re.finditer(r"(?m)^[ ]*(name|bucket|identifier|cluster_name|function_name|table_name|account_id|namespace|database_name|queue_name|topic)[ ]*=[ ]*\"([^\"\n$]{2,200})\"", block[: stop.start()] if stop else block):
+        stop = s.find("\n}", m.end())
+        block = s[m.end() : stop if stop >= 0 else len(s)]
+        for a in re.finditer(r"(?m)^[ ]*(name|bucket|identifier|cluster_name|function_name|table_name|account_id|namespace|database_name|queue_name|topic)[ ]*=[ ]*\"([^\"\n$]{2,200})\"", block):
             if not placeholder(a[2]):
                 yield Name(m.end() + a.start(2), m.end() + a.end(2), {"namespace": "namespace", "bucket": "bucket", "table_name": "table", "account_id": "user"}.get(a[1], entity))
 
 
-@reader("bicep")
+@reader("bicep", "resource")
 def bicep(s: str) -> Iterator[Name]:
     for m in re.finditer(r"(?m)^resource[ ]+\w+[ ]+'([\w./]+)@[\d\-\w]+'[ ]*=[ ]*\{[^}]{0,300}?\bname:[ ]*'([\w.\-]{2,120})'", s):
         yield from group(m, 2, "cloud_account" if "storageAccounts" in m[1] else "service")
 
 
-@reader("ansible-ini")
+@reader("ansible-ini", "[")
 def ansible(s: str) -> Iterator[Name]:
     """Hosts under inventory sections."""
     section = ""
@@ -103,18 +103,19 @@ def ansible(s: str) -> Iterator[Name]:
                     yield Name(m.start(3) + v.start(2), m.start(3) + v.end(2), "server" if v[1] == "host" else "user")
 
 
-@reader("jenkins")
+@reader("jenkins", "label", "node", "runs-on", "pool", "environment")
 def ci(s: str) -> Iterator[Name]:
     """Runner labels of pipelines."""
+    pipeline = re.search(r"\b(?:pipeline|agent|stage)\b", s)
     for m in re.finditer(r"\b(?:label|node)\s*[( ]\s*['\"]([\w\-]{3,80})['\"]", s):
-        if re.search(r"\b(?:pipeline|agent|stage)\b", s) and identifier(m[1]):
+        if pipeline and identifier(m[1]):
             yield Name(m.start(1), m.end(1), "server", False)
     for m in re.finditer(r"(?m)^[ ]*(?:runs-on|pool|environment):[ ]*([\w\-]{3,80})[ ]*$", s):
         if identifier(m[1]) and not re.match(r"(?:ubuntu|windows|macos)-", m[1]):
             yield Name(m.start(1), m.end(1), "server", False)
 
 
-@reader("k8s-dns")
+@reader("k8s-dns", ".svc")
 def cluster_dns(s: str) -> Iterator[Name]:
     for m in re.finditer(r"\b([a-z0-9][\w\-]{0,62})\.([a-z0-9][\w\-]{0,62})\.svc(?:\.cluster\.local)?\b", s):
         if m[2] not in ("default", "kube-system") or m[1] != "kubernetes":
@@ -127,7 +128,7 @@ REGISTRIES = "docker.io registry.k8s.io k8s.gcr.io gcr.io ghcr.io quay.io mcr.mi
 OWNERS = "library bitnami prometheus grafana nginxinc hashicorp jetstack istio elastic confluentinc apache redis argoproj fluent".split()
 
 
-@reader("image")
+@reader("image", "image", "from ", "docker ")
 def image(s: str) -> Iterator[Name]:
     """Private registries and owners of container images."""
     for m in re.finditer(r"(?:\bimage:[ ]*[\"']?|\"image\"\s*:\s*\"|\bFROM[ ]+|\bdocker (?:pull|push|run)[ ]+(?:-\S+[ ]+)*)((?:[\w.\-]+(?::\d+)?/)+)([\w.\-]+)(?::[\w.\-]+)?", s):
@@ -149,12 +150,15 @@ def image(s: str) -> Iterator[Name]:
         yield from group(m, 2, "repository")
 
 
-@reader("cli-output")
+_LISTING = re.compile(r"\b(?:kubectl|oc|docker|helm|gcloud|az|aws)\s+(?:get|list|ls|ps|describe)?\s*([a-z]*)")
+
+
+@reader("cli-output", "kubectl", "oc ", "docker", "helm", "gcloud", "az ", "aws")
 def tool_output(s: str) -> Iterator[Name]:
     """Rows under an upper-case header, up to three lines below the command that prints it."""
     lines = [(m.start(), m[0]) for m in re.finditer(r"[^\n]+", s)]
     for i, (_, line) in enumerate(lines):
-        got = re.search(r"\b(?:kubectl|oc|docker|helm|gcloud|az|aws)\s+(?:get|list|ls|ps|describe)?\s*([a-z]*)", line)
+        got = _LISTING.search(line)
         if not got:
             continue
         for j in range(i + 1, min(i + 4, len(lines))):
@@ -163,10 +167,13 @@ def tool_output(s: str) -> Iterator[Name]:
                 continue
             named = {"NAME": "namespace" if got[1] in ("ns", "namespace", "namespaces") else "service", "NAMESPACE": "namespace", "NODE": "server", "NAMES": "service", "CLUSTER": "server"}
             for base, row in lines[j + 1 :]:
-                if re.match(r"[$#>]|\S+@\S+[:~]", row):
+                if re.match(r"[$#>]|\S+@\S+[:~]", row) or _LISTING.search(row):
                     break
                 for h in heads:
-                    m = re.compile(r"\S+").match(row, h.start()) if h.start() < len(row) else None
+                    at = h.start()
+                    while 0 < at < len(row) and not row[at - 1].isspace():
+                        at -= 1
+                    m = re.compile(r"\S+").match(row, at) if at < len(row) else None
                     if m and h[0] in named and identifier(m[0]) and not ownerless(m[0]):
                         yield Name(base + m.start(), base + m.end(), named[h[0]], False)
             break

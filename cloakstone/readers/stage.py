@@ -1,4 +1,4 @@
-"""One Arrow stage that runs the enabled readers over each text and gives their names as findings."""
+"""One Arrow stage that runs the enabled readers over each whole text and gives their names as findings."""
 
 from __future__ import annotations
 
@@ -14,8 +14,6 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from ..functions import text as T
 from . import base, data, dev, fields, ops
 
-#: Longer texts are read in pieces of this size, with a margin on both sides.
-PIECE, MARGIN = 48_000, 8_000
 _FINDING = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("real", pa.string()), ("rule", pa.string()), ("strong", pa.bool_())])
 DEFAULT = tuple(base.REGISTRY)
 __all__ = ["DEFAULT", "data", "dev", "fields", "find_names", "ops", "read_names", "visible"]
@@ -76,19 +74,20 @@ def find_names(text: str, readers: tuple[str, ...] = DEFAULT, objects: bool = Tr
 
 
 def _read(text: str, clean: str, places: Places | None, readers: tuple[str, ...], objects: bool, found: dict[tuple, tuple]) -> None:
-    for a in range(0, max(1, len(clean)), PIECE):
-        low, high = max(0, a - MARGIN), min(len(clean), a + PIECE + MARGIN)
-        piece = clean[low:high] if high - low < len(clean) else clean
-        for rule in readers:
-            for n in base.REGISTRY[rule](piece):
-                start, end = low + n.start, low + n.end
-                if not a <= start < a + PIECE or n.end <= n.start:
-                    continue
-                if places:
-                    start, end = places[start], places[end - 1] + 1
-                kind = n.entity[1:] if n.entity[0] == "=" else "obj." + n.entity
-                if objects or kind[:4] != "obj.":
-                    found.setdefault((start, end, kind), (start, end, kind, text[start:end], rule, n.strong))
+    low = clean.lower()
+    for rule in readers:
+        needs = base.NEEDS.get(rule)
+        if needs and not any(x in low for x in needs):
+            continue
+        for n in base.REGISTRY[rule](clean):
+            start, end = n.start, n.end
+            if end <= start:
+                continue
+            if places:
+                start, end = places[start], places[end - 1] + 1
+            kind = n.entity[1:] if n.entity[0] == "=" else "obj." + n.entity
+            if objects or kind[:4] != "obj.":
+                found.setdefault((start, end, kind), (start, end, kind, text[start:end], rule, n.strong))
 
 
 def read_names(df: DataFrame, text: str = "text", readers: tuple[str, ...] = DEFAULT, into: str = "names") -> DataFrame:

@@ -9,7 +9,7 @@ from cloakstone.catalog_readers import CASES
 from cloakstone.operators import audit, conversation
 from cloakstone.operators.mask import _replace, restore
 from cloakstone.readers.fields import describe, recovery_phrase
-from cloakstone.readers.stage import PIECE, find_names, read_names, visible
+from cloakstone.readers.stage import find_names, read_names, visible
 from cloakstone.sources import chats
 from cloakstone.streaming.unmask import Chunks, unmask_stream, windowed_audit
 
@@ -24,9 +24,10 @@ NOTHING = [
 @pytest.mark.parametrize("rule", CASES)
 def test_reader(rule):
     text, expected = CASES[rule]
-    text = text.replace("{k}", "7")
+    filled = lambda x: x.replace("{k4}", "1007").replace("{k}", "7")
+    text = filled(text)
     found = find_names(text, (rule,))
-    assert {(t, n.replace("{k}", "7")) for t, n in expected} == {(f[2], f[3]) for f in found}
+    assert {(t, filled(n)) for t, n in expected} == {(f[2], f[3]) for f in found}
     assert all(text[f[0] : f[1]] == f[3] for f in found)
 
 
@@ -35,17 +36,87 @@ def test_no_names(text):
     assert find_names(text) == []
 
 
-def test_names_do_not_depend_on_the_cut_or_on_escapes():
+def test_names_far_into_a_text_and_behind_escapes():
     line = "host: db-x-1.interno\n"
     text = "".join(f"note {i} about nothing\n" for i in range(6000))
-    assert len(text) > 2 * PIECE
-    for at in (0, PIECE - 7, PIECE + 3, len(text)):
+    for at in (0, 47_000, 90_000, len(text)):
         at = text.rfind("\n", 0, at) + 1
         got = find_names(text[:at] + line + text[at:], ("key-value",))
         assert [(f[0], f[3]) for f in got] == [(at + 6, "db-x-1.interno")]
     assert [(f[0], f[3]) for f in find_names("\x1b[32mhost:\x1b[0m db-x-1.interno", ("key-value",))] == [(15, "db-x-1.interno")]
 
 
+def test_a_header_holds_for_its_whole_table():
+    n = 6000
+    catalog = "table_schema,table_name,column_name\n" + "".join(f"herd_{i % 9},ewes_{i},wool_g{i}\n" for i in range(n))
+    assert len(catalog) > 150_000 and len({f[3] for f in find_names(catalog, ("table",)) if f[2] == "obj.table"}) == n
+    people = "login\tsetor\n" + "".join(f"QX{i}Z\tsul\n" for i in range(20_000))
+    assert len({f[3] for f in find_names(people, ("delimited",)) if f[2] == "user"}) == 20_000
+    manifest = "apiVersion: v1\nkind: Config\nitems:\n" + "".join(f"- namespace: fold-{i}\n" for i in range(5000))
+    assert len({f[3] for f in find_names(manifest, ("devops-yaml",))}) == 5000
+    query = "SELECT " + ", ".join(f"wool_g{i}" for i in range(4000)) + " FROM herd_7.ewes_7 WHERE " + " AND ".join(f"shorn_{i} = 1" for i in range(4000))
+    assert {"herd_7", "ewes_7", "wool_g3999", "shorn_3999"} <= {f[3] for f in find_names(query, ("sql",))}
+    line = "error: " + "x " * 3000 + 'relation "herd_9.rams_9" does not exist'
+    assert {f[3] for f in find_names(line, ("error",))} == {"herd_9", "rams_9"}
+    block = 'resource "aws_sqs_queue" "q" {\n' + "".join(f"  tag{i} = 1\n" for i in range(900)) + '  name = "shear-9"\n}\n'
+    assert {f[3] for f in find_names(block, ("terraform",))} == {"shear-9"}
+
+
+LAYOUTS = {
+    "frame": "   table_name  table_schema\n0  ewe_pens7   fold_north7\n1     rams_7  fold_south7\n",
+    "short frame": "   table_name  table_schema\n0  ewe_pens7   fold_north7\n..       ...           ...\n9     rams_7  fold_south7\n\n[10 rows x 2 columns]\n",
+    "box": "┌────────────┬──────────────┐\n│ table_name ┆ table_schema │\n│ ---        ┆ ---          │\n│ str        ┆ str          │\n╞════════════╪══════════════╡\n│ ewe_pens7  ┆ fold_north7  │\n│ rams_7     ┆ fold_south7  │\n└────────────┴──────────────┘\n",
+    "tibble": "# A tibble: 2 × 2\n  table_name table_schema\n  <chr>      <chr>\n1 ewe_pens7  fold_north7\n2 rams_7     fold_south7\n",
+    "html": "<TABLE><tr class=h><th>table_name</th><th><b>table_schema</b></th></tr>\n<tr><td>ewe_pens7</td><td> fold_north7 </td></tr><tr><td>rams_7</td><td>fold_south7</td></tr></TABLE>",
+    "tuples": "('table_name', 'table_schema')\n('ewe_pens7', 'fold_north7')\n('rams_7', 'fold_south7')\n",
+    "list of lists": '[["table_name","table_schema"],["ewe_pens7","fold_north7"],["rams_7","fold_south7"]]',
+    "records": "-[ RECORD 1 ]+------------\ntable_name   | ewe_pens7\ntable_schema | fold_north7\n-[ RECORD 2 ]+------------\ntable_name   | rams_7\ntable_schema | fold_south7\n",
+    "rows": "********** 1. row **********\n  table_name: ewe_pens7\ntable_schema: fold_north7\n********** 2. row **********\n  table_name: rams_7\ntable_schema: fold_south7\n",
+    "semicolons": "table_name;table_schema\r\newe_pens7;fold_north7\r\nrams_7;fold_south7\r\n",
+    "quoted commas": 'note,table_name,table_schema\n"a, b",ewe_pens7,fold_north7\n"c, d","rams_7","fold_south7"\n',
+    "bars": "| table_name | table_schema |\n|:--|--:|\n| `ewe_pens7` | fold_north7 |\n| rams_7 | fold_south7 |\n",
+    "dashes": "table_name           table_schema\n-------------------- ------------\newe_pens7            fold_north7\nrams_7               fold_south7\n\n(2 rows affected)\n",
+    "fixed width": "TABLE_NAME    TABLE_SCHEMA\newe_pens7     fold_north7\nrams_7        fold_south7\n",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_table_layouts(layout):
+    want = {("obj.table", "ewe_pens7"), ("obj.schema", "fold_north7"), ("obj.table", "rams_7"), ("obj.schema", "fold_south7")}
+    text = "the result:\n\n" + LAYOUTS[layout] + "\nthat was all, thanks\n"
+    found = find_names(text, ("table",))
+    assert {(f[2], f[3]) for f in found} == want and all(text[f[0] : f[1]] == f[3] for f in found)
+
+
+def test_tables_of_names_and_types():
+    for text in ("+---------+--------------+\n| Field   | Type         |\n+---------+--------------+\n| wool_g7 | decimal(9,2) |\n| ewe_no7 | int          |\n", "name    | type   | null?\n--------+--------+------\nwool_g7 | NUMBER | N\newe_no7 | BIGINT | Y\n"):
+        assert {(f[2], f[3]) for f in find_names(text, ("table",))} == {("obj.column", "wool_g7"), ("obj.column", "ewe_no7")}
+    assert find_names("name | type | size\nApple | fruit | big\nLeek | plant | long\n") == []
+
+
+def test_personal_tables():
+    both = {("cpf", "314.159.265-90"), ("name", "Rosa Prado"), ("cpf", "529.982.247-25"), ("name", "Davi de Melo")}
+    for text in (
+        "nome completo  cpf             setor\nRosa Prado     314.159.265-90  sul\nDavi de Melo   529.982.247-25  norte\n", "<tr><th>nome</th><th>cpf</th></tr><tr><td>Rosa Prado</td><td>314.159.265-90</td></tr><tr><td>Davi de Melo</td><td>529.982.247-25</td></tr>",
+        "| cpf | titular |\n|---|---|\n| 314.159.265-90 | Rosa Prado |\n| 529.982.247-25 | Davi de Melo |\n", "[('nome', 'cpf'), ('Rosa Prado', '314.159.265-90'), ('Davi de Melo', '529.982.247-25')]",
+    ):
+        assert {(f[2], f[3]) for f in find_names(text, ("delimited",))} == both, text
+    assert {(f[2], f[3]) for f in find_names("12,Rosa Prado,rosa@stall.dev\n", ("names-in-line",))} == {("name", "Rosa Prado")}
+    assert find_names("12,Rosa Prado,blue\nPaid, World Cup, yes\n", ("names-in-line", "delimited")) == []
+
+
+MORE = [
+    ("WITH recent_x1 AS (SELECT gate_n1 FROM dock.crates_1), last_x2 AS (SELECT 1 FROM recent_x1) SELECT * FROM recent_x1 JOIN last_x2 z ON z.gate_n1 = recent_x1.gate_n1", {("schema", "dock"), ("table", "crates_1"), ("column", "gate_n1")}),
+    ("helm upgrade --install barge-r7 ./c -n pier-7", {("service", "barge-r7"), ("namespace", "pier-7")}), ("group = 'net.dockco7.ferry7'\nversion = '1'\n", {("package", "dockco7"), ("package", "ferry7")}),
+    ("    at net.dockco.tolls.FerryClerk.countFares(FerryClerk.java:9)\n", {("package", "dockco"), ("package", "tolls"), ("package", "FerryClerk"), ("procedure", "countFares")}), ("jdbc:oracle:thin:clerk_7/pw@wharf-7:1521/TOLLS7", {("user", "clerk_7"), ("server", "wharf-7"), ("database", "TOLLS7")}),
+]
+
+
+@pytest.mark.parametrize("text,names", MORE)
+def test_names_of_other_shapes(text, names):
+    assert {(f[2][4:], f[3]) for f in find_names(text)} == names
+
+
 def test_long_lines_take_linear_time():
     for unit in ("a=b ", "SELECT ", "host=", "/home/a/", "x.y.", '"a": ', "((((", "<a>"):
         began = time.process_time()
