@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import ids
 from .functions import text as T
 from .functions import validators as V
-from .operators import audit, columns, detect, known, mask
+from .operators import audit, columns, corpus, detect, known, mask
 from .plans import sql as Q
 from .plans.config import Config
 from .sources.tables import spread, written
@@ -39,9 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.mask_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), TEST_KEY, config=OPEN, order=("doc_id",))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masked documents with the number of replacements."""
-    return mask.mask(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), TEST_KEY, config=OPEN).select("doc_id", "text", "n_replacements")
+    """Documents masked by all parts (detectors, readers, learned values), with the number of replacements."""
+    return _all_parts(spark, sf_dir).select("doc_id", "text", "n_replacements")
 
 
 def queries() -> dict[str, Query]:
@@ -180,7 +184,7 @@ def pseudonymize_object(spark, sf_dir):
 
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(mask.mask(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), TEST_KEY, config=OPEN), "masked")
+    return written(_all_parts(spark, sf_dir), "masked")
 
 
 @query("SELECT doc_id, true AS same FROM documents")
@@ -195,7 +199,7 @@ def roundtrip_exact(spark, sf_dir):
 def mask_idempotent(spark, sf_dir):
     """Masking masked documents changes nothing."""
     once = _masked(spark, sf_dir).select("doc_id", "text", F.col("text").alias("first"))
-    return mask.mask(once, TEST_KEY, config=OPEN).select("doc_id", (F.col("text") == F.col("first")).alias("same"))
+    return corpus.mask_corpus(once, TEST_KEY, config=OPEN).select("doc_id", (F.col("text") == F.col("first")).alias("same"))
 
 
 @query()

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import catalog
 from .catalog import query, table
-from .operators import conversation, known, mask
+from .operators import conversation, corpus, known, mask
+from .plans import sql as Q
 from .readers.fields import crc16
 from .readers.stage import read_names, register
 from .sources import chats, sinks
@@ -265,3 +266,64 @@ def quarantined_rows(spark, sf_dir):
     e = F.struct(F.lit(1).alias("start"), F.when(F.col("o_orderkey") % 10 == 0, 99).otherwise(2).alias("end"), F.lit("t").alias("type"), F.lit("P").alias("pseudo"), F.lit("b").alias("real"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("abc").alias("text"), F.array(e).alias("edits"))
     return mask.quarantined(rows.withColumn("text", mask.spliced(F.col("text"), F.col("edits"))), "o_orderkey")[1]
+
+
+# --- all parts together -------------------------------------------------------------------------------------------------------------------------
+
+
+def _parted(spark, sf_dir, *templates: str) -> DataFrame:
+    """c_custkey, part, text: each template as a text of its own."""
+    texts = None
+    for i, t in enumerate(templates):
+        one = rows_of(spark, sf_dir, t).withColumn("part", F.lit(i))
+        texts = one if texts is None else texts.unionByName(one)
+    return texts
+
+
+def _object_sql(prefix: str, domain: str, name: str) -> str:
+    return f"'{prefix}_' || {Q.keyed_id(catalog.TEST_KEY.secret, 'objeto', f"'{domain}' || chr(0) || {name}")}"
+
+
+_BARREL = "'barrel-' || c_custkey || 'x'"
+
+
+@query(f"""
+SELECT c_custkey, 0 AS part, 'queue: ' || {_object_sql("top", "fila", _BARREL)} || chr(10) AS text FROM customer
+UNION ALL SELECT c_custkey, 1, 'please drain ' || {_object_sql("top", "fila", _BARREL)} || ' today' FROM customer
+UNION ALL SELECT c_custkey, 2, 'a barrel and a queue' FROM customer""")
+def mask_corpus_names(spark, sf_dir):
+    """A name that a reader finds in one text is masked in others, where nothing but its spelling tells."""
+    texts = _parted(spark, sf_dir, "queue: barrel-{k}x\n", "please drain barrel-{k}x today", "a barrel and a queue")
+    return corpus.mask_corpus(texts, catalog.TEST_KEY, order=("c_custkey", "part")).select("c_custkey", "part", "text")
+
+
+_COLUMN = "'tension_n' || c_custkey"
+
+
+@query(f"""
+SELECT c_custkey AS conv, 0 AS part, 'what is ' || {_object_sql("c", "coluna", _COLUMN)} || ' for?' AS text FROM customer
+UNION ALL SELECT -c_custkey, 0, 'what is tension_n' || c_custkey || ' for?' FROM customer""")
+def mask_corpus_memory(spark, sf_dir):
+    """A column's name counts in the conversation that brought it, and in no other."""
+    k = F.col("c_custkey")
+    first = rows_of(spark, sf_dir, "SELECT tension_n{k} FROM warp_9 WHERE spool_9 = 1").select(k.alias("conv"), F.lit(-1).alias("part"), "text")
+    later = rows_of(spark, sf_dir, "what is tension_n{k} for?").select(F.explode(F.array(k, -k)).alias("conv"), F.lit(0).alias("part"), "text")
+    out = corpus.mask_corpus(first.unionByName(later), catalog.TEST_KEY, scope="conv", order=("conv", "part"))
+    return out.where("part = 0").select("conv", "part", "text")
+
+
+@query(f"""SELECT c_custkey, 'ask Person ' || {Q.keyed_id(catalog.TEST_KEY.secret, 'email', "'p' || (c_custkey % 26) || '@stall.dev'")} || ' or USER-' || {Q.keyed_id(catalog.TEST_KEY.secret, 'email', "'p' || (c_custkey % 26) || '@stall.dev'")} || ' now' AS text FROM customer""")
+def mask_corpus_people(spark, sf_dir):
+    """Registered people by name and by code, under one id for each."""
+    people = spark.range(26).select(F.concat(F.lit("Rosa Prado "), F.char(F.col("id") + 65), F.lit("x")).alias("name"), F.concat(F.lit("p"), "id", F.lit("@stall.dev")).alias("email"), F.concat(F.lit("QX"), "id", F.lit("Z")).alias("code"))
+    texts = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("ask Rosa Prado "), F.char(F.col("c_custkey") % 26 + 65), F.lit("x or QX"), F.col("c_custkey") % 26, F.lit("Z now")).alias("text"))
+    return corpus.mask_corpus(texts, catalog.TEST_KEY, registry=known.import_people(people, catalog.TEST_KEY), order=("c_custkey",)).select("c_custkey", "text")
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def mask_corpus_roundtrip(spark, sf_dir):
+    """Conversations' and documents' texts as one corpus, masked by all parts and put back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\nhost: relay-"), F.col("doc_id").cast("string"), F.lit(".dock.lan\nlink to relay-"), (F.col("doc_id") + 1).cast("string"), F.lit(".dock.lan\n")).alias("text"))
+    masked = written(corpus.mask_corpus(docs, catalog.TEST_KEY, config=catalog.OPEN, order=("doc_id",)), "masked")
+    back = mask.unmask(masked.select("doc_id", "text"), mask.reverse_table(mask.mapping(masked, "doc_id"), "doc_id"), "doc_id")
+    return back.join(docs.withColumnRenamed("text", "source"), "doc_id").select("doc_id", (F.col("text") == F.col("source")).alias("same"))

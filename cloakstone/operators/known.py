@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
+from ..sources.tables import written
+from . import graph
 
 # Types whose values are remembered, and entities whose names apply outside their place.
 CONTEXTUAL = ("account", "birthdate", "card", "cep", "cnh", "cnpj", "cpf", "doc", "phone", "pis", "pix", "rg", "secret", "user")
@@ -116,8 +118,8 @@ def registrable_label(domain: Column) -> Column:
 
 
 def import_people(people: DataFrame, key: ids.Key) -> DataFrame:
-    """kind (name, email, code), hash, person of each identifier of a table (name, email, code): identifiers of one record are one person, and a record's
-    person is the least id that any of its identifiers has. Full name, and first with last name, both count."""
+    """kind (name, email, code), hash, person of each identifier of a table (name, email, code): identifiers of one record are one person, and so are
+    records that share any; a person's id is the least of its mail addresses, else of its identifiers. Full name, and first with last name, both count."""
     norm = T.norm_name(F.col("name"))
     words = F.split(norm, " ")
     short = F.when(F.size(words) > 2, F.concat_ws(" ", F.get(words, F.lit(0)), F.element_at(words, -1)))
@@ -127,11 +129,13 @@ def import_people(people: DataFrame, key: ids.Key) -> DataFrame:
     )
     rows = people.withColumn("_record", F.xxhash64("name", "email", "code")).select("_record", F.inline(pairs)).where("v is not null and trim(v) <> ''")
     each = rows.select("_record", "kind", key.id(F.col("d"), F.col("v")).alias("hash"))
-    least = each.groupBy("_record").agg(F.coalesce(F.min(F.when(F.col("kind") == "email", F.col("hash"))), F.min("hash")).alias("own"))
-    # a shared identifier makes records one person: the least own id over it
-    of = each.join(least, "_record").groupBy("kind", "hash").agg(F.min("own").alias("via"))
-    person = each.join(of, ["kind", "hash"]).groupBy("_record").agg(F.min("via").alias("person"))
-    return each.join(person, "_record").groupBy("kind", "hash").agg(F.min("person").alias("person"))
+    # records and their identifiers are the nodes: whatever is joined by shared identifiers, over any number of records, is one person
+    each = written(each.distinct(), "identifiers")
+    record, own = F.concat(F.lit("r:"), F.col("_record").cast("string")), F.concat_ws(":", F.lit("i"), "kind", "hash")
+    roots = written(graph.components(each.select(record.alias("a"), own.alias("b"))), "persons")
+    of = each.join(roots.withColumnRenamed("root", "_root"), own == F.col("node"))
+    person = of.groupBy("_root").agg(F.coalesce(F.min(F.when(F.col("kind") == "email", F.col("hash"))), F.min("hash")).alias("person"))
+    return of.join(person, "_root").select("kind", "hash", "person").distinct()
 
 
 def name_candidates(text: Column, most: int = 6) -> Column:

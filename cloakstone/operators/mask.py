@@ -16,6 +16,10 @@ from ..plans.config import Config
 from .detect import built, detect
 
 
+#: In front of the id of a registered person, as the rule of a finding.
+PERSON = "person:"
+
+
 def resolved(findings: Column) -> Column:
     """The findings that are replaced: by start, then length (longest first), personal before object, then type; greedy without overlap."""
     key = F.transform(findings, lambda f: F.struct(f["start"].alias("start"), (f["start"] - f["end"]).alias("short"), f["type"].startswith("obj.").alias("object"), f["type"].alias("kind"), f.alias("f")))
@@ -39,8 +43,9 @@ def longest_first(findings: Column) -> Column:
 
 
 def edits(findings: Column, pseudo) -> Column:
-    """(start, end, type, pseudo, real) of each resolved finding."""
-    return F.transform(findings, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["type"].alias("type"), pseudo(f["type"], f["real"]).alias("pseudo"), f["real"].alias("real")))
+    """(start, end, type, pseudo, real) of each resolved finding. pseudo(type, real, person): the person that a registry names, or null."""
+    person = lambda f: F.when(f["rule"].startswith(PERSON), F.substr(f["rule"], F.lit(len(PERSON) + 1)))
+    return F.transform(findings, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["type"].alias("type"), pseudo(f["type"], f["real"], person(f)).alias("pseudo"), f["real"].alias("real")))
 
 
 def spliced(text: Column, script: Column) -> Column:
@@ -57,7 +62,7 @@ def spliced(text: Column, script: Column) -> Column:
 def mask(df: DataFrame, key: ids.Key, text: str = "text", config: Config | None = None) -> DataFrame:
     """df with its text masked, n_replacements and edits. Detection runs once a row; all steps are expressions."""
     found = df if "findings" in df.columns else detect(df, text, config)
-    script = built(lambda: edits(resolved(F.col("findings")), lambda kind, real: ids.pseudonym(key, kind, real)), "edits", key)
+    script = built(lambda: edits(resolved(F.col("findings")), lambda kind, real, person: ids.pseudonym(key, kind, real, person)), "edits", key)
     out = found.withColumn("edits", script)
     out = out.withColumn(text, built(lambda: spliced(F.col(text), F.col("edits")), "spliced", text)).withColumn("n_replacements", F.size("edits"))
     return out.drop("findings")

@@ -16,12 +16,16 @@ FOUND = [
     ("pix: 0f8fad5b-d9cb-469f-a165-70867728950e", "pix", "0f8fad5b-d9cb-469f-a165-70867728950e"), ("entrega na Avenida Central, 456 fundos", "address", "Avenida Central, 456"), ("nasc. 31/12/1999", "birthdate", "31/12/1999"),
     ("badge KQ4455 lost", "x:badge", "KQ4455"), ("release of Project Heron slips", "t:project", "Project Heron"), ("ela é budista", "sensitive", "budista"), ("diagnóstico: E11.9", "sensitive", "E11.9"), ("filiada ao PSB", "sensitive", "PSB"),
     ("the password is tr0ub4dor&3", "secret", "tr0ub4dor&3"), ("APP_PASSWORD=hunter2!x", "secret", "hunter2!x"), ("redis://svc:p4ssw0rd@cache-1/0", "secret", "p4ssw0rd"), ("to DE89 3704 0044 0532 0130 00 today", "iban", "DE89 3704 0044 0532 0130 00"),
-    ("parcel BR271828189PT left", "tracking", "BR271828189PT"), ("cvc 907", "secret", "907"), ("if de:ad:be:ef:00:01 joins", "mac", "de:ad:be:ef:00:01"),
+    ("mysqldump --single-transaction -pz9!kelp shop", "secret", "z9!kelp"), ("sshpass -p 'k3lp forest' ssh x", "secret", "k3lp"), ("curl -s -u bot:s3a-weed https://x.dev", "secret", "s3a-weed"), ("run --password=Kelp-77 now", "secret", "Kelp-77"),
+    ("Authorization: Bearer kelp.77.forest", "secret", "kelp.77.forest"), ("Cookie: sid=kelpforest77; x=1", "secret", "kelpforest77"), ('my pwd for the shop "kelp77x"', "secret", "kelp77x"), ("seu código de verificação é 778899", "secret", "778899"),
+    ("frase secreta: kelp grows in cold water", "secret", "kelp grows in cold water"), ("título de eleitor nº 1024 0000 0183", "doc", "1024 0000 0183"), ("passaporte nº FZ123456", "doc", "FZ123456"), ("placa: KLP7F77", "doc", "KLP7F77"), ("chassi 9BWZZZ377VT004251", "doc", "9BWZZZ377VT004251"),
+    ("IMEI 490154203237518", "doc", "490154203237518"), ("user_id: 0f8fad5b-d9cb-469f-a165-70867728950e", "doc", "0f8fad5b-d9cb-469f-a165-70867728950e"), ("carteira de identidade nº SP-12.345.678-9", "rg", "SP-12.345.678-9"), ("conta corrente nº 99887-6", "account", "99887-6"),
+    ("CIDs: F32.1, G40 e Z99", "sensitive", "G40"), ("data de nascimento: 2001-02-03", "birthdate", "2001-02-03"), ("na Praça da Sé, nº 12, hoje", "address", "Praça da Sé, nº 12"), ("parcel BR271828189PT left", "tracking", "BR271828189PT"), ("cvc 907", "secret", "907"), ("if de:ad:be:ef:00:01 joins", "mac", "de:ad:be:ef:00:01"),
 ]
 CLEAN = [
     "release 3.14.159 listens on 8443 at 127.0.0.1, resolver 1.1.1.1", "oid 1.2.840.113549.1.1.11 of a certificate", "trace 0f8fad5b-d9cb-469f-a165-70867728950e finished", "ask the rg column owner", "mail nobody@example.org",
     "revision 0123456789abcdef0123456789abcdef on 2025-11-30", "Avenida Central is closed", "epoch 1700000000123 for order 12345678901", "p.zzzzzzzz@dabcd.invalid is masked", "240.7.8.9 is masked", "done (1700000000 epoch)",
-    "receptor accepts 20251130-101500", "cep of the sample: 20251130", "", None,
+    "receptor accepts 20251130-101500", "cep of the sample: 20251130", "client_id: 0f8fad5b-d9cb-469f-a165-70867728950e", "mysql -h box -P 3306", "the password policy is strict", "password: string", "curl -u x", "rua sem número", "cidade A10 norte", "", None,
 ]
 
 
