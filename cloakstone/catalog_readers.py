@@ -56,6 +56,8 @@ CASES: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "field": ("titular=Rosa Prado; cracha: Q{k}55", [("name", "Rosa Prado"), ("user", "Q{k}55")]),
     "insert": ("insert into roster (login, nome_titular) values ('Q{k}55', 'Rosa Prado')", [("user", "Q{k}55"), ("name", "Rosa Prado")]),
     "xml-field": ("<row><login>Q{k}55</login></row>", [("user", "Q{k}55")]),
+    "name-context": ("streams:\n  - name: kelp-in-{k}\n    size: 2\n  - name: kelp-out-{k}\n", [("obj.queue", "kelp-in-{k}"), ("obj.queue", "kelp-out-{k}")]),
+    "infra-ip": ("NAME     TYPE    EXTERNAL-IP\nkelp{k4}  LB      198.18.7.4\n", [("ip", "198.18.7.4")]),
     "names-in-line": ("7;Rosa Prado;rosa.{k}@stall.dev;open\n", [("name", "Rosa Prado")]),
     "pix-code": ("scan 00020101021126330014br.gov.bcb.pix0111314159265905204000053039865802BR5905Stall6006Olinda62070503***6304{crc} now", [("pix", "00020101021126330014br.gov.bcb.pix0111314159265905204000053039865802BR5905Stall6006Olinda62070503***6304{crc}")]),
     "delimited": ("setor\tlogin\ttitular\nsul\tQ{k}55\tRosa Prado\n", [("user", "Q{k}55"), ("name", "Rosa Prado")]),
@@ -113,16 +115,101 @@ def position_chain(spark, sf_dir):
     return p.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct("position").alias("positions"))
 
 
-@query("SELECT conv_id, role, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations WHERE text <> '' GROUP BY 1, 2")
+def _bodies(spark, sf_dir) -> DataFrame:
+    """Each conversation as a request of the completions shape."""
+    message = F.struct("turn", F.col("role"), F.coalesce("text", F.lit("")).alias("content"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(message)), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))).alias("body"))
+
+
+@query("SELECT conv_id, role, count(*) AS n, coalesce(sum(length(text)), 0)::BIGINT AS chars FROM conversations GROUP BY 1, 2")
 def flatten_requests(spark, sf_dir):
     """Conversations as requests of the completions shape, and back as rows."""
-    c = table(spark, sf_dir, "conversations").where("text <> ''")
-    message = F.struct("turn", F.col("role"), F.col("text").alias("content"))
-    body = c.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(message)), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))).alias("body"))
-    rows, _ = chats.flatten(body, "conv_id")
+    rows, _ = chats.flatten(_bodies(spark, sf_dir), "conv_id")
     return rows.groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+@query("""
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, coalesce(text, '')) - 1)::INT AS ord, role, '<' || coalesce(text, '') || '>' AS text FROM conversations""")
+def requests_rewritten(spark, sf_dir):
+    """Changed texts written back into their requests, and read again."""
+    bodies = written(_bodies(spark, sf_dir), "bodies")
+    rows, _ = chats.flatten(bodies, "conv_id")
+    back, _ = chats.flatten(chats.rewrite(bodies, rows.withColumn("text", F.concat(F.lit("<"), "text", F.lit(">"))), "conv_id"), "conv_id")
+    return back.select("conv_id", "ord", "role", "text")
+
+
+@query("SELECT conv_id, count(*) AS n, true AS same FROM conversations GROUP BY 1")
+def requests_masked_and_restored(spark, sf_dir):
+    """Requests masked by all parts, each conversation a scope, written back, and unmasked."""
+    bodies = written(_bodies(spark, sf_dir), "bodies")
+    rows, _ = chats.flatten(bodies, "conv_id")
+    rows = written(rows, "rows")
+    masked = written(corpus.mask_corpus(rows, catalog.TEST_KEY, config=catalog.OPEN, scope="conv_id", order=("conv_id", "ord")), "masked")
+    sent, _ = chats.flatten(chats.rewrite(bodies, masked.select("conv_id", "ord", "text"), "conv_id"), "conv_id")
+    back = mask.unmask(sent.select("conv_id", "ord", "text"), mask.reverse_table(mask.mapping(masked, "conv_id"), "conv_id"), "conv_id")
+    both = back.join(rows.select("conv_id", "ord", F.col("text").alias("source")), ["conv_id", "ord"])
+    return both.groupBy("conv_id").agg(F.count("*").alias("n"), F.bool_and(F.col("text") == F.col("source")).alias("same"))
+
+
+@query("SELECT c_custkey, shape, 'kelp ' || c_custkey || ' 529.982.247-25 end' AS text FROM customer, (VALUES ('messages'), ('completions'), ('responses'), ('contents')) s(shape)")
+def answers_of_four_shapes(spark, sf_dir):
+    """Streamed answers in pieces, unmasked event by event in each shape."""
+    from .streaming.events import Answer
+
+    make = {
+        "messages": lambda x: {"type": "content_block_delta", "index": 0, "delta": {"type": "text_delta", "text": x}}, "completions": lambda x: {"choices": [{"index": 0, "delta": {"content": x}}]},
+        "responses": lambda x: {"type": "response.output_text.delta", "item_id": "i", "content_index": 0, "delta": x}, "contents": lambda x: {"candidates": [{"content": {"parts": [{"text": x}]}}]},
+    }
+    ends = {
+        "messages": {"type": "content_block_stop", "index": 0}, "completions": {"choices": [{"index": 0, "delta": {}, "finish_reason": "stop"}]}, "responses": {"type": "response.completed"}, "contents": {"candidates": [{"content": {"parts": []}, "finishReason": "STOP"}]},
+    }
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keys, shapes, texts = [], [], []
+            for k in b.column(0).to_pylist():
+                text, step = f"kelp {k} CPF-o5c4344k end", k % 5 + 1
+                for shape, event in make.items():
+                    answer = Answer({"CPF-o5c4344k": "529.982.247-25"})
+                    lines = [x for i in range(0, len(text), step) for x in answer.push(json.dumps(event(text[i : i + step]))).split("\n")] + answer.push(json.dumps(ends[shape])).split("\n")
+                    keys.append(k)
+                    shapes.append(shape)
+                    texts.append("".join(p.holder[p.key] for x in lines for p in chats.pieces(json.loads(x))[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(shapes), pa.array(texts)], ["c_custkey", "shape", "text"])
+
+    return table(spark, sf_dir, "customer").select("c_custkey").mapInArrow(run, "c_custkey long, shape string, text string")
+
+
+@query("SELECT c_custkey, 'login' AS label, 'QX' || c_custkey || v AS value FROM customer, (VALUES ('Z'), ('Y')) t(v)")
+def cut_columns(spark, sf_dir):
+    """Values cut out of a file, under the header that the conversation saw before."""
+    k = F.col("c_custkey").cast("string")
+    turns = F.array(
+        F.struct(F.lit(1).alias("ord"), F.lit("head -n 2 herd.csv").alias("call_text"), F.lit("no;login;sector\n1;a;b").alias("text")),
+        F.struct(F.lit(2).alias("ord"), F.lit("cut -d';' -f2 herd.csv | tail -n +2").alias("call_text"), F.concat(F.lit("QX"), k, F.lit("Z\nQX"), k, F.lit("Y\n")).alias("text")),
+        F.struct(F.lit(3).alias("ord"), F.lit("awk -F, '{print $2}' other.csv").alias("call_text"), F.lit("unseen").alias("text")),
+    )
+    calls = table(spark, sf_dir, "customer").select("c_custkey", F.inline(turns))
+    return conversation.cut_columns(calls, "c_custkey").select("c_custkey", "label", "value")
+
+
+@query("SELECT c_custkey, 'obj.queue' AS type, name || c_custkey AS name FROM customer, (VALUES ('kelp_in'), ('kelp_out')) t(name)")
+def anchored_lists(spark, sf_dir):
+    """Items of a list take the type of its known member; tuples, calls and lists of words don't."""
+    texts = rows_of(spark, sf_dir, "use ['kelp_mid{k}', 'kelp_in{k}', 'kelp_out{k}'] but call(['red', 'kelp_mid{k}']) and ('kelp_mid{k}', 'kelp_no{k}')")
+    names = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("kelp_mid"), "c_custkey").alias("name"), F.lit("obj.queue").alias("type"))
+    return conversation.anchored_lists(conversation.listed(texts, "c_custkey"), names, "c_custkey").select("c_custkey", "type", "name")
+
+
+@query("SELECT o_orderkey % 10 AS name, CASE WHEN o_orderkey % 10 < 5 THEN 'a' ELSE 'b' END AS type FROM orders GROUP BY ALL")
+def first_decider(spark, sf_dir):
+    """Of several deciders the first that knows a name decides."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 10).alias("name"))
+    return conversation.decided(o.where("name < 5").withColumn("type", F.lit("a")), o.withColumn("type", F.lit("b")))
+
+
 @query("SELECT o_orderkey, ['namespace', 'table', 'service', NULL][(o_orderkey % 4 + 1)::INT] AS entity FROM orders")
 def requested_entities(spark, sf_dir):
     commands = F.array(*map(F.lit, ("kubectl get ns", "SHOW TABLES", "kubectl get pods -o wide", "make build")))
@@ -302,12 +389,12 @@ _COLUMN = "'tension_n' || c_custkey"
 
 @query(f"""
 SELECT c_custkey AS conv, 0 AS part, 'what is ' || {_object_sql("c", "coluna", _COLUMN)} || ' for?' AS text FROM customer
-UNION ALL SELECT -c_custkey, 0, 'what is tension_n' || c_custkey || ' for?' FROM customer""")
+UNION ALL SELECT -1 - c_custkey, 0, 'what is tension_n' || c_custkey || ' for?' FROM customer""")
 def mask_corpus_memory(spark, sf_dir):
     """A column's name counts in the conversation that brought it, and in no other."""
     k = F.col("c_custkey")
     first = rows_of(spark, sf_dir, "SELECT tension_n{k} FROM warp_9 WHERE spool_9 = 1").select(k.alias("conv"), F.lit(-1).alias("part"), "text")
-    later = rows_of(spark, sf_dir, "what is tension_n{k} for?").select(F.explode(F.array(k, -k)).alias("conv"), F.lit(0).alias("part"), "text")
+    later = rows_of(spark, sf_dir, "what is tension_n{k} for?").select(F.explode(F.array(k, -1 - k)).alias("conv"), F.lit(0).alias("part"), "text")
     out = corpus.mask_corpus(first.unionByName(later), catalog.TEST_KEY, scope="conv", order=("conv", "part"))
     return out.where("part = 0").select("conv", "part", "text")
 

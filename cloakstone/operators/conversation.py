@@ -44,6 +44,67 @@ def hinted_names(results: DataFrame, *keys: str, text: str = "text", command: st
     return lines.where(name.rlike(r"[_.0-9\-]") & ~F.col("line").rlike(r"^[A-Z0-9 _()\-|]+$")).select(*keys, "entity", name.alias("name")).distinct()
 
 
+# --- columns that a command cuts out of a file ------------------------------------------------------------------------------------------------
+
+
+def cut_field(command: Column) -> Column:
+    """(file, separator, field) of a command that prints one field of a file: cut -d, -f2 FILE, or awk -F, '{print $2}' FILE; null for others."""
+    cut = lambda g: F.regexp_extract(command, r"\bcut\s+(?:-s\s+)?(?:-d\s*['\"]?([^'\"\s])['\"]?\s+)?-f\s*([0-9]+)\s+(?:--\s+)?([^\s|;&<>]+)", g)
+    awk = lambda g: F.regexp_extract(command, r"\bawk\s+(?:-F\s*['\"]?([^'\"\s])['\"]?\s+)?'\s*(?:NR\s*>\s*1\s*)?\{\s*print\s+\$([0-9]+)\s*;?\s*\}'\s+([^\s|;&<>]+)", g)
+    one = lambda get, default: F.struct(get(3).alias("file"), F.when(get(1) == "", default).otherwise(get(1)).alias("separator"), get(2).cast("int").alias("field"))
+    return F.when(cut(3) != "", one(cut, "\t")).when(awk(3) != "", one(awk, " "))
+
+
+def shown_file(command: Column) -> Column:
+    """The file whose beginning a command prints; null for others."""
+    got = F.regexp_extract(command, r"^\s*(?:head(?:\s+-n?\s*[0-9]+)?|cat|less|more)\s+([^\s|;&<>-][^\s|;&<>]*)\s*$", 1)
+    return F.when(got != "", got)
+
+
+def cut_columns(results: DataFrame, conv: str, order: str = "ord", text: str = "text", command: str = "call_text") -> DataFrame:
+    """conv, order, label, value: the lines that a command cut out of a file, under the header that the conversation saw last before (an as-of join: a
+    running last value over the file's shows and cuts, in order)."""
+    cut = cut_field(F.col(command))
+    rows = results.select(conv, order, text, cut.alias("_cut"), shown_file(F.col(command)).alias("_shown")).where("_cut is not null or _shown is not null")
+    header = F.when(F.col("_shown").isNotNull(), F.substring_index(text, "\n", 1))
+    seen = Window.partitionBy(conv, "_file").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    asof = rows.withColumn("_file", F.coalesce("_shown", "_cut.file")).withColumn("_header", F.last(header, True).over(seen)).where("_cut is not null and _header is not null")
+    label = F.get(F.split("_header", F.concat(F.lit("\\Q"), F.col("_cut.separator"), F.lit("\\E"))), F.col("_cut.field") - 1)
+    lines = asof.select(conv, order, F.trim(F.translate(label, "\"'`", "")).alias("label"), F.explode(F.split(text, "\n")).alias("value"))
+    return lines.where("label is not null and trim(value) <> '' and value <> label")
+
+
+# --- lists with a known member ------------------------------------------------------------------------------------------------------------------
+
+_LITERALS = r"(?<![\w)\]])\[\s*(?:'[^'\n]{1,100}'|\"[^\"\n]{1,100}\")(?:\s*,\s*(?:'[^'\n]{1,100}'|\"[^\"\n]{1,100}\"))+\s*,?\s*\]"
+_DASHED = r"(?m)(?:^[ \t]*-[ \t]+[\w.\-]{1,100}[ \t]*\n?){2,}"
+
+
+def listed(texts: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """keys, block, name of the items of literal lists and of dashed lists in texts. Tuples and arguments of calls are no lists."""
+    blocks = F.concat(F.regexp_extract_all(text, F.lit(_LITERALS), F.lit(0)), F.regexp_extract_all(text, F.lit(_DASHED), F.lit(0)))
+    each = texts.select(*keys, F.posexplode(blocks).alias("block", "_list"))
+    return each.select(*keys, "block", F.explode(F.array_distinct(F.regexp_extract_all("_list", F.lit(r"[\w.][\w.\-]*"), F.lit(0)))).alias("name"))
+
+
+def anchored_lists(items: DataFrame, names: DataFrame, *keys: str) -> DataFrame:
+    """keys, block, name, type of unknown items of lists (listed()) whose known members (names: keys, name, type) are all of one type, and all of whose
+    items have the shape of a name."""
+    typed = items.join(names.select(*keys, "name", "type"), [*keys, "name"], "left")
+    shape = F.length("name").between(3, 128) & F.col("name").rlike(r"[_.0-9]|[A-Za-z]-[A-Za-z0-9]|[a-z][A-Z]")
+    of = typed.groupBy(*keys, "block").agg(F.count_distinct("type").alias("_types"), F.min("type").alias("_type"), F.bool_and(shape).alias("_names")).where("_types = 1 and _names")
+    return typed.where("type is null").join(of, [*keys, "block"]).select(*keys, "block", "name", F.col("_type").alias("type"))
+
+
+def decided(*deciders: DataFrame, by: tuple[str, ...] = ("name",)) -> DataFrame:
+    """by, type of each name: what the first decider in order says (ties within one: the least type). Each has the columns by and type."""
+    every = None
+    for rank, d in enumerate(deciders):
+        one = d.select(*by, "type", F.lit(rank).alias("_rank"))
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy(*by).agg(F.min(F.struct("_rank", "type"))["type"].alias("type"))
+
+
 def memory(decisions: DataFrame, conv: str) -> DataFrame:
     """conv, word, type, name of each name decided in a conversation: of one word, the first decision."""
     g = decisions.where(F.length("real") >= 3)

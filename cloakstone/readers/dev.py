@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 from .base import PUBLIC, Name, group, identifier, internal_host, ownerless, parts, placeholder, public_host, reader
+from .tables import grids
 
 # The entity that the last piece of a key names.
 KEY_ENTITY = {
@@ -393,3 +394,61 @@ def traceback(s: str) -> Iterator[Name]:
                 yield Name(m.start(2), m.start(2) + len(outer), "package", False)
             if identifier(m[3]) and m[3][0] != "<":
                 yield Name(m.start(3), m.end(3), "procedure", False)
+
+
+# What the items of a container with this key are.
+CONTAINERS = {k: e for e, ks in KEY_ENTITY.items() for k in ks.split() if k.endswith("s")} | {"tables": "table", "columns": "column", "fields": "column", "indexes": "index", "constraints": "index", "projects": "cloud_account"}
+_YAML_KEY = re.compile(r"(?m)^([ ]*)((?:- +)*)([\w\-]{1,60})[ ]*:[ ]*([^\n#]*?)[ ]*(?:#[^\n]*)?$")
+_JSON_TOKEN = re.compile(r"\"((?:[^\"\\\n]|\\.){0,300})\"(\s*:)?|[\[\]{}]")
+
+
+@reader("name-context", "name")
+def name_context(s: str) -> Iterator[Name]:
+    """`name` of an item, where the nearest key around it is that of a list of tables, columns, queues and the like."""
+    stack: list[tuple[int, str]] = []
+    for m in _YAML_KEY.finditer(s):
+        at = len(m[1]) + len(m[2])
+        while stack and stack[-1][0] >= (len(m[1]) if m[2] else at):
+            stack.pop()
+        key, value = m[3], m[4].strip("\"'")
+        if key == "name" and value and stack and (entity := CONTAINERS.get(key_pieces(stack[-1][1])[-1] if key_pieces(stack[-1][1]) else "")):
+            a = m.start(4) + m[4].index(value)
+            if identifier(value) and resource(value, entity):
+                yield Name(a, a + len(value), entity, False)
+        if not m[4]:
+            stack.append((at, key))
+    if '"name"' not in s:
+        return
+    keys: list[str] = []  # the key of each open bracket
+    key = ""
+    for m in _JSON_TOKEN.finditer(s):
+        if m[0] in "[{":
+            keys.append(key)
+            key = ""
+        elif m[0] in "]}":
+            if keys:
+                keys.pop()
+            key = ""
+        elif m[2]:
+            key = m[1]
+        else:
+            around = next((k for k in reversed(keys) if k), "")
+            pieces = key_pieces(around)
+            if key == "name" and pieces and (entity := CONTAINERS.get(pieces[-1])) and identifier(m[1]) and resource(m[1], entity):
+                yield Name(m.start(1), m.end(1), entity, False)
+
+
+_ADDRESSES = {"EXTERNAL-IP", "INTERNAL-IP", "NODE-IP", "LB-IP", "IP ADDRESS"}
+
+
+@reader("infra-ip", "-ip", "ip address", ".elb.")
+def infra_ip(s: str) -> Iterator[Name]:
+    """Addresses of nodes and load balancers, under their headers and by their public names."""
+    for grid in grids(s, lambda heads: sum(h in _ADDRESSES for h in heads) if len(heads) > 1 else 0):
+        for row in grid.rows:
+            for (a, b), head in zip(row, grid.heads, strict=False):
+                if head in _ADDRESSES:
+                    for v in re.finditer(r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])", s[a:b]):
+                        yield Name(a + v.start(), a + v.end(), "=ip")
+    for m in re.finditer(r"(?<![\w.\-])([a-z0-9][a-z0-9\-]{2,62})\.(?:elb\.[a-z0-9\-]{4,20}|[a-z0-9\-]{4,20}\.elb)\.amazonaws\.com", s):
+        yield from group(m, 1, "server")

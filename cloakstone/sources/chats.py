@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,99 +15,113 @@ SCHEMA = "ord int, role string, block string, tool_id string, tool string, text
 #: Keys whose strings are never texts.
 UNTOUCHED = {"signature", "id", "tool_use_id", "type", "name", "model", "cache_control", "media_type", "mime_type", "role", "call_id"}
 
-Row = tuple[str, str, str | None, str | None, str]
+class Text(NamedTuple):
+    """A text of a request: what it is, and where it stands (holder[key])."""
 
+    role: str
+    block: str
+    tool_id: str | None
+    tool: str | None
+    holder: Any
+    key: Any
 
-def _leaves(v: Any) -> Iterator[str]:
+    @property
+    def text(self) -> str:
+        return self.holder[self.key]
+
+
+def _leaves(holder: Any, key: Any) -> Iterator[tuple[Any, Any]]:
+    """Places of the strings below holder[key], in order."""
+    v = holder[key] if isinstance(holder, list) else holder.get(key)
     if isinstance(v, str):
-        yield v
+        yield holder, key
     elif isinstance(v, list):
-        for x in v:
-            yield from _leaves(x)
+        for i in range(len(v)):
+            yield from _leaves(v, i)
     elif isinstance(v, dict):
         for k in sorted(v):
             if k not in UNTOUCHED:
-                yield from _leaves(v[k])
+                yield from _leaves(v, k)
+
+
+def _of(role: str, block: str, tool_id: str | None, tool: str | None, holder: Any, key: Any) -> Iterator[Text]:
+    for at in _leaves(holder, key):
+        yield Text(role, block, tool_id, tool, *at)
 
 
-def _blocks(role: str, content: Any) -> Iterator[Row]:
+def _blocks(role: str, holder: dict, key: str) -> Iterator[Text]:
     """A message's content: a string, or blocks."""
+    content = holder.get(key)
     if isinstance(content, str):
-        yield role, "text", None, None, content
+        yield Text(role, "text", None, None, holder, key)
         return
-    for b in content or []:
+    for i, b in enumerate(content or []):
         if not isinstance(b, dict):
-            yield from ((role, "text", None, None, x) for x in _leaves(b))
+            yield from _of(role, "text", None, None, content, i)
             continue
         kind = b.get("type", "text")
         if kind == "tool_use":
-            for x in _leaves(b.get("input")):
-                yield role, "tool_use", b.get("id"), b.get("name"), x
+            yield from _of(role, "tool_use", b.get("id"), b.get("name"), b, "input")
         elif kind.endswith("tool_result"):
-            for x in _leaves(b.get("content")):
-                yield "tool", "tool_result", b.get("tool_use_id"), None, x
-        elif kind in ("thinking", "redacted_thinking"):
-            continue
-        else:
-            for x in _leaves({k: v for k, v in b.items() if k != "source"}):
-                yield role, kind, None, None, x
+            yield from _of("tool", "tool_result", b.get("tool_use_id"), None, b, "content")
+        elif kind not in ("thinking", "redacted_thinking"):  # signed: never changed
+            for k in sorted(b):
+                if k != "source" and k not in UNTOUCHED:
+                    yield from _of(role, kind, None, None, b, k)
 
 
-def messages_shape(r: dict) -> Iterator[Row]:
+def messages_shape(r: dict) -> Iterator[Text]:
     """system, tools and messages of content blocks."""
-    for t in r.get("tools") or []:
-        for x in _leaves(t):
-            yield "system", "tool", None, t.get("name"), x
-    yield from _blocks("system", r.get("system"))
+    for i, t in enumerate(r.get("tools") or []):
+        yield from _of("system", "tool", None, t.get("name"), r["tools"], i)
+    yield from _blocks("system", r, "system")
     for m in r.get("messages") or []:
-        yield from _blocks(m.get("role", "user"), m.get("content"))
+        yield from _blocks(m.get("role", "user"), m, "content")
 
 
-def completions_shape(r: dict) -> Iterator[Row]:
+def completions_shape(r: dict) -> Iterator[Text]:
     """messages with tool_calls and tool messages."""
     for m in r.get("messages") or []:
         role = "system" if m.get("role") == "developer" else m.get("role", "user")
         if role == "tool":
-            for x in _leaves(m.get("content")):
-                yield "tool", "tool_result", m.get("tool_call_id"), None, x
+            yield from _of("tool", "tool_result", m.get("tool_call_id"), None, m, "content")
             continue
-        yield from _blocks(role, m.get("content"))
+        yield from _blocks(role, m, "content")
         for c in m.get("tool_calls") or []:
             f = c.get("function") or {}
-            yield role, "tool_use", c.get("id"), f.get("name"), f.get("arguments") or ""
+            if f.get("arguments"):
+                yield Text(role, "tool_use", c.get("id"), f.get("name"), f, "arguments")
 
 
-def responses_shape(r: dict) -> Iterator[Row]:
+def responses_shape(r: dict) -> Iterator[Text]:
     """instructions and input items."""
-    yield from _blocks("system", r.get("instructions"))
-    items = r.get("input")
-    for i in [{"role": "user", "content": items}] if isinstance(items, str) else items or []:
+    yield from _blocks("system", r, "instructions")
+    if isinstance(r.get("input"), str):
+        yield Text("user", "text", None, None, r, "input")
+        return
+    for i in r.get("input") or []:
         kind = i.get("type", "message")
-        if kind == "function_call":
-            yield "assistant", "tool_use", i.get("call_id"), i.get("name"), i.get("arguments") or ""
+        if kind == "function_call" and i.get("arguments"):
+            yield Text("assistant", "tool_use", i.get("call_id"), i.get("name"), i, "arguments")
         elif kind == "function_call_output":
-            for x in _leaves(i.get("output")):
-                yield "tool", "tool_result", i.get("call_id"), None, x
+            yield from _of("tool", "tool_result", i.get("call_id"), None, i, "output")
         elif kind == "message":
-            yield from _blocks("system" if i.get("role") == "developer" else i.get("role", "user"), i.get("content"))
+            yield from _blocks("system" if i.get("role") == "developer" else i.get("role", "user"), i, "content")
 
 
-def contents_shape(r: dict) -> Iterator[Row]:
+def contents_shape(r: dict) -> Iterator[Text]:
     """systemInstruction and contents of parts; also wrapped in "request"."""
     r = r.get("request", r)
-    for x in _leaves((r.get("systemInstruction") or {}).get("parts")):
-        yield "system", "text", None, None, x
+    yield from _of("system", "text", None, None, r.get("systemInstruction") or {}, "parts")
     for c in r.get("contents") or []:
         role = "assistant" if c.get("role") == "model" else c.get("role", "user")
         for p in c.get("parts") or []:
             if call := p.get("functionCall"):
-                for x in _leaves(call.get("args")):
-                    yield role, "tool_use", call.get("id"), call.get("name"), x
+                yield from _of(role, "tool_use", call.get("id"), call.get("name"), call, "args")
             elif got := p.get("functionResponse"):
-                for x in _leaves(got.get("response")):
-                    yield "tool", "tool_result", got.get("id"), got.get("name"), x
-            elif "text" in p:
-                yield role, "text", None, None, p["text"]
+                yield from _of("tool", "tool_result", got.get("id"), got.get("name"), got, "response")
+            elif isinstance(p.get("text"), str):
+                yield Text(role, "text", None, None, p, "text")
 
 
 def shape_of(r: dict) -> str:
@@ -130,7 +145,7 @@ def flatten(requests: DataFrame, *keys: str, body: str = "body") -> tuple[DataFr
             for i, text in enumerate(b.column(b.schema.get_field_index(body)).to_pylist()):
                 try:
                     r = json.loads(text)
-                    found = [(o, *row) for o, row in enumerate(SHAPES[shape_of(r)](r))]
+                    found = [(o, t.role, t.block, t.tool_id, t.tool, t.text) for o, t in enumerate(SHAPES[shape_of(r)](r))]
                 except (ValueError, TypeError, AttributeError, KeyError):
                     found = [(None, None, None, None, None, "not a readable request")]
                 rows += found
@@ -146,6 +161,80 @@ def flatten(requests: DataFrame, *keys: str, body: str = "body") -> tuple[DataFr
     return out.where("ord is not null"), out.where("ord is null").select(*keys, F.col("text").alias("reason"))
 
 
+def rewrite(requests: DataFrame, masked: DataFrame, *keys: str, body: str = "body", text: str = "text") -> DataFrame:
+    """requests with the masked texts (rows of flatten(): keys, ord, text) written back where they came from; everything else stays as it is.
+    A request that can't be read, or whose rows aren't all there or are null, gets a null body: it must not be sent."""
+    texts = masked.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ord", text))).alias("_texts"))  # of one request
+    joined = requests.join(texts, list(keys), "left")
+
+    def put(value: str, new: dict[int, str | None]) -> str | None:
+        r = json.loads(value)
+        for o, t in enumerate(SHAPES[shape_of(r)](r)):
+            if new.get(o) is None:
+                return None
+            t.holder[t.key] = new[o]
+        return json.dumps(r, ensure_ascii=False, separators=(",", ":"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(body)
+            out = []
+            for value, new in zip(b.column(at).to_pylist(), b.column(b.schema.get_field_index("_texts")).to_pylist(), strict=True):
+                try:
+                    out.append(put(value, dict(new or ())))
+                except (ValueError, TypeError, AttributeError, KeyError):
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(b.columns) if b.schema.names[i] != "_texts"], [n for n in b.schema.names if n != "_texts"])
+
+    return joined.mapInArrow(run, joined.drop("_texts").schema)
+
+
+class Piece(NamedTuple):
+    """A piece of a streamed answer: the block it belongs to, where it stands, and whether it's the block's last."""
+
+    block: str
+    holder: Any
+    key: Any
+
+
+def pieces(event: dict) -> tuple[list[Piece], list[str]]:
+    """(pieces of text in an event of a streamed answer, blocks that end with it; "*": all), of the four shapes."""
+    found, ended = [], []
+    kind = event.get("type", "")
+    if kind.startswith("response.") and not kind.endswith(".delta"):  # what ends or sums up has whole values: no block
+        found += [Piece("", h, k) for part in ("text", "arguments", "part", "item", "response") for h, k in _leaves(event, part)]
+    if kind == "content_block_delta":
+        d = event.get("delta") or {}
+        found += [Piece(str(event.get("index")), d, k) for k in ("text", "partial_json") if isinstance(d.get(k), str)]
+    elif kind == "content_block_stop":
+        ended.append(str(event.get("index")))
+    elif kind.startswith("response."):
+        block = f"{event.get('item_id')}/{event.get('content_index', 0)}"
+        if kind.endswith(".delta") and isinstance(event.get("delta"), str):
+            found.append(Piece(block, event, "delta"))
+        elif kind.endswith(".done") and kind != "response.done":
+            ended.append(block)
+        elif kind in ("response.completed", "response.done", "response.failed", "response.incomplete"):
+            ended.append("*")
+    for c in event.get("choices") or []:
+        d, i = c.get("delta") or {}, c.get("index", 0)
+        if isinstance(d.get("content"), str):
+            found.append(Piece(f"{i}", d, "content"))
+        found += [Piece(f"{i}/{t.get('index', 0)}", t["function"], "arguments") for t in d.get("tool_calls") or [] if isinstance((t.get("function") or {}).get("arguments"), str)]
+        if c.get("finish_reason"):
+            ended.append("*")
+    r = event.get("response") if isinstance(event.get("response"), dict) and "candidates" in event["response"] else event
+    for i, c in enumerate(r.get("candidates") or []):
+        for p in (c.get("content") or {}).get("parts") or []:
+            if isinstance(p.get("text"), str):
+                found.append(Piece(f"{c.get('index', i)}", p, "text"))
+            elif call := p.get("functionCall"):
+                found += [Piece("", h, k) for h, k in _leaves(call, "args")]  # whole values: no block
+        if c.get("finishReason"):
+            ended.append("*")
+    return found, ended
+
+
 def data_url(c):
     """media type and bytes of a data: URL; null if it isn't one."""
     media = F.regexp_extract(c, r"^data:([\w.+\-]+/[\w.+\-]+);base64,", 1)
@@ -171,7 +260,8 @@ def read_people(spark: SparkSession, path: str, groups: list[tuple[str, str, str
     for code, name, email in groups:
         col = lambda c: F.trim(F.col(f"`{c}`")) if c in df.columns else F.lit(None).cast("string")  # noqa: B023, E731
         one = df.select(col(name).alias("name"), col(email).alias("email"), col(code).alias("code"))
-        one = one.withColumn("name", F.trim(F.split_part("name", F.lit(separator), F.lit(1)))) if separator else one
+        if separator:  # each name of the cell is a record with the row's code and mail
+            one = one.withColumn("name", F.explode_outer(F.split("name", re.escape(separator)))).withColumn("name", F.trim("name"))
         out = one if out is None else out.unionByName(one)
     return out.where("coalesce(name, email, code, '') <> ''").distinct()
 

@@ -11,6 +11,7 @@ from cloakstone.operators.mask import _replace, restore
 from cloakstone.readers.fields import describe, recovery_phrase
 from cloakstone.readers.stage import find_names, read_names, visible
 from cloakstone.sources import chats
+from cloakstone.streaming.events import Answer, unmask_answers
 from cloakstone.streaming.unmask import Chunks, unmask_stream, windowed_audit
 
 NOTHING = [
@@ -176,7 +177,7 @@ def test_files(spark, tmp_path):
     assert [(r.role, json.loads(r.content)) for r in good.collect()] == [("user", "oi")] and bad.count() == 1
     (tmp_path / "p.csv").write_text("﻿cod,nome,mail,cod2,nome2\nU1,Ana Lima / X,a@b.c,U2,Beto\n,,,,\n")
     people = chats.read_people(spark, str(tmp_path / "p.csv"), [("cod", "nome", "mail"), ("cod2", "nome2", "none")], "/")
-    assert {tuple(r) for r in people.collect()} == {("Ana Lima", "a@b.c", "U1"), ("Beto", None, "U2")}
+    assert {tuple(r) for r in people.collect()} == {("Ana Lima", "a@b.c", "U1"), ("X", "a@b.c", "U1"), ("Beto", None, "U2")}
     (tmp_path / "l.log").write_text("2026/01/02 03:04:05 request status=200 replacements=3 collisions=1 types=cpf:2,name:1\n2026/01/02 03:05:05 refused=\"no key\"\nrest\n")
     log = audit.read_log(spark.read.text(str(tmp_path / "l.log")))
     assert tuple(audit.summary(log).first()) == (1, 0, 3, 1, 1)
@@ -198,6 +199,70 @@ def test_chunks_at_every_cut():
         assert out + c.close() == _replace(text, PAIRS)
 
 
+def cut(rng, text):
+    out, i = [], 0
+    while i < len(text):
+        n = rng.randint(1, 5)
+        out.append(text[i : i + n])
+        i += n
+    return out
+
+
+SHAPED = {
+    "messages": (lambda x: {"type": "content_block_delta", "index": 0, "delta": {"type": "text_delta", "text": x}}, {"type": "content_block_stop", "index": 0}), "completions": (lambda x: {"choices": [{"index": 0, "delta": {"content": x}}]}, {"choices": [{"index": 0, "delta": {}, "finish_reason": "stop"}]}),
+    "responses": (lambda x: {"type": "response.output_text.delta", "item_id": "i", "content_index": 0, "delta": x}, {"type": "response.completed"}), "contents": (lambda x: {"candidates": [{"content": {"parts": [{"text": x}]}}]}, {"candidates": [{"content": {"parts": []}, "finishReason": "STOP"}]}),
+}
+
+
+@pytest.mark.parametrize("shape", SHAPED)
+def test_answers_at_every_cut(shape):
+    rng, (make, end) = random.Random(3), SHAPED[shape]
+    for _ in range(200):
+        text = "".join(rng.choice([*PAIRS, "C", "p.", "x", "T_n", "CPF-o5", ". "]) for _ in range(rng.randint(0, 8)))
+        answer, out = Answer(PAIRS), ""
+        for e in [*map(make, cut(rng, text)), end]:
+            for line in answer.push(json.dumps(e)).split("\n"):
+                out += "".join(p.holder[p.key] for p in chats.pieces(json.loads(line))[0])
+        assert out == _replace(text, PAIRS)
+
+
+def test_answers_whole_values_arguments_and_ends():
+    a = Answer({"T_n7": 'a"b'})
+    assert json.loads(a.push(json.dumps({"type": "response.output_text.done", "item_id": "i", "text": "T_n7"})))["text"] == 'a"b'
+    got = [a.push(json.dumps({"type": "content_block_delta", "index": 1, "delta": {"type": "input_json_delta", "partial_json": x}})) for x in ('{"q": "T_', 'n7"}')]
+    assert json.loads("".join(json.loads(x)["delta"]["partial_json"] for x in got)) == {"q": 'a"b'}
+    assert a.push("[DONE]") == "[DONE]" and a.push("3") == "3"
+
+
+def test_answers_as_a_stream_out_of_order(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    make, end = SHAPED["completions"]
+    events = [json.dumps(e) for e in [*map(make, cut(random.Random(5), "case CPF-o5c4344k and T_n7 end")), end]]
+    order = list(range(len(events)))
+    random.Random(2).shuffle(order)
+    for part in (order[:4], order[4:]):
+        spark.createDataFrame([("s", i, events[i]) for i in part], "stream string, seq long, event string").coalesce(1).write.mode("append").parquet(str(source))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = spark.readStream.schema("stream string, seq long, event string").option("maxFilesPerTrigger", 1).parquet(str(source))
+    q = unmask_answers(rows, PAIRS).writeStream.format("memory").queryName("answers").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    lines = "\n".join(r.event for r in spark.table("answers").orderBy("seq").collect()).split("\n")
+    assert "".join(p.holder[p.key] for x in lines for p in chats.pieces(json.loads(x))[0]) == "case 529 and tb end"
+
+
+def test_requests_are_written_back_or_not_at_all(spark):
+    body = {"model": "m", "max_tokens": 5, "system": [{"type": "text", "text": "s", "cache_control": {"type": "x"}}], "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": [{"type": "thinking", "thinking": "t", "signature": "z"}, {"type": "tool_use", "id": "i", "name": "n", "input": {"a": ["x", {"b": "y"}]}}]}]}
+    df = spark.createDataFrame([(1, json.dumps(body)), (2, "{"), (3, json.dumps(body))], "id int, body string")
+    rows, _ = chats.flatten(df, "id")
+    new = rows.where("id <> 3 or ord > 0").withColumn("text", F.upper("text"))
+    got = {r.id: r.body for r in chats.rewrite(df, new, "id").collect()}
+    body["system"][0]["text"], body["messages"][0]["content"] = "S", "Q"
+    body["messages"][1]["content"][1]["input"] = {"a": ["X", {"b": "Y"}]}
+    assert json.loads(got[1]) == body and got[2] is None and got[3] is None
+
+
 def test_stream_out_of_order(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
