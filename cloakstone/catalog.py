@@ -78,14 +78,12 @@ def detect_email(spark, sf_dir):
     return _found(spark, sf_dir, "email")
 
 
-@query(_matches(r"(?i)(?:token|api_?key|secret|access_?key)[\"'']?\s*[:=]\s*[\"'']([0-9a-f]{32,64})[\"'']", group=1))
-def detect_token_attr(spark, sf_dir):
-    return _found(spark, sf_dir, "secret", "hex-token")
+HEX_TOKEN = r"(?i)(?:token|api_?key|secret|access_?key)[\"'']?\s*[:=]\s*[\"'']([0-9a-f]{32,64})[\"'']"
 
 
-@query()
-def detect_secret(spark, sf_dir):
-    return _found(spark, sf_dir, "secret")
+@query(_matches(HEX_TOKEN, group=1))
+def detect_token_attr(spark, sf_dir):
+    return _found(spark, sf_dir, "secret", "hex-token")
 
 
 _PUBLIC = (
@@ -95,25 +93,52 @@ _PUBLIC = (
 )
 
 
-@query(f"""
-WITH m AS (SELECT doc_id, unnest(regexp_extract_all(' ' || text || '  ', '(?:[^0-9.]|[^0-9][.])({IPV4})(?:[^0-9.]|[.][^0-9])', 1)) AS real FROM documents),
-o AS (SELECT *, split_part(real, '.', 1)::INT a, split_part(real, '.', 2)::INT b, split_part(real, '.', 3)::INT c, split_part(real, '.', 4)::INT d FROM m)
-SELECT doc_id, real, count(*) AS n FROM o WHERE {_PUBLIC} GROUP BY ALL""")
+#: Addresses in documents, as (doc_id, real, a, b, c, d).
+_IPS = f"""m AS (SELECT doc_id, unnest(regexp_extract_all(' ' || text || '  ', '(?:[^0-9.]|[^0-9][.])({IPV4})(?:[^0-9.]|[.][^0-9])', 1)) AS real FROM documents),
+o AS (SELECT *, split_part(real, '.', 1)::INT a, split_part(real, '.', 2)::INT b, split_part(real, '.', 3)::INT c, split_part(real, '.', 4)::INT d FROM m)"""
+#: All findings in documents (doc_id, type, rule, real): nothing but these three kinds occurs there.
+_ALL = f"""{_IPS},
+f AS (
+  SELECT doc_id, 'email' AS type, 'email' AS rule, real FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS real FROM documents) WHERE real NOT LIKE '%.invalid'
+  UNION ALL SELECT doc_id, 'secret', 'hex-token', unnest(regexp_extract_all(text, '{HEX_TOKEN}', 1)) FROM documents
+  UNION ALL SELECT doc_id, 'ip', 'ip', real FROM o WHERE {_PUBLIC})"""
+
+
+@query(f"WITH {_IPS} SELECT doc_id, real, count(*) AS n FROM o WHERE {_PUBLIC} GROUP BY ALL")
 def detect_ipv4(spark, sf_dir):
     return _found(spark, sf_dir, "ip", "ip")
 
 
-@query()
+@query(f"WITH {_ALL} SELECT doc_id, real, count(*) AS n FROM f WHERE type = 'secret' GROUP BY ALL")
+def detect_secret(spark, sf_dir):
+    return _found(spark, sf_dir, "secret")
+
+
+def _with_made(spark: SparkSession, sf_dir: str, made) -> DataFrame:
+    """The documents, which hold no such value, and a made text for each customer, under negative ids."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.unionByName(table(spark, sf_dir, "customer").select((-1 - F.col("c_custkey")).alias("doc_id"), made.alias("text")))
+
+
+def _counted(found: DataFrame, kind: str) -> DataFrame:
+    return detect.exploded(detect.detect(found, config=OPEN, only=(kind,)), "doc_id").groupBy("doc_id", "real").agg(F.count("*").alias("n"))
+
+
+@query("SELECT -1 - c_custkey AS doc_id, '5500 0000 0000 0004' AS real, 2 AS n FROM customer WHERE c_custkey % 2 = 0")
 def detect_card_luhn(spark, sf_dir):
-    return _found(spark, sf_dir, "card")
+    """A number with a right check digit twice, or one with a wrong one."""
+    made = F.when(F.col("c_custkey") % 2 == 0, "paid with 5500 0000 0000 0004, card 5500 0000 0000 0004").otherwise("paid with 5500 0000 0000 0005, card 5500 0000 0000 0013")
+    return _counted(_with_made(spark, sf_dir, made), "card")
 
 
-@query()
+@query("SELECT -1 - c_custkey AS doc_id, '(' || (11 + c_custkey % 88) || ') 9' || (1000 + c_custkey % 9000) || '-' || (1000 + c_custkey * 7 % 9000) AS real, 1 AS n FROM customer")
 def detect_phone(spark, sf_dir):
-    return _found(spark, sf_dir, "phone")
+    k = F.col("c_custkey")
+    number = F.concat(F.lit("("), k % 88 + 11, F.lit(") 9"), k % 9000 + 1000, F.lit("-"), k * 7 % 9000 + 1000)
+    return _counted(_with_made(spark, sf_dir, F.concat(F.lit("ring "), number, F.lit(" or 555-1234 ext 9"))), "phone")
 
 
-@query()
+@query(f"WITH {_ALL} SELECT type, rule, count(*) AS n FROM f GROUP BY ALL")
 def detect_all_types(spark, sf_dir):
     """type, rule, n over all detectors."""
     rows = detect.exploded(detect.detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), config=OPEN), "doc_id")
@@ -202,18 +227,35 @@ def mask_idempotent(spark, sf_dir):
     return corpus.mask_corpus(once, TEST_KEY, config=OPEN).select("doc_id", (F.col("text") == F.col("first")).alias("same"))
 
 
-@query()
+#: Each distinct finding with its pseudonym, and the domain within an address.
+_PSEUDO = f"""{_ALL},
+v AS (SELECT DISTINCT type, real, split_part(real, '.', 1) || '.' || split_part(real, '.', 2) || '.' || split_part(real, '.', 3) AS net FROM f),
+h AS (SELECT *, {_NET} AS h FROM v),
+p AS (SELECT type, real, CASE type
+    WHEN 'email' THEN 'p.' || {_kid('email', 'lower(real)')} || '@d' || substr({_kid('dominio', "lower(regexp_extract(real, '@([^@]*)$', 1))")}, 1, 4) || '.invalid'
+    WHEN 'secret' THEN 'SECRET-' || {_kid('segredo', 'real')}
+    ELSE (240 | (('0x' || substr(h, 1, 2))::INT & 15)) || '.' || ('0x' || substr(h, 3, 2))::INT || '.' || ('0x' || substr(h, 5, 2))::INT || '.' || split_part(real, '.', 4) END AS pseudo FROM h),
+each AS (SELECT DISTINCT doc_id, type, real, pseudo FROM f JOIN p USING (type, real)
+  UNION SELECT DISTINCT doc_id, 'domain', regexp_extract(real, '@([^@]*)$', 1), regexp_extract(pseudo, '@([^@]*)$', 1) FROM f JOIN p USING (type, real) WHERE type = 'email')"""
+
+
+@query(f"""
+WITH RECURSIVE {_PSEUDO},
+l AS (SELECT doc_id, real, pseudo, row_number() OVER (PARTITION BY doc_id ORDER BY length(real) DESC, real) AS i FROM each WHERE type <> 'domain'),
+r AS (SELECT doc_id, 0::BIGINT AS i, text FROM documents UNION ALL SELECT r.doc_id, l.i, replace(r.text, l.real, l.pseudo) FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1),
+last AS (SELECT doc_id, arg_max(text, i) AS text FROM r GROUP BY 1)
+SELECT doc_id, text, (SELECT count(*) FROM f WHERE f.doc_id = last.doc_id)::INT AS n_replacements FROM last""")
 def masked_documents(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
-@query()
+@query(f"WITH {_PSEUDO} SELECT type, count(DISTINCT pseudo) AS n_distinct, 0 AS n_collided FROM each GROUP BY type")
 def collisions_and_mapping(spark, sf_dir):
     m = mask.mapping(_masked(spark, sf_dir), "doc_id")
     return audit.by_type(m).join(mask.collisions(m, "doc_id").agg(F.count("*").alias("n_collided")))
 
 
-@query()
+@query(f"WITH {_PSEUDO} SELECT type, count(*) AS n FROM each GROUP BY type")
 def top_types(spark, sf_dir):
     return audit.top_counts(mask.mapping(_masked(spark, sf_dir), "doc_id"), "type")
 

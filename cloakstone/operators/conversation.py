@@ -38,8 +38,8 @@ def requested_entity(command: Column) -> Column:
 
 def hinted_names(results: DataFrame, *keys: str, text: str = "text", command: str = "call_text") -> DataFrame:
     """keys, entity, name: the first word of each line that a listing command printed (not headers)."""
-    typed = results.withColumn("_entity", requested_entity(F.col(command))).where("_entity is not null")
-    lines = typed.select(*keys, F.col("_entity").alias("entity"), F.explode(F.split(text, "\n")).alias("line"))
+    typed = results.withColumn("__entity", requested_entity(F.col(command))).where("__entity is not null")
+    lines = typed.select(*keys, F.col("__entity").alias("entity"), F.explode(F.split(text, "\n")).alias("line"))
     name = F.regexp_extract("line", r"^\s*(?:\|\s*)?([A-Za-z0-9][\w.\-]{2,100})", 1)
     return lines.where(name.rlike(r"[_.0-9\-]") & ~F.col("line").rlike(r"^[A-Z0-9 _()\-|]+$")).select(*keys, "entity", name.alias("name")).distinct()
 

@@ -157,16 +157,16 @@ def restore(text: str, pairs: dict[str, str], in_json: bool = False) -> str:
 def unmask(df: DataFrame, reverse: DataFrame, scope: str, text: str = "text", in_json: bool = False) -> DataFrame:
     """df with pseudonyms of its scope (a document, a conversation) put back. The scope's table comes to its rows by a join, as one map a scope,
     so nothing is broadcast or collected; a scope is what one reader sees."""
-    maps = reverse.groupBy(scope).agg(F.map_from_entries(F.collect_list(F.struct("pseudo", "real"))).alias("_map"))
+    maps = reverse.groupBy(scope).agg(F.map_from_entries(F.collect_list(F.struct("pseudo", "real"))).alias("__map"))
     joined = df.join(maps, scope, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index(text)
-            new = [x if x is None or not m else restore(x, dict(m), in_json) for x, m in zip(b.column(at).to_pylist(), b.column(b.schema.get_field_index("_map")).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns) if b.schema.names[i] != "_map"], [n for n in b.schema.names if n != "_map"])
+            new = [x if x is None or not m else restore(x, dict(m), in_json) for x, m in zip(b.column(at).to_pylist(), b.column(b.schema.get_field_index("__map")).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns) if b.schema.names[i] != "__map"], [n for n in b.schema.names if n != "__map"])
 
-    return joined.mapInArrow(run, joined.drop("_map").schema)
+    return joined.mapInArrow(run, joined.drop("__map").schema)
 
 
 def leftovers(unmasked: DataFrame, table: DataFrame, scope: str, text: str = "text", most: int = 20) -> DataFrame:
