@@ -55,6 +55,16 @@ def read_log(lines: DataFrame) -> DataFrame:
     )
 
 
+def by_status(log: DataFrame) -> DataFrame:
+    """status, n of a parsed log."""
+    return log.where("status is not null").groupBy("status").agg(F.count("*").alias("n"))
+
+
+def refusals(log: DataFrame) -> DataFrame:
+    """refused (the reason), n of a parsed log, most first."""
+    return top_counts(log.where("refused <> ''"), "refused")
+
+
 def summary(log: DataFrame, since: Column | None = None) -> DataFrame:
     """One row: requests, not_ok, replacements, collisions, refused of a parsed log."""
     rows = log if since is None else log.where(F.col("ts") >= since)

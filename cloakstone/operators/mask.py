@@ -169,6 +169,15 @@ def unmask(df: DataFrame, reverse: DataFrame, scope: str, text: str = "text", in
     return joined.mapInArrow(run, joined.drop("__map").schema)
 
 
+def unmask_calls(calls: DataFrame, reverse: DataFrame, scope: str, config: Config | None = None, tool: str = "tool", text: str = "text") -> DataFrame:
+    """Tool calls with real values put back, but for tools that carry them away (config.no_unmask_tools: beginnings of names): those stay masked. A call
+    of no known tool stays masked too."""
+    stays = F.col(tool).isNull()
+    for name in (config or Config()).no_unmask_tools:
+        stays |= F.col(tool).startswith(name)
+    return calls.where(stays).unionByName(unmask(calls.where(~stays), reverse, scope, text))
+
+
 def leftovers(unmasked: DataFrame, table: DataFrame, scope: str, text: str = "text", most: int = 20) -> DataFrame:
     """Pseudonyms of ours that still stand in unmasked texts, up to `most` a scope (a report)."""
     seen = unmasked.select(scope, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Za-z]+[-_][a-zA-Z2-7]{8}|p\.[a-z2-7]{8}@d[a-z2-7]{4}\.invalid|[Pp]erson [a-z2-7]{8}"), F.lit(0)))).alias("pseudo"))

@@ -137,7 +137,10 @@ SHAPES = {"messages": messages_shape, "completions": completions_shape, "respons
 
 
 def flatten(requests: DataFrame, *keys: str, body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(rows of texts in order, rejected rows: keys and reason). body: a request's JSON. What can't be read is never passed on."""
+    """(rows of texts in order, rejected rows: keys and reason). body: a request's JSON. What can't be read is never passed on. Keys may not be named as
+    the columns that come out."""
+    if taken := set(keys) & {x.split()[0] for x in SCHEMA.split(", ")}:
+        raise ValueError(f"rename the keys {sorted(taken)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

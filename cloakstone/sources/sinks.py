@@ -31,6 +31,26 @@ def _runs(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName().removeprefix("run=") for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def save_people(registry: DataFrame, path: str) -> DataFrame:
+    """The registry of known.import_people (kind, hash, person) as a table: it holds hashes only."""
+    registry.select("kind", "hash", "person").distinct().write.mode("overwrite").parquet(path)
+    return registry.sparkSession.read.parquet(path)
+
+
+def write_log(entries: DataFrame, path: str, mode: str = "append") -> None:
+    """Log lines of requests (ts, status, replacements, collisions, refused, types: map), as audit.read_log reads them. Nothing of a text is in them."""
+    some = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name}="), F.col(c).cast("string")))
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("types")), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
+    refused = F.when(F.col("refused").isNotNull() & (F.col("refused") != ""), F.concat(F.lit('refused="'), F.translate("refused", '"\n', "' "), F.lit('"')))
+    line = F.concat_ws(" ", F.date_format("ts", "yyyy/MM/dd HH:mm:ss"), F.lit("request"), some("status", "status"), some("replacements", "replacements"), some("collisions", "collisions"), F.when(F.size("types") > 0, F.concat(F.lit("types="), pairs)), refused)
+    entries.select(line.alias("value")).write.mode(mode).text(path)
+
+
+def prune_sent(sent: DataFrame, seen_day: str, today, days: int = 30) -> DataFrame:
+    """What was sent, without places that no request has shown for so many days."""
+    return sent.where(F.col(seen_day) >= today - days)
+
+
 def record_sent(masked: DataFrame, positions: DataFrame, *keys: str) -> DataFrame:
     """keys, position, edits (without real values): what was sent at each place of a conversation, to be sent again the same."""
     script = F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["type"].alias("type"), e["pseudo"].alias("pseudo")))
