@@ -1,52 +1,25 @@
-"""Shared plumbing of the training-data operators: durable intermediate tables, Arrow block iteration, checks of broadcast sizes."""
+"""Shared plumbing of the training-data operators: durable intermediate tables, Arrow block iteration."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import dropped, shared_dir, written
+
+__all__ = ["dropped", "shared_dir", "written"]
+
 #: Bytes of text that one numpy block works on.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Rows of one Arrow batch; with BLOCK_BYTES it bounds a Python worker's memory.
 ARROW_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors. A local session without spark.checkpoint.dir gets a temporary one; a cluster must name it."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="cloakstone-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and a lost executor costs only its running tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing reads any more."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(df._written)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
 def arrow_limits(spark: SparkSession) -> None:
     """Small Arrow batches: a batch of long documents must fit in a worker. Spark reads these settings when a query runs, so they stay with the
     session; smaller values of the caller's are kept."""
@@ -102,3 +75,20 @@ def _cut(batches: Iterator[pa.RecordBatch], col: str, limit: int) -> Iterator[pa
 
 def column(b: pa.RecordBatch, name: str) -> pa.Array:
     return b.column(b.schema.get_field_index(name))
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Blobs of each bucket of a partition sorted by bucket (columns bucket, blob): one bucket is held at a time."""
+    now, held = None, []
+    for b in batches:
+        for k, blob in zip(column(b, "bucket").to_pylist(), column(b, "blob").to_pylist(), strict=True):
+            if k != now and held:
+                yield now, held
+                held = []
+            now = k
+            held.append(blob)
+    if held:
+        yield now, held
+    del held
+    pa.default_memory_pool().release_unused()
+    _trim()

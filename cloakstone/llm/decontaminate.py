@@ -157,7 +157,7 @@ class Index:
             active |= begun[1:] > begun[np.maximum(np.arange(n) - self.far, w.first[w.doc])]
         return np.flatnonzero(active)
 
-    def candidates(self, w: Words, step: int = 40_000) -> dict[tuple[int, int], list[int]]:
+    def candidates(self, w: Words, step: int = 20_000) -> dict[tuple[int, int], list[int]]:
         """(row, item) -> starts of windows of which some part's key equals the item's in some table."""
         starts = self.starts(w)
         found: dict[tuple[int, int], set[int]] = {}

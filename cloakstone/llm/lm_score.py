@@ -127,23 +127,9 @@ def _count_words(buckets: int):
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """Blobs of each bucket of a partition sorted by bucket."""
-    now, held = None, []
-    for b in batches:
-        for k, blob in zip(C.column(b, "bucket").to_pylist(), C.column(b, "blob").to_pylist(), strict=True):
-            if k != now and held:
-                yield now, held
-                held = []
-            now = k
-            held.append(blob)
-    if held:
-        yield now, held
-
-
 def _store_words(uri: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, blobs in _by_bucket(batches):
+        for k, blobs in C.by_bucket(batches):
             keys, counts = [], []
             for x in blobs:
                 n = int(np.frombuffer(x, np.int64, 1)[0])
@@ -243,7 +229,7 @@ def _store_pairs(m: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_counts, begin = np.zeros(4, np.int64), np.zeros(3, np.int64)
         sums: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
-        for k, blobs in _by_bucket(batches):
+        for k, blobs in C.by_bucket(batches):
             keys, counts = [], []
             for x in blobs:
                 nu, n = map(int, np.frombuffer(x, np.int64, 2))
@@ -291,7 +277,7 @@ def _store_sums(m: Model):
                 kind = C.column(b, "kind").to_pylist()
                 yield pa.RecordBatch.from_arrays([C.column(b, "bucket"), pa.array([bytes([k]) + x for k, x in zip(kind, C.column(b, "blob").to_pylist(), strict=True)], pa.binary())], ["bucket", "blob"])
 
-        for k, blobs in _by_bucket(packed()):
+        for k, blobs in C.by_bucket(packed()):
             n = int(m.first[k + 1] - m.first[k])
             followers, contexts = np.zeros((n, 3), np.uint32), np.zeros(n, np.uint32)
             for x in blobs:

@@ -36,11 +36,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 from . import common as C
 from .token_counts import SPACE, pre_tokens, splits_at_spaces
 
-TABLE = 250_000
+TABLE = 125_000
 #: Slots of the table of pairs' weights; a pair that finds its slot taken is weighed anew.
 PAIRS = 1 << 19
 #: Pre-tokens that are swept at once, and characters of one that is swept on its own.
-SWEEP, LONG = 1 << 15, 64
+SWEEP, LONG = 1 << 14, 64
 #: Letters that have a column each in the table of steps; steps by others are searched.
 COMMON = 128
 INF = float("inf")
@@ -323,7 +323,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(path)
-        for b in C.text_blocks(batches, limit=2 << 20):
+        for b in C.text_blocks(batches, limit=1 << 20):
             texts = C.column(b, "text").cast(pa.string()).to_pylist()
             rows = fst.encode_all(texts)
             n = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
