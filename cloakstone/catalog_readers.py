@@ -14,7 +14,7 @@ from .plans import sql as Q
 from .readers.fields import crc16
 from .readers.stage import read_names, register
 from .sources import chats, sinks
-from .sources.tables import written
+from .sources.tables import spread, written
 
 #: Reader: (text, expected (type, name)); {k} is the row's key. Invented samples.
 CASES: dict[str, tuple[str, list[tuple[str, str]]]] = {
@@ -95,6 +95,25 @@ for _rule in CASES:
     _reader_query(_rule)
 
 
+@query("SELECT doc_id, type, real || doc_id || '.dock.lan' AS real FROM documents, (VALUES ('obj.server', 'relay-'), ('obj.server', 'buoy-')) t(type, real)")
+def read_documents(spark, sf_dir):
+    """All readers over whole documents, each with a line of configuration in front of it and one behind it: these names, and no other."""
+    line = lambda name: F.concat(F.lit(f"host: {name}-"), F.col("doc_id").cast("string"), F.lit(".dock.lan\n"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", F.concat(line("relay"), F.coalesce("text", F.lit("")), F.lit("\n"), line("buoy")).alias("text")))
+    return read_names(docs).select("doc_id", F.inline("names")).select("doc_id", "type", "real").distinct()
+
+
+@query("SELECT 'pages' AS source, count(*) AS n_texts, 0::BIGINT AS n_names FROM pages UNION ALL SELECT 'conversations', count(*), 0 FROM conversations UNION ALL SELECT 'events', count(*), 0 FROM events")
+def read_nothing(spark, sf_dir):
+    """All readers over whole tables of prose, markup and JSON without a name in it."""
+    out = None
+    for name, column in (("pages", "html"), ("conversations", "text"), ("events", "props")):
+        one = read_names(spread(table(spark, sf_dir, name).select(F.lit(name).alias("source"), F.col(column).alias("text"))))
+        one = one.groupBy("source").agg(F.count("*").alias("n_texts"), F.coalesce(F.sum(F.size("names")), F.lit(0)).cast("long").alias("n_names"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT c_custkey, true AS same FROM customer")
 def mask_objects_roundtrip(spark, sf_dir):
     """Configuration text with its names masked and put back."""

@@ -9,7 +9,24 @@ from ..functions.labels import field_value, label_class
 from .base import Name, reader
 from .tables import grids, split_cells
 
-_SEPARATOR = re.compile(r"([A-Za-zÀ-ÿ_][\wÀ-ÿ .\-/]{0,59}?)[\"'`]?[ \t]*(?:=>|(?<![:=!<>])[:=](?![:=/]))[ \t]*(?:[rbuf]{1,2}(?=[\"']))?(\"[^\"\n]{1,120}\"|'[^'\n]{1,120}'|`[^`\n]{1,120}`|[^\n\"'`,;|{}\[\]<>]{1,120})")
+#: A sign between label and value, and the value: quoted, or up to a sign that ends it.
+_SEPARATOR = re.compile(r"(?:=>|(?<![:=!<>])[:=](?![:=/]))[ \t]*(?:[rbuf]{1,2}(?=[\"']))?(\"[^\"\n]{1,120}\"|'[^'\n]{1,120}'|`[^`\n]{1,120}`|[^\n\"'`,;|{}\[\]<>]{1,120})")
+_IN_LABEL = re.compile(r"[\wÀ-ÿ .\-/]")
+_LONGEST_LABEL = 60
+
+
+def _label(s: str, low: int, at: int) -> tuple[int, int]:
+    """Place of the label that ends before a separator: letters, digits, blanks and a few signs, from a letter on."""
+    while at > low and s[at - 1] in " \t":
+        at -= 1
+    if at > low and s[at - 1] in "\"'`":
+        at -= 1
+    a = at
+    while a > low and at - a < _LONGEST_LABEL and _IN_LABEL.match(s[a - 1]):
+        a -= 1
+    while a < at and not (s[a].isalpha() or s[a] == "_"):
+        a += 1
+    return a, at
 
 
 def _class(label: str) -> str:
@@ -40,24 +57,28 @@ def _personal(near: str) -> bool:
 @reader("field", ":", "=")
 def field(s: str) -> Iterator[Name]:
     """Labels and values; a name alone counts if its record (braces, or the line) has another personal field."""
+    done = 0
     for m in _SEPARATOR.finditer(s):
-        of_class = _class(m[1])
+        begin, end = _label(s, done, m.start())
+        done = m.end() if begin < end else done
+        of_class = _class(s[begin:end]) if begin < end else ""
         if not of_class:
             continue
-        at, value = m.start(2), m[2]
+        at, value = m.start(1), m[1]
+        sign = s[end : m.start(1)]
         if value[0] in "\"'`" and len(value) > 1 and value[-1] == value[0]:
             at, value = at + 1, value[1:-1]
-        elif "=" in s[m.end(1) : m.start(2)] and "=>" not in s[m.end(1) : m.start(2)]:
+        elif "=" in sign and "=>" not in sign:
             if of_class.startswith("name"):
                 value = re.split(r"\s+\S+[=:]", value)[0]
             else:
                 value = value.split(" ")[0].split("\t")[0]
         if of_class == "name_loose":
-            a, b = s.rfind("{", max(0, m.start() - 8192), m.start()), s.find("}", m.end(), m.end() + 8192)
-            if a < 0 or b < 0 or s.rfind("}", a, m.start()) > a:
-                a, b = s.rfind("\n", 0, m.start()) + 1, s.find("\n", m.end())
+            a, b = s.rfind("{", max(0, begin - 8192), begin), s.find("}", m.end(), m.end() + 8192)
+            if a < 0 or b < 0 or s.rfind("}", a, begin) > a:
+                a, b = s.rfind("\n", 0, begin) + 1, s.find("\n", m.end())
                 b = len(s) if b < 0 else b
-            if not _personal(s[a : m.start()] + " " + s[m.end() : b]):
+            if not _personal(s[a:begin] + " " + s[m.end() : b]):
                 continue
             of_class = "name"
         if re.fullmatch(r"[A-Za-z]{1,2}", value.strip()) and of_class not in ("quasi", "sensitive"):

@@ -76,11 +76,17 @@ def _occupied(line: str) -> int:
     return int("".join("0" if c in " \t" else "1" for c in reversed(line)) or "0", 2)
 
 
+#: Labels of aligned columns don't end in punctuation.
+_SENTENCE = re.compile(r"[.,;:!?](?:\s|$)")
+
+
 def _aligned(s: str, lines: list[Cell], i: int, wanted: Wanted) -> tuple[Grid, int] | None:
     """Columns parted by positions that are blank on every accepted line. Labels parted by two blanks or by one: what gives a wanted header with
     more columns counts."""
     a, b = lines[i]
     line = s[a:b]
+    if _SENTENCE.search(line):
+        return None
     best = None
     for gap in (r"\S+(?: \S+)*", r"\S+"):
         heads = list(re.finditer(gap, line))
