@@ -168,3 +168,10 @@ def test_quality_scores_and_verdicts_by_brute_force(spark, sf_dir):
         score = sum(weight[c] for c in cells) / max(1, len(cells))
         assert rows[r.doc_id].score == pytest.approx(score, abs=1e-12)
         assert rows[r.doc_id].kept == (not base(r.text)[5] and rows[r.doc_id].score >= quality_rules.THRESHOLD)
+
+
+def test_the_threshold_parts_labelled_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in queries.table(spark, sf, "labels").collect()}
+    rows = [r for r in queries.op7_quality_rules(spark, sf).collect() if r.doc_id in labels and not r.base_failed]
+    assert len(rows) > 200 and all(r.kept == (labels[r.doc_id] == 1) for r in rows)
