@@ -16,14 +16,14 @@ __all__ = ["dropped", "shared_dir", "written"]
 
 #: Bytes of text that one numpy block works on.
 BLOCK_BYTES = 2 << 20
-#: Rows of one Arrow batch; with BLOCK_BYTES it bounds a Python worker's memory.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch; with BLOCK_BYTES they bound a Python worker's memory.
+ARROW_ROWS, ARROW_BYTES = 500, 4 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:
     """Small Arrow batches: a batch of long documents must fit in a worker. Spark reads these settings when a query runs, so they stay with the
     session; smaller values of the caller's are kept."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
         now = spark.conf.get(key)
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))

@@ -36,11 +36,11 @@ from pyspark.sql.types import StringType, StructField, StructType
 from . import common as C
 from .token_counts import SPACE, pre_tokens, splits_at_spaces
 
-TABLE = 125_000
+TABLE = 60_000
 #: Slots of the table of pairs' weights; a pair that finds its slot taken is weighed anew.
 PAIRS = 1 << 19
 #: Pre-tokens that are swept at once, and characters of one that is swept on its own.
-SWEEP, LONG = 1 << 14, 64
+SWEEP, LONG = 1 << 13, 64
 #: Letters that have a column each in the table of steps; steps by others are searched.
 COMMON = 128
 INF = float("inf")
@@ -105,10 +105,11 @@ class Transducer:
         self.lefts, self.rights, self.ranks, self.plains = np.full(v, -1, np.int64), np.full(v, -1, np.int64), np.full(v, -1, np.int64), np.zeros(v, bool)
         for into, of in ((self.lefts, self.left), (self.rights, self.right), (self.ranks, self.rank), (self.plains, self.plain)):
             into[list(of)] = list(of.values())
+        del self.left, self.right, self.rank  # the arrays stay
         self.possible = np.zeros(v, bool)
         self.possible[list(self.plain)] = True
         # two pieces whose concatenation is a piece
-        joins = np.array(sorted((self.ids[p[:k]] * v + self.ids[p[k:]], self.rank[i]) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids), np.int64).reshape(-1, 2)
+        joins = np.array(sorted((self.ids[p[:k]] * v + self.ids[p[k:]], int(self.ranks[i])) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids), np.int64).reshape(-1, 2)
         self.joined, self.joined_rank = np.ascontiguousarray(joins[:, 0]), np.ascontiguousarray(joins[:, 1])
         self.pair, self.pair_stable = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
         self.byte_ids = np.array([self.bytes[i] for i in range(256)], np.int32)
@@ -323,7 +324,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(path)
-        for b in C.text_blocks(batches, limit=1 << 20):
+        for b in C.text_blocks(batches, limit=1 << 19):
             texts = C.column(b, "text").cast(pa.string()).to_pylist()
             rows = fst.encode_all(texts)
             n = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
