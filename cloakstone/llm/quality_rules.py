@@ -31,6 +31,7 @@ BUCKETS = 1 << 16
 FILES = 1024
 #: Mean log-ratio of an n-gram under which a document looks unlike the target: the middle between the least score of labelled good rows (-0.047) and
 #: the greatest of labelled bad ones (-0.133), over the 18,251 labelled rows of a table of 51,282 that pass the base rules; none lies on the wrong side.
+#: On small tables SMOOTHING draws scores towards 0: of 1,000 rows, 2 of 27 labelled bad ones stay above it, and no good one falls below.
 THRESHOLD = -0.09
 #: Count added to each cell of either multinomial.
 SMOOTHING = 30.0
