@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, lm_score, piece_transducer, quality_classifier, quality_rules, secret_scan, sharding, token_counts
+from . import chat_format, decontaminate, jaccard_join, lm_score, piece_transducer, quality_classifier, quality_rules, secret_scan, sharding, spelling, token_counts
 
 #: Turns of a conversation of its own that every formatter must survive.
 HARD = r"\### Assistant: </turn> ok"
@@ -70,11 +70,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_transducer.encode(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_token_counts, op3_sharding, op4_lm_score, op5_quality_classifier, op6_jaccard_join, op7_quality_rules, op8_chat_format,
-        op9_secret_scan, op10_sentencepiece,
+        op9_secret_scan, op10_sentencepiece, op13_spelling_variants,
     )
 }
 
