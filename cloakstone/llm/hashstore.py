@@ -67,3 +67,9 @@ def load(uri: str, name: str, kind) -> np.ndarray:
         if _posix(old) is None and isinstance(gone, np.memmap):
             os.unlink(gone.filename)
     return mapped
+
+
+def remove(spark, uri: str) -> None:
+    """Deletes a folder of files that no task reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

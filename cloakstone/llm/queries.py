@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, jaccard_join, lm_score, piece_transducer, quality_classifier, quality_rules, secret_scan, sharding, spelling, token_counts
+from . import (
+    chat_format, decontaminate, hard_negatives, jaccard_join, lm_score, piece_transducer, prefix_forest, quality_classifier, quality_rules, secret_scan, sharding, spelling,
+    token_counts,
+)
 
 #: Turns of a conversation of its own that every formatter must survive.
 HARD = r"\### Assistant: </turn> ok"
@@ -70,6 +73,17 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_transducer.encode(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return prefix_forest.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -78,7 +92,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_token_counts, op3_sharding, op4_lm_score, op5_quality_classifier, op6_jaccard_join, op7_quality_rules, op8_chat_format,
-        op9_secret_scan, op10_sentencepiece, op13_spelling_variants,
+        op9_secret_scan, op10_sentencepiece, op11_nearest_neighbours, op12_hard_negatives, op13_spelling_variants,
     )
 }
 
@@ -94,6 +108,17 @@ e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE
 both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT y, root FROM r JOIN both_ways ON x = r.doc_id)
 SELECT doc_id, n AS n_shingles, min(root) AS component_id FROM r JOIN n USING (doc_id) GROUP BY 1, 2""",
+    "op12_hard_negatives": """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10""",
     "op8_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
