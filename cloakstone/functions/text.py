@@ -53,34 +53,79 @@ def capitalised(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
 
 
-def char_at(text: Column, position: Column) -> Column:
-    """The character at a position from 0; '' outside the text."""
-    return F.when(position < 0, "").otherwise(F.substr(text, position + 1, F.lit(1)))
-
-
-def before(text: Column, start: Column, n: int = 30) -> Column:
-    """Up to n characters before a position, in lower case."""
-    first = F.greatest(F.lit(0), start - n)
-    return F.lower(F.substr(text, first + 1, start - first))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: in a lambda nothing else keeps a shared part from being worked out again at each use."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-#: Elements that are summed one after another; a fold copies its growing array at each element.
+#: Elements that are folded one after another; a fold copies its growing array at each element.
 CHUNK = 128
 
 
-def prefix_sums(lengths: Column) -> Column:
-    """Sums of what stands before each of one or more integers. Parts of CHUNK are folded on their own and then shifted, so the work stays about
-    linear for arrays of a million elements."""
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
-    fold = lambda xs: F.aggregate(xs, zero, lambda a, x: F.struct((a["pos"] + x).alias("pos"), F.concat(a["out"], F.array(a["pos"])).alias("out")))
+def running(values: Column, op: Callable[[Column, Column], Column], start: int = 0) -> Column:
+    """op over what stands before each of one or more integers, from start on. Parts of CHUNK are folded on their own and then carried on (op is associative),
+    so the work stays about linear for arrays of a million elements."""
+    zero = F.struct(F.lit(start).alias("pos"), F.array().cast("array<int>").alias("out"))
+    fold = lambda xs: F.aggregate(xs, zero, lambda a, x: F.struct(op(a["pos"], x).alias("pos"), F.concat(a["out"], F.array(a["pos"])).alias("out")))
     parts = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / CHUNK).cast("int")), lambda i: fold(F.slice(x, i * CHUNK + 1, F.lit(CHUNK))))
-    shifted = lambda ps: let(fold(F.transform(ps, lambda p: p["pos"]))["out"], lambda by: F.flatten(F.zip_with(ps, by, lambda p, b: F.transform(p["out"], lambda v: v + b))))
-    return let(lengths, lambda x: let(parts(x), shifted))
+    carried = lambda ps: let(fold(F.transform(ps, lambda p: p["pos"]))["out"], lambda by: F.flatten(F.zip_with(ps, by, lambda p, b: F.transform(p["out"], lambda v: op(v, b)))))
+    return let(values, lambda x: let(parts(x), carried))
+
+
+def prefix_sums(lengths: Column) -> Column:
+    """Sums of what stands before each of one or more integers."""
+    return running(lengths, lambda a, b: a + b)
+
+
+def prefix_max(values: Column) -> Column:
+    """The greatest of what stands before each of one or more integers of 0 and more; 0 before the first."""
+    return running(values, F.greatest)
+
+
+#: Characters of one piece of a view.
+PIECE = 1024
+
+
+def view(text: Column) -> Column:
+    """The text in pieces of PIECE characters: a part is cut from a piece, and not by counting from the text's beginning."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def short_cut(seen: Column, start: Column, length: Column) -> Column:
+    """At most PIECE characters of a view from a position on; '' outside the text."""
+    at = F.floor(start / PIECE).cast("int")
+    two = F.concat(F.get(seen, at), F.coalesce(F.get(seen, at + 1), F.lit("")))
+    return F.when(start < 0, "").otherwise(F.coalesce(F.substr(two, start - at * PIECE + 1, length), F.lit("")))
+
+
+def cut(seen: Column, start: Column, end: Column) -> Column:
+    """The characters of a view from start to before end."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    head = F.substr(F.get(seen, first), start - first * PIECE + 1, end - start)
+    rest = F.concat(F.array_join(F.slice(seen, first + 2, F.greatest(F.lit(0), last - first - 1)), ""), F.substr(F.get(seen, last), F.lit(1), end - last * PIECE))
+    return F.when(end <= start, "").when(first == last, head).otherwise(F.concat(head, rest))
+
+
+def spliced(text: Column, edits: Column, new: Callable[[Column], Column]) -> Column:
+    """The text with the parts of edits (structs with start and end, sorted, without overlap) replaced by new(edit)."""
+    def put(seen: Column, es: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.transform(es, lambda e: e["end"]))
+        parts = F.zip_with(es, F.slice(before, 1, F.size(es)), lambda e, p: F.concat(cut(seen, p, e["start"]), new(e)))
+        return F.concat(F.array_join(parts, ""), cut(seen, F.element_at(before, -1), F.length(text)))
+
+    return let(view(text), lambda seen: let(edits, lambda es: put(seen, es)))
+
+
+def char_at(seen: Column, position: Column) -> Column:
+    """The character of a view at a position from 0; '' outside the text."""
+    at = F.floor(position / PIECE).cast("int")
+    return F.when(position < 0, "").otherwise(F.coalesce(F.substr(F.get(seen, at), position - at * PIECE + 1, F.lit(1)), F.lit("")))
+
+
+def before(seen: Column, start: Column, n: int = 30) -> Column:
+    """Up to n characters of a view before a position, in lower case."""
+    first = F.greatest(F.lit(0), start - n)
+    return F.lower(short_cut(seen, first, start - first))
 
 
 def located(text: Column, pattern: str, group: int, body: Callable[[Column, Column], Column]) -> Column:
@@ -96,7 +141,7 @@ def located(text: Column, pattern: str, group: int, body: Callable[[Column, Colu
 def spans(text: Column, pattern: str, kind: str, keep: Callable[..., Column] | None = None, group: int = 0, rule: str | None = None, strong: bool = True) -> Column:
     """Matches of a pattern, leftmost and without overlap, as an array of spans (code points; end exclusive) of the group's value.
 
-    keep(text, start, end, value) says which matches count. A group must end where the match does (patterns look ahead for what follows)."""
+    keep(view, start, end, value) says which matches count (view: of the text). A group must end where the match does (patterns look ahead for what follows)."""
     none = F.array().cast(SPANS)
 
     def one(x: Column, at: Column) -> Column:
@@ -104,5 +149,6 @@ def spans(text: Column, pattern: str, kind: str, keep: Callable[..., Column] | N
         span = F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), F.lit(kind).alias("type"), x["value"].alias("real"), F.lit(rule or kind).alias("rule"), F.lit(strong).alias("strong"))
         return F.when(x["match"].isNotNull(), span)
 
-    good = lambda e: e.isNotNull() & keep(text, e["start"], e["end"], e["real"]) if keep else e.isNotNull()
-    return F.when(text.rlike(pattern), F.filter(located(text, pattern, group, one), good).cast(SPANS)).otherwise(none)
+    found = located(text, pattern, group, one)
+    good = F.filter(found, lambda e: e.isNotNull()) if keep is None else let(view(text), lambda seen: F.filter(found, lambda e: e.isNotNull() & keep(seen, e["start"], e["end"], e["real"])))
+    return F.when(text.rlike(pattern), good.cast(SPANS)).otherwise(none)

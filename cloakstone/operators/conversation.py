@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def positions(rows: DataFrame, conv: str, order: str, text: str = "text", role: str = "role") -> DataFrame:
     """rows with position: 128 bits of all turns up to each one, so equal histories have equal positions.
@@ -114,11 +116,9 @@ def memory(decisions: DataFrame, conv: str) -> DataFrame:
 
 def remembered(texts: DataFrame, names: DataFrame, conv: str, *keys: str, text: str = "text", most: int = 128) -> DataFrame:
     """keys, start, end, type, real, rule, strong: whole words of a conversation's texts that are its names, wherever they were decided."""
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,word:string>>").alias("out"))
     word = r"[\p{L}\p{N}_][\p{L}\p{N}_.\-]*[\p{L}\p{N}_]"
-    pairs = F.arrays_zip(F.split(text, word, -1).alias("gap"), F.regexp_extract_all(text, F.lit(word), F.lit(0)).alias("word"))
-    step = lambda acc, p: F.struct((acc["pos"] + F.length(p["gap"]) + F.coalesce(F.length(p["word"]), F.lit(0))).alias("pos"), F.when(F.length(p["word"]).between(3, most), F.concat(acc["out"], F.array(F.struct((acc["pos"] + F.length(p["gap"])).alias("start"), p["word"].alias("word"))))).otherwise(acc["out"]).alias("out"))
-    words = texts.select(conv, *keys, F.explode(F.aggregate(pairs, zero, step, lambda acc: acc["out"])).alias("w")).select(conv, *keys, "w.start", F.col("w.word").alias("real"))
+    found = F.filter(T.located(text_ := F.col(text), word, 0, lambda x, at: F.struct(at.alias("start"), x["match"].alias("real"))), lambda w: F.length(w["real"]).between(3, most))
+    words = texts.where(text_.isNotNull()).select(conv, *keys, F.explode(found).alias("w")).select(conv, *keys, "w.start", "w.real")
     forms = words.withColumn("word", F.explode(F.array_distinct(F.array("real", F.lower("real")))))
     found = forms.join(names.select(conv, "word", "type"), [conv, "word"])
     return found.groupBy(conv, *keys, "start", "real").agg(F.min("type").alias("type")).select(conv, *keys, "start", (F.col("start") + F.length("real")).alias("end"), "type", "real", F.lit("memory").alias("rule"), F.lit(True).alias("strong"))

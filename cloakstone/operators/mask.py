@@ -23,15 +23,19 @@ PERSON = "person:"
 def resolved(findings: Column) -> Column:
     """The findings that are replaced: by start, then length (longest first), personal before object, then type; greedy without overlap."""
     key = F.transform(findings, lambda f: F.struct(f["start"].alias("start"), (f["start"] - f["end"]).alias("short"), f["type"].startswith("obj.").alias("object"), f["type"].alias("kind"), f.alias("f")))
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(T.SPANS).alias("out"))
 
     def step(acc: Column, k: Column) -> Column:
         f = k["f"]
         free = f["start"] >= acc["pos"]
         return F.struct(F.when(free, f["end"]).otherwise(acc["pos"]).alias("pos"), F.when(free, F.concat(acc["out"], F.array(f))).otherwise(acc["out"]).alias("out"))
 
-    ordered = F.array_sort(key)
-    return F.when(F.size(findings) < 2, findings).otherwise(F.aggregate(ordered, zero, step, lambda acc: acc["out"]))
+    # parts of CHUNK findings are folded into arrays of their own: one growing array for all would be copied at each finding
+    none = F.array().cast(T.SPANS)
+    some = lambda ordered, i, pos: F.aggregate(F.slice(ordered, i * T.CHUNK + 1, F.lit(T.CHUNK)), F.struct(pos.alias("pos"), none.alias("out")), step)
+    onward = lambda acc, r: F.struct(r["pos"].alias("pos"), F.concat(acc["out"], r["out"]).alias("out"))
+    parts = lambda ordered: F.sequence(F.lit(0), F.floor((F.size(ordered) - 1) / T.CHUNK).cast("int"))
+    greedy = lambda ordered: F.aggregate(parts(ordered), F.struct(F.lit(0).alias("pos"), none.alias("out")), lambda acc, i: T.let(some(ordered, i, acc["pos"]), lambda r: onward(acc, r)), lambda acc: acc["out"])
+    return F.when(F.size(findings) < 2, findings).otherwise(T.let(F.array_sort(key), greedy))
 
 
 def longest_first(findings: Column) -> Column:
@@ -50,13 +54,10 @@ def edits(findings: Column, pseudo) -> Column:
 
 def spliced(text: Column, script: Column) -> Column:
     """The text with an edit script applied; a script with spans that overlap or leave the text gives null."""
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"), F.lit(True).alias("ok"))
-
-    def step(acc: Column, e: Column) -> Column:
-        ok = acc["ok"] & (e["start"] >= acc["pos"]) & (e["end"] > e["start"]) & (e["end"] <= F.length(text)) & (F.length(e["pseudo"]) > 0)
-        return F.struct(e["end"].alias("pos"), F.concat(acc["out"], F.substr(text, acc["pos"] + 1, F.greatest(F.lit(0), e["start"] - acc["pos"])), e["pseudo"]).alias("out"), ok.alias("ok"))
-
-    return F.when(F.size(script) == 0, text).otherwise(F.aggregate(script, zero, step, lambda acc: F.when(acc["ok"], F.concat(acc["out"], F.substr(text, acc["pos"] + 1)))))
+    ends = F.concat(F.array(F.lit(0)), F.transform(script, lambda e: e["end"]))
+    good = F.zip_with(script, F.slice(ends, 1, F.size(script)), lambda e, p: (e["start"] >= p) & (e["end"] > e["start"]) & (F.length(e["pseudo"]) > 0))
+    fits = F.forall(good, lambda x: x) & (F.element_at(ends, -1) <= F.length(text))
+    return F.when(F.size(script) == 0, text).when(fits, T.spliced(text, script, lambda e: e["pseudo"]))
 
 
 def mask(df: DataFrame, key: ids.Key, text: str = "text", config: Config | None = None) -> DataFrame:
