@@ -70,6 +70,16 @@ def _live_shape(v: Column) -> Column:
     return v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]")
 
 
+def apart(some: Column, taken: Column) -> Column:
+    """The spans of some that overlap none of taken, in one pass: both in one array, in order of the place where a span of some ends and one of taken begins; a span overlaps
+    if the greatest end of those that begin before its end lies behind its start."""
+    ends = F.transform(some, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("takes"), s.alias("span")))
+    starts = F.transform(taken, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("takes"), s.alias("span")))
+    reach = lambda es: T.prefix_max(F.transform(es, lambda e: F.when(e["takes"] == 1, e["span"]["end"]).otherwise(0)))
+    free = lambda es: F.filter(F.zip_with(es, reach(es), lambda e, r: F.when((e["takes"] == 0) & (r <= e["span"]["start"]), e["span"])), lambda s: s.isNotNull())
+    return F.when((F.size(some) == 0) | (F.size(taken) == 0), some).otherwise(T.let(F.array_sort(F.concat(ends, starts)), free))
+
+
 def scan(docs: DataFrame, owner: str = "source", *kept: str) -> DataFrame:
     """doc_id, owner, base and further candidates of each row, and its columns kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -77,10 +87,11 @@ def scan(docs: DataFrame, owner: str = "source", *kept: str) -> DataFrame:
     options = {"private_key": {"group": 2, "hashed": _body_hash}, "opaque": {"keep": _live_shape}}
     more = F.concat(*[_spans(text, 3 + i, p, **options.get(k, {})) for i, (k, p) in enumerate(FURTHER)])
     found = docs.select(*kept, "doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), F.array_sort(base).alias("base"), more.alias("_more"))
-    found = found.withColumn("_keys", F.filter("_more", lambda m: m["kind"] == PRIVATE_KEY))
-    meets = lambda spans, m: F.exists(spans, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    apart = F.filter("_more", lambda m: (m["kind"] == PRIVATE_KEY) | ~(meets("base", m) | meets("_keys", m)))  # a key stays whole, whatever its body looks like
-    return found.withColumn("further", F.array_sort(apart)).drop("_more", "_keys")
+    key = lambda m: m["kind"] == PRIVATE_KEY
+    keys = F.filter("_more", key)  # a key stays whole, whatever its body looks like
+    others = F.filter("_more", lambda m: ~key(m))
+    further = F.when(F.size("_more") == 0, F.col("_more")).otherwise(F.array_sort(F.concat(keys, apart(others, F.concat("base", keys)))))
+    return found.withColumn("further", further).drop("_more")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -129,15 +140,15 @@ def redact(docs: DataFrame, owner: str = "source", mark: str = "[SECRET]", max_o
     both = found.where(F.size("further") > 0).select("_id", "_row").join(spans, "_id").select("_row", F.col("spans").alias("_spans"))
     both = both.unionByName(found.where(F.size("further") == 0).select("_row", F.col("base").alias("_spans")))
     text = F.col("_row.text")
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def cut(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["pos"]  # overlaps the one before
-        gap = F.substr(text, acc["pos"] + 1, F.greatest(F.lit(0), s["start"] - acc["pos"]))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
-
-    new = F.aggregate("_spans", start, cut, lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1)))
-    changed = {"text": F.when(F.size("_spans") == 0, text).otherwise(new)}
+    # spans that overlap the one before are one with it
+    reach = T.prefix_max(F.transform("_spans", lambda s: s["end"]))
+    first = lambda s, r: F.when(s["start"] >= r, s["start"])
+    starts = F.array_compact(F.zip_with("_spans", reach, first))
+    behind = F.concat(F.array_compact(F.slice(F.zip_with("_spans", reach, lambda s, r: F.when(s["start"] >= r, r)), F.lit(2), F.size("_spans"))), F.array(F.array_max(F.transform("_spans", lambda s: s["end"]))))
+    merged = F.zip_with(starts, behind, lambda a, z: F.struct(a.alias("start"), z.alias("end")))
+    new = T.spliced(text, merged, lambda _: F.lit(mark))
+    both = both.select("_row", F.size("_spans").alias("_n"), F.when(F.size("_spans") == 0, text).otherwise(new).alias("_text"))
+    changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.size("_spans") == 0, F.col("_row.n_chars")).otherwise(F.length(new).cast(docs.schema["n_chars"].dataType))
+        changed["n_chars"] = F.when(F.col("_n") == 0, F.col("_row.n_chars")).otherwise(F.length("_text").cast(docs.schema["n_chars"].dataType))
     return both.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

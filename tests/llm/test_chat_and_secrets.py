@@ -1,5 +1,7 @@
+import bisect
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -147,6 +149,31 @@ def test_a_text_with_very_many_matches(spark):
     assert row.n_hex == 30_000 and row.base_sha256 == hashlib.sha256(",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(30_000)).encode()).hexdigest()
 
 
+def test_very_many_base_and_further_spans_in_one_text(spark):
+    """Base spans, tokens beside and across them, in one text of some megabytes: nothing is compared in all pairs, and nothing is cut out by counting from the beginning."""
+    rng = random.Random(2)
+    token = lambda: "".join(rng.choice("ABCDEFabcdef0123456789") for _ in range(28)) + "Zz9"
+    part = lambda i: rng.choice([f"{i:016x}", token(), f"{i:020x}Zz9-{token()}", f"password={token()}", "é word"])
+    text = " ".join(part(i) for i in range(60_000))
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text))], DOCS)
+    row = secret_scan.digests(secret_scan.find(docs)).first()
+    b = base(text)
+    starts, ends = [s for s, _, _ in b], list(itertools.accumulate((e for _, _, e in b), max))
+    more = []
+    for m in re.finditer(secret_scan.FURTHER[2][1].replace("}+", "}"), text):
+        k = bisect.bisect_left(starts, m.end())
+        if all(re.search(p, m[0]) for p in ("[0-9]", "[a-z]", "[A-Z]")) and not (k and ends[k - 1] > m.start()):
+            more.append((m.start(), 5, m.end()))
+    want = sorted(b + more)
+    assert len(more) > 5_000 and len(b) > 20_000 and row.spans == ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in want)
+    out, pos = [], 0
+    for s, _, e in want:
+        out += [] if s < pos else [text[pos:s], "[SECRET]"]
+        pos = max(pos, e)
+    clean = secret_scan.redact(docs).first()
+    assert clean.text == "".join(out) + text[pos:] and clean.n_chars == len(clean.text)
+
+
 def test_a_very_long_turn(spark):
     text = "### x </turn> é\\ " * 60_000
     r = chat_format.digests(chat_format.format_conversations(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string"))).first()
