@@ -16,8 +16,8 @@ Which starts are embedded: k edits leave at least m - 2 - 3k of an item's three-
 can't pass the verification; such starts are skipped, unless an offset of a longer item may fall on them. That loses nothing, and every hit still goes through embedding and tables. (An
 item too short for that bound makes all starts near any of its words count.)
 
-The items go to the workers in slices of at most SLICE_BYTES of text, each of which is broadcast; the slices run one behind the other over each row, so
-documents are read once.
+The items are files of about SLICE_BYTES of text each in the shared folder. One stage holds a block of documents and builds the index of one slice after another
+over it (a lone slice: once a worker), so documents are read once and memory doesn't depend on the number of slices.
 
 Defined results: null or wordless texts and items match nothing; equal items each match; repeated rows repeat; a row for each document and
 item, at its best place (least distance, then first); an empty table gives no rows; other columns are ignored by find() and kept by
@@ -25,6 +25,7 @@ drop_contaminated(). An item that a third of all documents hold costs no more th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import hashstore
 from .textblock import ALPHANUMERIC, Words, mix
 
 U = np.uint64
@@ -42,6 +44,8 @@ STEPS = 64
 SEEN, STRIDE = STEPS // 2, STEPS // 4
 WALKS, TABLES, KEY = 8, 8, 3
 SLICE_BYTES = 4 << 20
+#: Bytes of documents that are held while several slices pass over them.
+HELD_BYTES = 16 << 20
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, similarity double, start_byte long, end_byte long"
 
 
@@ -228,82 +232,107 @@ def search(peq: dict[int, int], m: int, tokens: list[int], anchored: bool = Fals
     return best, end
 
 
-def _slices(items: DataFrame) -> list[DataFrame]:
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // SLICE_BYTES)
-    return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i) for i in range(n)]
-
+class Slices:
+    """The items (item_id, text) as files of at most about SLICE_BYTES of text each, in the shared folder. Tasks hold the index of one at a time."""
+
+    def __init__(self, items: DataFrame):
+        spark = items.sparkSession
+        self.folder, total = f"{C.shared_dir(spark)}/items-{uuid.uuid4().hex}", items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        packed = items.select(F.col("item_id").cast("long").alias("item_id"), C.text_bytes()).where("item_id is not null")
+        n = -(-total // SLICE_BYTES)
+        self.count = n if n and packed.repartition(n, F.xxhash64("item_id", "text")).mapInArrow(self._saved(), "n long").agg(F.sum("n")).first()[0] else 0
+
+    def _saved(self):
+        folder = self.folder
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            rows = sorted((i, t) for b in batches for i, t in zip(C.column(b, "item_id").to_pylist(), C.column(b, "text").to_pylist(), strict=True))
+            n = TaskContext.get().partitionId()
+            hashstore.save(folder, f"ids-{n}", np.array([i for i, _ in rows], np.int64))
+            hashstore.save(folder, f"sizes-{n}", np.array([len(t) for _, t in rows], np.int64))
+            hashstore.save(folder, f"text-{n}", np.frombuffer(b"".join(t for _, t in rows), np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array([len(rows)])], ["n"])
+
+        return run
+
+    def index(self, n: int) -> Index:
+        """The index of a slice; the last one is kept, so a lone slice is built once by a worker."""
+        key = (self.folder, n)
+        if key not in _built:
+            _built.clear()
+            ids, sizes, text = (hashstore.load(self.folder, f"{k}-{n}", t) for k, t in (("ids", np.int64), ("sizes", np.int64), ("text", np.uint8)))
+            ends, raw = np.cumsum(sizes), text.tobytes()
+            _built[key] = Index(ids.tolist(), [raw[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)])
+        return _built[key]
+
+    def blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], Iterator[tuple[int, Index]]]]:
+        """Blocks of texts that are held together, and all indexes one after another. With several slices more texts are held, since an index is built for each time."""
+        held, size = [], 0
+        for b in C.text_blocks(batches):
+            held.append(b)
+            size += C.column(b, "text").nbytes
+            if self.count < 2 or size >= HELD_BYTES:
+                yield held, map(self.index, range(self.count))
+                held, size = [], 0
+        if held:
+            yield held, map(self.index, range(self.count))
 
-def _index(items: DataFrame) -> Index:
-    rows = sorted(items.select("item_id", C.text_bytes()).where("item_id is not null").collect(), key=lambda r: (r.item_id, bytes(r.text)))  # a slice: SLICE_BYTES of text
-    return Index([r.item_id for r in rows], [bytes(r.text) for r in rows])
 
+_built: dict[tuple[str, int], Index] = {}
 
 HIT = pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("item_words", pa.int32()), ("similarity", pa.float64()), ("start_byte", pa.int64()), ("end_byte", pa.int64())])
 
 
-def _find(index: Index, last: bool):
-    """Adds a slice's hits to each row's; behind the last slice the texts go, and rows without a hit."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.text_blocks(batches):
-            data, offsets = C.buffers(C.column(b, "text"))
-            w = words_of(data, offsets)
-            hits = C.column(b, "hits").to_pylist()
-            for (row, item), starts in sorted(index.candidates(w).items()) if index.ids else ():
-                got = index.verify(item, w, row, starts)
-                if got:
-                    d, first, end = got
-                    m = int(index.m[item])
-                    at = int(offsets[row])
-                    hit = (index.ids[item], d, m, 1 - d / m, int(w.starts[first]) - at, int(w.ends[end - 1]) - at)
-                    hits[row].append(dict(zip((x.name for x in HIT), hit, strict=True)))
-            out = pa.array(hits, pa.list_(HIT))
-            if last:
-                some = pa.array(np.array([bool(x) for x in hits], bool))
-                yield pa.RecordBatch.from_arrays([C.column(b, "doc_id").filter(some), out.filter(some)], ["doc_id", "hits"])
-            else:
-                yield pa.RecordBatch.from_arrays([C.column(b, "doc_id"), C.column(b, "text"), out], ["doc_id", "text", "hits"])
-
-    return run
+def _find(slices: Slices, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.name for x in HIT]
+    for held, indexes in slices.blocks(batches):
+        hits = [[[] for _ in range(b.num_rows)] for b in held]
+        for index in indexes:
+            for b, of in zip(held, hits, strict=True):
+                data, offsets = C.buffers(C.column(b, "text"))
+                w = words_of(data, offsets)
+                for (row, item), starts in sorted(index.candidates(w).items()) if index.ids else ():
+                    if got := index.verify(item, w, row, starts):
+                        d, first, end = got
+                        m, at = int(index.m[item]), int(offsets[row])
+                        hit = (index.ids[item], d, m, 1 - d / m, int(w.starts[first]) - at, int(w.ends[end - 1]) - at)
+                        of[row].append(dict(zip(names, hit, strict=True)))
+        for b, of in zip(held, hits, strict=True):
+            some = pa.array(np.array([bool(x) for x in of], bool))
+            yield pa.RecordBatch.from_arrays([C.column(b, "doc_id").filter(some), pa.array(of, pa.list_(HIT)).filter(some)], ["doc_id", "hits"])
 
 
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """A row for each document (doc_id, text) and item (item_id, text) that it holds. The slices of the items run one behind the other over each
-    row: documents are read once."""
+    """A row for each document (doc_id, text) and item (item_id, text) that it holds. One stage runs all slices of the items over blocks of documents, which are read once."""
     spark = docs.sparkSession
     C.arrow_limits(spark)
-    kind = "array<struct<item_id:bigint,distance:int,item_words:int,similarity:double,start_byte:bigint,end_byte:bigint>>"
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes(), F.array().cast(kind).alias("hits"))
-    slices = _slices(items)
-    if not slices:
+    slices = Slices(items)
+    if not slices.count:
         return spark.createDataFrame([], SCHEMA)
-    for i, part in enumerate(slices):
-        index, last = spark.sparkContext.broadcast(_index(part)), i == len(slices) - 1
-        packed = packed.mapInArrow(lambda it, index=index, last=last: _find(index.value, last)(it), f"doc_id long, {'' if last else 'text binary, '}hits {kind}")
-    return packed.select("doc_id", F.inline("hits"))
-
+    kind = "array<struct<item_id:bigint,distance:int,item_words:int,similarity:double,start_byte:bigint,end_byte:bigint>>"
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_bytes())
+    return packed.mapInArrow(lambda it: _find(slices, it), f"doc_id long, hits {kind}").select("doc_id", F.inline("hits"))
 
-def _clean(index: Index):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.text_blocks(batches):
-            w = words_of(*C.buffers(C.column(b, "text")))
-            dirty = np.zeros(b.num_rows, bool)
-            if index.ids:
-                for (row, item), starts in index.candidates(w).items():
-                    if not dirty[row]:
-                        dirty[row] = index.verify(item, w, row, starts) is not None
-            yield b.filter(pa.array(~dirty))
 
-    return run
+def _clean(slices: Slices, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for held, indexes in slices.blocks(batches):
+        dirty = [np.zeros(b.num_rows, bool) for b in held]
+        for index in indexes:
+            for b, bad in zip(held, dirty, strict=True):
+                w = words_of(*C.buffers(C.column(b, "text")))
+                for (row, item), starts in index.candidates(w).items() if index.ids else ():
+                    if not bad[row]:
+                        bad[row] = index.verify(item, w, row, starts) is not None
+        for b, bad in zip(held, dirty, strict=True):
+            yield b.filter(pa.array(~bad))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
     spark = docs.sparkSession
     C.arrow_limits(spark)
+    slices = Slices(items)
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), C.text_bytes())
-    for part in _slices(items):
-        index = spark.sparkContext.broadcast(_index(part))
-        packed = packed.mapInArrow(lambda it, index=index: _clean(index.value)(it), packed.schema)
-    return packed.select("_row.*")
+    return packed.mapInArrow(lambda it: _clean(slices, it), packed.schema).select("_row.*")

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cloakstone.llm import common as C
 from cloakstone.llm import decontaminate, lm_score, piece_transducer, quality_classifier, queries, token_counts
@@ -147,8 +148,12 @@ def test_decontamination_of_awkward_rows_and_items(spark):
 def test_items_in_slices_find_the_same(spark, sf_dir, monkeypatch):
     docs, items = queries.table(spark, sf_dir, "documents"), queries.table(spark, sf_dir, "benchmark")
     whole = sorted(tuple(r) for r in decontaminate.find(docs, items).collect())
-    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 3000)
-    assert len(decontaminate._slices(items)) > 1
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", items.agg(F.sum(F.octet_length("text"))).first()[0] // 12)
+    assert decontaminate.Slices(items).count >= 10
+    plan = decontaminate.find(docs, items)._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("MapInArrow") == 1  # one Python stage for all slices
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - {x[0] for x in whole}
     assert sorted(tuple(r) for r in decontaminate.find(docs, items).collect()) == whole
 
 
