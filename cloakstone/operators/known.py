@@ -118,7 +118,7 @@ def registrable_label(domain: Column) -> Column:
 
 
 def import_people(people: DataFrame, key: ids.Key) -> DataFrame:
-    """kind (name, email, code), hash, person of each identifier of a table (name, email, code): identifiers of one record are one person, and so are
+    """kind (name, email, code), hash, person, words (of a name) of each identifier of a table (name, email, code): identifiers of one record are one person, and so are
     records that share any; a person's id is the least of its mail addresses, else of its identifiers. Full name, and first with last name, both count."""
     norm = T.norm_name(F.col("name"))
     words = F.split(norm, " ")
@@ -128,14 +128,14 @@ def import_people(people: DataFrame, key: ids.Key) -> DataFrame:
         F.struct(F.lit("email").alias("kind"), F.lower("email").alias("v"), F.lit("email").alias("d")), F.struct(F.lit("code").alias("kind"), T.norm_name(F.col("code")).alias("v"), F.lit("usuario").alias("d")),
     )
     rows = people.withColumn("_record", F.xxhash64("name", "email", "code")).select("_record", F.inline(pairs)).where("v is not null and trim(v) <> ''")
-    each = rows.select("_record", "kind", key.id(F.col("d"), F.col("v")).alias("hash"))
+    each = rows.select("_record", "kind", key.id(F.col("d"), F.col("v")).alias("hash"), F.when(F.col("kind") == "name", F.size(F.split("v", " "))).alias("words"))
     # records and their identifiers are the nodes: whatever is joined by shared identifiers, over any number of records, is one person
     each = written(each.distinct(), "identifiers")
     record, own = F.concat(F.lit("r:"), F.col("_record").cast("string")), F.concat_ws(":", F.lit("i"), "kind", "hash")
     roots = written(graph.components(each.select(record.alias("a"), own.alias("b"))), "persons")
     of = each.join(roots.withColumnRenamed("root", "_root"), own == F.col("node"))
     person = of.groupBy("_root").agg(F.coalesce(F.min(F.when(F.col("kind") == "email", F.col("hash"))), F.min("hash")).alias("person"))
-    return of.join(person, "_root").select("kind", "hash", "person").distinct()
+    return of.join(person, "_root").select("kind", "hash", "person", "words").distinct()
 
 
 def name_candidates(text: Column, most: int = 6) -> Column:
