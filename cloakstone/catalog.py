@@ -429,10 +429,17 @@ def identity_columns(spark, sf_dir):
     return columns.identity_columns(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"))
 
 
-@query("SELECT * FROM (VALUES ('nome_cliente', 'name', 3), ('cpf', 'cpf', 3), ('nome', 'name', 3), ('status', '', 3), ('id_cliente', 'user', 3)) t(\"column\", class, n)")
+@query("""
+SELECT 'customer' AS source, "column", CASE "column" WHEN '' THEN '' ELSE '' END AS class, n FROM (UNPIVOT (SELECT count(c_custkey) AS c_custkey, count(c_name) AS c_name, count(c_nationkey) AS c_nationkey, count(c_acctbal) AS c_acctbal, count(c_mktsegment) AS c_mktsegment FROM customer) ON COLUMNS(*) INTO NAME "column" VALUE n)
+UNION ALL SELECT 'events' AS source, "column", CASE "column" WHEN 'user_id' THEN 'user' ELSE '' END AS class, n FROM (UNPIVOT (SELECT count(event_id) AS event_id, count(ts) AS ts, count(user_id) AS user_id, count(event_type) AS event_type, count(value) AS value, count(props) AS props FROM events) ON COLUMNS(*) INTO NAME "column" VALUE n)
+UNION ALL SELECT 'orders' AS source, "column", CASE "column" WHEN '' THEN '' ELSE '' END AS class, n FROM (UNPIVOT (SELECT count(o_orderkey) AS o_orderkey, count(o_custkey) AS o_custkey, count(o_orderstatus) AS o_orderstatus, count(o_totalprice) AS o_totalprice, count(o_orderdate) AS o_orderdate, count(o_orderpriority) AS o_orderpriority FROM orders) ON COLUMNS(*) INTO NAME "column" VALUE n)""")
 def profile_columns(spark, sf_dir):
-    df = spark.range(3).select(*[F.col("id").cast("string").alias(c) for c in ("nome_cliente", "cpf", "nome", "status", "id_cliente")])
-    return columns.profile(df).select("column", "class", "n")
+    """What the names of real columns say, with the number of their values."""
+    out = None
+    for name in ("customer", "events", "orders"):
+        one = columns.profile(table(spark, sf_dir, name)).select(F.lit(name).alias("source"), "column", "class", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("SELECT event_type, ts::DATE::VARCHAR AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")

@@ -81,18 +81,46 @@ def rows_of(spark, sf_dir, template: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.replace(F.replace(F.lit(template), F.lit("{k}"), key), F.lit("{k4}"), four).alias("text"))
 
 
-def _reader_query(rule: str) -> None:
-    text, expected = CASES[rule]
+#: Further shapes: name of the query, (reader, text, expected names); nothing expected: a text that only looks like one.
+MORE: dict[str, tuple[str, str, list[tuple[str, str]]]] = {
+    "sql_grants": (
+        "sql", "GRANT SELECT, INSERT ON TABLE mill_{k}.flour_{k}, mill_{k}.bran_{k} TO ROLE baker_{k};\nREVOKE ALL ON mill_{k}.rye_{k} FROM clerk_{k};\ngrant oven_role{k} to stoker_{k};\ngrant usage on schema attic_{k} to baker_{k}",
+        [("obj.schema", "mill_{k}"), ("obj.table", "flour_{k}"), ("obj.table", "bran_{k}"), ("obj.user", "baker_{k}"), ("obj.table", "rye_{k}"), ("obj.user", "clerk_{k}"), ("obj.user", "oven_role{k}"), ("obj.user", "stoker_{k}"), ("obj.schema", "attic_{k}")],
+    ),
+    "sql_no_grants": ("sql", "we grant access on monday to item_{k}; they revoke nothing from desk_{k}\ngrant me time to rest_{k} a while", []),
+    "error_owners": (
+        "error", "ORA-00942: table or view \"MILLS{k}\".\"GRAIN_T{k}\" does not exist\nORA-01031: denied on \"MILLS{k}\".\"BRAN_T{k}\".\"SACKS_{k}\"\nERROR: relation \"fold_{k}.pens_{k}\" does not exist",
+        [("obj.schema", "MILLS{k}"), ("obj.table", "GRAIN_T{k}"), ("obj.table", "BRAN_T{k}"), ("obj.column", "SACKS_{k}"), ("obj.schema", "fold_{k}"), ("obj.table", "pens_{k}")],
+    ),
+    "error_none": ("error", "the error in \"Chapter{k}\" and \"Verse{k}\" was found; table \"of {k}\" contents", []),
+    "table_records": (
+        "table", "-[ RECORD 1 ]------\nschemaname | fold_{k}\ntablename  | ewes_{k}\nrows       | 12\n-[ RECORD 2 ]------\nschemaname | fold_{k}\ntablename  | rams_{k}\nrows       | 7\n",
+        [("obj.schema", "fold_{k}"), ("obj.table", "ewes_{k}"), ("obj.table", "rams_{k}")],
+    ),
+    "table_rows": ("table", "*************************** 1. row ***************************\ntable_name: hives_{k}\n      rows: 12\n*************************** 2. row ***************************\ntable_name: combs_{k}\n      rows: 3\n", [("obj.table", "hives_{k}"), ("obj.table", "combs_{k}")]),
+    "table_no_records": ("table", "-[ RECORD 1 ]------\ncolour | red_{k}\nsize   | big_{k}\n", []),
+    "arm": (
+        "arm", '{{"resources":[{{"type":"Microsoft.Storage/storageAccounts","tags":{{"name":"not_{k}"}},"name":"millstore{k}"}},{{"name":"chute{k}/spout-{k}","type":"Microsoft.ServiceBus/namespaces/queues"}}]}}'.replace("{{", "{").replace("}}", "}"),
+        [("obj.cloud_account", "millstore{k}"), ("obj.namespace", "chute{k}"), ("obj.queue", "spout-{k}")],
+    ),
+    "arm_none": ("arm", '{"type":"Microsoft.Web/sites","name":"[parameters(\'site{k}\')]"} {"type": "other/x", "name": "plain-{k}"}', []),
+}
+
+
+def _reader_query(rule: str, name: str | None = None) -> None:
+    rule, text, expected = MORE[name] if name else (rule, *CASES[rule])
 
     def run(spark, sf_dir):
         return read_names(rows_of(spark, sf_dir, text), readers=(rule,)).select("c_custkey", F.inline("names")).select("c_custkey", "type", "real").distinct()
 
-    run.__name__ = "read_" + rule.replace("-", "_")
-    query(" UNION ".join(f"SELECT c_custkey, {_literal(t)} AS type, {_sql(n)} AS real FROM customer" for t, n in expected))(run)
+    run.__name__ = "read_" + (name or rule.replace("-", "_"))
+    query(" UNION ".join(f"SELECT c_custkey, {_literal(t)} AS type, {_sql(n)} AS real FROM customer" for t, n in expected) or "SELECT c_custkey, '' AS type, '' AS real FROM customer WHERE false")(run)
 
 
 for _rule in CASES:
     _reader_query(_rule)
+for _name in MORE:
+    _reader_query("", _name)
 
 
 @query("SELECT doc_id, type, real || doc_id || '.dock.lan' AS real FROM documents, (VALUES ('obj.server', 'relay-'), ('obj.server', 'buoy-')) t(type, real)")

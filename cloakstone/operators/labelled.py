@@ -64,3 +64,23 @@ def listed(labels: str, item: str, joined: str = r"[\s,;/+]{1,3}(?:(?:e|and|ou|o
 def street(kinds: str, numbers: str) -> str:
     """Kind of street, name, comma, number."""
     return rf"(?i){OUTSIDE}((?:{alternatives(words(kinds))})[ \t]+[^\s,;:\n][^,;:\n]{{1,58}},[ \t]*(?:(?:{alternatives(words(numbers))})\.?[ \t]*)?[0-9]{{1,6}}){END}"
+
+
+def phrases(*slots: str) -> str:
+    """All phrases that take one word from each slot in turn (lists written with commas; an empty word leaves the slot out), as a list written with commas."""
+    out = [""]
+    for slot in slots:
+        out = [f"{a} {w}".strip() for a in out for w in words(slot)]
+    return ", ".join(dict.fromkeys(out))
+
+
+def tied(ties: str, values: str, cased: bool = False) -> str:
+    """A value right behind a phrase that ties it to someone, with blanks, a colon or an equals sign between; cased: the value as it is written."""
+    flag = "(?-i:" if cased else "(?:"
+    return rf"(?i){OUTSIDE}(?:{alternatives(words(ties))})(?:[ \t]*[:=][ \t]*|[ \t\n]{{1,4}})({flag}{values})){END}"
+
+
+def inflected(some: list[str]) -> str:
+    """Alternatives with or without accents, in any number, and in either gender where the word ends in o."""
+    forms = [w[:-1] + e for w in some for e in ("o", "a", "os", "as") if w.endswith("o")] + [w + e for w in some for e in ("", "s", "es")]
+    return alternatives(forms)

@@ -67,9 +67,47 @@ def _prose(statement: str) -> bool:
     return not re.match(r"[A-Z]{4,}\b", statement)
 
 
-@reader("sql", "select", "insert", "update", "delete", "merge", "create", "alter", "drop", "truncate", "exec", "call")
+_LIST = rf"{_QUALIFIED}(?:\s*,\s*{_QUALIFIED}){{0,50}}"
+#: Rights on objects, or roles, given to or taken from someone; both lists may be long.
+_RIGHTS = re.compile(
+    rf"\b(?P<verb>GRANT|REVOKE)\s+(?:(?:GRANT|ADMIN)\s+OPTION\s+FOR\s+)?(?P<what>[A-Za-z_\"`\[][\w\s,\"`.()\[\]]{{0,2000}}?)\s+(?:ON\s+(?P<kind>(?:ALL\s+|FUTURE\s+)?[A-Za-z]+(?:\s+IN\s+SCHEMA)?(?=\s+{_QUALIFIED}\s*(?:,|\(|TO\b|FROM\b)))?\s*(?P<on>{_LIST})(?:\s*\([^()\n]{{0,200}}\))?\s+)?(?P<way>TO|FROM)\s+(?:(?:ROLE|USER|GROUP|SHARE|APPLICATION)\s+)?(?P<who>{_LIST})",
+    re.I,
+)
+_PRIVILEGES = re.compile(r"(?i)\s*(?:ALL|SELECT|INSERT|UPDATE|DELETE|TRUNCATE|REFERENCES|TRIGGER|USAGE|CREATE|CONNECT|TEMP|EXECUTE|OWNERSHIP|MODIFY|MONITOR|OPERATE|ALTER|DROP|INDEX|READ|WRITE|CONTROL|VIEW)\b")
+
+
+def _listed(s: str, start: int, end: int, entities: list[str]) -> Iterator[Name]:
+    for m in re.finditer(_QUALIFIED, s[start:end]):
+        if m[0].lower() not in KEYWORDS and not _SYSTEM.search(m[0]):
+            yield from parts(s, start + m.start(), start + m.end(), entities)
+
+
+def _rights(s: str) -> Iterator[Name]:
+    """The objects of GRANT and REVOKE, those who get or lose them, and roles that are granted like rights."""
+    for m in _RIGHTS.finditer(s):
+        if (m["verb"].upper() == "GRANT") != (m["way"].upper() == "TO"):
+            continue
+        if m["on"]:
+            if not _PRIVILEGES.match(m["what"]):
+                continue
+            kind = (m["kind"] or "table").lower()
+            last = "schema" if "in schema" in kind or kind == "schema" else "table" if kind.split()[-1] not in _RIGHT_KINDS else _RIGHT_KINDS[kind.split()[-1]]
+            yield from _listed(s, *m.span("on"), [last, "database"] if last in ("schema", "database") else [last, "schema", "database", "server"])
+        elif re.fullmatch(rf"{_LIST}", m["what"]) and not _PRIVILEGES.match(m["what"]) and all(identifier(x) for x in re.findall(_PART, m["what"])):
+            yield from _listed(s, *m.span("what"), ["user"])
+        else:
+            continue
+        yield from _listed(s, *m.span("who"), ["user"])
+
+
+_RIGHT_KINDS = {"database": "database", "function": "procedure", "procedure": "procedure", "routine": "procedure", "warehouse": "service", "sequence": "table", "view": "table", "bucket": "bucket", "queue": "queue", "topic": "queue"}
+
+
+@reader("sql", "select", "insert", "update", "delete", "merge", "create", "alter", "drop", "truncate", "exec", "call", "grant", "revoke")
 def sql(s: str) -> Iterator[Name]:
     """Names by their position in a statement: four-part names, aliases and common table expressions apart; other identifiers are columns."""
+    if re.search(r"(?i)\b(?:grant|revoke)\s", s):
+        yield from _rights(s)
     for begin, stop in _statements(s):
         body = s[begin:stop]
         if _prose(body) or _SYSTEM.search(body):
@@ -102,13 +140,17 @@ def sql(s: str) -> Iterator[Name]:
                 yield Name(begin + a + shift, begin + b - shift, "column", False)
 
 
+def _quoted(words: str) -> re.Pattern:
+    """A name in quotes behind one of the words, or several joined by dots, each in quotes of its own."""
+    return re.compile(rf"(?i)\b(?:{words})\s+((?P<quote>[\"'`])[\w$#.\-]{{3,200}}(?P=quote)(?:\.(?P=quote)[\w$#\-]{{1,200}}(?P=quote)){{0,3}})")
+
+
 _ERRORS = (
-    (re.compile(r"(?i)\b(?:relation|table|view|object(?: name)?)\s+[\"'`]([\w$#.\-]{3,200})[\"'`]"), ["table", "schema", "database"]),
-    (re.compile(r"(?i)\b(?:column)\s+[\"'`]([\w$#.\-]{3,200})[\"'`]"), ["column", "table", "schema"]),
-    (re.compile(r"(?i)\b(?:database)\s+[\"'`]([\w$#.\-]{3,200})[\"'`]"), ["database"]),
-    (re.compile(r"(?i)\bschema\s+[\"'`]([\w$#.\-]{3,200})[\"'`]"), ["schema", "database"]),
-    (re.compile(r"(?i)\b(?:user|role|login)\s+[\"'`]([\w$#.\-]{3,200})[\"'`]"), ["user"]),
+    (_quoted("relation|table|view|object(?: name)?|synonym"), ["table", "schema", "database"]), (_quoted("column"), ["column", "table", "schema"]), (_quoted("database"), ["database"]),
+    (_quoted("schema"), ["schema", "database"]), (_quoted("user|role|login"), ["user"]),
 )
+#: Owners and tables of a database that quotes all parts: the last one is the table, whatever word stands before.
+_OWNED = re.compile(r"(?<![\w\"])\"([A-Z][\w$#]{2,127})\"\.\"([A-Z][\w$#]{2,127})\"(?:\.\"([A-Z][\w$#]{2,127})\")?")
 
 
 @reader("error")
@@ -119,7 +161,16 @@ def error(s: str) -> Iterator[Name]:
             continue
         for pattern, entities in _ERRORS:
             for m in pattern.finditer(line[0]):
-                yield from parts(s, line.start() + m.start(1), line.start() + m.end(1), entities)
+                pieces = [p.span() for p in re.finditer(r"[^\"'`]+", m[1]) if p[0] != "."]
+                if len(pieces) == 1:
+                    yield from parts(s, line.start() + m.start(1) + pieces[0][0], line.start() + m.start(1) + pieces[0][1], entities)
+                for (a, b), entity in zip(reversed(pieces), entities, strict=False) if len(pieces) > 1 else ():
+                    if not ownerless(m[1][a:b]):
+                        yield Name(line.start() + m.start(1) + a, line.start() + m.start(1) + b, entity)
+        for m in _OWNED.finditer(line[0]):
+            for g, entity in zip([g for g in (1, 2, 3) if m[g]], ("schema", "table", "column"), strict=False):
+                if not ownerless(m[g]):
+                    yield Name(line.start() + m.start(g), line.start() + m.end(g), entity)
         for m in re.finditer(r"(?i)\b(?:dataset|table)\s+([a-z][a-z0-9-]{4,40}):([\w]{2,100})(?:\.([\w]{2,100}))?", line[0]):
             for g, e in ((1, "cloud_account"), (2, "schema"), (3, "table")):
                 if m[g] and not ownerless(m[g]):
@@ -192,6 +243,11 @@ _HEADERS = {
 }
 
 
+#: Headers that only a catalog has, although they're one word.
+_JOINED = {"tablename", "schemaname", "tableowner", "viewname", "indexname", "dbname", "datname", "relname", "rolname", "usename"}
+_HEADERS |= {"viewname": "table", "indexname": "index", "dbname": "database", "datname": "database", "relname": "table", "rolname": "user", "usename": "user"}
+
+
 def _entities(heads: list[str]) -> list[str | None]:
     """The entity of each column, or none at all if the header isn't a catalog's."""
     low = [h.strip("\"'`* ").lower() for h in heads]
@@ -200,7 +256,7 @@ def _entities(heads: list[str]) -> list[str | None]:
         known[low.index("name")] = "table" if "schema" in low else "column?"
     elif {"field", "type"} <= set(low):
         known[low.index("field")] = "column?"
-    sure = any("_" in h for h, k in zip(low, known, strict=True) if k) or {"schema", "name", "owner"} <= set(low) or "column?" in known
+    sure = any("_" in h or h in _JOINED for h, k in zip(low, known, strict=True) if k) or {"schema", "name", "owner"} <= set(low) or "column?" in known
     return known if sure else [None] * len(known)
 
 

@@ -83,6 +83,46 @@ def terraform(s: str) -> Iterator[Name]:
                 yield Name(m.end() + a.start(2), m.end() + a.end(2), {"namespace": "namespace", "bucket": "bucket", "table_name": "table", "account_id": "user"}.get(a[1], entity))
 
 
+_ARM = re.compile(r"\"type\"\s*:\s*\"(Microsoft\.[A-Za-z.]{2,60}/[A-Za-z/]{2,120})\"")
+_ARM_NAME = re.compile(r"\"name\"\s*:\s*\"([^\"\n]{2,200})\"")
+
+
+def _own(s: str, at: int) -> tuple[int, str]:
+    """(place, text) of the object around a place, with the objects and lists inside it left blank."""
+    depth, start = 0, at
+    while start and depth < 1:
+        start -= 1
+        depth += {"{": 1, "}": -1}.get(s[start], 0)
+    out, depth, i = [], 0, start
+    while i < len(s):
+        c = s[i]
+        depth += (c in "{[") - (c in "}]")
+        out.append(c if depth == 1 else " ")
+        i += 1
+        if depth < 1:
+            break
+    return start, "".join(out)
+
+
+@reader("arm", "microsoft.")
+def arm(s: str) -> Iterator[Name]:
+    """Resources of a deployment template: the name beside a resource's type; of a nested one, a part for each level. Expressions are no names."""
+    for m in _ARM.finditer(s):
+        start, own = _own(s, m.start())
+        if not (n := _ARM_NAME.search(own)) or n[1].startswith("["):
+            continue
+        levels = m[1].split("/")[1:]
+        for k, p in enumerate(re.finditer(r"[^/]+", n[1])):
+            kind = levels[min(k, len(levels) - 1)].lower()
+            entity = next((e for w, e in _ARM_KINDS if w in kind), "service")
+            if not ownerless(p[0]):
+                yield Name(start + n.start(1) + p.start(), start + n.start(1) + p.end(), entity)
+
+
+# Words of resource types and the entity of their names.
+_ARM_KINDS = (("storageaccount", "cloud_account"), ("container", "bucket"), ("database", "database"), ("queue", "queue"), ("topic", "queue"), ("eventhub", "queue"), ("table", "table"), ("virtualmachine", "server"), ("server", "server"), ("cluster", "server"), ("namespace", "namespace"), ("identit", "user"))
+
+
 @reader("bicep", "resource")
 def bicep(s: str) -> Iterator[Name]:
     for m in re.finditer(r"(?m)^resource[ ]+\w+[ ]+'([\w./]+)@[\d\-\w]+'[ ]*=[ ]*\{[^}]{0,300}?\bname:[ ]*'([\w.\-]{2,120})'", s):

@@ -237,6 +237,18 @@ def _vertical(s: str, wanted: Wanted) -> Iterator[Grid]:
             yield Grid(heads, [cells])
 
 
+def _without_records(s: str) -> str:
+    """The text with the lines of vertical records left blank, in place: a line belongs to one layout."""
+    out, last = [], 0
+    for m in _RECORD.finditer(s):
+        at = m.end() + 1
+        while f := _FIELD.match(s, at):
+            at = f.end()
+        out += (s[last : m.start()], re.sub(r"[^\n]", " ", s[m.start() : at]))
+        last = max(last, min(at, len(s)))
+    return "".join([*out, s[last:]])
+
+
 def grids(s: str, wanted: Wanted) -> Iterator[Grid]:
     """All tables of a text whose header is wanted."""
     if "<tr" in s or "<TR" in s:
@@ -246,4 +258,4 @@ def grids(s: str, wanted: Wanted) -> Iterator[Grid]:
     if "('" in s or "['" in s or '("' in s or '["' in s:
         yield from _tuples(s, wanted)
     if "\n" in s:
-        yield from _lines(s, wanted)
+        yield from _lines(_without_records(s) if "RECORD" in s or ". row" in s else s, wanted)
