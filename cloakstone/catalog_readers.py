@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import catalog
 from .catalog import query, table
-from .operators import conversation, corpus, known, mask
+from .operators import conversation, corpus, deciders, intervals, known, mask
 from .plans import sql as Q
 from .readers.fields import crc16
 from .readers.stage import read_names, register
 from .sources import chats, sinks
-from .sources.tables import spread, written
+from .sources.tables import shared_dir, spread, written
 
 #: Reader: (text, expected (type, name)); {k} is the row's key. Invented samples.
 CASES: dict[str, tuple[str, list[tuple[str, str]]]] = {
@@ -461,3 +462,98 @@ def mask_corpus_roundtrip(spark, sf_dir):
     masked = written(corpus.mask_corpus(docs, catalog.TEST_KEY, config=catalog.OPEN, order=("doc_id",)), "masked")
     back = mask.unmask(masked.select("doc_id", "text"), mask.reverse_table(mask.mapping(masked, "doc_id"), "doc_id"), "doc_id")
     return back.join(docs.withColumnRenamed("text", "source"), "doc_id").select("doc_id", (F.col("text") == F.col("source")).alias("same"))
+
+
+_GRAIN = "'grain_' || c_custkey || 'x'"
+_MASKED_GRAIN = _object_sql("db", "database", _GRAIN)
+#: Places in which a learned name stands whole, and words that only hold it.
+SURROUNDINGS = ("see fin.{} now", "{}/part-0", "{}.ewes", "[{}]", "({})", "a, {}; b", "über.{}", "<{}>", "x|{}|y", "line\\n{} in a log", "is it {}?", "**{}**")
+NEAR_MISSES = ("{}y", "my-{}", "{}_old", "{}-b", "a{}", "{}$", "#{}", "é{}", "{}é", "{}7", "_{}", "x_{}")
+
+
+def _all_of(templates: tuple[str, ...], name: str) -> str:
+    return " || chr(10) || ".join("(" + " || ".join([_literal(t.split("{}")[0]), name, _literal(t.split("{}")[1])]) + ")" for t in templates)
+
+
+@query(f"""
+SELECT c_custkey, 1 AS part, {_all_of(SURROUNDINGS, _MASKED_GRAIN)} AS text FROM customer
+UNION ALL SELECT c_custkey, 2, {_all_of(NEAR_MISSES, _GRAIN)} FROM customer""")
+def mask_corpus_surroundings(spark, sf_dir):
+    """A learned name within qualified names, paths, brackets and beside other letters; names that only contain it stay."""
+    lines = lambda ts: "\n".join(t.format("grain_{k}x") for t in ts)
+    texts = _parted(spark, sf_dir, "database: grain_{k}x\n", lines(SURROUNDINGS), lines(NEAR_MISSES))
+    return corpus.mask_corpus(texts, catalog.TEST_KEY, order=("c_custkey", "part"), readers=("key-value",)).where("part > 0").select("c_custkey", "part", "text")
+
+
+@query(f"SELECT c_custkey, 'then ' || CASE WHEN c_custkey % 2 = 0 THEN {_GRAIN} ELSE {_MASKED_GRAIN} END || ' again' AS text FROM customer")
+def mask_corpus_second_run(spark, sf_dir):
+    """What an earlier run learned, from its table of hashes alone; names that were last seen too long ago stay."""
+    kept = f"{shared_dir(spark)}/seen-{uuid.uuid4().hex}"
+    first = lambda part, day, seen, to: corpus.find_corpus(rows_of(spark, sf_dir, "database: grain_{k}x\n").where(f"c_custkey % 2 = {part}"), catalog.TEST_KEY, order=("c_custkey",), today=day, seen=seen, remember=to)
+    first(0, 100, None, kept + "-a")
+    first(1, 180, spark.read.parquet(kept + "-a"), kept + "-b")
+    return corpus.mask_corpus(rows_of(spark, sf_dir, "then grain_{k}x again"), catalog.TEST_KEY, order=("c_custkey",), seen=spark.read.parquet(kept + "-b"), today=200).select("c_custkey", "text")
+
+
+@query(f"""
+SELECT c_custkey, 1 AS conv, 'so ' || {_GRAIN} || ' it is' AS text FROM customer
+UNION ALL SELECT c_custkey, 2, 'so ' || {_object_sql("db", "database", "'silo_' || c_custkey || 'x'")} || ' it is' FROM customer""")
+def mask_corpus_origin(spark, sf_dir):
+    """A name that the model wrote before the data had it teaches nothing; one that the data brought does."""
+    rows = (
+        ("1", 1, "assistant", "try grain_{k}x"), ("1", 2, "user", "database: grain_{k}x\n"), ("1", 3, "user", "so grain_{k}x it is"), ("2", 1, "user", "database: silo_{k}x\n"), ("2", 2, "assistant", "try silo_{k}x"),
+        ("2", 3, "user", "so silo_{k}x it is"),
+    )
+    texts = None
+    for conv, turn, role, text in rows:
+        one = rows_of(spark, sf_dir, text).select("c_custkey", F.concat_ws("-", "c_custkey", F.lit(conv)).alias("conv"), F.lit(turn).alias("turn"), F.lit(role).alias("role"), "text")
+        texts = one if texts is None else texts.unionByName(one)
+    out = corpus.mask_corpus(texts, catalog.TEST_KEY, scope="conv", order=("conv", "turn"), origin="role")
+    return out.where("turn = 3").select("c_custkey", F.split("conv", "-")[1].cast("int").alias("conv"), "text")
+
+
+def _svc(name: str) -> str:
+    return _object_sql("svc", "servico", f"'{name}' || c_custkey || 'x'")
+
+
+@query(f"""
+SELECT c_custkey, 0 AS part, 'service: ' || {_svc('kiln')} || chr(10) || chr(10) || {_svc('kiln')} || ' up 3' || chr(10) || {_svc('wheel')} || ' up 5' || chr(10) || {_svc('clay')} || ' up 3' || chr(10) AS text FROM customer
+UNION ALL SELECT c_custkey, 1, 'restart ' || {_svc('clay')} || ' now' FROM customer
+UNION ALL SELECT c_custkey, 2, 'service: ' || {_svc('kiln')} || chr(10) || 'pens = [' || chr(39) || {_svc('kiln')} || chr(39) || ', ' || chr(39) || {_svc('oven')} || chr(39) || ']' FROM customer""")
+def mask_corpus_deciders(spark, sf_dir):
+    """Parallel records and lists beside a known name: what they decide is masked there and in other texts."""
+    texts = _parted(spark, sf_dir, "service: kiln{k}x\n\nkiln{k}x up 3\nwheel{k}x up 5\nclay{k}x up 3\n", "restart clay{k}x now", "service: kiln{k}x\npens = ['kiln{k}x', 'oven{k}x']")
+    decide = deciders.in_order(deciders.by_identity, deciders.by_list)
+    return corpus.mask_corpus(texts, catalog.TEST_KEY, order=("c_custkey", "part"), readers=("key-value",), more=(decide,)).select("c_custkey", "part", "text")
+
+
+@query(f"""SELECT c_custkey, {_object_sql("t", "tabela", "'barley'")} || '.load()  # of barley' AS text FROM customer""")
+def mask_corpus_words(spark, sf_dir):
+    """A table's name that is a plain word: within its conversation it's masked in code, and stays in a comment."""
+    texts = _parted(spark, sf_dir, "SELECT acres_{k} FROM barley WHERE acres_{k} > 2", "barley.load()  # of barley")
+    out = corpus.mask_corpus(texts, catalog.TEST_KEY, order=("c_custkey", "part"), scope="c_custkey", words=True, readers=("sql",))
+    return out.where("part = 1").select("c_custkey", "text")
+
+
+@query("""
+WITH p AS (SELECT DISTINCT o_custkey % 3 AS doc, o_orderkey * 37 % 200000 AS a, o_orderkey * 37 % 200000 + 1 + o_orderkey % 50 AS z FROM orders),
+s AS (SELECT c_custkey % 3 AS doc, c_custkey * 7919 % 200000 AS a, c_custkey * 7919 % 200000 + 1 + CASE WHEN c_custkey % 50 = 0 THEN 30000 ELSE c_custkey % 300 END AS z, c_custkey AS tag FROM customer)
+SELECT p.doc, p.a, p.z, max_by(s.tag, (s.a, s.z, s.tag)) AS tag FROM p JOIN s ON s.doc = p.doc AND s.a < p.z AND p.a < s.z GROUP BY ALL""")
+def last_overlapping_spans(spark, sf_dir):
+    """The last of the spans of a document that overlaps each place, without all pairs: three documents hold all rows."""
+    o, c = F.col("o_orderkey"), F.col("c_custkey")
+    places = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 3).alias("doc"), (o * 37 % 200000).alias("start"), (o * 37 % 200000 + 1 + o % 50).alias("end")).distinct()
+    spans = table(spark, sf_dir, "customer").select((c % 3).alias("doc"), (c * 7919 % 200000).alias("start"), (c * 7919 % 200000 + 1 + F.when(c % 50 == 0, 30000).otherwise(c % 300)).alias("end"), c.alias("tag"))
+    return intervals.last_overlapping(places, spans, "doc", carry=("tag",)).where("tag is not null").select("doc", F.col("start").alias("a"), F.col("end").alias("z"), "tag")
+
+
+_TOKEN_SQL = "'ghp_' || lpad(c_custkey::VARCHAR, 8, '0') || 'abcdefghijABCDEFGHIJ0123456789'"
+
+
+@query(f"SELECT c_custkey, to_base64(encode({_TOKEN_SQL})) AS real FROM customer UNION ALL SELECT c_custkey, {_TOKEN_SQL} FROM customer")
+def read_encoded(spark, sf_dir):
+    """Tokens inside base64 and percent escapes, and encoded words without one."""
+    token = F.concat(F.lit("ghp_"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"), F.lit("abcdefghijABCDEFGHIJ0123456789"))
+    coded = lambda v: F.base64(F.encode(v, "UTF-8"))
+    text = F.concat(F.lit("data: "), coded(F.concat(F.lit("user: "), token, F.lit(" and more"))), F.lit(" or q=%20"), token, F.lit("%26b or "), coded(F.concat(F.lit("plain words of "), "c_name")))
+    return read_names(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), readers=("encoded",)).select("c_custkey", F.inline("names")).select("c_custkey", "real")

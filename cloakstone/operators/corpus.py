@@ -33,7 +33,7 @@ from ..functions import text as T
 from ..plans.config import Config
 from ..readers.stage import DEFAULT, with_names
 from ..sources.tables import dropped, written
-from . import known, lookup, mask
+from . import intervals, known, lookup, mask
 from .detect import detect, exploded
 
 #: Characters of a value that is learned.
@@ -46,12 +46,13 @@ _NAME_WORD = re.compile(r"[^\W\d_][^\W\d_'’\-]*(?:['’\-][^\W\d_]+)*")
 NAME_WORDS = (2, 3, 4, 5, 6)
 
 
-def learn(each: DataFrame, scope: str | None, *order: str) -> DataFrame:
-    """type, real, scope of the values that findings teach: everywhere (scope null), and names of a scope within it (by the first decision there)."""
+def learn(each: DataFrame, scope: str | None, *order: str, words: bool = False) -> DataFrame:
+    """type, real, scope of the values that findings teach: everywhere (scope null), and names of a scope within it (by the first decision there; words: also those
+    that are plain words)."""
     everywhere = known.known_values(each, *order).select("type", "real", F.lit(None).cast("string").alias("scope"))
     if scope is None:
         return everywhere
-    named = each.where(F.col("type").startswith("obj.") & (F.length("real") >= SHORTEST) & known.identifier_shape(F.col("real")) & F.col(scope).isNotNull())
+    named = each.where(F.col("type").startswith("obj.") & (F.length("real") >= SHORTEST) & (F.lit(words) | known.identifier_shape(F.col("real"))) & F.col(scope).isNotNull())
     first = lambda c: F.min_by(c, F.struct(*order, "start", "type")).alias(c)
     key = ids.canonical_key(F.col("type"), F.col("real"))
     return everywhere.unionByName(named.groupBy(F.col(scope).cast("string").alias("scope"), key.alias("key")).agg(first("type"), first("real")).select("type", "real", "scope"))
@@ -136,12 +137,12 @@ def _by_origin(hits: DataFrame, own: DataFrame, found_in: DataFrame, origin: str
 def find_corpus(
     texts: DataFrame, key: ids.Key, text: str = "text", config: Config | None = None, readers: tuple[str, ...] = DEFAULT, scope: str | None = None, order: tuple[str, ...] = (), registry: DataFrame | None = None,
     seen: DataFrame | None = None, remember: str | None = None, today: int | None = None, days: int = 90, origin: str | None = None, data: tuple[str, ...] = ("data", "user", "tool"),
-    more: tuple[Callable[[DataFrame], DataFrame], ...] = (),
+    more: tuple[Callable[[DataFrame], DataFrame], ...] = (), words: bool = False,
 ) -> DataFrame:
     """texts with findings: of detectors, readers, learned values and registered people. scope: a column within which other names apply too;
     order: columns that say which of several decisions came first; registry: of known.import_people; seen: an index that an earlier run wrote to its `remember` (a path), of which what
     was seen within `days` of today (days since the epoch) counts; origin: a column that says who wrote a text, data: its values that are data (others: a model, the web);
-    more: deciders, functions from texts (with _id and findings) to further findings (_id, start, end, type, real, rule, strong), which teach like those of readers. Null texts have no findings; columns
+    words: names that are plain words count within their scope too, but for places where they are only words (intervals.braked); more: deciders, functions from texts (with _id and findings) to further findings (_id, start, end, type, real, rule, strong), which teach like those of readers. Null texts have no findings; columns
     named _id, _known, _candidates, _people or findings are replaced."""
     config = config or Config()
     base = texts.drop("findings", "_id", "_known", "_candidates", "_people").withColumn("_id", F.monotonically_increasing_id())
@@ -151,7 +152,7 @@ def find_corpus(
     order = order or ("_id",)
     kept = list(dict.fromkeys([*order, *([scope] if scope else []), *([origin] if origin else [])]))
     each = exploded(found, "_id", *[c for c in kept if c != "_id"])
-    own = written(lookup.indexed(learn(each, scope, *order), key), "learned")
+    own = written(lookup.indexed(learn(each, scope, *order, words=words), key), "learned")
     today = (datetime.now(UTC).date() - datetime(1970, 1, 1).date()).days if today is None else today
     index = own if seen is None else written(own.unionByName(lookup.valid(seen, today, days).select(*own.columns)).distinct(), "index")
     if remember:
@@ -175,6 +176,8 @@ def find_corpus(
     # a name of the scope goes before one of all texts, then by type
     first = F.min_by("type", F.struct(F.col("scope").isNull().alias("everywhere"), "type"))
     spans = hits.groupBy("_id", "start", "end", "real").agg(first.alias("type")).withColumn("rule", F.lit("known"))
+    if words:
+        spans = intervals.braked(spans, intervals.segments(marked.where(F.size("_candidates") > 0), "_id", text=text), "_id")
     if registry is not None:
         people = registry.where("kind in ('name', 'code')").select("hash", F.col("person"), F.when(F.col("kind") == "name", "name").otherwise("user").alias("type")).distinct()
         met = marked.where(F.size("_people") > 0).select("_id", F.inline("_people")).join(people, "hash")

@@ -12,11 +12,11 @@ from pyspark.sql.functions import udtf
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions import text as T
-from . import base, data, dev, fields, ops
+from . import base, data, dev, encoded, fields, ops
 
 _FINDING = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("real", pa.string()), ("rule", pa.string()), ("strong", pa.bool_())])
 DEFAULT = tuple(base.REGISTRY)
-__all__ = ["DEFAULT", "data", "dev", "fields", "find_names", "ops", "read_names", "visible"]
+__all__ = ["DEFAULT", "data", "dev", "encoded", "fields", "find_names", "ops", "read_names", "visible"]
 
 _ANSI = re.compile(r"\x1b\[[0-9;?]*[A-Za-z]|\x1b\][^\x07]{0,200}\x07|\r(?=\n)|\ufeff")
 #: What tools put in front of lines: numbers, file:line of a search, marks of a diff, quotes.
@@ -44,6 +44,27 @@ def _unescaped(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), _PLAIN.get(m[0][1], chr(int(m[0][2:], 16)) if m[0][1] == "u" else m[0][1])) for m in _ESCAPE.finditer(text)]
 
 
+_LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
+_MAY_JOIN = re.compile(r"[\"'][ \t]*(?:\+|\.|\|\||&)?[ \t]*\\?\n[ \t]*(?:\+|\.|\|\||&)?[ \t]*[\"']")
+#: Between two literals that are one string over two lines: an operator or a backslash, or nothing at all inside parentheses.
+_JOINT = re.compile(r"[ \t]*(\+|\.|\|\||&)?[ \t]*(\\)?\n[ \t]*(\+|\.|\|\||&)?[ \t]*")
+
+
+def _joined(text: str) -> list[tuple[int, int, str]]:
+    """String literals that are cut over lines: what stands between the parts, from the closing quote to the next one's opening."""
+    if not _MAY_JOIN.search(text):
+        return []
+    out, last, inside = [], None, False
+    for m in _LITERAL.finditer(text):
+        gap = _JOINT.fullmatch(text, last.end(), m.start()) if last and text[last.start()] == text[m.start()] else None
+        if gap and (any(gap.groups()) or inside):
+            out.append((last.end() - 1, m.start() + 1, ""))
+        else:
+            inside = text[max(0, m.start() - 200) : m.start()].rstrip()[-1:] == "("
+        last = m
+    return out
+
+
 def _prefixes(text: str) -> list[tuple[int, int, str]]:
     """Line prefixes, if at least half of the lines that aren't blank have one (two lines or more)."""
     lines = [m for m in re.finditer(r"[^\n]+", text) if m[0].strip()]
@@ -52,10 +73,10 @@ def _prefixes(text: str) -> list[tuple[int, int, str]]:
 
 
 def visible(text: str) -> tuple[str, Places | None]:
-    """The text as its writer saw it: JSON escapes undone (up to three layers), terminal escapes and line prefixes gone; and each character's
+    """The text as its writer saw it: JSON escapes undone (up to three layers), terminal escapes and line prefixes gone, strings that are cut over lines in one; and each character's
     place in the source (None: unchanged)."""
     places: Places | None = None
-    steps = [_unescaped] * 3 + [lambda t: [(m.start(), m.end(), "") for m in _ANSI.finditer(t)], _prefixes]
+    steps = [_unescaped] * 3 + [lambda t: [(m.start(), m.end(), "") for m in _ANSI.finditer(t)], _prefixes, _joined]
     for step in steps:
         if cuts := step(text):
             text, at = _kept(text, cuts)
