@@ -82,8 +82,9 @@ def prefix_max(values: Column) -> Column:
     return running(values, F.greatest)
 
 
-#: Characters of one piece of a view.
-PIECE = 1024
+#: Characters of one piece of a view: 2 to the power of SHIFT.
+SHIFT = 10
+PIECE = 1 << SHIFT
 
 
 def view(text: Column) -> Column:
@@ -93,15 +94,15 @@ def view(text: Column) -> Column:
 
 def short_cut(seen: Column, start: Column, length: Column) -> Column:
     """At most PIECE characters of a view from a position on; '' outside the text."""
-    at = F.floor(start / PIECE).cast("int")
+    at = F.shiftright(start, SHIFT)
     two = F.concat(F.get(seen, at), F.coalesce(F.get(seen, at + 1), F.lit("")))
-    return F.when(start < 0, "").otherwise(F.coalesce(F.substr(two, start - at * PIECE + 1, length), F.lit("")))
+    return F.coalesce(F.substr(two, start.bitwiseAND(F.lit(PIECE - 1)) + 1, length), F.lit(""))
 
 
 def cut(seen: Column, start: Column, end: Column) -> Column:
     """The characters of a view from start to before end."""
-    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
-    head = F.substr(F.get(seen, first), start - first * PIECE + 1, end - start)
+    first, last = F.shiftright(start, SHIFT), F.shiftright(end - 1, SHIFT)
+    head = F.substr(F.get(seen, first), start.bitwiseAND(F.lit(PIECE - 1)) + 1, end - start)
     rest = F.concat(F.array_join(F.slice(seen, first + 2, F.greatest(F.lit(0), last - first - 1)), ""), F.substr(F.get(seen, last), F.lit(1), end - last * PIECE))
     return F.when(end <= start, "").when(first == last, head).otherwise(F.concat(head, rest))
 
@@ -118,8 +119,7 @@ def spliced(text: Column, edits: Column, new: Callable[[Column], Column]) -> Col
 
 def char_at(seen: Column, position: Column) -> Column:
     """The character of a view at a position from 0; '' outside the text."""
-    at = F.floor(position / PIECE).cast("int")
-    return F.when(position < 0, "").otherwise(F.coalesce(F.substr(F.get(seen, at), position - at * PIECE + 1, F.lit(1)), F.lit("")))
+    return F.coalesce(F.substr(F.get(seen, F.shiftright(position, SHIFT)), position.bitwiseAND(F.lit(PIECE - 1)) + 1, F.lit(1)), F.lit(""))
 
 
 def before(seen: Column, start: Column, n: int = 30) -> Column:
