@@ -16,6 +16,7 @@ from .readers.fields import crc16
 from .readers.stage import read_names, register
 from .sources import chats, sinks
 from .sources.tables import shared_dir, spread, written
+from .streaming.decisions import first_decisions, run_once
 
 #: Reader: (text, expected (type, name)); {k} is the row's key. Invented samples.
 CASES: dict[str, tuple[str, list[tuple[str, str]]]] = {
@@ -557,3 +558,16 @@ def read_encoded(spark, sf_dir):
     coded = lambda v: F.base64(F.encode(v, "UTF-8"))
     text = F.concat(F.lit("data: "), coded(F.concat(F.lit("user: "), token, F.lit(" and more"))), F.lit(" or q=%20"), token, F.lit("%26b or "), coded(F.concat(F.lit("plain words of "), "c_name")))
     return read_names(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), readers=("encoded",)).select("c_custkey", F.inline("names")).select("c_custkey", "real")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, ts, 'obj.' || event_type AS type FROM events)
+SELECT 'a' AS scope, user_id::VARCHAR AS name, event_id AS ord, first_value(type) OVER (PARTITION BY user_id ORDER BY ts, event_id, type) AS type FROM e""")
+def decisions_stream(spark, sf_dir):
+    """A streaming query over all events: of each user, what was decided first counts for all later rows."""
+    events = table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    found = stream.select(F.lit("a").alias("scope"), F.col("user_id").alias("name"), "ts", F.col("event_id").alias("ord"), F.concat(F.lit("obj."), "event_type").alias("type"))
+    at = f"{shared_dir(spark)}/decisions-{uuid.uuid4().hex}"
+    run_once(first_decisions(found, "3650 days"), at, at + "-state")
+    return spark.read.parquet(at).where("state <> 'expired'").select("scope", "name", "ord", "type")

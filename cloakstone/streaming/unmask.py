@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -17,9 +18,10 @@ OUT = "stream string, block string, seq long, text string"
 class Chunks:
     """The text of one block: push() gives what is settled, close() the rest."""
 
-    def __init__(self, pairs: dict[str, str], held: str = ""):
+    def __init__(self, pairs: dict[str, str], held: str = "", like: Chunks | None = None):
+        """like: another of the same pairs, whose tables are taken over."""
         self.pairs, self.held = pairs, held
-        self.starts = {p[:k] for p in pairs for k in range(1, len(p))}
+        self.starts = like.starts if like else {p[:k] for p in pairs for k in range(1, len(p))}
         self.longest = max(map(len, pairs), default=0)
 
     def push(self, piece: str) -> str:
@@ -46,14 +48,16 @@ class Chunks:
 
 
 class UnmaskProcessor(StatefulProcessor):
-    """Rows (stream, block, seq, chunk, final) of one key (stream, block); pieces out of order wait for the ones before."""
+    """Rows (stream, block, seq, chunk, final, pairs) of one key (stream, block); pieces out of order wait for the ones before. The mapping of a stream comes with its
+    first pieces and stays in the state; or one for all streams is given."""
 
-    def __init__(self, pairs: dict[str, str]):
-        self.pairs = pairs
+    def __init__(self, pairs: dict[str, str] | None):
+        self.pairs, self.like = pairs, None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("held", StructType([StructField("text", StringType()), StructField("next", StringType())]))
         self.waiting = handle.getMapState("waiting", "seq long", "chunk string, final boolean")
+        self.mapping = handle.getMapState("mapping", "pseudo string", "real string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         text, upcoming = ("", 0)
@@ -64,10 +68,18 @@ class UnmaskProcessor(StatefulProcessor):
         for frame in rows:
             for r in frame.itertuples():
                 pending[int(r.seq)] = (r.chunk, bool(r.final))
+                if self.pairs is None and r.pairs is not None:
+                    for pseudo, real in dict(r.pairs).items():
+                        self.mapping.updateValue((pseudo,), (real,))
         for (seq,), (chunk, final) in list(self.waiting.iterator()):
             pending[int(seq)] = (chunk, bool(final))
             self.waiting.removeKey((seq,))
-        state, out, closed = Chunks(self.pairs, text), [], False
+        if self.pairs is None:
+            state = Chunks({p: r for (p,), (r,) in self.mapping.iterator()}, text)
+        else:
+            state = Chunks(self.pairs, text, self.like)
+            self.like = self.like or state
+        out, closed = [], False
         while upcoming in pending and not closed:
             chunk, closed = pending.pop(upcoming)
             done = state.push(chunk or "") + (state.close() if closed else "")
@@ -75,6 +87,7 @@ class UnmaskProcessor(StatefulProcessor):
             upcoming += 1
         if closed:
             self.held.clear()
+            self.mapping.clear()
         else:
             self.held.update((state.held, str(upcoming)))
             for seq, value in pending.items():
@@ -85,13 +98,18 @@ class UnmaskProcessor(StatefulProcessor):
         pass
 
 
-def unmask_stream(chunks: DataFrame, pairs: dict[str, str]) -> DataFrame:
-    """Streaming rows (stream, block, seq from 0, chunk, final) with pseudonyms put back. pairs: what one conversation's mapping holds."""
-    return chunks.groupBy("stream", "block").transformWithStateInPandas(UnmaskProcessor(pairs), outputStructType=OUT, outputMode="append", timeMode="none")
+def unmask_stream(chunks: DataFrame, pairs: dict[str, str] | DataFrame) -> DataFrame:
+    """Streaming rows (stream, block, seq from 0, chunk, final) with pseudonyms put back. pairs: a table (stream, pseudo, real), of which each stream gets its own part with the first piece
+    of a block; or one small mapping for all streams."""
+    if isinstance(pairs, dict):
+        rows = chunks.select("stream", "block", "seq", "chunk", "final", F.lit(None).cast("map<string,string>").alias("pairs"))
+        one = pairs
+    else:
+        maps = pairs.groupBy("stream").agg(F.map_from_entries(F.collect_list(F.struct("pseudo", "real"))).alias("pairs")).withColumn("seq", F.lit(0).cast("long"))  # of one stream
+        rows, one = chunks.join(maps, ["stream", "seq"], "left").select("stream", "block", "seq", "chunk", "final", "pairs"), None
+    return rows.groupBy("stream", "block").transformWithStateInPandas(UnmaskProcessor(one), outputStructType=OUT, outputMode="append", timeMode="none")
 
 
 def windowed_audit(events: DataFrame, time: str = "ts", late: str = "1 hour", width: str = "1 day", by: str = "type") -> DataFrame:
     """Counts of a stream by time window and type; rows later than the watermark are left out."""
-    from pyspark.sql import functions as F
-
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
