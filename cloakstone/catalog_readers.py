@@ -105,6 +105,11 @@ MORE: dict[str, tuple[str, str, list[tuple[str, str]]]] = {
         "arm", '{{"resources":[{{"type":"Microsoft.Storage/storageAccounts","tags":{{"name":"not_{k}"}},"name":"millstore{k}"}},{{"name":"chute{k}/spout-{k}","type":"Microsoft.ServiceBus/namespaces/queues"}}]}}'.replace("{{", "{").replace("}}", "}"),
         [("obj.cloud_account", "millstore{k}"), ("obj.namespace", "chute{k}"), ("obj.queue", "spout-{k}")],
     ),
+    "template_paths": (
+        "sql", "render {{ flock{k}.ewes_{k} | count }}\nSELECT wool_g{k} FROM flock{k}.rams_{k} WHERE shorn_{k} = 1;\nSELECT a_{k} FROM fold_{k}.pens_{k} WHERE b_{k} = 2",
+        [("obj.column", "wool_g{k}"), ("obj.column", "shorn_{k}"), ("obj.column", "a_{k}"), ("obj.schema", "fold_{k}"), ("obj.table", "pens_{k}"), ("obj.column", "b_{k}")],
+    ),
+    "template_connections": ("connection", "postgres://user1:x@host1/dbName or mysql://user:p@dbHost/db01 but mongodb://reader_{k}:q@grove-{k}/harvest_{k}", [("obj.user", "reader_{k}"), ("obj.server", "grove-{k}"), ("obj.database", "harvest_{k}")]),
     "arm_none": ("arm", '{"type":"Microsoft.Web/sites","name":"[parameters(\'site{k}\')]"} {"type": "other/x", "name": "plain-{k}"}', []),
 }
 

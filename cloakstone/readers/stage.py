@@ -84,6 +84,36 @@ def visible(text: str) -> tuple[str, Places | None]:
     return text, places
 
 
+_TEMPLATE = re.compile(r"\{\{(.{0,300}?)(?:\}\}|\{\{|$)", re.S)
+_ROOT = re.compile(r"(?<![\w.])([A-Za-z_]\w*)\.(?=[A-Za-z_])")
+_DOTTED = re.compile(r"[\w.]*")
+_PATH_TYPES = frozenset("obj." + e for e in ("column", "database", "index", "procedure", "schema", "table"))
+
+
+def template_roots(text: str) -> set[str]:
+    """First parts of the dotted names in a text's template expressions ({{ fold.ewes }}): variables of a program. A dotted name that begins with one is a path in its data wherever the text has it."""
+    return {r for m in _TEMPLATE.finditer(text) for r in _ROOT.findall(m[1])} if "{{" in text else set()
+
+
+def _under(text: str, start: int, end: int, roots: set[str]) -> bool:
+    """Whether the dotted name around a place begins with one of the roots."""
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_."):
+        start -= 1
+    name = text[start : _DOTTED.match(text, end).end()].strip(".")
+    return "." in name and name.split(".", 1)[0] in roots
+
+
+# Words of which examples of connections make their names.
+_MODEL = frozenset("host hostname server db database user username usr name login password pass port schema sid service instance node address primary replica master remote my your test".split())
+_PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def model_name(v: str) -> bool:
+    """A name as examples of connections have it: one or two words that only say what it is, with a number or joined (host1, dbName, user_name)."""
+    pieces = [p.lower() for p in _PIECES.findall(v)]
+    return bool(re.fullmatch(r"[A-Za-z]+[_\-]?[A-Za-z]*[_\-]?[0-9]{0,4}", v)) and 1 <= len(pieces) <= 2 and all(p in _MODEL for p in pieces)
+
+
 def find_names(text: str, readers: tuple[str, ...] = DEFAULT, objects: bool = True) -> list[tuple]:
     """(start, end, type, real, rule, strong) of each reader's names, without repeats; places are the source's."""
     found: dict[tuple, tuple] = {}
@@ -95,14 +125,16 @@ def find_names(text: str, readers: tuple[str, ...] = DEFAULT, objects: bool = Tr
 
 
 def _read(text: str, clean: str, places: Places | None, readers: tuple[str, ...], objects: bool, found: dict[tuple, tuple]) -> None:
-    low = clean.lower()
+    low, roots = clean.lower(), template_roots(clean)
     for rule in readers:
         needs = base.NEEDS.get(rule)
         if needs and not any(x in low for x in needs):
             continue
         for n in base.REGISTRY[rule](clean):
             start, end = n.start, n.end
-            if end <= start:
+            if end <= start or rule in ("connection", "dsn") and model_name(clean[start:end]):
+                continue
+            if roots and "obj." + n.entity in _PATH_TYPES and _under(clean, start, end, roots):
                 continue
             if places:
                 start, end = places[start], places[end - 1] + 1
