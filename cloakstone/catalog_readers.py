@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import catalog
 from .catalog import query, table
-from .operators import conversation, corpus, deciders, intervals, known, mask
+from .operators import conversation, corpus, deciders, intervals, known, mask, origins
 from .plans import sql as Q
 from .readers.fields import crc16
 from .readers.stage import read_names, register
@@ -576,3 +576,16 @@ def decisions_stream(spark, sf_dir):
     at = f"{shared_dir(spark)}/decisions-{uuid.uuid4().hex}"
     run_once(first_decisions(found, "3650 days"), at, at + "-state")
     return spark.read.parquet(at).where("state <> 'expired'").select("scope", "name", "ord", "type")
+
+
+@query(f"""
+SELECT c_custkey, part, CASE WHEN part = 2 THEN 'why ' || {_object_sql("c", "coluna", _COLUMN)} || '?' ELSE 'why tension_n' || c_custkey || '?' END AS text FROM customer, (VALUES (2), (3)) v(part)""")
+def mask_corpus_sources(spark, sf_dir):
+    """What a file's output teaches reaches the outputs of its copies, and of no other file."""
+    steps = (("cat warp.sql", "SELECT tension_n{k} FROM warp_9 WHERE spool_9 = 1"), ("cp warp.sql weft.sql", ""), ("grep n weft.sql", "why tension_n{k}?"), ("cat yarn.sql", "why tension_n{k}?"))
+    texts = None
+    for part, (command, text) in enumerate(steps):
+        one = rows_of(spark, sf_dir, text).select("c_custkey", F.lit(part).alias("part"), F.lit(command).alias("call_text"), "text")
+        texts = one if texts is None else texts.unionByName(one)
+    out = corpus.mask_corpus(origins.with_source(texts, "c_custkey"), catalog.TEST_KEY, scope="source", order=("c_custkey", "part"), readers=("sql",))
+    return out.where("part > 1").select("c_custkey", "part", "text")
