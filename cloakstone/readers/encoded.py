@@ -17,7 +17,8 @@ TOKENS = re.compile(
 )
 _ASSIGNED = re.compile(r"(?i)(?:password|passwd|senha|secret|token|api_?key)[\"']?[ \t]*[:=][ \t]*[\"']?([^\s\"'&,;]{6,200})")
 _RUN = re.compile(r"[A-Za-z0-9+/_\-]{20,}={0,2}")
-_ESCAPED = re.compile(r"(?:[A-Za-z0-9._~\-]|%[0-9A-Fa-f]{2})*%[0-9A-Fa-f]{2}(?:[A-Za-z0-9._~\-]|%[0-9A-Fa-f]{2})*")
+_ESCAPED = re.compile(r"[A-Za-z0-9._~%\-]{6,}+")
+_HEX = re.compile(r"%[0-9A-Fa-f]{2}")
 _READABLE = re.compile(rb"[\x20-\x7e\t\r\n]{8,}")
 
 
@@ -32,9 +33,11 @@ def _layers(text: str) -> Iterator[tuple[str, list[int], list[int]]]:
             for r in _READABLE.finditer(raw):
                 at = m.start() + shift
                 yield r[0].decode("ascii"), [at + 4 * i // 3 for i in range(*r.span())], [at + -(-4 * (i + 1) // 3) for i in range(*r.span())]
-    for m in _ESCAPED.finditer(text):
+    for m in _ESCAPED.finditer(text) if "%" in text else ():
+        if not _HEX.search(m[0]):
+            continue
         parts = [(m.start() + p.start(), m.start() + p.end(), p[0]) for p in re.finditer(r"%[0-9A-Fa-f]{2}|.", m[0])]
-        yield "".join(chr(int(p[1:], 16)) if p[0] == "%" else p for _, _, p in parts), [a for a, _, _ in parts], [z for _, z, _ in parts]
+        yield "".join(chr(int(p[1:], 16)) if len(p) == 3 else p for _, _, p in parts), [a for a, _, _ in parts], [z for _, z, _ in parts]
 
 
 def _found(text: str, depth: int) -> Iterator[tuple[int, int]]:

@@ -139,10 +139,10 @@ _FULL_NAME = re.compile(r"[A-ZÀ-Þ][a-zà-ÿ']{1,30}(?:[ ](?:d[aeo]s?|e|van|von
 @reader("names-in-line", "@", ")", "-")
 def names_in_line(s: str) -> Iterator[Name]:
     """In a delimited line without a header that holds a mail address, a personal number or a phone, a cell that is a full name."""
-    for m in re.finditer(r"[^\n]*[,;|\t][^\n]*", s):
-        if not _PERSONAL_VALUE.search(m[0]):
+    for m in re.finditer(r"[^\n]+", s):
+        sep = next((x for x in "\t;|," if x in m[0]), None)
+        if not sep or not _PERSONAL_VALUE.search(m[0]):
             continue
-        sep = next(x for x in "\t;|," if x in m[0])
         for a, b in split_cells(s, m.start(), m.end(), sep):
             if _FULL_NAME.fullmatch(s, a, b):
                 yield Name(a, b, "=name")
