@@ -91,12 +91,6 @@ def merge_seen(disk: DataFrame, run: DataFrame) -> DataFrame:
     return disk.unionByName(run).groupBy("id").agg(F.min("type").alias("type"), F.min("learned_day").alias("learned_day"), F.max("seen_day").alias("seen_day"))
 
 
-def seen_ids(found: DataFrame, key: ids.Key, today: Column) -> DataFrame:
-    """id, type, learned_day, seen_day: keyed hashes of the values, so the table holds no value."""
-    kind = F.col("type")
-    return found.groupBy(key.id(F.lit("visto"), ids.canonical_key(kind, F.col("real"))).alias("id")).agg(F.min("type").alias("type")).withColumn("learned_day", today).withColumn("seen_day", today)
-
-
 def mail_names(found: DataFrame) -> DataFrame:
     """type, real learned from e-mail findings: an organisation's domain, and first.last as a person's name."""
     mail = found.where("type = 'email'").select(F.lower("real").alias("mail")).distinct()
