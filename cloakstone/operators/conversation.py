@@ -107,20 +107,25 @@ def decided(*deciders: DataFrame, by: tuple[str, ...] = ("name",)) -> DataFrame:
     return every.groupBy(*by).agg(F.min(F.struct("_rank", "type"))["type"].alias("type"))
 
 
+# Types whose names are the same in any case.
+CASELESS = ("obj.database", "obj.schema", "obj.table", "obj.column", "obj.procedure", "obj.index", "obj.server")
+
+
 def memory(decisions: DataFrame, conv: str) -> DataFrame:
     """conv, word, type, name of each name decided in a conversation: of one word, the first decision."""
     g = decisions.where(F.length("real") >= 3)
-    word = F.when(F.col("type").isin("obj.database", "obj.schema", "obj.table", "obj.column", "obj.procedure", "obj.index", "obj.server"), F.lower("real")).otherwise(F.col("real"))
+    word = F.when(F.col("type").isin(*CASELESS), F.lower("real")).otherwise(F.col("real"))
     return g.groupBy(conv, word.alias("word")).agg(F.min_by("type", F.struct("ord", "start", "type")).alias("type"), F.min_by("real", F.struct("ord", "start", "real")).alias("name"))
 
 
 def remembered(texts: DataFrame, names: DataFrame, conv: str, *keys: str, text: str = "text", most: int = 128) -> DataFrame:
-    """keys, start, end, type, real, rule, strong: whole words of a conversation's texts that are its names, wherever they were decided."""
+    """keys, start, end, type, real, rule, strong: whole words of a conversation's texts that are its names, wherever they were decided (names of CASELESS types in
+    any case, others as they are written)."""
     word = r"[\p{L}\p{N}_][\p{L}\p{N}_.\-]*[\p{L}\p{N}_]"
     found = F.filter(T.located(text_ := F.col(text), word, 0, lambda x, at: F.struct(at.alias("start"), x["match"].alias("real"))), lambda w: F.length(w["real"]).between(3, most))
     words = texts.where(text_.isNotNull()).select(conv, *keys, F.explode(found).alias("w")).select(conv, *keys, "w.start", "w.real")
     forms = words.withColumn("word", F.explode(F.array_distinct(F.array("real", F.lower("real")))))
-    found = forms.join(names.select(conv, "word", "type"), [conv, "word"])
+    found = forms.join(names.select(conv, "word", "type"), [conv, "word"]).where((F.col("word") == F.col("real")) | F.col("type").isin(*CASELESS))
     return found.groupBy(conv, *keys, "start", "real").agg(F.min("type").alias("type")).select(conv, *keys, "start", (F.col("start") + F.length("real")).alias("end"), "type", "real", F.lit("memory").alias("rule"), F.lit(True).alias("strong"))
 
 

@@ -70,3 +70,11 @@ def test_log_and_people_are_written_and_read(spark, tmp_path):
     saved = sinks.save_people(registry, f"file://{tmp_path}/people")
     assert sorted(map(tuple, saved.collect())) == sorted(map(tuple, registry.select("kind", "hash", "person").collect()))
     assert sinks.prune_sent(spark.createDataFrame([(1, 10), (2, 70)], "id int, day int"), "day", F.lit(80)).count() == 1
+
+
+def test_remembered_names_keep_their_case(spark):
+    decisions = [(1, "obj.service", "lepa", 0, 0), (1, "obj.table", "Pens", 0, 9)]
+    names = conversation.memory(spark.createDataFrame(decisions, "conv int, type string, real string, ord int, start int"), "conv")
+    texts = spark.createDataFrame([(1, 1, "lepa Lepa LEPA pens Pens PENS")], "conv int, ord int, text string")
+    got = sorted((r.start, r.type, r.real) for r in conversation.remembered(texts, names, "conv", "ord").collect())
+    assert got == [(0, "obj.service", "lepa"), (15, "obj.table", "pens"), (20, "obj.table", "Pens"), (25, "obj.table", "PENS")]
