@@ -97,3 +97,16 @@ def test_the_filter_grows_with_the_index(spark):
     assert np.bitwise_count(b.bits).sum() <= 20_000 and b.holds(np.array([r[0] for r in many.select("window").limit(100).collect()], np.int64).view(np.uint64)).all()
     empty = lookup.filter_of(few.limit(0))
     assert lookup.candidates("grain_7x 12345678", empty, lookup.Hasher(b"k")) == []
+
+
+def test_names_of_many_scopes_meet_only_their_own(spark):
+    # each of 300 scopes has learned the same name, which stands in a text of each: 300 hits, of a join that doesn't hold all scopes against each other
+    values = spark.range(300).selectExpr("'obj.column' AS type", "'warp_9' AS real", "concat('c', id) AS scope")
+    index = lookup.indexed(values, KEY)
+    window = index.first()["window"]
+    found = spark.range(301).selectExpr("id AS _id", "if(id = 300, null, concat('c', id)) AS _scope", "0 AS start", "6 AS end", f"{window}L AS window", "2 AS pieces", "'' AS left", "'warp_9' AS body", "'' AS right")
+    out = lookup.verified(found, index, KEY)
+    got = [(r["_id"], r["scope"], r["real"]) for r in out.collect()]
+    assert sorted(got) == [(i, f"c{i}", "warp_9") for i in range(300)]
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    assert joins and all("_of" in x for x in joins)
