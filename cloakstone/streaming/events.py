@@ -14,13 +14,23 @@ from ..sources.chats import pieces
 from .unmask import Chunks
 
 OUT = "stream string, seq long, event string"
+_dense = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
 
 
 class Answer:
     """One streamed answer: each block's text is held back while it may be the beginning of a pseudonym."""
 
-    def __init__(self, pairs: dict[str, str], held: dict[str, str] | None = None):
+    def __init__(self, pairs: dict[str, str], held: dict[str, str] | None = None, like: Answer | None = None):
+        """like: another of the same pairs, whose tables are taken over."""
         self.pairs, self.held = pairs, dict(held or {})
+        self._tables = like._tables if like else {}
+
+    def _chunks(self, escaped: bool, held: str = "") -> Chunks:
+        """A block's text; the tables of pairs are made once, and once more with real values escaped to fit in a JSON string."""
+        if (like := self._tables.get(escaped)) is None:
+            pairs = {p: json.dumps(r, ensure_ascii=False)[1:-1] for p, r in self.pairs.items()} if escaped else self.pairs
+            like = self._tables[escaped] = Chunks(pairs)
+        return Chunks(like.pairs, held, like)
 
     def push(self, event: str) -> str:
         """The event with its pieces unmasked. What is held of a block that ends is put into its last piece, or into a piece of its own form
@@ -32,13 +42,13 @@ class Answer:
         if not isinstance(e, dict):
             return event
         found, ended = pieces(e)
-        escaped = lambda key: {p: json.dumps(r, ensure_ascii=False)[1:-1] for p, r in self.pairs.items()} if key in ("partial_json", "arguments") or key == "delta" and "arguments" in e.get("type", "") else self.pairs
+        escaped = lambda key: key in ("partial_json", "arguments") or key == "delta" and "arguments" in e.get("type", "")
         last: dict[str, tuple] = {}
         for p in found:
             if not p.block:
                 p.holder[p.key] = _replace(p.holder[p.key], self.pairs)
                 continue
-            chunks = Chunks(escaped(p.key), self.held.get(p.block, ""))
+            chunks = self._chunks(escaped(p.key), self.held.get(p.block, ""))
             p.holder[p.key] = chunks.push(p.holder[p.key])
             self.held[p.block] = chunks.held
             last[p.block] = (p, chunks)
@@ -52,7 +62,7 @@ class Answer:
                 p.holder[p.key] += chunks.close()
             else:
                 before.append(_own_event(e, block, _replace(rest, self.pairs)))
-        return "\n".join([*before, json.dumps(e, ensure_ascii=False, separators=(",", ":"))])
+        return "\n".join([*before, _dense(e)])
 
 
 def _own_event(end: dict, block: str, text: str) -> str:
@@ -68,14 +78,14 @@ def _own_event(end: dict, block: str, text: str) -> str:
         out = {"choices": [{"index": int(i), "delta": delta}]}
     else:
         out = {"candidates": [{"index": int(block), "content": {"parts": [{"text": text}]}}]}
-    return json.dumps(out, ensure_ascii=False, separators=(",", ":"))
+    return _dense(out)
 
 
 class AnswerProcessor(StatefulProcessor):
     """Rows (stream, seq, event) of one answer; events out of order wait for the ones before."""
 
     def __init__(self, pairs: dict[str, str]):
-        self.pairs = pairs
+        self.pairs, self.like = pairs, None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.next = handle.getValueState("next", "seq long")
@@ -88,7 +98,8 @@ class AnswerProcessor(StatefulProcessor):
         for (seq,), (event,) in list(self.waiting.iterator()):
             pending[int(seq)] = event
             self.waiting.removeKey((seq,))
-        answer, out = Answer(self.pairs, {b[0]: t[0] for b, t in self.held.iterator()}), []
+        answer, out = Answer(self.pairs, {b[0]: t[0] for b, t in self.held.iterator()}, self.like), []
+        self.like = self.like or answer
         while upcoming in pending:
             out.append((*key, upcoming, answer.push(pending.pop(upcoming))))
             upcoming += 1

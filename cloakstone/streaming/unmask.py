@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.mask import _replace
+from ..operators.mask import _replace, lengths_of
 
 OUT = "stream string, block string, seq long, text string"
 
@@ -22,7 +22,8 @@ class Chunks:
         """like: another of the same pairs, whose tables are taken over."""
         self.pairs, self.held = pairs, held
         self.starts = like.starts if like else {p[:k] for p in pairs for k in range(1, len(p))}
-        self.longest = max(map(len, pairs), default=0)
+        self.longest = like.longest if like else max(map(len, pairs), default=0)
+        self.lengths = like.lengths if like else lengths_of(pairs)
 
     def push(self, piece: str) -> str:
         text = self.held + piece
@@ -30,7 +31,7 @@ class Chunks:
         settled = 0
         i = 0
         while i < len(text):
-            n = next((n for n in range(min(self.longest, len(text) - i), 0, -1) if text[i : i + n] in self.pairs), 0)
+            n = next((n for n in self.lengths.get(text[i : i + 2], ()) if n <= len(text) - i and text[i : i + n] in self.pairs), 0)
             i += n or 1
             settled = i if n else settled
         keep = next((k for k in range(min(self.longest - 1, len(text) - settled), 0, -1) if text[-k:] in self.starts), 0)
@@ -40,10 +41,10 @@ class Chunks:
                 keep = k
                 break
         self.held = text[len(text) - keep :]
-        return _replace(text[: len(text) - keep], self.pairs)
+        return _replace(text[: len(text) - keep], self.pairs, self.lengths)
 
     def close(self) -> str:
-        out, self.held = _replace(self.held, self.pairs), ""
+        out, self.held = _replace(self.held, self.pairs, self.lengths), ""
         return out
 
 

@@ -44,3 +44,8 @@ def test_two_rule_evidence_of_odd_orders(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_returnflag string, l_linestatus string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = entry.queries()["two_rule_evidence"](spark, str(tmp_path)).collect()
     assert [(r.key, r.n_rules) for r in got] == [("u:AF", 2)]
+
+
+@pytest.mark.parametrize("name", ["answers_of_four_shapes", "unmask_stream_batch"])
+def test_rows_made_from_one_small_file_go_to_all_cores(spark, sf_dir, name):
+    assert entry.queries()[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism

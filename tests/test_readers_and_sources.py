@@ -290,3 +290,17 @@ def test_windowed_audit(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_answers_share_the_tables_of_their_pairs():
+    from cloakstone.streaming.events import Answer
+
+    pairs = {"CPF-o5c4344k": '5"29', "CPF-o5c4344kx": "long", "p": "q"}
+    first = Answer(pairs)
+    event = lambda x: json.dumps({"type": "content_block_delta", "index": 0, "delta": {"type": "input_json_delta", "partial_json": x}})
+    for like in (None, first, first):
+        a = Answer(pairs, like=like)
+        out = [json.loads(x) for piece in ("a CPF-o5c4", "344k", " CPF-o5c4344kx p") for x in a.push(event(piece)).split("\n")]
+        out += [json.loads(x) for x in a.push(json.dumps({"type": "content_block_stop", "index": 0})).split("\n")]
+        assert "".join(next(v for k, v in e["delta"].items() if k != "type") for e in out if "delta" in e) == 'a 5\\"29 long q'
+    assert first._tables.keys() == {True} and a._tables is first._tables
