@@ -49,3 +49,10 @@ def test_two_rule_evidence_of_odd_orders(spark, tmp_path):
 @pytest.mark.parametrize("name", ["answers_of_four_shapes", "unmask_stream_batch"])
 def test_rows_made_from_one_small_file_go_to_all_cores(spark, sf_dir, name):
     assert entry.queries()[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_rows_of_the_readers_go_to_all_cores(spark, sf_dir):
+    from cloakstone.catalog_readers import rows_of
+
+    got = rows_of(spark, sf_dir, "queue: kelp-{k}")
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and got.count() == entry.catalog.table(spark, sf_dir, "customer").count()
